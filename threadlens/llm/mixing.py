@@ -103,7 +103,7 @@ def schedule(spark: SparkSession, plan: DataFrame, block_words: int) -> DataFram
     before = Window.partitionBy("skey").orderBy("era").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("skey", "era").orderBy("slot")
-    ranked = axis.join(sums, ["skey", "era"]).withColumn("rank", F.col("base") + F.row_number().over(inside) - 1)
+    ranked = axis.join(sums.hint("merge"), ["skey", "era"]).withColumn("rank", F.col("base") + F.row_number().over(inside) - 1)
     ranked = ranked.withColumn("block", F.col("rank") % F.col("per_epoch")).withColumn("epoch", F.floor(F.col("rank") / F.col("per_epoch")).cast("long"))
     at = F.col("block") * block_words
     words = F.least(F.lit(block_words), F.col("source_size") - at, F.col("goal") - F.col("epoch") * F.col("source_size") - at)
@@ -140,11 +140,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: in
     pieces = docs_at.where("size > 0").select("uid", "skey", "start", "size", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("block"))
     low = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words), F.col("words"))
-    took = pieces.join(slots, ["skey", "block"]).select("uid", "epoch", F.greatest(high - low, F.lit(0)).alias("took"))
+    took = pieces.join(slots.hint("merge"), ["skey", "block"]).select("uid", "epoch", F.greatest(high - low, F.lit(0)).alias("took"))
     took = took.groupBy("uid", "epoch").agg(F.sum("took").alias("took")).where("took > 0")
     took = took.groupBy("uid").agg(F.sum("took").alias("taken"), F.transform(F.array_sort(F.collect_list(F.struct("epoch", "took"))), lambda x: x["took"]).alias("epochs"))
     return (
-        docs_at.join(took, "uid", "left")
+        docs_at.join(took.hint("merge"), "uid", "left")
         .join(plan.select("skey", "source_size", "target"), "skey")
         .select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.array().cast("array<bigint>")).alias("epochs"))
     )
