@@ -6,10 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, quality, simhash, toxicity
-from .base import table
+from .base import scratch, table
 from .bpe import encode_documents
 from .exact_dedup import dedup
+from .html_text import extract_pages
 from .mixing import mix
+from .shards import FANOUT, SHARD_BYTES, TARGET_BYTES, TIERS, ShardStore, layout
+
+
+def op2_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come in eight arrivals, by hash of the id; the result is the layout after compaction."""
+    store = ShardStore(spark, scratch(spark, "shards"))
+    arrival = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 9, 1), 16, 10).cast("int") % 8
+    store.append(table(spark, sf_dir, "documents"), arrival)
+    store.compact()
+    store.vacuum()
+    return layout(store)
 
 
 def op3_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +33,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,9 +60,34 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _compaction_sql() -> str:
+    floors = [TARGET_BYTES // FANOUT ** (TIERS - t) for t in range(1, TIERS + 1)]
+    tier = lambda size: "(" + " + ".join(f"CAST({size} >= {f} AS INT)" for f in floors) + ")"
+    sql = f"""
+        WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, md5(CAST(doc_id AS VARCHAR)) AS pos,
+                          CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 9, 1) AS BIGINT) % 8 AS INT) AS arrival FROM documents),
+        a AS (SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY arrival) AS BIGINT) AS total FROM d),
+        r AS (SELECT *, CAST(floor(CAST('0x' || substr(pos, 1, 8) AS BIGINT) * ceil((total + 1) / {SHARD_BYTES}) / 4294967296.0) AS BIGINT) AS rng FROM a),
+        p AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY arrival, rng ORDER BY pos, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {SHARD_BYTES} AS piece FROM r),
+        s AS (SELECT *, format('a{{:05d}}-r{{:07d}}-p{{:05d}}', arrival, rng, CAST(piece AS BIGINT)) AS run FROM p),
+        m0 AS (SELECT run, run AS dest, sum(n_bytes) AS bytes FROM s GROUP BY run)"""
+    for t in range(TIERS):
+        sql += f""",
+        g{t} AS (SELECT dest, (row_number() OVER (ORDER BY dest) - 1) // {FANOUT} AS hand FROM (SELECT dest, sum(bytes) AS bytes FROM m{t} GROUP BY dest) WHERE {tier("bytes")} = {t}),
+        h{t} AS (SELECT dest, min(dest) OVER (PARTITION BY hand) AS merged, count(*) OVER (PARTITION BY hand) AS n FROM g{t}),
+        m{t + 1} AS (SELECT run, bytes, coalesce(merged, m.dest) AS dest FROM m{t} m LEFT JOIN (SELECT * FROM h{t} WHERE n = {FANOUT}) h ON m.dest = h.dest)"""
+    sql += f""",
+        f AS (SELECT s.doc_id, s.n_bytes, s.arrival, m.dest AS run FROM s JOIN m{TIERS} m USING (run)),
+        z AS (SELECT run, count(*) AS run_rows, CAST(sum(n_bytes) AS BIGINT) AS run_bytes FROM f GROUP BY run)
+        SELECT doc_id, n_bytes, arrival, run, {tier("run_bytes")} AS tier, run_rows, run_bytes FROM f JOIN z USING (run)"""
+    return sql
+
+
 QUERIES = {
+    "op2_tiered_compaction": op2_tiered_compaction,
     "op3_multi_index_hashing": op3_multi_index_hashing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_html_blocks": op5_html_blocks,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
@@ -55,6 +96,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_tiered_compaction": _compaction_sql(),
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
