@@ -11,7 +11,7 @@ copies is penalised: a group's name alone cannot carry weight.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +23,11 @@ from .base import id_hash_mod
 from .labelled import sample
 
 #: Labelled rows used for fitting, at most.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 #: Words that occur in fewer sampled documents are not learned.
 MIN_DOCS = 4
+#: Words whose log-odds between the labels are smaller are not learned.
+MIN_ODDS = 0.5
 #: Kinds of identity terms; a term is swapped for the others of its kind.
 IDENTITY_TERMS = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "sikh", "catholic"),
@@ -78,7 +80,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(texts: list[set[str]], labels: np.ndarray, pairs: list[tuple[str, str]], counterfactual: float = COUNTERFACTUAL, l1: float = L1, rounds: int = ROUNDS) -> Model:
+def fit(texts: Iterable[Iterable[str]], labels: np.ndarray, pairs: list[tuple[str, str]], counterfactual: float = COUNTERFACTUAL, l1: float = L1, rounds: int = ROUNDS) -> Model:
     """Fits on word sets; ``pairs`` are (sentence, swapped sentence).
 
     Without rows of both labels the model is the constant share of label 1
@@ -91,23 +93,28 @@ def fit(texts: list[set[str]], labels: np.ndarray, pairs: list[tuple[str, str]],
     prior = float(np.log(share / (1 - share)))
     if y.min() == y.max():
         return Model(prior)
-    counts: dict[str, list[int]] = {}
-    for ws, label in zip(texts, y):
-        for w in ws:
-            counts.setdefault(w, [0, 0])[int(label)] += 1
-    vocab = sorted(w for w, c in counts.items() if sum(c) >= MIN_DOCS)
+    index: dict[str, int] = {}
+    rows = [np.fromiter((index.setdefault(w, len(index)) for w in ws), np.int32) for ws in texts]
+    own, flat = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
+    in_one = np.bincount(flat, y[own], len(index))
+    in_any = np.bincount(flat, minlength=len(index))
+    odds = np.log((in_one + 0.5) / (y.sum() + 1)) - np.log((in_any - in_one + 0.5) / (len(y) - y.sum() + 1))
+    # Words by text, so that nothing depends on the order of rows.
+    vocab = sorted(w for w, k in index.items() if in_any[k] >= MIN_DOCS and abs(odds[k]) >= MIN_ODDS)
     column = {w: k for k, w in enumerate(vocab)}
-    odds = np.array([[counts[w][1] + 0.5, counts[w][0] + 0.5] for w in vocab]).reshape(-1, 2)
-    scale = np.abs(np.log(odds[:, 0] / (y.sum() + 1)) - np.log(odds[:, 1] / (len(y) - y.sum() + 1)))
-
-    def matrix(sets: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        rows, cols, vals = [], [], []
-        for r, ws in enumerate(sets):
-            signed = ws.items() if isinstance(ws, dict) else ((w, 1.0) for w in sorted(ws))
-            for w, v in signed:
-                if (c := column.get(w)) is not None:
-                    rows.append(r), cols.append(c), vals.append(v * scale[c])
-        return np.array(rows, int), np.array(cols, int), np.array(vals, float), len(sets)
+    scale = np.abs(odds[[index[w] for w in vocab]]) if vocab else np.zeros(0)
+    to_column = np.full(len(index), -1, np.int32)
+    to_column[[index[w] for w in vocab]] = np.arange(len(vocab), dtype=np.int32)
+    del index
+    cols = to_column[flat]
+    known = cols >= 0
+    order = np.lexsort((cols[known], own[known]))
+    x = (own[known][order], cols[known][order], scale[cols[known][order]], len(y))
+    changes = []
+    for k, (s, t) in enumerate(pairs):  # words gained minus words lost
+        a, b = words(s), words(t)
+        changes += [(k, column[w], 1.0 if w in b else -1.0) for w in sorted(a ^ b) if w in column]
+    d = (np.array([c[0] for c in changes], int), np.array([c[1] for c in changes], int), np.array([c[2] * scale[c[1]] for c in changes], float), len(pairs))
 
     def times(m, w):
         return np.bincount(m[0], m[2] * w[m[1]], m[3]) if len(m[0]) else np.zeros(m[3])
@@ -115,9 +122,6 @@ def fit(texts: list[set[str]], labels: np.ndarray, pairs: list[tuple[str, str]],
     def back(m, g):
         return np.bincount(m[1], m[2] * g[m[0]], len(vocab)) if len(m[0]) else np.zeros(len(vocab))
 
-    x = matrix(texts)
-    # The change of a pair: words gained minus words lost.
-    d = matrix([dict.fromkeys(sorted(b - a), 1.0) | dict.fromkeys(sorted(a - b), -1.0) for a, b in ((words(s), words(t)) for s, t in pairs)])
     n, w, bias = len(y), np.zeros(len(vocab)), prior
     v, vb, t = w.copy(), bias, 1.0
     # Step from the largest eigenvalue of the Hessian's bound, by power iteration.
@@ -151,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options)
     kind = picked.schema["doc_id"].dataType.simpleString()
     got = picked.mapInPandas(run, f"doc_id {kind}, label int, words string, pairs string").toPandas().sort_values(["doc_id", "words"])
     pairs = [tuple(line.split("\t")) for p in got["pairs"] if p for line in p.split("\n")]
-    return fit([set(w.split()) for w in got["words"]], got["label"].to_numpy(), pairs, **options)
+    return fit((w.split() for w in got["words"]), got["label"].to_numpy(), pairs, **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
