@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, quality, simhash, toxicity
@@ -10,10 +10,30 @@ from .base import scratch, table
 from .bpe import encode_documents
 from .exact_dedup import dedup
 from .html_text import extract_pages
+from .licenses import license_scan
 from .mixing import mix
 from .shards import FANOUT, SHARD_BYTES, TARGET_BYTES, TIERS, ShardStore, layout
 
 
+def corpus_path() -> Column:
+    """A repository path for a document: source/outer/inner/name, from its source and the hash of its id.
+
+    Every tenth document is a licence file; it lies in the source's folder, an
+    outer or an inner one in turn.
+    """
+    spread = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    source = F.coalesce(F.col("source"), F.lit("unknown"))
+    outer, inner = (spread % 64).cast("string"), (F.floor(spread / 64) % 16).cast("string")
+    is_license, turn = F.col("doc_id") % 10 == 0, F.floor(F.col("doc_id") / 10) % 3
+    folder = F.when(is_license & (turn == 0), source).when(is_license & (turn == 1), F.concat_ws("/", source, outer)).otherwise(F.concat_ws("/", source, outer, inner))
+    return F.concat(folder, F.when(is_license, F.lit("/LICENSE-")).otherwise(F.lit("/file-")), F.col("doc_id").cast("string"))
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), corpus_path().alias("path"), "text")
+    return license_scan(files).withColumnRenamed("file_id", "doc_id")
+
+
 def op2_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents come in eight arrivals, by hash of the id; the result is the layout after compaction."""
     store = ShardStore(spark, scratch(spark, "shards"))
@@ -84,6 +104,7 @@ def _compaction_sql() -> str:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_tiered_compaction": op2_tiered_compaction,
     "op3_multi_index_hashing": op3_multi_index_hashing,
     "op4_quality_classifier": op4_quality_classifier,
