@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +23,9 @@ from pyspark.sql import DataFrame
 
 #: Fixed value: the pattern of byte-level BPE that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the same pattern for texts of the first 256 code points, with its classes written out.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
+NARROW_PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 
 #: Entries that a memory of encoded pieces may hold before it is emptied.
 MEMORY = 400_000
@@ -46,8 +51,10 @@ class ByteBpe:
         self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.ranks = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.new_of = [vocab[a + b] for a, b in pairs]
+        self.no_rank = len(pairs)
         self.single = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         self.inside = np.zeros((256, 256), bool)
         for i, token in self.bytes_of.items():
@@ -56,6 +63,7 @@ class ByteBpe:
                 self.inside[raw[:-1], raw[1:]] = True
         self.inside_rows = [row.tobytes() for row in self.inside]
         self.split = regex.compile(PATTERN).findall
+        self.split_narrow = re.compile(NARROW_PATTERN).findall
         self.by_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces: dict[str, bytes] = {}
         self.fragments: dict[bytes, bytes] = {}
@@ -66,54 +74,48 @@ class ByteBpe:
         return [k for k in range(1, len(raw)) if not rows[raw[k - 1]][raw[k]]]
 
     def merge(self, raw: bytes) -> list[int]:
-        """Ids of one fragment: merge the lowest-ranked adjacent pair until none is left."""
+        """Ids of one fragment: merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
         ids = [self.single[b] for b in raw]
-        merges = self.merges
         if len(ids) > 128:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            found = [merges.get(pair) for pair in zip(ids, ids[1:])]
-            best = min((x for x in found if x), default=None)
-            if best is None:
-                break
-            out, k = [], 0
-            while k < len(ids):
-                if k < len(found) and found[k] == best:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+        get, none, new = self.ranks.get, self.no_rank, self.new_of
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != none:
+            k = ranks.index(best)
+            ids[k : k + 2] = [new[best]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = get((ids[k - 1], ids[k]), none)
+            if k < len(ranks):
+                ranks[k] = get((ids[k], ids[k + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same for a long fragment, by a heap over linked neighbours, in n log n."""
         import heapq
 
-        n, merges = len(ids), self.merges
+        n, get = len(ids), self.ranks.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*m, k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := merges.get((ids[k], ids[k + 1])))]
-        heap = [(rank, k, new, a, b) for rank, new, k, a, b in heap]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(heap)
         live = [True] * n
         while heap:
-            _, k, new, a, b = heapq.heappop(heap)
+            rank, k, a, b = heapq.heappop(heap)
             j = after[k]
             if not live[k] or j < 0 or ids[k] != a or ids[j] != b:
                 continue
-            ids[k], live[j], after[k] = new, False, after[j]
+            ids[k], live[j], after[k] = self.new_of[rank], False, after[j]
             if after[k] >= 0:
                 before[after[k]] = k
             for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y >= 0 and (m := merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, m[1], ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (r := get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [i for i, on in zip(ids, live) if on]
 
     def _fragment(self, raw: bytes) -> bytes:
         ids = self.fragments.get(raw)
         if ids is None:
-            ids = np.array(self.merge(raw), "<u4").tobytes()
+            ids = struct.pack(f"<{len(found := self.merge(raw))}I", *found)
             if len(raw) <= LONGEST_KEPT:
                 if len(self.fragments) >= MEMORY:
                     self.fragments.clear()
@@ -132,7 +134,12 @@ class ByteBpe:
 
     def _plain(self, text: str) -> bytes:
         get, make = self.pieces.get, self._piece
-        return b"".join([get(p) or make(p) for p in self.split(text)])
+        try:
+            text.encode("latin-1")
+            split = self.split_narrow
+        except UnicodeEncodeError:
+            split = self.split
+        return b"".join([get(p) or make(p) for p in split(text)])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
