@@ -64,3 +64,19 @@ def id_hash_mod(id_col: str, modulus: int) -> Column:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def matching(left: str, right: str, *columns: str) -> Column:
+    """Null-safe equality of the columns of two aliased frames."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`"))
+    return out
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem

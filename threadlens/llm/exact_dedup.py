@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACE, cut, is_empty, text_of
+from .base import SPACE, cut, free_name, is_empty, matching, text_of
 
 #: Code points in a block.
 BLOCK = 8192
@@ -111,3 +111,16 @@ def dedup(docs: DataFrame, block: int = BLOCK, digest=_digest) -> DataFrame:
         (F.col("uid") == F.col("first.uid")).alias("kept"),
         "text_sha256",
     )
+
+
+def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that dedup() keeps, with all their columns."""
+    sha = free_name(docs, "text_sha256")
+    judged = cut(dedup(docs, block).select("doc_id", F.col("text_sha256").alias(sha), "kept"))
+    kept = judged.where("kept").drop("kept")
+    marked = docs.withColumn(sha, F.sha2(normalised(), 256)).alias("d")
+    out = marked.join(kept.alias("k").hint("merge"), matching("d", "k", "doc_id", sha), "left_semi")
+    # One (id, text) pair is kept once; rows can only repeat it if the input repeats it.
+    if not is_empty(judged.groupBy("doc_id", sha).count().where("count > 1")):
+        out = out.dropDuplicates(["doc_id", sha])
+    return out.drop(sha)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, cut, text_of
+from .base import WORD, cut, free_name, is_empty, matching, text_of
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -143,8 +143,39 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: in
     took = pieces.join(slots.hint("merge"), ["skey", "block"]).select("uid", "epoch", F.greatest(high - low, F.lit(0)).alias("took"))
     took = took.groupBy("uid", "epoch").agg(F.sum("took").alias("took")).where("took > 0")
     took = took.groupBy("uid").agg(F.sum("took").alias("taken"), F.transform(F.array_sort(F.collect_list(F.struct("epoch", "took"))), lambda x: x["took"]).alias("epochs"))
-    return (
+    out = (
         docs_at.join(took.hint("merge"), "uid", "left")
         .join(plan.select("skey", "source_size", "target"), "skey")
         .select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.array().cast("array<bigint>")).alias("epochs"))
     )
+    return out
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, once for each pass that takes words from them.
+
+    All columns stay.  A document of which a pass takes only the first words
+    has those words, joined by single spaces, as its text there, and n_chars,
+    if there is such a column, follows.
+    """
+    took = mix(docs, **options).where("taken > 0").select("doc_id", F.col("uid").alias("_uid"), F.col("size").alias("_size"), F.col("epochs").alias("_epochs"))
+    names = {c: free_name(docs, c) for c in ("_size", "_epochs", "_copy")}
+    size, epochs, copy = names.values()
+    took = cut(took)
+    sized = docs.withColumn(size, F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
+    took = took.withColumnsRenamed({"_size": size, "_epochs": epochs})
+    keys = ["doc_id"]
+    if not is_empty(took.groupBy("doc_id").count().where("count > 1")):
+        # Repeated ids: rows of one id and size take the shares in turn.
+        keys = ["doc_id", size, copy]
+        by = Window.partitionBy("doc_id", size)
+        sized = sized.withColumn(copy, F.row_number().over(by.orderBy(*[c for c in ("source", "text") if c in docs.columns])))
+        took = took.withColumn(copy, F.row_number().over(by.orderBy("_uid")))
+    rows = sized.alias("d").join(took.drop("_uid").alias("k").hint("merge"), matching("d", "k", *keys)).select("d.*", f"k.`{epochs}`")
+    rows = rows.withColumn(epochs, F.explode(epochs))
+    whole = F.col(epochs) == F.col(size)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(epochs).cast("int")), " ")
+    out = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(first))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(docs.columns)

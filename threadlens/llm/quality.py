@@ -15,6 +15,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,8 +152,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
     return fit(bags, got["label"].to_numpy(), epochs)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted (and the columns ``keep``) for each row, whole texts.
+def _score_texts(texts: list, model: Model) -> np.ndarray:
+    scores, at = np.empty(len(texts)), 0
+    while at < len(texts):  # a bounded number of passages at a time
+        bags, rows, begin = [], 0, at
+        while at < len(texts) and rows < 20_000:
+            bags.append(passages(texts[at] or ""))
+            rows, at = rows + len(bags[-1]), at + 1
+        starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(int)
+        scores[begin:at] = model.score_bags(np.vstack(bags), starts)
+    return scores
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of (doc_id, text), whole texts.
 
     Null or empty text is one passage of zeros and scores as such.  A null id
     is not held out.  Rows stay as they are, repeated ones too.
@@ -160,24 +173,19 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), threshold:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            scores = np.empty(len(batch))
-            texts, at = batch["text"].tolist(), 0
-            while at < len(texts):  # a bounded number of passages at a time
-                bags, rows, begin = [], 0, at
-                while at < len(texts) and rows < 20_000:
-                    bags.append(passages(texts[at] or ""))
-                    rows, at = rows + len(bags[-1]), at + 1
-                starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(int)
-                scores[begin:at] = model.score_bags(np.vstack(bags), starts)
-            out = batch[[*dict.fromkeys(["doc_id", "held_out", *keep])]].copy()
-            out["score"] = scores
-            yield out
-
-    fields = [docs.schema[c] for c in dict.fromkeys(["doc_id", *keep])]
-    held = F.coalesce(id_hash_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "held_out": batch["held_out"], "score": _score_texts(batch["text"].tolist(), model)})
 
-    schema = StructType([fields[0], StructField("held_out", BooleanType()), *fields[1:], StructField("score", DoubleType())])
-    columns = [*dict.fromkeys(["doc_id", *keep, "text"])]
-    out = docs.select("doc_id", held, *[c for c in columns if c != "doc_id"]).mapInPandas(run, schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = F.coalesce(id_hash_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    out = docs.select("doc_id", held, "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score() predicts as 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_score_texts(batch.column("text").to_pylist(), model) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ A store is a folder below the shared folder:
 
     data/<operation>/run=<name>/part-*.parquet   immutable files
     manifest/<operation>/                        one row for each live run
-    commits/v<number>                            names the manifest of a version
+    commits/v<number>                            names a version's manifest, and its rows' schema
 
 ``append`` writes arrivals as small shards.  ``compact`` merges FANOUT runs of
 one size tier at a time, tier after tier, until the runs have the target size;
@@ -15,11 +15,13 @@ another writer created that version first.  Readers see one version, whole.
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .base import cut, text_of
 
@@ -66,14 +68,18 @@ class ShardStore:
         version = self.version() if version is None else version
         if version == 0:
             return self.spark.createDataFrame([], "run string, operation string, arrival int, tier int, rows bigint, bytes bigint")
+        return self.spark.read.parquet(f"{self.root}/manifest/{self._named(version)[0]}")
+
+    def _named(self, version: int) -> tuple[str, StructType]:
+        """(operation, schema) of a version."""
         named = self._fs.open(self._path(f"{self.root}/commits/v{version}"))
         try:
-            operation = bytes(named.readAllBytes()).decode()
+            operation, schema = bytes(named.readAllBytes()).decode().split("\n", 1)
         finally:
             named.close()
-        return self.spark.read.parquet(f"{self.root}/manifest/{operation}")
+        return operation, StructType.fromJson(json.loads(schema))
 
-    def _commit(self, manifest: DataFrame, operation: str, version: int) -> None:
+    def _commit(self, manifest: DataFrame, operation: str, version: int, schema: StructType) -> None:
         manifest.write.parquet(f"{self.root}/manifest/{operation}")
         try:
             out = self._fs.create(self._path(f"{self.root}/commits/v{version}"), False)
@@ -81,18 +87,20 @@ class ShardStore:
             if "exists" in str(e):
                 raise Conflict(f"version {version} is taken") from e
             raise
-        out.write(bytearray(operation.encode()))
+        out.write(bytearray(f"{operation}\n{schema.json()}".encode()))
         out.close()
 
     def rows(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with their run."""
+        """The rows of a version, with their run; columns that an old shard lacks are null."""
+        version = self.version() if version is None else version
+        schema = self._named(version)[1]
         manifest = self.manifest(version)
         operations = [r[0] for r in manifest.select("operation").distinct().sort("operation").collect()]  # one for each append and compaction
-        parts = []
+        out = self.spark.createDataFrame([], schema)
         for operation in operations:
             live = manifest.where(F.col("operation") == operation).select("run")
-            parts.append(self.spark.read.parquet(f"{self.root}/data/{operation}").join(live, "run", "left_semi"))
-        return reduce(DataFrame.unionByName, parts)
+            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.root}/data/{operation}").join(live, "run", "left_semi"))
+        return out
 
     def append(self, docs: DataFrame, arrival: Column, shard_bytes: int = SHARD_BYTES, range_bytes: int = RANGE_BYTES) -> int:
         """Writes each arrival as small shards and commits them; returns the version.
@@ -102,6 +110,7 @@ class ShardStore:
         Every shard is made by one task and is one file.
         """
         base, operation = self.version(), f"append-{uuid.uuid4().hex}"
+        docs = docs.drop("arrival", "run")  # names of the store's own
         order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
         rows = docs.withColumns({"arrival": F.coalesce(arrival, F.lit(0)).cast("int"), "_size": F.octet_length(text_of()).cast("long"), "_order": order})
         sizes = cut(rows.groupBy("arrival").agg(F.sum("_size").alias("_total")))
@@ -112,13 +121,17 @@ class ShardStore:
         before = Window.partitionBy("arrival", "_range").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
         piece = F.floor(F.coalesce(F.sum("_size").over(before), F.lit(0)) / shard_bytes).cast("long")
         rows = rows.withColumn("run", F.format_string("a%05d-r%07d-p%05d", "arrival", "_range", piece))
-        rows.drop("_size", "_order", "_ranges", "_range").write.options(**_FILES).partitionBy("run").parquet(f"{self.root}/data/{operation}")
-        new = self._measured(operation).withColumn("arrival", F.substring("run", 2, 5).cast("int"))
-        self._commit(self._columns(self.manifest(base).unionByName(self._columns(new))), operation, base + 1)
+        rows = rows.drop("_size", "_order", "_ranges", "_range").select(*docs.columns, "arrival", "run")
+        rows.write.options(**_FILES).partitionBy("run").parquet(f"{self.root}/data/{operation}")
+        schema = StructType(rows.schema.fields)
+        if base:
+            schema = StructType([*schema.fields, *[f for f in self._named(base)[1].fields if f.name not in schema.names]])
+        new = self._measured(operation, schema).withColumn("arrival", F.substring("run", 2, 5).cast("int"))
+        self._commit(self._columns(self.manifest(base).unionByName(self._columns(new))), operation, base + 1, schema)
         return base + 1
 
-    def _measured(self, operation: str) -> DataFrame:
-        written = self.spark.read.parquet(f"{self.root}/data/{operation}")
+    def _measured(self, operation: str, schema: StructType) -> DataFrame:
+        written = self.spark.read.schema(schema).parquet(f"{self.root}/data/{operation}")
         out = written.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_of())).cast("long").alias("bytes"))
         return out.withColumn("operation", F.lit(operation)).withColumn("tier", tier(F.col("bytes")))
 
@@ -153,9 +166,10 @@ class ShardStore:
             return base
         rows = self.rows(base).join(moved, "run").drop("run").withColumnRenamed("into", "run")
         rows.repartition("run").write.options(**_FILES).partitionBy("run").parquet(f"{self.root}/data/{operation}")
-        new = self._measured(operation).withColumn("arrival", F.lit(None).cast("int"))
+        schema = self._named(base)[1]
+        new = self._measured(operation, schema).withColumn("arrival", F.lit(None).cast("int"))
         kept = manifest.join(moved.select("run"), "run", "left_anti")
-        self._commit(self._columns(kept).unionByName(self._columns(new)), operation, base + 1)
+        self._commit(self._columns(kept).unionByName(self._columns(new)), operation, base + 1, schema)
         return base + 1
 
     def vacuum(self) -> None:

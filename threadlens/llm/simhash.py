@@ -24,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .base import cut, is_empty
+from .base import cut, free_name, is_empty, matching
 
 #: Words in a shingle, seed of its hash, and differing bits that still link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -146,6 +148,14 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
+def _assigned(docs: DataFrame, shingle: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, fp) of every row, (fp, root) of every fingerprint)."""
+    rows = cut(fingerprints(docs, shingle))
+    vertices = cut(rows.select("fp").distinct())
+    roots = components(links(vertices, bucket))
+    return rows, cut(vertices.join(roots, vertices["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of (doc_id, text).
 
@@ -155,10 +165,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     a null component_id.  Repeated ids keep one row each.  Empty input gives an
     empty result.
     """
-    rows = cut(fingerprints(docs, shingle))
-    vertices = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(vertices.select("fp"), bucket))
-    vertices = vertices.join(roots, vertices["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    tops = vertices.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = cut(vertices.join(tops, "root").select("fp", "component_id"))
+    rows, roots = _assigned(docs, shingle, bucket)
+    # Ids are first reduced to one for each fingerprint, so that no large family meets in one task.
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    tops = least.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = cut(roots.join(tops, "root").select("fp", "component_id"))
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: of each component the one with the smallest doc_id.
+
+    A null id comes after all others; rows that tie in id (or have none) go by
+    fingerprint, and of rows equal in both any one stays.
+    """
+    rows, roots = _assigned(docs, shingle, bucket)
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("first"))
+    kept = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    fp = free_name(docs, "fp")
+    kept = cut(kept.select(F.col("first.doc_id").alias("doc_id"), F.col("first.fp").alias(fp)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t or "", shingle) for t in batch.column("text").to_pylist()], np.uint64)
+            yield batch.append_column(fp, pa.array(fps.view(np.int64)))
+
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    out = marked.alias("d").join(kept.alias("k").hint("merge"), matching("d", "k", "doc_id", fp), "left_semi")
+    if not is_empty(rows.groupBy("doc_id", "fp").count().where("count > 1")):
+        out = out.dropDuplicates(["doc_id", fp])
+    return out.drop(fp)
