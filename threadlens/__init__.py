@@ -1,0 +1 @@
+"""Spark-native analytics for question-and-answer corpora."""
