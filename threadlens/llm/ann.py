@@ -52,14 +52,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosine of each row to the query in double precision; equal rows get equal values.
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows over their largest component, so that no norm overflows, and the norms of the results."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x, np.sqrt((x * x).sum(1))
 
-    Vectors are first scaled by their largest component, so no norm overflows.
-    """
-    rows, query = rows / np.abs(rows).max(1, keepdims=True), query / np.abs(query).max()
-    dots = (rows * query).sum(1)
-    return dots / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
+
+def cosines(rows: np.ndarray, lengths: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosine in double precision of each scaled row to the query; equal rows get equal values."""
+    query, length = scaled(query[None, :])
+    return (rows * query).sum(1) / (lengths * length)
 
 
 def learn(x: np.ndarray, k: int, recall: float = TARGET_RECALL) -> Codes:
@@ -95,14 +97,21 @@ def learn(x: np.ndarray, k: int, recall: float = TARGET_RECALL) -> Codes:
 _HAMMING = np.array([[bin(a ^ b).count("1") for b in range(256)] for a in range(256)], np.uint8)
 
 
+def _words(packed: np.ndarray) -> np.ndarray:
+    """Packed codes as 64-bit words, filled up with zeros."""
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
 class Shard:
     """Substring indexes over one shard's codes, and the search in it."""
 
     def __init__(self, codes: Codes, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.codes, self.ids, self.x = codes, ids[order], x[order]
-        self.packed = np.packbits(codes.bits(self.x), axis=1)
+        self.codes, self.ids = codes, ids[order]
+        self.packed = np.packbits(codes.bits(x[order]), axis=1)
         self.parts = self.packed.shape[1]
+        self.words = _words(self.packed)
+        self.x, self.lengths = scaled(x[order])
         # For each substring: rows sorted by value, and where each value begins.
         self.rows = np.argsort(self.packed, axis=0, kind="stable").T.astype(np.int32)
         self.begins = np.stack([np.searchsorted(self.packed[self.rows[j], j], np.arange(257)) for j in range(self.parts)])
@@ -121,7 +130,7 @@ class Shard:
         for j in range(self.parts):
             hit[self._bucket(j, int(code[j]), radius // self.parts)] = True
         rows = np.flatnonzero(hit)
-        return rows[_HAMMING[self.packed[rows], code].sum(1, dtype=np.int64) <= radius]
+        return rows[np.bitwise_count(self.words[rows] ^ _words(code[None, :])).sum(1, dtype=np.int64) <= radius]
 
     def search(self, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
         """(query id, row id, cosine), the k best of each query in this shard, its own row left out.
@@ -137,7 +146,7 @@ class Shard:
                 if len(rows) >= k or radius >= 8 * self.parts:
                     break
                 radius += self.parts
-            score = cosines(self.x[rows], vector) if len(rows) else np.zeros(0)
+            score = cosines(self.x[rows], self.lengths[rows], vector) if len(rows) else np.zeros(0)
             for r in np.argsort(-score, kind="stable")[:k]:  # rows ascend by id, so ties go to the smaller
                 yield int(q), int(self.ids[rows[r]]), float(score[r])
 
@@ -171,7 +180,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     shards = max(1, -(-good.count() // shard_rows))
     own = good.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "x")
     asked = good.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "x")
-    both = own.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
+    both = own.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows of a shard come first, then the queries, a batch at a time.
