@@ -76,7 +76,7 @@ def kendall(table: DataFrame, pairs=METRIC_PAIRS) -> DataFrame:
     def p_of(n: pd.Series, s: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
         return pd.Series([p_value(int(a), int(b), c, d) for a, b, c, d in zip(n, s, u, v)])
 
-    tau = F.try_divide(F.col("s"), F.sqrt(F.col("du").cast("double")) * F.sqrt(F.col("dv").cast("double")))
+    tau = F.try_divide(F.col("s"), F.sqrt(F.col("du").cast("double") * F.col("dv")))
     return out.select("x", "y", "n", tau.alias("tau"), p_of("n", "s", F.col("w.u"), F.col("w.v")).alias("p"))
 
 

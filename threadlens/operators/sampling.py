@@ -34,8 +34,8 @@ def allocation(sizes: DataFrame, population: Column | int, **options) -> DataFra
     out = sizes.withColumn("_n", n).withColumn("_raw", F.coalesce(F.try_divide(F.col("_n") * weight, F.sum(weight).over(everything)), F.lit(0.0)))
     out = out.withColumn("_up", F.ceil("_raw").cast("bigint"))
     excess = F.sum("_up").over(everything) - F.ceil("_n").cast("bigint")
-    # Gains that differ by rounding noise only count as equal.
-    rank = F.row_number().over(Window.orderBy(F.round(F.col("_up") - F.col("_raw"), 9), "topic"))
+    # Strata without a share have nothing to give; gains that differ by rounding noise only count as equal.
+    rank = F.row_number().over(Window.orderBy(F.col("_up") <= 0, F.round(F.col("_up") - F.col("_raw"), 9), "topic"))
     return out.withColumn("allocated", (F.col("_up") - F.when(rank <= excess, 1).otherwise(0)).cast("bigint")).drop("_n", "_raw", "_up")
 
 

@@ -527,7 +527,7 @@ def f2(spark, sf):
 
 _ALLOCATION = f"""{P.STRATA}, n AS (SELECT {_N.format(n="CAST(count(*) AS DOUBLE)")} AS n FROM s), g AS (SELECT topic, count(*) AS stratum_size, round(coalesce(stddev_samp(topic_perc_contrib), 0), 9) AS sd FROM s WHERE topic IS NOT NULL GROUP BY 1),
     ra AS (SELECT topic, stratum_size, n, n * (stratum_size * sd / sum(stratum_size * sd) OVER ()) AS raw FROM g, n),
-    rk AS (SELECT *, row_number() OVER (ORDER BY round(ceil(raw) - raw, 9), topic) AS rk, sum(ceil(raw)) OVER () - ceil(n) AS excess FROM ra),
+    rk AS (SELECT *, row_number() OVER (ORDER BY ceil(raw) <= 0, round(ceil(raw) - raw, 9), topic) AS rk, sum(ceil(raw)) OVER () - ceil(n) AS excess FROM ra),
     al AS (SELECT topic, stratum_size, CAST(ceil(raw) - CASE WHEN rk <= excess THEN 1 ELSE 0 END AS BIGINT) AS allocated FROM rk)"""
 
 

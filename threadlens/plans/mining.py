@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from ..config import Site
 from ..functions.text import html_text, join_tokens, title_and_body, tokens
+from ..lineage import scratch
 from ..operators import census, quality, tag_relatedness, threads
 from ..operators.phrases import with_phrases
 from ..sources import dumps
+from ..sources.tables import write_stage
 
 
 @dataclass
@@ -39,14 +41,21 @@ def related_tags(posts: DataFrame, sites: Iterable[Site]) -> DataFrame:
     return tag_relatedness.without_denied(found, dumps.denied_tags(posts.sparkSession, sites))
 
 
-def mine(spark: SparkSession, root: str, sites: tuple[Site, ...]) -> Mined:
-    """All mining stages over unpacked dumps below ``root``."""
-    posts, comments, known = dumps.read_posts(spark, root, sites), dumps.read_comments(spark, root, sites), dumps.site_table(spark, sites)
+def mine(spark: SparkSession, root: str, sites: tuple[Site, ...], work: str | None = None) -> Mined:
+    """All mining stages over unpacked dumps below ``root``.
+
+    The dumps are parsed once and kept as Parquet, as are the related tags and
+    the threads, below ``work`` (by default in the shared folder).
+    """
+    work = work or scratch(spark, "mining")
+    posts = write_stage(dumps.read_posts(spark, root, sites), f"{work}/posts")
+    comments = write_stage(dumps.read_comments(spark, root, sites), f"{work}/comments")
+    known = dumps.site_table(spark, sites)
     counted = census.with_total(census.site_census(posts, comments, known))
     coarse = reduce(DataFrame.unionByName, [tag_relatedness.coarse_questions(dumps.questions(posts).where(F.col("site") == s.alias), s.anchors) for s in sites])
-    related = related_tags(posts, sites)
+    related = write_stage(related_tags(posts, sites), f"{work}/related")
     chosen = tag_relatedness.related_questions(dumps.questions(posts), related)
-    unified = threads.unified_posts(chosen, dumps.answers(posts), comments, known)
+    unified = write_stage(threads.unified_posts(chosen, dumps.answers(posts), comments, known), f"{work}/threads")
     return Mined(counted, coarse, related, unified, quality.popular_threads(unified))
 
 
