@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import POPULARITY_QUANTILE
@@ -57,8 +57,6 @@ def self_answered(stats: DataFrame) -> DataFrame:
 
 def self_answered_by_site(answered: DataFrame, examples: int = 3) -> DataFrame:
     """site_alias, num_questions, num_self_answers, and the first few question ids."""
-    from pyspark.sql import Window
-
     first = Window.partitionBy("site_alias").orderBy("question_id")
     ranked = answered.withColumn("r", F.row_number().over(first))
     shown = F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.col("question_id"))))
@@ -71,8 +69,22 @@ def without_threads(posts: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def quantiles(questions: DataFrame, q: float = POPULARITY_QUANTILE, metrics=METRICS, key: str = "site_alias") -> DataFrame:
-    """Exact interpolated quantile of each metric by site."""
-    return questions.groupBy(key).agg(*[F.round(F.percentile(F.col(c).cast("double"), q), DECIMALS).alias(f"q_{c}") for c in metrics])
+    """Exact interpolated quantile of each metric by site.
+
+    Equal values are counted before they are ordered, and the running count
+    streams over the distinct values of a site, so that no site's values are
+    ever held in memory at once.  Nulls are left out.
+    """
+    listed = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+    values = questions.select(key, F.inline(listed)).where("value IS NOT NULL")
+    counts = values.groupBy(key, "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(key, "metric").agg(((F.sum("n") - 1) * F.lit(q)).alias("at"))
+    upto = Window.partitionBy(key, "metric").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("upto", F.sum("n").over(upto)).join(totals, [key, "metric"])
+    ends = ranked.groupBy(key, "metric", "at").agg(F.min(F.when(F.col("upto") > F.floor("at"), F.col("value"))).alias("low"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("value"))).alias("high"))
+    between = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    wide = ends.select(key, "metric", F.round(between, DECIMALS).alias("v")).groupBy(key).pivot("metric", list(metrics)).agg(F.first("v"))
+    return wide.select(key, *[F.col(m).alias(f"q_{m}") for m in metrics])
 
 
 def popular_questions(questions: DataFrame, q: float = POPULARITY_QUANTILE, metrics=METRICS, key: str = "site_alias") -> DataFrame:
