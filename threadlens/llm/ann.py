@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, smallest_by_hash
 
 #: Rows used to learn the rotation and the radius, at most.
 SAMPLE_ROWS = 10_000
@@ -169,7 +169,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"))
     good = good.where(F.col("id").isNotNull() & usable(F.col("x"))).groupBy("id").agg(F.min("x").alias("x"), F.max("q").alias("q"))
     good = cut(good)
-    sample = good.orderBy(F.xxhash64("id"), "id").select("id", "x").limit(sample_rows).toPandas()
+    sample = smallest_by_hash(good.select("id", "x"), "id", sample_rows).toPandas()
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not len(sample):
         return spark.createDataFrame([], empty)

@@ -80,3 +80,29 @@ def free_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem = f"_{stem}"
     return stem
+
+
+def smallest_by_hash(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The ``rows`` rows with the smallest hash of their id, or all if there are fewer.
+
+    In a large input a bound on the hash leaves few more than that before they
+    are ordered, so that no task sends the driver more than its share.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(id_col), 1)
+    n = df.count()
+    if n > 2 * rows + 2000:
+        df = df.where(h < F.lit(int((1.2 * rows + 1000) / n * 2**63)))
+    return df.orderBy(h, id_col).limit(rows)
+
+
+#: Rows up to which a table of short rows is broadcast.
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to be small, else as it is.
+
+    For metadata that usually is small whatever the planner thinks of it; the
+    count is cheap where ``df`` has been cut.
+    """
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df

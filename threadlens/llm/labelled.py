@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import text_of
+from .base import smallest_by_hash, text_of
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int) -> DataFrame:
@@ -17,5 +17,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows:
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable)
     known = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").drop("other")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    picked = smallest_by_hash(known, "doc_id", rows)
     return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
