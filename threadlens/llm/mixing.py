@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, cut, free_name, is_empty, matching, text_of
+from .base import WORD, cut, free_name, is_empty, matching, small_side, text_of
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -32,7 +32,7 @@ MAX_EPOCHS = 2
 #: Words in a block.
 BLOCK_WORDS = 1024
 #: Rows that a chunk of the shuffled order should hold.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 8192
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -59,17 +59,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epoch
     return out.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _positions(sized: DataFrame, chunk_rows: int) -> DataFrame:
+def _positions(sized: DataFrame, rows: DataFrame, chunk_rows: int) -> DataFrame:
     """Adds start: words of the same source that stand before the document.
 
-    The order is by a hash of the id; a first pass sums words by (source, hash range), a
+    The order is by a hash of the id; ``rows`` (skey, n_rows) says into how
+    many hash ranges each source is cut.  A first pass sums words by range, a
     second runs over those sums, and a third runs inside each range.  No task
     sees a whole source.
     """
-    chunks = max(1, -(-sized.count() // chunk_rows))
-    sized = sized.withColumn("chunk", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.lit(chunks) / F.lit(float(1 << 32))).cast("long"))
+    sized = sized.join(small_side(rows.select("skey", F.ceil(F.col("n_rows") / F.lit(chunk_rows)).cast("long").alias("chunks"))), "skey")
+    sized = sized.withColumn("chunk", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.col("chunks") / F.lit(float(1 << 32))).cast("long")).drop("chunks")
     sums = sized.groupBy("skey", "chunk").agg(F.sum("size").alias("words"))
-    # Ranges of one source: count/CHUNK_ROWS at most, however large the source.
+    # Ranges of one source: its rows over CHUNK_ROWS, however large the source.
     before = Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut(sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words"))
     inside = Window.partitionBy("skey", "chunk").orderBy("order", "uid").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,11 +118,11 @@ def placed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs:
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = cut(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", skey.alias("skey"), size.alias("size"), order.alias("order")))
-    sizes = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, budget, max_epochs)
+    sizes = cut(sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")))
+    plan = targets(sizes.select("source", "source_size"), weights, budget, max_epochs)
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     plan = cut(plan.withColumn("skey", key).withColumn("goal", F.round("target").cast("long")))
-    return _positions(sized, chunk_rows), plan
+    return _positions(sized, sizes, chunk_rows), plan
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 42, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -145,7 +146,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: in
     took = took.groupBy("uid").agg(F.sum("took").alias("taken"), F.transform(F.array_sort(F.collect_list(F.struct("epoch", "took"))), lambda x: x["took"]).alias("epochs"))
     out = (
         docs_at.join(took.hint("merge"), "uid", "left")
-        .join(plan.select("skey", "source_size", "target"), "skey")
+        .join(small_side(plan.select("skey", "source_size", "target")), "skey")
         .select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.array().cast("array<bigint>")).alias("epochs"))
     )
     return out
