@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import cut, text_of
+from .base import cut, small_side, text_of
 
 #: Bytes of text in a small shard, about; runs of at least TARGET_BYTES are final.
 SHARD_BYTES = 8 << 20
@@ -98,7 +98,7 @@ class ShardStore:
         operations = [r[0] for r in manifest.select("operation").distinct().sort("operation").collect()]  # one for each append and compaction
         out = self.spark.createDataFrame([], schema)
         for operation in operations:
-            live = manifest.where(F.col("operation") == operation).select("run")
+            live = small_side(manifest.where(F.col("operation") == operation).select("run"))
             out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.root}/data/{operation}").join(live, "run", "left_semi"))
         return out
 
@@ -115,8 +115,8 @@ class ShardStore:
         rows = docs.withColumns({"arrival": F.coalesce(arrival, F.lit(0)).cast("int"), "_size": F.octet_length(text_of()).cast("long"), "_order": order})
         sizes = cut(rows.groupBy("arrival").agg(F.sum("_size").alias("_total")))
         ranges = F.ceil((F.col("_total") + 1) / F.lit(range_bytes)).cast("long")
-        # One row an arrival: a size that grows with the number of arrivals, not with the rows.
-        rows = rows.join(sizes.withColumn("_ranges", ranges).drop("_total"), "arrival")
+        # One row an arrival; joined by a shuffle, all rows of an arrival would meet in one task.
+        rows = rows.join(small_side(sizes.withColumn("_ranges", ranges).drop("_total")), "arrival")
         rows = rows.withColumn("_range", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * F.col("_ranges") / F.lit(float(1 << 32))).cast("long"))
         before = Window.partitionBy("arrival", "_range").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
         piece = F.floor(F.coalesce(F.sum("_size").over(before), F.lit(0)) / shard_bytes).cast("long")
@@ -164,7 +164,7 @@ class ShardStore:
         moved = cut(moved)
         if not moved.take(1):
             return base
-        rows = self.rows(base).join(moved, "run").drop("run").withColumnRenamed("into", "run")
+        rows = self.rows(base).join(small_side(moved), "run").drop("run").withColumnRenamed("into", "run")
         rows.repartition("run").write.options(**_FILES).partitionBy("run").parquet(f"{self.root}/data/{operation}")
         schema = self._named(base)[1]
         new = self._measured(operation, schema).withColumn("arrival", F.lit(None).cast("int"))
@@ -188,4 +188,4 @@ def layout(store: ShardStore, version: int | None = None) -> DataFrame:
     """doc_id, n_bytes, arrival, run, tier, run_rows, run_bytes for each row of a version."""
     manifest = store.manifest(version).select("run", "tier", F.col("rows").alias("run_rows"), F.col("bytes").alias("run_bytes"))
     rows = store.rows(version).select("doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), "arrival", "run")
-    return rows.join(manifest, "run").select("doc_id", "n_bytes", "arrival", "run", "tier", "run_rows", "run_bytes")
+    return rows.join(small_side(manifest), "run").select("doc_id", "n_bytes", "arrival", "run", "tier", "run_rows", "run_bytes")
