@@ -127,6 +127,14 @@ def perplexity(bow: DataFrame, theta: DataFrame, phi: DataFrame, key: str) -> Da
     return words.agg(F.exp(-F.try_divide(F.sum(F.col("n") * F.log("p")), F.sum("n"))).alias("perplexity"))
 
 
+def bound_perplexity(model: TopicModel, docs: DataFrame) -> float | None:
+    """2 ** (-bound / words) from the model's own bound; for when perplexity() has no word to work on."""
+    if model.lda is None:
+        return None
+    features = model.vectorizer.transform(docs).where(F.size(F.col(model.vectorizer.getInputCol())) > 0)
+    return float(2.0 ** model.lda.setFeaturesCol("features").logPerplexity(features)) if features.take(1) else None
+
+
 def long_theta(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(key, F.posexplode("theta").alias("topic", "p"))
 
@@ -177,6 +185,8 @@ def evaluate(docs: DataFrame, terms: DataFrame, bow: DataFrame, key: str, topics
         tops.setdefault(r["topic"], []).append(r["term"])
     score = coherence(docs, [tops[t] for t in sorted(tops)], tokens)
     value = perplexity(bow, long_theta(model.theta(docs), key), model.phi(spark), key).first()[0]
+    if value is None:
+        value = bound_perplexity(model, docs)
     return Trial(topics, score, value, model)
 
 
@@ -216,6 +226,20 @@ def subtopic_corpus(posts: DataFrame, classified: DataFrame, topic) -> DataFrame
     return posts.join(classified.where((F.col("type") == "question") & (F.col("topic") == topic)).select("question_id").distinct(), "question_id", "left_semi")
 
 
+def train_submodels(posts: DataFrame, classified: DataFrame, topics, key: str, mode: str = "search", tokens: str = "tokens", **options) -> dict[int, Trial]:
+    """One model for each main topic, on the whole threads of its questions; a topic that cannot be fitted is logged and left out."""
+    out = {}
+    for topic in topics:
+        try:
+            trial = train(subtopic_corpus(posts, classified, topic), key, mode, tokens=tokens, **options)
+        except Exception as e:  # noqa: BLE001  the other topics still get their models
+            log.warning("no submodel of topic %s: %s", topic, e)
+            continue
+        if trial is not None:
+            out[topic] = trial
+    return out
+
+
 def classify_subtopics(classified: DataFrame, models: dict[int, TopicModel], text: str = "normalized_text") -> DataFrame:
     """Questions with subtopic and subtopic_perc_contrib from their topic's model, by the question's own text only."""
     questions = classified.where("type = 'question'")

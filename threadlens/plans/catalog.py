@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import GRID_1, GRID_2, LANGUAGES, TECHNOLOGY_ALIASES, TOPIC_IDS, TopicModelOptions
-from ..functions import tags, technology, text, values
+from ..functions import labels, tags, technology, text, values
 from ..operators import agreement, census, fused, kendall, naming, phrases, quality, sampling, tag_relatedness, threads, topic_model, topic_stats, trends
 from ..operators import technology as tech
 from . import proxies as P
@@ -822,3 +822,44 @@ def c10(spark, sf):
 @query("c13_invalid_flags", f"WITH {P.SHEET} SELECT pos, topic_veredict IS DISTINCT FROM true AS invalid FROM v")
 def c13(spark, sf):
     return P.sheet(spark, sf).select("pos", values.is_not_true(F.col("topic_veredict")).alias("invalid"))
+
+
+@query("d13_thread_corpus", "SELECT conv_id AS question_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0 AND conv_id % 4 = 1)")
+def d13(spark, sf):
+    posts = _conversation_posts(spark, sf)
+    classified = posts.withColumn("topic", (F.col("question_id") % 4).cast("int"))
+    return topic_model.subtopic_corpus(posts, classified, 1).select("question_id", "turn")
+
+
+@query("d14_tech_in_category", f"WITH {_PATTERNS} SELECT category, tech, pattern FROM tm JOIN pp USING (tech)")
+def d14(spark, sf):
+    return _terms(spark).join(tech.usage_patterns(_by_topic(spark, sf)), "tech").select("category", "tech", "pattern")
+
+
+@query("s4_set_ops", f"WITH {P.METRICS} SELECT tag, site FROM (SELECT tag, site FROM m INTERSECT SELECT unnest(['red', 'bolt', 'absent']), 'ECONOMY')")
+def s4(spark, sf):
+    banned = spark.createDataFrame([("red", "ECONOMY"), ("bolt", "ECONOMY"), ("absent", "ECONOMY")], "tag string, site string")
+    return tag_relatedness.tag_metrics(_tagged(spark, sf), "ring").select("tag", "site").intersect(banned)
+
+
+@query("b24_labels", "SELECT p_partkey, upper(p_name) AS heading, CASE WHEN length(p_name) > 10 THEN replace(p_name, ' ', chr(10)) ELSE p_name END AS wrapped, CASE WHEN length(p_name) > 10 THEN 2 ELSE 1 END AS lines FROM part")
+def b24(spark, sf):
+    name = F.col("p_name")
+    return P.table(spark, sf, "part").select("p_partkey", labels.heading(name).alias("heading"), labels.wrapped(name, 10).alias("wrapped"), labels.line_count(labels.wrapped(name, 10)).alias("lines"))
+
+
+@query("g9_coherence")
+def g9(spark, sf):
+    from ..operators.coherence import coherence
+
+    tops = [["the", "of", "and"], ["der", "die", "und"], ["de", "la", "el"]]
+    return spark.createDataFrame([(coherence(P.english(spark, sf), tops),)], "c_v double").select(F.round("c_v", 6).alias("c_v"))
+
+
+@query("g9_cooccurrence", f"""WITH {P.ENGLISH}, wn AS (SELECT doc_id, unnest(range(greatest(1, len(tokens) - 109))) AS s, tokens FROM en WHERE len(tokens) > 0),
+    hit AS (SELECT list_contains(tokens[s + 1 : s + 110], 'of') AS h0, list_contains(tokens[s + 1 : s + 110], 'the') AS h1 FROM wn)
+    SELECT CAST(-1 AS INT) AS i, CAST(-1 AS INT) AS j, count(*) AS n FROM hit UNION ALL SELECT 0, 0, count(*) FILTER (WHERE h0) FROM hit UNION ALL SELECT 0, 1, count(*) FILTER (WHERE h0 AND h1) FROM hit UNION ALL SELECT 1, 1, count(*) FILTER (WHERE h1) FROM hit""")
+def g9_counts(spark, sf):
+    from ..operators.coherence import cooccurrence
+
+    return cooccurrence(P.english(spark, sf), ["of", "the"])

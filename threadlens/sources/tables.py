@@ -26,6 +26,11 @@ def write_csv(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> Non
     flat.write.mode("overwrite").options(**_CSV).partitionBy(*partition_by).csv(path)
 
 
+def read_related_tags(spark: SparkSession, path: str) -> DataFrame:
+    """site, tag of stored tag metrics, each once; a site without any simply has no rows."""
+    return spark.read.parquet(path).select("site", "tag").where("tag IS NOT NULL").distinct()
+
+
 def write_stage(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """Writes a stage as Parquet and returns it as read back, which ends its lineage."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
