@@ -9,9 +9,10 @@ blocks are the article's.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ SILENT_TAGS = frozenset("applet audio button canvas datalist head iframe math no
 BOILER_TAGS = frozenset("aside dialog fieldset footer form menu nav search".split())
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BOILER_WORDS = frozenset("ad ads adsense advert advertisement adverts alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr legal login masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
+BOILER_STEMS = re.compile("comment|advert|sidebar|cookie|newsletter|breadcrumb|footer|masthead|disqus|subscri|sponsor|promo|pagina|banner|widget|ads?(box|slot|unit|space|block|wrap|container|label)")
 CONTENT_TAGS = frozenset(["article", "main"])
 CONTENT_WORDS = frozenset("article content entry main post story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -46,112 +48,148 @@ LABELLED = (
 FEATURE_NAMES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_content", "in_boilerplate", "content_in_boilerplate", "in_header", "heading")
 
 
-class _Blocks(HTMLParser):
-    """Collects (text, words, linked words, in_content, in_boilerplate, content_in_boilerplate, in_header, heading)."""
+#: A start or end tag; quoted values may hold any mark.  The quantifiers never give back, so a match is linear.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+#: Elements whose contents are characters, not markup, up to their end tag.
+RAW_TAGS = frozenset("iframe noembed noframes script style textarea title xmp".split())
+
+
+class _Page:
+    """Reads a page once, front to back, and collects its blocks.
+
+    A block is (text, words, link density, in_content, in_boilerplate,
+    content_in_boilerplate, in_header, heading).  What encloses a block is
+    worked out as elements open, so deep nesting costs nothing more.
+    """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.blocks: list[tuple] = []
-        self.stack: list[tuple[str, str]] = []
         self.text: list[tuple[str, bool]] = []
-        self.silent = self.links = 0
-        self.context = (0, 0, 0, 0, 0)
+        self.links = self.silent = 0
+        # tag, and for what it encloses: in content, in boilerplate, boilerplate outside of content, in a header, in a heading
+        self.stack: list[tuple] = [("", 0, 0, 0, 0, 0)]
+        self.open: Counter = Counter()
+
+    def read(self, page: str) -> list[tuple]:
+        at, end = 0, len(page)
+        while at < end:
+            mark = page.find("<", at)
+            if mark < 0:
+                self.data(page[at:])
+                break
+            if mark > at:
+                self.data(page[at:mark])
+            if tag := _TAG.match(page, mark):
+                at, name = tag.end(), tag[2].lower()
+                if tag[1]:
+                    self.end(name)
+                elif name in RAW_TAGS:
+                    close = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+                    at = close.start() if close else end
+                else:
+                    self.start(name, tag[3])
+            elif page.startswith("<!--", mark):
+                close = page.find("-->", mark + 2)
+                at = close + 3 if close >= 0 else end
+            elif page.startswith(("<!", "<?", "</"), mark):
+                close = page.find(">", mark)
+                at = close + 1 if close >= 0 else end
+            else:
+                self.data("<")
+                at = mark + 1
+        self.flush()
+        return self.blocks
+
+    def data(self, text: str) -> None:
+        if not self.silent:
+            self.text.append((text, self.links > 0))
 
-    def flush(self):
+    def flush(self) -> None:
         if self.text:
-            words = " ".join("".join(t for t, _ in self.text).split())
+            words = " ".join(unescape("".join(t for t, _ in self.text)).split())
             if words:
-                linked = sum(len(t.split()) for t, link in self.text if link)
                 n = words.count(" ") + 1
-                self.blocks.append((words, n, min(1.0, linked / n), *self.context))
+                linked = sum(len(t.split()) for t, link in self.text if link)
+                _, content, boiler, outer, header, heading = self.stack[-1]
+                self.blocks.append((words, n, min(1.0, linked / n), content, boiler, outer, int(header and not content), heading))
             self.text = []
 
-    def _kind(self, tag: str, attrs) -> str:
-        said = {k: (v or "") for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden")} if attrs else {}
-        if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
-            return "boiler"
-        if tag in ("html", "body"):
-            return ""
-        role = said.get("role", "").lower()
-        named = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", said.get("class", "") + " " + said.get("id", ""))
-        names = set(re.findall(r"[a-z]+", named.lower()))
-        if tag in BOILER_TAGS or role in BOILER_ROLES:
-            return "boiler"
-        if tag in CONTENT_TAGS or role in ("main", "article"):
-            return "boiler" if names & {"comment", "comments", "ad", "advert", "teaser", "promo", "sponsored"} else "content"
-        if names & BOILER_WORDS:
-            return "boiler"
-        if "header" in names or tag == "header":
-            return "header"
-        return "content" if names & CONTENT_WORDS and tag in ("div", "section", "td") else ""
-
-    def _surroundings(self):
-        content = boiler = outer = header = 0
-        for tag, kind in reversed(self.stack):
-            if kind == "content":
-                content = 1
-            elif kind == "boiler":
-                outer, boiler = (1, boiler) if content else (outer, 1)
-            elif kind == "header" and not content:
-                header = 1
-        # A header inside the article is the article's own.
-        header = 0 if content else header
-        self.context = (content, boiler, outer, header, int(any(t in HEADINGS for t, _ in self.stack[-3:])))
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "body":
-            self.silent, self.stack = 0, [x for x in self.stack if x[0] not in SILENT_TAGS]
-        if tag in SILENT_TAGS:
-            self.silent += 1
-            self.stack.append((tag, ""))
-            return
+    def push(self, tag: str, kind: str) -> None:
+        _, content, boiler, outer, header, heading = self.stack[-1]
+        if kind == "content":
+            content, boiler, outer = 1, 0, int(outer or boiler)
+        elif kind == "boiler":
+            boiler = 1
+        elif kind == "header":
+            header = 1
+        self.stack.append((tag, content, boiler, outer, header, int(heading or tag in HEADINGS)))
+        self.open[tag] += 1
+        self.silent += tag in SILENT_TAGS
+
+    def pop(self, tag: str) -> None:
+        """Closes the innermost open ``tag`` and all that is open inside it."""
+        while self.open[tag]:
+            last = self.stack.pop()[0]
+            self.open[last] -= 1
+            self.silent -= last in SILENT_TAGS
+            if last == tag:
+                break
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            self.text.append((" ", False))
-        if tag in BLOCK_TAGS:
-            self.flush()
-            if self.stack and self.stack[-1][0] == "p":  # a block ends an open paragraph
-                self.stack.pop()
-        if tag in VOID_TAGS:
-            return
-        if tag == "a":
+            self.data(" ")
+        elif tag == "a":
             self.links += 1
+        elif tag in SILENT_TAGS:
+            if not attributes.endswith("/"):
+                self.push(tag, "")
         elif tag in BLOCK_TAGS:
-            self.stack.append((tag, self._kind(tag, attrs)))
-            self._surroundings()
-
-    def handle_startendtag(self, tag, attrs):
-        if tag in VOID_TAGS:
-            self.handle_starttag(tag, attrs)
-        elif tag not in SILENT_TAGS:
-            self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        if tag in BLOCK_TAGS:
             self.flush()
+            if self.open["head"]:  # the head ends with the first element of the body
+                self.pop("head")
+            if self.stack[-1][0] == "p":  # a block ends an open paragraph
+                self.pop("p")
+            if tag not in VOID_TAGS:
+                self.push(tag, _kind(tag, attributes))
+
+    def end(self, tag: str) -> None:
         if tag == "a":
             self.links = max(0, self.links - 1)
-            return
-        if tag in SILENT_TAGS or tag in BLOCK_TAGS:
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == tag:
-                    self.silent = max(0, self.silent - sum(t in SILENT_TAGS for t, _ in self.stack[k:]))
-                    del self.stack[k:]
-                    break
-            self._surroundings()
-            if tag in BLOCK_TAGS:
-                self.links = 0  # a link that was never closed ends with its block
-
-    def handle_data(self, data):
-        if not self.silent:
-            self.text.append((data, self.links > 0))
+        elif tag in BLOCK_TAGS:
+            self.flush()
+            self.links = 0  # a link that was never closed ends with its block
+            self.pop(tag)
+        elif tag in SILENT_TAGS:
+            self.pop(tag)
+
+
+def _kind(tag: str, attributes: str) -> str:
+    """What an element says about what it encloses: content, boiler, header, or nothing."""
+    said = {}
+    if attributes.strip():
+        for name, double, single, bare in _ATTRIBUTE.findall(attributes):
+            said.setdefault(name.lower(), unescape(double or single or bare))
+    if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
+        return "boiler"
+    if tag in ("html", "body"):
+        return ""
+    role = said.get("role", "").lower()
+    named = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", said.get("class", "") + " " + said.get("id", ""))
+    names = set(re.findall(r"[a-z]+", named.lower()))
+    if tag in BOILER_TAGS or role in BOILER_ROLES:
+        return "boiler"
+    if tag in CONTENT_TAGS or role in ("main", "article"):
+        return "boiler" if names & {"comment", "comments", "ad", "advert", "teaser", "promo", "sponsored"} else "content"
+    if names & BOILER_WORDS or any(map(BOILER_STEMS.match, names)):
+        return "boiler"
+    if "header" in names or tag == "header":
+        return "header"
+    return "content" if names & CONTENT_WORDS and tag in ("div", "section", "td") else ""
 
 
 def blocks(html: str) -> list[tuple]:
-    parser = _Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return parser.blocks
+    return _Page().read(html)
 
 
 def features(found: list[tuple]) -> np.ndarray:
