@@ -41,3 +41,18 @@ def test_pages(spark):
     text = extract(PAGE)
     assert got == sorted([(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=str)
     assert extract_pages(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_reading_is_linear():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 50_000, '<a "' * 50_000, "<!--" * 50_000, "<div>" * 20_000 + "</p>" * 50_000, "<a " + "b='c' " * 50_000 + ">", "<script>" + "<" * 200_000, "<" * 100_000, "&lt;" * 100_000):
+        extract(page)
+    assert time.time() - began < 20
+
+
+def test_boilerplate_by_name():
+    for mark in ("class=commentlist", "id='adBox'", 'class="page sidebar-left"', "role=navigation", "hidden", "style='display: none'", "aria-hidden=true", "class='cookieBar'"):
+        assert extract(f"<article><p>kept</p><div {mark}><p>dropped words of some length that would pass as prose elsewhere</p></div><p>too</p></article>") == "kept\ntoo", mark
+    assert extract("<head><title>no</title><p>the head ends here") == "the head ends here"
