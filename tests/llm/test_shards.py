@@ -54,3 +54,11 @@ def test_empty_table(spark):
     store.append(documents(spark, []), F.lit(0))
     assert store.compact() == 1
     assert layout(store).collect() == []
+
+
+def test_own_names_and_large_arrivals(spark):
+    store = ShardStore(spark, scratch(spark, "store"))
+    rows = spark.createDataFrame([(1, "a", 123456, "r", 5, 6), (2, "b", -3, "r", 5, 6)], "doc_id int, text string, arrival int, run string, _size int, _order int")
+    store.append(rows, F.col("arrival"))
+    assert sorted(r.arrival for r in store.manifest().collect()) == [-3, 123456]
+    assert sorted((r.doc_id, r.arrival, r._size, r._order) for r in store.rows().collect()) == [(1, 123456, 5, 6), (2, -3, 5, 6)]

@@ -105,7 +105,8 @@ class Scanner:
         inside = distinct & self.idf.keys()
         if not inside:
             return None
-        weights = {t: (1 + math.log(found.count(t))) * self.idf[t] for t in sorted(inside)}
+        count = found.count if len(found) <= 200 else Counter(found).__getitem__
+        weights = {t: (1 + math.log(count(t))) * self.idf[t] for t in sorted(inside)}
         within = sum(w * w for w in weights.values())
         # By Cauchy and Schwarz the cosine is at most the root of the share of the length inside the vocabulary.
         if within < floor * floor * (within + (len(distinct) - len(inside)) * self.other**2) * (1 - 1e-12):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import cut, small_side, text_of
+from .base import cut, free_name, small_side, text_of
 
 #: Bytes of text in a small shard, about; runs of at least TARGET_BYTES are final.
 SHARD_BYTES = 8 << 20
@@ -110,23 +110,22 @@ class ShardStore:
         Every shard is made by one task and is one file.
         """
         base, operation = self.version(), f"append-{uuid.uuid4().hex}"
-        docs = docs.drop("arrival", "run")  # names of the store's own
-        order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-        rows = docs.withColumns({"arrival": F.coalesce(arrival, F.lit(0)).cast("int"), "_size": F.octet_length(text_of()).cast("long"), "_order": order})
-        sizes = cut(rows.groupBy("arrival").agg(F.sum("_size").alias("_total")))
-        ranges = F.ceil((F.col("_total") + 1) / F.lit(range_bytes)).cast("long")
+        kept = [c for c in docs.columns if c.lower() not in ("arrival", "run")]  # the names of the store's own are replaced
+        size, order, span, spans = (free_name(docs, n) for n in ("_size", "_order", "_range", "_ranges"))
+        digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+        rows = docs.withColumns({"arrival": F.coalesce(arrival, F.lit(0)).cast("int"), size: F.octet_length(text_of()).cast("long"), order: digest})
+        sizes = cut(rows.groupBy("arrival").agg(F.ceil((F.sum(size) + 1) / F.lit(range_bytes)).cast("long").alias(spans)))
         # One row an arrival; joined by a shuffle, all rows of an arrival would meet in one task.
-        rows = rows.join(small_side(sizes.withColumn("_ranges", ranges).drop("_total")), "arrival")
-        rows = rows.withColumn("_range", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * F.col("_ranges") / F.lit(float(1 << 32))).cast("long"))
-        before = Window.partitionBy("arrival", "_range").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        piece = F.floor(F.coalesce(F.sum("_size").over(before), F.lit(0)) / shard_bytes).cast("long")
-        rows = rows.withColumn("run", F.format_string("a%05d-r%07d-p%05d", "arrival", "_range", piece))
-        rows = rows.drop("_size", "_order", "_ranges", "_range").select(*docs.columns, "arrival", "run")
+        rows = rows.join(small_side(sizes), "arrival")
+        rows = rows.withColumn(span, F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.col(spans) / F.lit(float(1 << 32))).cast("long"))
+        before = Window.partitionBy("arrival", span).orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        piece = F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / shard_bytes).cast("long")
+        rows = rows.withColumn("run", F.format_string("a%05d-r%07d-p%05d", "arrival", span, piece)).select(*kept, "arrival", "run")
         rows.write.options(**_FILES).partitionBy("run").parquet(f"{self.root}/data/{operation}")
         schema = StructType(rows.schema.fields)
         if base:
             schema = StructType([*schema.fields, *[f for f in self._named(base)[1].fields if f.name not in schema.names]])
-        new = self._measured(operation, schema).withColumn("arrival", F.substring("run", 2, 5).cast("int"))
+        new = self._measured(operation, schema).withColumn("arrival", F.regexp_extract("run", r"^a(-?\d+)-r", 1).cast("int"))
         self._commit(self._columns(self.manifest(base).unionByName(self._columns(new))), operation, base + 1, schema)
         return base + 1
 
@@ -175,7 +174,7 @@ class ShardStore:
     def vacuum(self) -> None:
         """Deletes the folders of operations that the latest version no longer names.
 
-        Not for use while readers of older versions are at work.
+        Not for use while other writers, or readers of older versions, are at work.
         """
         live = {r[0] for r in self.manifest().select("operation").distinct().collect()}
         folder = self._path(f"{self.root}/data")

@@ -45,6 +45,9 @@ COUNTERFACTUAL = 1.0
 L1 = 2e-5
 ROUNDS = 300
 
+#: Fitting takes counterfactuals of sentences up to so many words, and so many of them at most.
+PAIR_WORDS, TRAIN_PAIRS = 100, 20_000
+
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SENTENCE = re.compile(r"[.!?\n]+")
 _OTHERS = {t: [o for o in kind if o != t] for kind in IDENTITY_TERMS for t in kind}
@@ -59,7 +62,10 @@ def swaps(text: str) -> list[tuple[str, str]]:
     out = []
     if not _OTHERS.keys().isdisjoint(words(text)):
         for sentence in _SENTENCE.split(text.lower()):
-            for term in sorted(words(sentence) & _OTHERS.keys()):
+            named = words(sentence) & _OTHERS.keys()
+            if named and len(sentence.split()) > PAIR_WORDS:
+                continue
+            for term in sorted(named):
                 out += [(sentence, re.sub(rf"\b{term}\b", other, sentence)) for other in _OTHERS[term]]
     return out
 
@@ -154,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options)
 
     kind = picked.schema["doc_id"].dataType.simpleString()
     got = picked.mapInPandas(run, f"doc_id {kind}, label int, words string, pairs string").toPandas().sort_values(["doc_id", "words"])
-    pairs = [tuple(line.split("\t")) for p in got["pairs"] if p for line in p.split("\n")]
+    pairs = [tuple(line.split("\t")) for p in got["pairs"] if p for line in p.split("\n")][:TRAIN_PAIRS]
     return fit((w.split() for w in got["words"]), got["label"].to_numpy(), pairs, **options)
 
 
