@@ -106,3 +106,19 @@ def small_side(df: DataFrame) -> DataFrame:
     count is cheap where ``df`` has been cut.
     """
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+#: Rows with whole texts that go to Python at a time, at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` for a Python function over whole texts.
+
+    Lowers the session's batch size, if it is larger, so that neither the JVM
+    nor Python holds thousands of long texts at once.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df

@@ -21,6 +21,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from .base import small_batches
+
 #: Fixed value: the pattern of byte-level BPE that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Fixed value: the same pattern for texts of the first 256 code points, with its classes written out.
@@ -28,7 +30,7 @@ _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "
 NARROW_PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 
 #: Entries that a memory of encoded pieces may hold before it is emptied.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Longer pieces are not remembered.
 LONGEST_KEPT = 64
 
@@ -125,7 +127,10 @@ class ByteBpe:
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
         at = [0, *self.cuts(raw), len(raw)]
-        ids = b"".join([self._fragment(raw[a:b]) for a, b in zip(at, at[1:])])
+        if len(at) == 2:
+            ids = struct.pack(f"<{len(found := self.merge(raw))}I", *found)
+        else:
+            ids = b"".join([self._fragment(raw[a:b]) for a, b in zip(at, at[1:])])
         if len(raw) <= LONGEST_KEPT:
             if len(self.pieces) >= MEMORY:
                 self.pieces.clear()
@@ -186,4 +191,4 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     columns = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInPandas(run, schema)

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .base import small_batches
+
 # Element names by what they do to the text.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,4 +266,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": batch["page_id"].array, "url": batch["url"], "text": texts, "n_chars": list(map(len, texts))})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return small_batches(pages.select("page_id", "url", "html")).mapInPandas(run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, small_batches
 
 THRESHOLD = 0.6
 
@@ -145,7 +145,7 @@ def _frequencies(files: DataFrame, vocab: frozenset[str]) -> tuple[dict[str, int
             rows += len(batch)
         yield pd.DataFrame({"term": [*counts, None], "n": [*counts.values(), rows]})
 
-    got = files.select("text").mapInPandas(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    got = small_batches(files.select("text")).mapInPandas(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = {r["term"]: r["n"] for r in got}
     return df, int(df.pop(None, 0))
 
@@ -166,7 +166,7 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     kind = files.schema["file_id"].dataType.simpleString()
     name = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
     rows = files.select("file_id", "path", name.alias("is_license_file"), "text")
-    return rows.mapInPandas(run, f"file_id {kind}, path string, is_license_file boolean, own_license string, own_score double")
+    return small_batches(rows).mapInPandas(run, f"file_id {kind}, path string, is_license_file boolean, own_license string, own_score double")
 
 
 def directory(path: Column) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_hash_mod
+from .base import id_hash_mod, small_batches
 from .labelled import sample
 
 #: Labelled rows used for fitting, at most, and passages of each used in fitting (evenly spaced).
@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "bag": bags})
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    got = picked.mapInPandas(run, f"doc_id {kind}, label int, bag binary").toPandas().sort_values(["doc_id", "bag"])
+    got = small_batches(picked).mapInPandas(run, f"doc_id {kind}, label int, bag binary").toPandas().sort_values(["doc_id", "bag"])
     bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES).astype(float) for b in got["bag"]]
     return fit(bags, got["label"].to_numpy(), epochs)
 
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(id_hash_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out")
-    out = docs.select("doc_id", held, "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, score double")
+    out = small_batches(docs.select("doc_id", held, "text")).mapInPandas(run, f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -188,4 +188,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array(_score_texts(batch.column("text").to_pylist(), model) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

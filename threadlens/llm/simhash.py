@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .base import cut, free_name, is_empty, matching
+from .base import cut, free_name, is_empty, matching, small_batches
 
 #: Words in a shingle, seed of its hash, and differing bits that still link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": fps.view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp bigint")
+    return small_batches(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, fp bigint")
 
 
 def _distance(fp: Column, reference: int, mask: int | None = None) -> Column:
@@ -190,7 +190,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> D
             fps = np.array([fingerprint(t or "", shingle) for t in batch.column("text").to_pylist()], np.uint64)
             yield batch.append_column(fp, pa.array(fps.view(np.int64)))
 
-    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    marked = small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
     out = marked.alias("d").join(kept.alias("k").hint("merge"), matching("d", "k", "doc_id", fp), "left_semi")
     if not is_empty(rows.groupBy("doc_id", "fp").count().where("count > 1")):
         out = out.dropDuplicates(["doc_id", fp])

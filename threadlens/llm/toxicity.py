@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_hash_mod
+from .base import id_hash_mod, small_batches
 from .labelled import sample
 
 #: Labelled rows used for fitting, at most.
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "words": [" ".join(sorted(words(t))) for t in batch["text"]], "pairs": pairs})
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    got = picked.mapInPandas(run, f"doc_id {kind}, label int, words string, pairs string").toPandas().sort_values(["doc_id", "words"])
+    got = small_batches(picked).mapInPandas(run, f"doc_id {kind}, label int, words string, pairs string").toPandas().sort_values(["doc_id", "words"])
     pairs = [tuple(line.split("\t")) for p in got["pairs"] if p for line in p.split("\n")][:TRAIN_PAIRS]
     return fit((w.split() for w in got["words"]), got["label"].to_numpy(), pairs, **options)
 
@@ -177,5 +177,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(id_hash_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out")
-    out = docs.select("doc_id", held, "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, score double")
+    out = small_batches(docs.select("doc_id", held, "text")).mapInPandas(run, f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
