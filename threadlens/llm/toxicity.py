@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-A document is the set of its words.  Each word's column is scaled by its
+A document is the set of its words and their beginnings.  Each word's column is scaled by its
 log-odds between the two labels in the sample, then a logistic regression with
 an L1 penalty is fitted, so most words get no weight.  Where a labelled
 sentence names an identity group, copies with the other terms of the same kind
@@ -26,6 +26,8 @@ from .labelled import sample
 TRAIN_ROWS = 8_000
 #: Words that occur in fewer sampled documents are not learned.
 MIN_DOCS = 4
+#: Lengths of the beginnings of words that count as features of their own.
+STEMS = (4, 5)
 #: Words whose log-odds between the labels are smaller are not learned.
 MIN_ODDS = 0.5
 #: Kinds of identity terms; a term is swapped for the others of its kind.
@@ -57,6 +59,12 @@ def words(text: str) -> set[str]:
     return set(_WORDS(text.lower()))
 
 
+def with_stems(found: Iterable[str]) -> set[str]:
+    """The words and, for longer ones, their beginnings (marked by a hyphen), which inflected forms share."""
+    found = set(found)
+    return found.union(*({w[:k] + "-" for w in found if len(w) > k} for k in STEMS))
+
+
 def swaps(text: str) -> list[tuple[str, str]]:
     """(sentence, sentence with another term of the same kind) for each identity term in it."""
     out = []
@@ -78,7 +86,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
 
     def score(self, text: str) -> float:
-        z = self.bias + sum(map(self.weights.get, sorted(self.weights.keys() & words(text))))
+        z = self.bias + sum(map(self.weights.get, sorted(self.weights.keys() & with_stems(words(text)))))
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40.0, 40.0))))
 
 
@@ -100,7 +108,7 @@ def fit(texts: Iterable[Iterable[str]], labels: np.ndarray, pairs: list[tuple[st
     if y.min() == y.max():
         return Model(prior)
     index: dict[str, int] = {}
-    rows = [np.fromiter((index.setdefault(w, len(index)) for w in ws), np.int32) for ws in texts]
+    rows = [np.fromiter((index.setdefault(w, len(index)) for w in with_stems(ws)), np.int32) for ws in texts]
     own, flat = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
     in_one = np.bincount(flat, y[own], len(index))
     in_any = np.bincount(flat, minlength=len(index))
@@ -118,7 +126,7 @@ def fit(texts: Iterable[Iterable[str]], labels: np.ndarray, pairs: list[tuple[st
     x = (own[known][order], cols[known][order], scale[cols[known][order]], len(y))
     changes = []
     for k, (s, t) in enumerate(pairs):  # words gained minus words lost
-        a, b = words(s), words(t)
+        a, b = with_stems(words(s)), with_stems(words(t))
         changes += [(k, column[w], 1.0 if w in b else -1.0) for w in sorted(a ^ b) if w in column]
     d = (np.array([c[0] for c in changes], int), np.array([c[1] for c in changes], int), np.array([c[2] * scale[c[1]] for c in changes], float), len(pairs))
 
