@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only a local master may fall back to a temporary one."""
     sc = spark.sparkContext
-    named, have = sc.getConf().get("spark.checkpoint.dir", None), sc.getCheckpointDir()
+    named, have = spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
     if have is None:
         if named is None:
             if not (sc.master == "local" or sc.master.startswith("local[")):
@@ -22,7 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as computed once and kept in the shared folder; plans above it start from there."""
+    """``df`` as computed once and kept in the shared folder; plans above it start from there.
+
+    Survives lost executors (the files are shared) and freezes values such as
+    generated ids, which a recomputation could assign differently.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
