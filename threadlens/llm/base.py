@@ -1,13 +1,12 @@
-"""Shared pieces: the shared folder, lineage cuts, text rules, table reads."""
+"""Shared pieces: text rules, table reads, and sizes that are checked before use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, scratch, shared_dir  # noqa: F401  for the operators of this subpackage
+
 #: ASCII white space as the contracts define it, in Java regex form.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A maximal run of anything else: one word.
@@ -18,40 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder: there driver and
-    executors are one machine.  On a cluster without the setting this raises.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    have = sc.getCheckpointDir()
-    if named is None and have is None:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="threadlens-"))
-        have = sc.getCheckpointDir()
-    elif have is None:
-        sc.setCheckpointDir(named)
-    return named or have
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage.
-
-    Survives lost executors (the files are shared) and freezes values such as
-    generated ids, which a recomputation could assign differently.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, stem: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
-
-
 def text_of(name: str = "text") -> Column:
     """The text column with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))
