@@ -30,7 +30,7 @@ _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "
 NARROW_PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 
 #: Entries that a memory of encoded pieces may hold before it is emptied.
-MEMORY = 200_000
+MEMORY = 300_000
 #: Longer pieces are not remembered.
 LONGEST_KEPT = 64
 
