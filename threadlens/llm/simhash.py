@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from . import similar
 from .base import cut, free_name, is_empty, matching, small_batches
 
 #: Words in a shingle, seed of its hash, and differing bits that still link.
@@ -148,11 +149,15 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def _assigned(docs: DataFrame, shingle: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, fp) of every row, (fp, root) of every fingerprint)."""
-    rows = cut(fingerprints(docs, shingle))
+def _assigned(docs: DataFrame, shingle: int, bucket: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, fp) of every row, (fp, root) of every fingerprint).
+
+    With a similarity, fp is ``similar.text_key`` and links are near copies by it.
+    """
+    rows = cut(fingerprints(docs, shingle)) if similarity is None else similar.sketched(docs, shingle, similarity)
     vertices = cut(rows.select("fp").distinct())
-    roots = components(links(vertices, bucket))
+    edges = links(vertices, bucket) if similarity is None else similar.links(docs, rows, shingle, similarity, components)
+    roots, rows = components(edges), rows.select("doc_id", "fp")
     return rows, cut(vertices.join(roots, vertices["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
@@ -173,13 +178,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: of each component the one with the smallest doc_id.
 
+    Links are fingerprints within RADIUS bits or, with a similarity, texts whose
+    sets of shingles have at least that Jaccard similarity (module ``similar``).
+
     A null id comes after all others; rows that tie in id (or have none) go by
     fingerprint, and of rows equal in both any one stays.
     """
-    rows, roots = _assigned(docs, shingle, bucket)
+    rows, roots = _assigned(docs, shingle, bucket, similarity)
+    digest = similar.text_key if similarity is not None else lambda text: fingerprint(text, shingle)
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("first"))
     kept = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
     fp = free_name(docs, "fp")
@@ -187,7 +196,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t or "", shingle) for t in batch.column("text").to_pylist()], np.uint64)
+            fps = np.array([digest(t or "") for t in batch.column("text").to_pylist()], np.uint64)
             yield batch.append_column(fp, pa.array(fps.view(np.int64)))
 
     marked = small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
