@@ -96,6 +96,24 @@ def test_counterfactuals_lower_false_positives():
     assert fair.score("the hindu people are vile scum") > 0.5
 
 
+def test_all_sentences_count_as_counterfactuals(spark, monkeypatch):
+    """Terms named after 20,000 pairs, and in sentences of more than 100 words, count too."""
+    rows = [(k, "old man. " * 1500) for k in range(8)] + [(100 + k, "a muslim came " + "here " * 150) for k in range(8)]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, pairs, **options: seen.append(pairs))
+    toxicity.train(documents(spark, rows), labelled(spark, [(k, 1, k % 2) for k, _ in rows]))
+    used = [t for k, t in rows if not held(k, 4, 2)]
+    want = toxicity.Counter(toxicity._change(toxicity.words(a), toxicity.words(b)) for t in used for a, b in toxicity.swaps(t))
+    assert seen == [want] and sum(want.values()) > 20_000
+    assert any("muslim" in c.split("\t")[0] for c in want)
+
+
+def test_changes_count_the_swaps():
+    for text in ("Old men, black_1 black black1; the blackest man!", "a muslim and a hindu\tmuslims 中文 white.white", "", "GAY straight"):
+        want = toxicity.Counter(toxicity._change(toxicity.words(a), toxicity.words(b)) for a, b in toxicity.swaps(text))
+        assert toxicity.changes(text) == want
+
+
 @pytest.mark.parametrize("op", [quality, toxicity])
 def test_edges(spark, edge_rows, op):
     docs = documents(spark, edge_rows)

@@ -11,6 +11,7 @@ copies is penalised: a group's name alone cannot carry weight.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -47,9 +48,6 @@ COUNTERFACTUAL = 1.0
 L1 = 2e-5
 ROUNDS = 300
 
-#: Fitting takes counterfactuals of sentences up to so many words, and so many of them at most.
-PAIR_WORDS, TRAIN_PAIRS = 100, 20_000
-
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SENTENCE = re.compile(r"[.!?\n]+")
 _OTHERS = {t: [o for o in kind if o != t] for kind in IDENTITY_TERMS for t in kind}
@@ -71,13 +69,30 @@ def swaps(text: str) -> list[tuple[str, str]]:
     if not _OTHERS.keys().isdisjoint(words(text)):
         for sentence in _SENTENCE.split(text.lower()):
             named = words(sentence) & _OTHERS.keys()
-            if named and len(sentence.split()) > PAIR_WORDS:
-                continue
             for term in sorted(named):
                 out += [(sentence, re.sub(rf"\b{term}\b", other, sentence)) for other in _OTHERS[term]]
     return out
 
 
+def _change(before: set[str], after: set[str]) -> str:
+    """Lost and gained features, each sorted and joined by spaces, with a tab between them."""
+    a, b = with_stems(before), with_stems(after)
+    return " ".join(sorted(a - b)) + "\t" + " ".join(sorted(b - a))
+
+
+def changes(text: str) -> Counter[str]:
+    """How many of ``swaps(text)`` make each change; the penalty depends on nothing else of them."""
+    out: Counter[str] = Counter()
+    if not _OTHERS.keys().isdisjoint(words(text)):
+        for sentence in _SENTENCE.split(text.lower()):
+            have = words(sentence)
+            for term in have & _OTHERS.keys():
+                rest, found = re.subn(rf"\b{term}\b", " ", sentence)
+                left = words(rest)
+                out.update(_change(have, left | {other} if found else have) for other in _OTHERS[term])
+    return out
+
+
 @dataclass
 class Model:
     """score(text) = 1 / (1 + exp(-(bias + sum of the weights of the words present)))"""
@@ -94,8 +109,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(texts: Iterable[Iterable[str]], labels: np.ndarray, pairs: list[tuple[str, str]], counterfactual: float = COUNTERFACTUAL, l1: float = L1, rounds: int = ROUNDS) -> Model:
-    """Fits on word sets; ``pairs`` are (sentence, swapped sentence).
+def fit(texts: Iterable[Iterable[str]], labels: np.ndarray, pairs: list[tuple[str, str]] | Counter[str], counterfactual: float = COUNTERFACTUAL, l1: float = L1, rounds: int = ROUNDS) -> Model:
+    """Fits on word sets; ``pairs`` are (sentence, swapped sentence), or counts of their ``changes``.
 
     Without rows of both labels the model is the constant share of label 1
     (0.5 without any rows).
@@ -124,11 +139,13 @@ def fit(texts: Iterable[Iterable[str]], labels: np.ndarray, pairs: list[tuple[st
     known = cols >= 0
     order = np.lexsort((cols[known], own[known]))
     x = (own[known][order], cols[known][order], scale[cols[known][order]], len(y))
-    changes = []
-    for k, (s, t) in enumerate(pairs):  # words gained minus words lost
-        a, b = with_stems(words(s)), with_stems(words(t))
-        changes += [(k, column[w], 1.0 if w in b else -1.0) for w in sorted(a ^ b) if w in column]
-    d = (np.array([c[0] for c in changes], int), np.array([c[1] for c in changes], int), np.array([c[2] * scale[c[1]] for c in changes], float), len(pairs))
+    counts = pairs if isinstance(pairs, Counter) else Counter(_change(words(a), words(b)) for a, b in pairs)
+    moved = []
+    for k, change in enumerate(sorted(counts)):  # words gained minus words lost, a row for each distinct change
+        for sign, side in zip((-1.0, 1.0), change.split("\t")):
+            moved += [(k, column[f], sign * counts[change] ** 0.5 * scale[column[f]]) for f in side.split() if f in column]
+    d = (np.array([c[0] for c in moved], int), np.array([c[1] for c in moved], int), np.array([c[2] for c in moved], float), len(counts))
+    total = sum(counts.values())
 
     def times(m, w):
         return np.bincount(m[0], m[2] * w[m[1]], m[3]) if len(m[0]) else np.zeros(m[3])
@@ -142,13 +159,13 @@ def fit(texts: Iterable[Iterable[str]], labels: np.ndarray, pairs: list[tuple[st
     u = np.ones(len(vocab)) / max(1, len(vocab)) ** 0.5
     top = 1.0
     for _ in range(30 if len(vocab) else 0):
-        h = back(x, times(x, u)) / (4 * n) + (2 * counterfactual * back(d, times(d, u)) / d[3] if d[3] else 0)
+        h = back(x, times(x, u)) / (4 * n) + (2 * counterfactual * back(d, times(d, u)) / total if total else 0)
         top = float(np.linalg.norm(h)) or 1.0
         u = h / top
     step = 1.0 / (1.1 * top + 0.25)
     for _ in range(rounds):
         g = _sigmoid(times(x, v) + vb) - y
-        grad = back(x, g) / n + (2 * counterfactual * back(d, times(d, v)) / d[3] if d[3] else 0)
+        grad = back(x, g) / n + (2 * counterfactual * back(d, times(d, v)) / total if total else 0)
         new, new_b = v - step * grad, vb - step * g.mean()
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -163,13 +180,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = ["\n".join(f"{a}\t{b}" for a, b in swaps(t.replace("\t", " "))) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "words": [" ".join(sorted(words(t))) for t in batch["text"]], "pairs": pairs})
+            counts: Counter[str] = Counter()
+            for t in batch["text"]:
+                counts.update(changes(t))
+            # The changes of the whole batch go with its first row.
+            told = ["\n".join(f"{c}\t{n}" for c, n in counts.items())] + [""] * (len(batch) - 1)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "words": [" ".join(sorted(words(t))) for t in batch["text"]], "changes": told[: len(batch)]})
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    got = small_batches(picked).mapInPandas(run, f"doc_id {kind}, label int, words string, pairs string").toPandas().sort_values(["doc_id", "words"])
-    pairs = [tuple(line.split("\t")) for p in got["pairs"] if p for line in p.split("\n")][:TRAIN_PAIRS]
-    return fit((w.split() for w in got["words"]), got["label"].to_numpy(), pairs, **options)
+    got = small_batches(picked).mapInPandas(run, f"doc_id {kind}, label int, words string, changes string").toPandas().sort_values(["doc_id", "words"])
+    counts: Counter[str] = Counter()
+    for line in (line for told in got["changes"] if told for line in told.split("\n")):
+        change, n = line.rsplit("\t", 1)
+        counts[change] += int(n)
+    return fit((w.split() for w in got["words"]), got["label"].to_numpy(), counts, **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
