@@ -62,3 +62,42 @@ def test_own_names_and_large_arrivals(spark):
     store.append(rows, F.col("arrival"))
     assert sorted(r.arrival for r in store.manifest().collect()) == [-3, 123456]
     assert sorted((r.doc_id, r.arrival, r._size, r._order) for r in store.rows().collect()) == [(1, 123456, 5, 6), (2, -3, 5, 6)]
+
+
+def test_equal_arrival_numbers_never_share_a_run(spark):
+    store = ShardStore(spark, scratch(spark, "store"))
+    rows = [(k, f"t{k}", "s") for k in range(40)]
+    for half in (rows[:20], rows[20:]):
+        store.append(documents(spark, half), F.lit(0))
+    assert store.compact(target=64, fanout=2, tiers=2) == 3
+    assert content(store.rows()) == sorted(rows, key=str)
+
+
+def test_append_and_compact_in_turn(spark):
+    store = ShardStore(spark, scratch(spark, "store"))
+    rows = [(k, "same", "s") for k in range(30)]
+    for turn in range(3):
+        store.append(documents(spark, rows[10 * turn : 10 * turn + 10]), F.lit(0), shard_bytes=8, range_bytes=8)
+        store.compact(target=64, fanout=2, tiers=2)
+        assert content(store.rows()) == sorted(rows[: 10 * turn + 10], key=str)
+        store.vacuum()
+    assert sum(r.rows for r in store.manifest().collect()) == 30
+
+
+def test_writer_that_dies_leaves_no_version(spark):
+    store = ShardStore(spark, scratch(spark, "store"))
+    store.append(documents(spark, [(1, "a")]), F.lit(0))
+    for name in (".append-dead", "v2.part"):  # what a dead writer, or one at work, has in the folder
+        store._fs.create(store._path(f"{store.root}/commits/{name}"), False).close()
+    assert store.version() == 1 and [r.doc_id for r in store.rows().collect()] == [1]
+    assert store.append(documents(spark, [(2, "b")]), F.lit(0)) == 2
+    assert sorted(r.doc_id for r in store.rows().collect()) == [1, 2]
+
+
+def test_plan_in_parts_keeps_all_rows(spark):
+    store = ShardStore(spark, scratch(spark, "store"))
+    rows = [(k, "x" * 20, "s") for k in range(200)]
+    store.append(documents(spark, rows), F.col("doc_id") % 3, shard_bytes=64, range_bytes=64)
+    before = store.manifest().count()
+    store.compact(target=1024, fanout=4, tiers=2, plan_runs=10)
+    assert content(store.rows()) == sorted(rows, key=str) and store.manifest().count() < before

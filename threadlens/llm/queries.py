@@ -35,10 +35,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents come in eight arrivals, by hash of the id; the result is the layout after compaction."""
+    """Documents come in two appends of four arrivals each (0 to 3 both times), by hash of the id; the result is the layout after compaction."""
     store = ShardStore(spark, scratch(spark, "shards"))
-    arrival = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 9, 1), 16, 10).cast("int") % 8
-    store.append(table(spark, sf_dir, "documents"), arrival)
+    docs = table(spark, sf_dir, "documents")
+    turn = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 9, 1), 16, 10).cast("int")
+    for part in (turn < 8, F.coalesce(turn >= 8, F.lit(True))):
+        store.append(docs.where(part), turn % 4)
     store.compact()
     store.vacuum()
     return layout(store)
@@ -84,12 +86,13 @@ def _compaction_sql() -> str:
     floors = [TARGET_BYTES // FANOUT ** (TIERS - t) for t in range(1, TIERS + 1)]
     tier = lambda size: "(" + " + ".join(f"CAST({size} >= {f} AS INT)" for f in floors) + ")"
     sql = f"""
-        WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, md5(CAST(doc_id AS VARCHAR)) AS pos,
-                          CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 9, 1) AS BIGINT) % 8 AS INT) AS arrival FROM documents),
-        a AS (SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY arrival) AS BIGINT) AS total FROM d),
+        WITH e AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, md5(CAST(doc_id AS VARCHAR)) AS pos,
+                          CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 9, 1) AS BIGINT) AS INT) AS turn FROM documents),
+        d AS (SELECT doc_id, n_bytes, pos, turn % 4 AS arrival, 1 + turn // 8 AS version FROM e),
+        a AS (SELECT *, CAST(sum(n_bytes) OVER (PARTITION BY version, arrival) AS BIGINT) AS total FROM d),
         r AS (SELECT *, CAST(floor(CAST('0x' || substr(pos, 1, 8) AS BIGINT) * ceil((total + 1) / {SHARD_BYTES}) / 4294967296.0) AS BIGINT) AS rng FROM a),
-        p AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY arrival, rng ORDER BY pos, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {SHARD_BYTES} AS piece FROM r),
-        s AS (SELECT *, format('a{{:05d}}-r{{:07d}}-p{{:05d}}', arrival, rng, CAST(piece AS BIGINT)) AS run FROM p),
+        p AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY version, arrival, rng ORDER BY pos, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {SHARD_BYTES} AS piece FROM r),
+        s AS (SELECT *, format('v{{:06d}}-a{{:05d}}-r{{:07d}}-p{{:05d}}', version, arrival, rng, CAST(piece AS BIGINT)) AS run FROM p),
         m0 AS (SELECT run, run AS dest, sum(n_bytes) AS bytes FROM s GROUP BY run)"""
     for t in range(TIERS):
         sql += f""",

@@ -2,26 +2,33 @@
 
 A store is a folder below the shared folder:
 
-    data/<operation>/run=<name>/part-*.parquet   immutable files
-    manifest/<operation>/                        one row for each live run
-    commits/v<number>                            names a version's manifest, and its rows' schema
+    data/operation=<operation>/run=<name>/part-*.parquet   immutable files
+    manifest/<operation>/                                  one row for each live run
+    commits/v<number>                                      names a version's manifest, and its rows' schema
 
 ``append`` writes arrivals as small shards.  ``compact`` merges FANOUT runs of
 one size tier at a time, tier after tier, until the runs have the target size;
-the whole plan is made on the manifest, so each row is rewritten once.  A new
-version exists from the moment its commit file is created, which fails if
-another writer created that version first.  Readers see one version, whole.
+the whole plan is made on the manifest, so each row is rewritten once.  A run's
+name begins with the version that brought it, so equal arrival numbers of two
+appends never share a name; rows are read by operation and run.
+
+A version exists from the moment its commit file has its final name: the file
+is written whole under another name and then renamed, which fails if another
+writer took that version first.  A writer that dies leaves no version behind,
+only files that no version names.  Readers see one version, whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .base import cut, free_name, small_side, text_of
 
@@ -33,6 +40,9 @@ FANOUT = 4
 TIERS = 5
 #: Arrivals in one pass over the ids (a batch is cut into hash ranges of about this many bytes).
 RANGE_BYTES = SHARD_BYTES
+#: Runs that one task of the plan orders, about; tasks that one compaction writes with, at most.
+PLAN_RUNS = 50_000
+WRITE_TASKS = 100_000
 
 _FILES = {"compression": "zstd"}
 
@@ -61,7 +71,8 @@ class ShardStore:
         folder = self._path(f"{self.root}/commits")
         if not self._fs.exists(folder):
             return 0
-        return max([int(s.getPath().getName()[1:]) for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("v")], default=0)
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return max((int(n[1:]) for n in names if re.fullmatch(r"v\d+", n)), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """run, operation, arrival, tier, rows, bytes of the version's live runs."""
@@ -81,36 +92,47 @@ class ShardStore:
 
     def _commit(self, manifest: DataFrame, operation: str, version: int, schema: StructType) -> None:
         manifest.write.parquet(f"{self.root}/manifest/{operation}")
+        jvm, draft = self.spark._jvm, self._path(f"{self.root}/commits/.{operation}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(f"{operation}\n{schema.json()}".encode()))
+        out.close()
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        no_options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            out = self._fs.create(self._path(f"{self.root}/commits/v{version}"), False)
-        except Exception as e:
-            if "exists" in str(e):
+            files.rename(self._fs.makeQualified(draft), self._fs.makeQualified(self._path(f"{self.root}/commits/v{version}")), no_options)
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
                 raise Conflict(f"version {version} is taken") from e
             raise
-        out.write(bytearray(f"{operation}\n{schema.json()}".encode()))
-        out.close()
+
+    def _read(self, operations: list[str], schema: StructType) -> DataFrame:
+        """All rows that the operations wrote, with operation and run; columns that an old shard lacks are null."""
+        full = StructType([*schema.fields, StructField("operation", StringType())])
+        return self.spark.read.schema(full).option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/operation={o}" for o in operations])
 
     def rows(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with their run; columns that an old shard lacks are null."""
+        """The rows of a version, with their run; columns that an old shard lacks are null.  Not for version 0."""
         version = self.version() if version is None else version
         schema = self._named(version)[1]
-        manifest = self.manifest(version)
-        operations = [r[0] for r in manifest.select("operation").distinct().sort("operation").collect()]  # one for each append and compaction
-        out = self.spark.createDataFrame([], schema)
-        for operation in operations:
-            live = small_side(manifest.where(F.col("operation") == operation).select("run"))
-            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.root}/data/{operation}").join(live, "run", "left_semi"))
-        return out
+        live = self.manifest(version).select("operation", "run")
+        operations = [r[0] for r in live.select("operation").distinct().sort("operation").collect()]  # one for each append and compaction
+        if not operations:
+            return self.spark.createDataFrame([], schema)
+        return self._read(operations, schema).join(small_side(live), ["operation", "run"], "left_semi").select(schema.names)
 
     def append(self, docs: DataFrame, arrival: Column, shard_bytes: int = SHARD_BYTES, range_bytes: int = RANGE_BYTES) -> int:
         """Writes each arrival as small shards and commits them; returns the version.
 
         An arrival is cut into hash ranges of the id, and a range, in hash
         order, into shards wherever its running size passes ``shard_bytes``.
-        Every shard is made by one task and is one file.
+        Every shard is made by one task and is one file.  Null texts count no
+        bytes; null and repeated ids and repeated rows stay; an empty input
+        commits a version without new runs.  Columns named arrival, operation
+        or run are replaced by the store's own.
         """
         base, operation = self.version(), f"append-{uuid.uuid4().hex}"
-        kept = [c for c in docs.columns if c.lower() not in ("arrival", "run")]  # the names of the store's own are replaced
+        kept = [c for c in docs.columns if c.lower() not in ("arrival", "operation", "run")]  # the names of the store's own are replaced
         size, order, span, spans = (free_name(docs, n) for n in ("_size", "_order", "_range", "_ranges"))
         digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
         rows = docs.withColumns({"arrival": F.coalesce(arrival, F.lit(0)).cast("int"), size: F.octet_length(text_of()).cast("long"), order: digest})
@@ -120,51 +142,69 @@ class ShardStore:
         rows = rows.withColumn(span, F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.col(spans) / F.lit(float(1 << 32))).cast("long"))
         before = Window.partitionBy("arrival", span).orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
         piece = F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / shard_bytes).cast("long")
-        rows = rows.withColumn("run", F.format_string("a%05d-r%07d-p%05d", "arrival", span, piece)).select(*kept, "arrival", "run")
-        rows.write.options(**_FILES).partitionBy("run").parquet(f"{self.root}/data/{operation}")
+        rows = rows.withColumn("run", F.format_string("v%06d-a%05d-r%07d-p%05d", F.lit(base + 1), "arrival", span, piece)).select(*kept, "arrival", "run")
+        rows.write.options(**_FILES).partitionBy("run").parquet(f"{self.root}/data/operation={operation}")
         schema = StructType(rows.schema.fields)
         if base:
             schema = StructType([*schema.fields, *[f for f in self._named(base)[1].fields if f.name not in schema.names]])
-        new = self._measured(operation, schema).withColumn("arrival", F.regexp_extract("run", r"^a(-?\d+)-r", 1).cast("int"))
+        new = self._measured(operation, schema).withColumn("arrival", F.regexp_extract("run", r"^v\d+-a(-?\d+)-r", 1).cast("int"))
         self._commit(self._columns(self.manifest(base).unionByName(self._columns(new))), operation, base + 1, schema)
         return base + 1
 
     def _measured(self, operation: str, schema: StructType) -> DataFrame:
-        written = self.spark.read.schema(schema).parquet(f"{self.root}/data/{operation}")
-        out = written.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_of())).cast("long").alias("bytes"))
+        out = self._read([operation], schema).groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_of())).cast("long").alias("bytes"))
         return out.withColumn("operation", F.lit(operation)).withColumn("tier", tier(F.col("bytes")))
 
     @staticmethod
     def _columns(manifest: DataFrame) -> DataFrame:
         return manifest.select("run", "operation", "arrival", "tier", "rows", "bytes")
 
-    def plan(self, version: int | None = None, target: int = TARGET_BYTES, fanout: int = FANOUT, tiers: int = TIERS) -> DataFrame:
-        """run, into: which run each live run ends up in.
+    def plan(self, version: int | None = None, target: int = TARGET_BYTES, fanout: int = FANOUT, tiers: int = TIERS, plan_runs: int = PLAN_RUNS) -> DataFrame:
+        """run, into, bytes: which run each live run ends up in.
 
         Tier by tier, the runs of a tier in name order are taken ``fanout`` at
         a time; a full handful becomes one run, named after its first member,
-        which may be merged again in the next tier.  Works on one row a run.
+        which may be merged again in the next tier.  Works on one row a run;
+        for every ``plan_runs`` of them the runs are dealt by hash to one more
+        part, each planned by itself.
         """
         plan = self.manifest(version).select("run", "bytes", F.col("run").alias("into"))
+        parts = -(-plan.count() // plan_runs) or 1
+        part = F.pmod(F.xxhash64("into"), F.lit(parts)) if parts > 1 else F.lit(0).cast("long")
+        plan = plan.withColumn("part", part)
         for t in range(tiers):
-            by = Window.partitionBy("tier").orderBy("into")
-            runs = plan.groupBy("into").agg(F.sum("bytes").alias("bytes")).withColumn("tier", tier(F.col("bytes"), target, fanout, tiers)).where(F.col("tier") == t)
+            by = Window.partitionBy("part").orderBy("into")
+            runs = plan.groupBy("part", "into").agg(F.sum("bytes").alias("bytes")).where(tier(F.col("bytes"), target, fanout, tiers) == t)
             runs = runs.withColumn("hand", F.floor((F.row_number().over(by) - 1) / fanout))
-            hand = Window.partitionBy("hand")
+            hand = Window.partitionBy("part", "hand")
             runs = runs.withColumns({"merged": F.min("into").over(hand), "full": F.count(F.lit(1)).over(hand) == fanout}).where("full").select("into", "merged")
-            plan = cut(plan.join(runs, "into", "left").select("run", "bytes", F.coalesce("merged", "into").alias("into")))
-        return plan.select("run", "into")
+            plan = cut(plan.join(runs, "into", "left").select("run", "bytes", "part", F.coalesce("merged", "into").alias("into")))
+        return plan.select("run", "into", "bytes")
+
+    def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT, tiers: int = TIERS, plan_runs: int = PLAN_RUNS) -> int:
+        """Merges runs by the plan and commits; returns the version (unchanged if nothing merges).
 
-    def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT, tiers: int = TIERS) -> int:
-        """Merges runs by the plan and commits; returns the version (unchanged if nothing merges)."""
+        Each new run is written by one task, which reads less than ``fanout``
+        times the target, whatever the number of shuffle partitions.
+        """
         base, operation = self.version(), f"merge-{uuid.uuid4().hex}"
-        manifest, plan = self.manifest(base), self.plan(base, target, fanout, tiers)
-        moved = plan.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("into"))).where("members > 1").drop("members")
-        moved = cut(moved)
-        if not moved.take(1):
+        if base == 0:
+            return 0
+        manifest, plan = self.manifest(base), self.plan(base, target, fanout, tiers, plan_runs)
+        heads = plan.groupBy("into").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        # One row a new run; a hash of the name deals them to tasks only beyond WRITE_TASKS.
+        new_runs = heads.count()
+        if new_runs == 0:
             return base
-        rows = self.rows(base).join(small_side(moved), "run").drop("run").withColumnRenamed("into", "run")
-        rows.repartition("run").write.options(**_FILES).partitionBy("run").parquet(f"{self.root}/data/{operation}")
+        if new_runs <= WRITE_TASKS:
+            heads = heads.withColumn("task", (F.row_number().over(Window.orderBy("into")) - 1).cast("int"))
+        else:
+            heads = heads.withColumn("task", F.pmod(F.xxhash64("into"), F.lit(WRITE_TASKS)).cast("int"))
+        moved = cut(plan.join(heads.drop("members"), "into").select("run", "into", "task"))
+        task = free_name(self.rows(base), "_task")
+        rows = self.rows(base).join(small_side(moved.withColumnRenamed("task", task)), "run").drop("run").withColumnRenamed("into", "run")
+        rows = rows.repartitionById(min(new_runs, WRITE_TASKS), F.col(task)).drop(task)
+        rows.write.options(**_FILES).partitionBy("run").parquet(f"{self.root}/data/operation={operation}")
         schema = self._named(base)[1]
         new = self._measured(operation, schema).withColumn("arrival", F.lit(None).cast("int"))
         kept = manifest.join(moved.select("run"), "run", "left_anti")
@@ -179,7 +219,7 @@ class ShardStore:
         live = {r[0] for r in self.manifest().select("operation").distinct().collect()}
         folder = self._path(f"{self.root}/data")
         for s in self._fs.listStatus(folder):
-            if s.getPath().getName() not in live:
+            if s.getPath().getName().removeprefix("operation=") not in live:
                 self._fs.delete(s.getPath(), True)
 
 
