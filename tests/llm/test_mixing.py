@@ -97,6 +97,30 @@ def test_mixed_rows_hold_the_taken_words(spark, edge_rows):
     assert {k: v for k, v in want.items() if v} == words
 
 
+def test_mixed_takes_what_mix_tells_of_repeated_ids(spark):
+    # Every id in three sources; the second source is not taken whole.
+    rows = [(k % 35, f"{s}{k} " * (3 + k % 7), s) for s in "abc" for k in range(40)] + [(None, "no id", "b"), (None, "no id", "b")]
+    docs = documents(spark, rows)
+    told, got = mix(docs, block_words=8).collect(), mixed(docs, block_words=8).collect()
+    assert any(r.taken == 0 for r in told)
+    words = lambda found: sorted(found, key=str)
+    want = [(r.doc_id, r.skey[1:], n) for r in told for n in r.epochs]
+    assert words((r.doc_id, r.source, size(r.text)) for r in got) == words(want)
+
+
+def test_output_stands_in_the_order_of_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr("threadlens.llm.mixing.TASK_SLOTS", 16)
+    rows = [(k, "w " * 10, "a" if k < 300 else "b" if k < 700 else "c") for k in range(1000)]
+    out = mixed(documents(spark, rows), block_words=10)
+    assert out.rdd.getNumPartitions() > 4
+    got = [r.source for r in out.collect()]
+    total = {s: got.count(s) for s in "abc"}
+    assert sum(total.values()) == 1500
+    for k in range(100, 1500, 100):  # the prefix holds each source nearly in proportion
+        for s in "abc":
+            assert abs(got[:k].count(s) - k * total[s] / 1500) <= 12
+
+
 def test_empty_table(spark):
     assert mix(documents(spark, [])).collect() == []
     assert mixed(documents(spark, [])).collect() == []

@@ -13,12 +13,15 @@
    proportion, and the whole schedule holds exactly the wanted counts.
 4. The slots of a source, ranked by schedule position, take its blocks in
    order; joining them to the pieces of documents inside each block gives the
-   words taken from each document.
+   words taken from each document, and the slots at which it comes up.
+
+``mix`` tells the slots and ``mixed`` puts its rows in their order, so that any
+stretch of the output holds the sources nearly at their weights.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import WORD, cut, free_name, is_empty, matching, small_side, text_of
@@ -33,6 +36,8 @@ MAX_EPOCHS = 2
 BLOCK_WORDS = 1024
 #: Rows that a chunk of the shuffled order should hold.
 CHUNK_ROWS = 8192
+#: Slots that one task of mixed() puts in order, about, and tasks at most.
+TASK_SLOTS, TASKS = 4096, 100_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -77,6 +82,16 @@ def _positions(sized: DataFrame, rows: DataFrame, chunk_rows: int) -> DataFrame:
     return sized.join(sums, ["skey", "chunk"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
 
+def source_key() -> Column:
+    """Never null, so that joins find it: a null source is a source of its own."""
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
+
+
+def axis_bits(slots: int) -> int:
+    """Bits of the schedule's numbers for so many slots."""
+    return max(1, (int(slots) - 1).bit_length())
+
+
 def schedule(spark: SparkSession, plan: DataFrame, block_words: int) -> DataFrame:
     """The slots of the mix: skey, slot, rank, block, words.
 
@@ -91,7 +106,7 @@ def schedule(spark: SparkSession, plan: DataFrame, block_words: int) -> DataFram
     along = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)
     plan = cut(plan.withColumn("low", F.coalesce(F.sum("slots").over(along), F.lit(0)).cast("long")))
     total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    bits = max(1, (int(total) - 1).bit_length())
+    bits = axis_bits(total)
     # Every source makes its own stretch of the axis, 4096 positions a row first, so that one large source is dealt out.
     strides = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096).cast("long"))).alias("stride"))
     axis = strides.repartition(F.col("skey"), F.col("stride")).select(
@@ -114,25 +129,23 @@ def schedule(spark: SparkSession, plan: DataFrame, block_words: int) -> DataFram
 def placed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: int = 42, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(documents with uid, doc_id, skey, size, start; the plan of the sources)."""
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    # A null source is a source of its own; skey never is null, so that joins find it.
-    skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = cut(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", skey.alias("skey"), size.alias("size"), order.alias("order")))
+    sized = cut(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", source_key().alias("skey"), size.alias("size"), order.alias("order")))
     sizes = cut(sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")))
     plan = targets(sizes.select("source", "source_size"), weights, budget, max_epochs)
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    plan = cut(plan.withColumn("skey", key).withColumn("goal", F.round("target").cast("long")))
+    plan = cut(plan.withColumn("skey", source_key()).withColumn("goal", F.round("target").cast("long")))
     return _positions(sized, sizes, chunk_rows), plan
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 42, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """One row for each document: uid, doc_id, size, source_size, target, taken, epochs.
+    """One row for each document: uid, doc_id, skey, size, source_size, target, taken, epochs, slots.
 
     ``taken`` counts the words that the mix takes from the document, repeats
     included; ``epochs`` lists the words taken in each pass, which are the
-    first so many words of the text.  Null text has size 0 and is never taken;
-    a null source is one source, last in order; null or repeated ids are
-    ordered among themselves by row.  Empty input gives an empty result.
+    first so many words of the text, and ``slots`` the schedule's slot at which
+    each pass reaches it.  Null text has size 0 and is never taken; a null
+    source is one source, last in order; null or repeated ids are ordered among
+    themselves by row.  Empty input gives an empty result.
     """
     docs_at, plan = placed(docs, weights, budget, max_epochs, seed, chunk_rows)
     slots = schedule(docs.sparkSession, plan.select("skey", "source_size", "goal"), block_words)
@@ -141,42 +154,53 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: in
     pieces = docs_at.where("size > 0").select("uid", "skey", "start", "size", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("block"))
     low = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words), F.col("words"))
-    took = pieces.join(slots.hint("merge"), ["skey", "block"]).select("uid", "epoch", F.greatest(high - low, F.lit(0)).alias("took"))
-    took = took.groupBy("uid", "epoch").agg(F.sum("took").alias("took")).where("took > 0")
-    took = took.groupBy("uid").agg(F.sum("took").alias("taken"), F.transform(F.array_sort(F.collect_list(F.struct("epoch", "took"))), lambda x: x["took"]).alias("epochs"))
-    out = (
+    took = pieces.join(slots.hint("merge"), ["skey", "block"]).select("uid", "epoch", "slot", (high - low).alias("took")).where("took > 0")
+    took = took.groupBy("uid", "epoch").agg(F.sum("took").alias("took"), F.min("slot").alias("slot"))
+    passes = F.array_sort(F.collect_list(F.struct("epoch", "took", "slot")))  # one a pass, MAX_EPOCHS at most
+    took = took.groupBy("uid").agg(F.sum("took").alias("taken"), passes.alias("passes"))
+    empty = F.array().cast("array<bigint>")
+    return (
         docs_at.join(took.hint("merge"), "uid", "left")
         .join(small_side(plan.select("skey", "source_size", "target")), "skey")
-        .select("uid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.array().cast("array<bigint>")).alias("epochs"))
-    )
-    return out
+        .select(
+            "uid", "doc_id", "skey", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+            F.coalesce(F.col("passes.took"), empty).alias("epochs"), F.coalesce(F.col("passes.slot"), empty).alias("slots"),
+        )
+    )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, once for each pass that takes words from them.
+    """The mix itself: the rows of ``docs``, once for each pass that takes words from them, in the schedule's order.
 
     All columns stay.  A document of which a pass takes only the first words
     has those words, joined by single spaces, as its text there, and n_chars,
-    if there is such a column, follows.
+    if there is such a column, follows.  Rows that share id, source and size
+    are interchangeable: they take each other's shares in order of their text.
+    The partitions follow each other along the schedule, and slots hold equal
+    numbers of words, so partitions do too.
     """
-    took = mix(docs, **options).where("taken > 0").select("doc_id", F.col("uid").alias("_uid"), F.col("size").alias("_size"), F.col("epochs").alias("_epochs"))
-    names = {c: free_name(docs, c) for c in ("_size", "_epochs", "_copy")}
-    size, epochs, copy = names.values()
-    took = cut(took)
-    sized = docs.withColumn(size, F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
-    took = took.withColumnsRenamed({"_size": size, "_epochs": epochs})
+    told = cut(mix(docs, **options).select("doc_id", "skey", "uid", "size", "epochs", "slots"))
+    names = {c: free_name(docs, c) for c in ("_size", "_epochs", "_slots", "_copy", "_skey", "_pass", "_task")}
+    size, epochs, slots, copy, skey, turn, task = names.values()
+    rows = docs.withColumn(size, F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
+    took = told.withColumnsRenamed({"size": size, "epochs": epochs, "slots": slots, "skey": skey})
     keys = ["doc_id"]
-    if not is_empty(took.groupBy("doc_id").count().where("count > 1")):
-        # Repeated ids: rows of one id and size take the shares in turn.
-        keys = ["doc_id", size, copy]
-        by = Window.partitionBy("doc_id", size)
-        sized = sized.withColumn(copy, F.row_number().over(by.orderBy(*[c for c in ("source", "text") if c in docs.columns])))
-        took = took.withColumn(copy, F.row_number().over(by.orderBy("_uid")))
-    rows = sized.alias("d").join(took.drop("_uid").alias("k").hint("merge"), matching("d", "k", *keys)).select("d.*", f"k.`{epochs}`")
-    rows = rows.withColumn(epochs, F.explode(epochs))
-    whole = F.col(epochs) == F.col(size)
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(epochs).cast("int")), " ")
+    if not is_empty(told.groupBy("doc_id").count().where("count > 1")):
+        keys = ["doc_id", skey, size, copy]
+        alike = Window.partitionBy("doc_id", skey, size)
+        rows = rows.withColumn(skey, source_key()).withColumn(copy, F.row_number().over(alike.orderBy("text")))
+        took = took.withColumn(copy, F.row_number().over(alike.orderBy(slots, epochs, "uid")))
+    passes = F.arrays_zip(F.col(epochs).alias("words"), F.col(slots).alias("slot"))
+    took = took.where(F.size(epochs) > 0).select(*keys, passes.alias(turn))
+    rows = rows.alias("d").join(took.alias("k").hint("merge"), matching("d", "k", *keys)).select("d.*", f"k.`{turn}`")
+    rows = rows.withColumn(turn, F.explode(turn))
+    words = F.col(f"{turn}.words")
+    whole = words == F.col(size)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
     out = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(first))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    last = told.agg(F.max(F.array_max("slots"))).first()[0] or 0
+    tasks = min(TASKS, last // TASK_SLOTS + 1)
+    out = out.withColumn(task, F.floor(F.col(f"{turn}.slot") * tasks / F.lit(last + 1)).cast("int"))
+    return out.repartitionById(tasks, F.col(task)).sortWithinPartitions(f"{turn}.slot", "doc_id").select(docs.columns)

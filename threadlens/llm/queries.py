@@ -73,7 +73,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("slots", F.lit(1)).alias("first_slot"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +135,17 @@ ORACLES = {
                         / CAST(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM w),
         c AS (SELECT *, level * weight >= cap AS capped FROM l),
         g AS (SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE weight * (SELECT arg_min(level, cap / weight) FROM c WHERE NOT capped) END AS target FROM c),
-        p AS (SELECT d.doc_id, d.size, g.source_size, g.target, round(g.target) AS goal,
+        p AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, round(g.target) AS goal,
                      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.pos, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-              FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-        SELECT doc_id, size, source_size, target,
-               CAST(least(size, greatest(0, goal - start)) + least(size, greatest(0, goal - source_size - start)) AS BIGINT) AS taken FROM p""",
+              FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+        k AS (SELECT p.*, CAST(least(size, greatest(0, goal - start)) + least(size, greatest(0, goal - source_size - start)) AS BIGINT) AS taken FROM p),
+        b AS (SELECT source, CAST(round(target) AS BIGINT) AS goal, source_size FROM g WHERE round(target) > 0),
+        n AS (SELECT source, goal // source_size * CAST(ceil(source_size / 1024) AS BIGINT) + CAST(ceil(goal % source_size / 1024) AS BIGINT) AS slots FROM b),
+        o AS (SELECT source, slots, CAST(coalesce(sum(slots) OVER (ORDER BY source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS low,
+                     greatest(1, length(ltrim(bin(CAST(sum(slots) OVER () AS BIGINT) - 1), '0'))) AS bits FROM n),
+        u AS (SELECT source, bits, low, unnest(range(CAST(slots AS BIGINT))) AS k FROM o),
+        v AS (SELECT source, CAST('0b' || reverse(lpad(bin(low + k), CAST(bits AS INT), '0')) AS BIGINT) AS slot FROM u),
+        t AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM v)
+        SELECT doc_id, size, k.source_size, target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot
+        FROM k LEFT JOIN t ON k.source IS NOT DISTINCT FROM t.source AND k.start // 1024 = t.rank""",
 }
