@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -47,8 +49,9 @@ def test_quality_on_held_out_documents(spark, corpus):
 
 def test_quality_gradient():
     rng = np.random.default_rng(0)
-    x, starts = rng.standard_normal((9, quality.FEATURES)), np.array([0, 4, 5])
-    p = {"W": rng.standard_normal((quality.FEATURES, 3)), "c": rng.standard_normal(3), "V": rng.standard_normal((3, 2)), "U": rng.standard_normal((3, 2)), "w": rng.standard_normal(2), "o": rng.standard_normal(3), "d": np.array(0.3)}
+    counts = rng.integers(1, 6, 9)
+    x, starts = quality.Bag(rng.standard_normal((9, 5)), rng.integers(0, 7, counts.sum()), counts), np.array([0, 4, 5])
+    p = {"E": rng.standard_normal((7, 4)), "W": rng.standard_normal((9, 3)), "c": rng.standard_normal(3), "V": rng.standard_normal((3, 2)), "U": rng.standard_normal((3, 2)), "w": rng.standard_normal(2), "o": rng.standard_normal(3), "d": np.array(0.3)}
     y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
 
     def loss():
@@ -68,6 +71,95 @@ def test_quality_gradient():
             assert abs((up - down) / 2e-6 - np.reshape(g[k], -1)[j]) < 1e-4
 
 
+def brute_quality(text, model):
+    """The score of one text, passage by passage and number by number."""
+    p, ws = model.layers, text.encode("utf-8", "replace").split()
+    encoded, energy = [], []
+    for at in range(0, max(1, len(ws)), quality.PASSAGE):
+        part = ws[at : at + quality.PASSAGE]
+        marks = [b for w in part for b in (zlib.crc32(w.lower()) % 2048, zlib.crc32(w.lower()[-3:], 1) % 2048)] or [2048]
+        surface = quality.passages(b" ".join(part).decode()).x[0]
+        x = [*((surface - model.mean) / model.std), *(sum(p["E"][m, k] for m in marks) / len(marks) for k in range(quality.EMBEDDING))]
+        h = [math.tanh(sum(v * p["W"][i, j] for i, v in enumerate(x)) + p["c"][j]) for j in range(quality.HIDDEN)]
+        gates = [math.tanh(sum(v * p["V"][i, j] for i, v in enumerate(h))) / (1 + math.exp(-sum(v * p["U"][i, j] for i, v in enumerate(h)))) for j in range(quality.GATE)]
+        encoded.append(h)
+        energy.append(math.exp(sum(g * w for g, w in zip(gates, p["w"]))))
+    mixed = [sum(e * h[j] for e, h in zip(energy, encoded)) / sum(energy) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(v * w for v, w in zip(mixed, p["o"])) - p["d"]))
+
+
+def test_quality_scores_match_brute_force(spark, corpus, edge_rows):
+    model = quality.train(documents(spark, corpus[0]), labelled(spark, corpus[1]), rows=120, epochs=2)
+    rows = corpus[0][:12] + [(1000 + k, t) for k, (_, t, _) in enumerate(edge_rows)]
+    got = {r.doc_id: r.score for r in quality.score(documents(spark, rows), model).collect()}
+    assert all(abs(got[k] - brute_quality(t or "", model)) < 1e-9 for k, t in rows)
+
+
+def test_quality_learns_words_that_surface_features_miss():
+    """Good and bad passages hold words of the same lengths and letters."""
+    rng = random.Random(4)
+    good, bad = ["stone", "lemon", "trial", "angel"], ["notes", "melon", "trail", "angle"]
+    texts = [" ".join(rng.choice(good if k % 2 else bad) for _ in range(60)) for k in range(200)]
+    model = quality.fit([quality.passages(t) for t in texts[:100]], np.arange(100) % 2)
+    got = quality._score_texts(texts[100:], model)
+    assert np.mean((got >= 0.5) == np.arange(100) % 2) >= 0.95
+
+
+def test_every_passage_of_a_fitting_text_counts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels, epochs: seen.extend(len(b.x) for b in bags))
+    rows = [(k, "word " * (128 * 60 + 1)) for k in range(6)]
+    rows += rows[:2]  # repeated ids are learned once
+    quality.train(documents(spark, rows), labelled(spark, [(k, k % 2, 0) for k in range(6)]))
+    use = [k for k in range(6) if not held(k, 3, 1)]
+    assert seen == [61] * len(use)
+    seen.clear()
+    quality.train(documents(spark, rows), labelled(spark, [(k, k % 2, 0) for k in range(6)]), words=2 * (128 * 60 + 1))
+    assert seen == [61] * 2
+
+
+def brute_toxicity(text, model):
+    found = set(re.findall(r"[^\W\d_]+", text.lower()))
+    found |= {w[:k] + "-" for w in found for k in (4, 5) if len(w) > k}
+    return 1 / (1 + math.exp(-model.bias - sum(w for f, w in model.weights.items() if f in found)))
+
+
+def test_toxicity_scores_match_brute_force(spark, corpus, edge_rows):
+    model = toxicity.train(documents(spark, corpus[0]), labelled(spark, corpus[1]))
+    rows = corpus[0][:40] + [(1000 + k, t) for k, (_, t, _) in enumerate(edge_rows)]
+    got = {r.doc_id: r.score for r in toxicity.score(documents(spark, rows), model).collect()}
+    assert model.weights and all(abs(got[k] - brute_toxicity(t or "", model)) < 1e-9 for k, t in rows)
+
+
+def test_toxicity_fit_is_the_optimum_of_its_objective():
+    """Against plain gradient descent on the penalised loss of a tiny set, written out feature by feature."""
+    texts = ["vile man", "vile woman", "kind man", "kind woman", "vile thing", "kind thing", "vile man here", "kind man here"] * 2
+    y = np.array([1, 1, 0, 0, 1, 0, 1, 0] * 2, float)
+    pairs = [p for t in texts for p in toxicity.swaps(t)]
+    model = toxicity.fit([toxicity.words(t) for t in texts], y, pairs, l1=0.0, counterfactual=0.5, rounds=3000)
+    feats = [toxicity.with_stems(toxicity.words(t)) for t in texts]
+    names = sorted({f for fs in feats for f in fs})
+    odds = {f: math.log((sum(f in fs for fs, v in zip(feats, y) if v) + 0.5) / (y.sum() + 1)) - math.log((sum(f in fs for fs, v in zip(feats, y) if not v) + 0.5) / (len(y) - y.sum() + 1)) for f in names}
+    names = [f for f in names if sum(f in fs for fs in feats) >= 4 and abs(odds[f]) >= 0.5]
+
+    def loss(m):
+        out = 0.0
+        for fs, v in zip(feats, y):
+            z = m.bias + sum(m.weights.get(f, 0.0) for f in fs)
+            out += (math.log1p(math.exp(-z)) if v else math.log1p(math.exp(z))) / len(y)
+        for a, b in pairs:
+            change = sum(m.weights.get(f, 0.0) for f in toxicity.with_stems(toxicity.words(b))) - sum(m.weights.get(f, 0.0) for f in toxicity.with_stems(toxicity.words(a)))
+            out += 0.5 * change**2 / len(pairs)
+        return out
+
+    assert set(model.weights) <= set(names) and "vile" in model.weights
+    best = loss(model)
+    for f in [None, *names]:  # no small step along any weight lowers the loss by more than rounding
+        for step in (1e-3, -1e-3):
+            moved = toxicity.Model(model.bias + step * (f is None), model.weights | ({f: model.weights.get(f, 0.0) + step} if f else {}))
+            assert loss(moved) >= best - 5e-5
+
+
 def test_toxicity_on_held_out_documents(spark, corpus):
     docs, labels = documents(spark, corpus[0]), labelled(spark, corpus[1])
     got = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}

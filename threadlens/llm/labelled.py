@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import smallest_by_hash, text_of
+from .base import WORD, cut, smallest_by_hash, text_of
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``rows`` labelled ids, chosen by hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int, words: int) -> DataFrame:
+    """(doc_id, text, label): whole texts of at most ``rows`` labelled ids, chosen by hash of the id.
 
     ``usable`` says which ids may be learned from.  Labels other than 0 and 1,
-    null ids and ids with two different labels are left out.  The id list has
-    at most ``rows`` entries, which is what bounds the broadcast.
+    null ids and ids with two different labels are left out; of rows that share
+    an id one text stays.  Ids are taken in order of their hash until the texts
+    hold ``words`` words, so very long texts make the sample smaller, never a
+    text shorter.  The id list has at most ``rows`` entries, which is what
+    bounds the broadcast.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable)
     known = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other").drop("other")
     picked = smallest_by_hash(known, "doc_id", rows)
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")
+    found = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    found = cut(found.select("doc_id", F.col("one.text").alias("text"), "label", F.xxhash64("doc_id").alias("h"), F.regexp_count("one.text", F.lit(WORD)).alias("n")))
+    have, last = 0, None
+    for r in found.select("h", "doc_id", "n").orderBy(F.shiftrightunsigned("h", 1), "doc_id").collect():  # at most ``rows`` short rows
+        have += r["n"]
+        if have > words and last is not None:
+            order = F.struct(F.shiftrightunsigned("h", 1).alias("h"), "doc_id")
+            found = found.where(order <= F.struct(F.lit(last["h"] % (1 << 64) >> 1).alias("h"), F.lit(last["doc_id"]).alias("doc_id")))
+            break
+        last = r
+    return found.select("doc_id", "text", "label")

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .base import id_hash_mod, small_batches
 from .labelled import sample
 
-#: Labelled rows used for fitting, at most.
+#: Labelled rows used for fitting, and words in all of them, at most; a row is used with its whole text or not at all.
 TRAIN_ROWS = 8_000
+TRAIN_WORDS = 4_000_000
 #: Words that occur in fewer sampled documents are not learned.
 MIN_DOCS = 4
 #: Lengths of the beginnings of words that count as features of their own.
@@ -174,9 +175,13 @@ def fit(texts: Iterable[Iterable[str]], labels: np.ndarray, pairs: list[tuple[st
     return Model(float(bias), {vocab[k]: float(w[k] * scale[k]) for k in np.flatnonzero(w)})
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options) -> Model:
-    """Fits on at most ``rows`` labelled documents, without those held out."""
-    picked = sample(docs, labels, "toxic", id_hash_mod("doc_id", 4) != 2, rows)
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, words_in_all: int = TRAIN_WORDS, **options) -> Model:
+    """Fits on at most ``rows`` labelled documents of at most ``words_in_all`` words, without those held out.
+
+    The driver gets the distinct words of each and, once for each batch, the
+    counts of the changes that its swaps make.
+    """
+    picked = sample(docs, labels, "toxic", id_hash_mod("doc_id", 4) != 2, rows, words_in_all)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
