@@ -1,13 +1,16 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is read once into a flat list of text blocks.  Each block is described
-by its word count and link density, those of its neighbours, and what encloses
-it; a decision tree, trained on the small labelled table below, says which
-blocks are the article's.
+by its word count and link density, those of its neighbours and, as weaker
+evidence, by what encloses it: elements and the names their authors gave them.
+A decision tree, trained on a small labelled table, says which blocks are the
+article's.  The table's pages are built by the rule in ``labelled_pages``; a
+third of them have no telling element or name at all.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,30 +27,24 @@ from .base import small_batches
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("applet audio button canvas datalist head iframe math noembed noframes noscript object script select style svg template textarea title video".split())
-BOILER_TAGS = frozenset("aside dialog fieldset footer form menu nav search".split())
+BOILER_TAGS = frozenset("aside dialog footer menu nav search".split())
+FORM_TAGS = frozenset(["fieldset", "form"])
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BOILER_WORDS = frozenset("ad ads adsense advert advertisement adverts alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr legal login masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
 BOILER_STEMS = re.compile("comment|advert|sidebar|cookie|newsletter|breadcrumb|footer|masthead|disqus|subscri|sponsor|promo|pagina|banner|widget|ads?(box|slot|unit|space|block|wrap|container|label)")
 CONTENT_TAGS = frozenset(["article", "main"])
 CONTENT_WORDS = frozenset("article content entry main post story".split())
+#: What a name begins or ends with that tells a state of the page, not what the element holds.
+STATES_FIRST = frozenset("has is js no not with without".split())
+STATES_LAST = frozenset("active closed disabled enabled hidden off on open".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: The labelled table, as pages: {+n} stands for n words of the article, {-n} for n other words.
-LABELLED = (
-    "<nav><ul><li><a>{-1}</a><li><a>{-2}</a><li><a>{-1}</a></ul></nav><div class=ad>{-7}</div><article><h1>{+7}</h1><p>{+60}</p><p>{+1}</p><p>{+25}</p><p>{+120}</p></article><footer>{-9}</footer>",
-    "<header><a>{-2}</a><p>{-6}</p></header><main><h1>{+5}</h1><p>{+2}</p><p>{+80}</p><h2>{+3}</h2><ul><li>{+4}</li><li>{+9}</li></ul><p>{+40} <a>{+3}</a></p></main><aside><h3>{-2}</h3><p>{-30}</p></aside><footer><p>{-12}</p></footer>",
-    "<div class=cookie-notice><p>{-25}</p></div><article><header><h1>{+9}</h1></header><p>{+45}</p><div class=advert><p>{-18}</p></div><p>{+70}</p><aside><p>{-35}</p></aside><p>{+1}</p><section class=comments><h3>{-2}</h3><p>{-40}</p><p>{-8}</p></section></article>",
-    "<div id=menu><a>{-1}</a> <a>{-1}</a> <a>{-2}</a></div><div><h1>{+6}</h1><p>{+55}</p><p>{+30}</p><p>{+90}</p></div><div><a>{-4}</a> <a>{-6}</a></div><div id=footer>{-14}</div>",
-    "<div><a>{-2}</a></div><div><a>{-1}</a></div><div><a>{-3}</a></div><p>{+34}</p><p>{+48}</p><p>{+20}</p><p>{+66}</p><div>{-4}</div><div><a>{-2}</a> {-1}</div>",
-    "<article><h1>{+8}</h1><p>{+1}</p></article><form><p>{-20}</p><label>{-2}</label></form><div class=newsletter><p>{-50}</p></div>",
-    "<main><article><h1>{+4}</h1><p>{+15}</p><blockquote>{+22}</blockquote><pre>{+10}</pre><table><tr><td>{+3}</td><td>{+2}</td></tr></table></article><div class=related><h2>{-2}</h2><p>{-26}</p><ul><li><a>{-8}</a></li></ul></div></main>",
-    "<aside><article><h2>{-4}</h2><p>{-30}</p></article></aside><article><p>{+12}</p><p>{+18}</p><p><a>{+4}</a></p></article><div id=comments><article><p>{-33}</p></article><article><p>{-5}</p></article></div>",
-    "<div class=sidebar><p>{-60}</p><p>{-45}</p></div><div class=content><h2>{+5}</h2><p>{+3}</p><p>{+110}</p></div><div class=footer><p>{-16}</p></div>",
-    "<header><nav><a>{-1}</a></nav><p>{-10}</p></header><p>{+28}</p><p>{+75}</p><p>{+31}</p><footer><nav><a>{-2}</a><a>{-2}</a></nav></footer>",
-    "<table><tr><td><a>{-2}</a><td><a>{-2}</a></table><div>{-3}</div><div>{+50}</div><div>{+44}</div><div>{+38}</div><div>{-5}</div><div><a>{-3}</a></div>",
-    "<div role=banner>{-12}</div><div role=main><h1>{+3}</h1><p>{+2}</p><p>{+33}</p></div><div role=complementary><p>{-41}</p></div>",
-)
-FEATURE_NAMES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_content", "in_boilerplate", "content_in_boilerplate", "in_header", "heading")
+#: Pages of the labelled table, and the seed they are drawn with.
+TABLE_PAGES, TABLE_SEED = 720, 12
+FEATURE_NAMES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_content", "in_boiler_element", "in_boiler_name", "content_in_boiler", "in_header", "heading")
+#: Levels of the tree, from its root, that words and links lead, and how much a gain by elements and names counts there.
+LEAD, WEAK = 2, 0.1
+WEIGHTS = (1.0,) * 6 + (WEAK,) * 6
 
 
 #: A start or end tag; quoted values may hold any mark.  The quantifiers never give back, so a match is linear.
@@ -60,17 +57,17 @@ RAW_TAGS = frozenset("iframe noembed noframes script style textarea title xmp".s
 class _Page:
     """Reads a page once, front to back, and collects its blocks.
 
-    A block is (text, words, link density, in_content, in_boilerplate,
-    content_in_boilerplate, in_header, heading).  What encloses a block is
-    worked out as elements open, so deep nesting costs nothing more.
+    A block is (text, words, link density, and what encloses it, as the last
+    six of FEATURE_NAMES).  That is worked out as elements open, so deep
+    nesting costs nothing more.
     """
 
     def __init__(self):
         self.blocks: list[tuple] = []
         self.text: list[tuple[str, bool]] = []
         self.links = self.silent = 0
-        # tag, and for what it encloses: in content, in boilerplate, boilerplate outside of content, in a header, in a heading
-        self.stack: list[tuple] = [("", 0, 0, 0, 0, 0)]
+        # tag, and for what it encloses: in content, boiler element, boiler name, form, content inside of boilerplate, header, heading
+        self.stack: list[tuple] = [("", 0, 0, 0, 0, 0, 0, 0)]
         self.open: Counter = Counter()
 
     def read(self, page: str) -> list[tuple]:
@@ -113,19 +110,23 @@ class _Page:
             if words:
                 n = words.count(" ") + 1
                 linked = sum(len(t.split()) for t, link in self.text if link)
-                _, content, boiler, outer, header, heading = self.stack[-1]
-                self.blocks.append((words, n, min(1.0, linked / n), content, boiler, outer, int(header and not content), heading))
+                _, content, element, name, form, outer, header, heading = self.stack[-1]
+                self.blocks.append((words, n, min(1.0, linked / n), content, int(element or form), name, outer, int(header and not content), heading))
             self.text = []
 
     def push(self, tag: str, kind: str) -> None:
-        _, content, boiler, outer, header, heading = self.stack[-1]
-        if kind == "content":
-            content, boiler, outer = 1, 0, int(outer or boiler)
-        elif kind == "boiler":
-            boiler = 1
+        _, content, element, name, form, outer, header, heading = self.stack[-1]
+        if kind == "content":  # a form may be wrapped round a whole page, so it says nothing of an article in it
+            content, element, name, form, outer = 1, 0, 0, 0, int(outer or element or name)
+        elif kind == "element":
+            element = 1
+        elif kind == "name":
+            name = 1
+        elif kind == "form":
+            form = 1
         elif kind == "header":
             header = 1
-        self.stack.append((tag, content, boiler, outer, header, int(heading or tag in HEADINGS)))
+        self.stack.append((tag, content, element, name, form, outer, header, int(heading or tag in HEADINGS)))
         self.open[tag] += 1
         self.silent += tag in SILENT_TAGS
 
@@ -166,28 +167,53 @@ class _Page:
             self.pop(tag)
 
 
+def _named(said: dict[str, str]) -> str:
+    """What the class and id of an element say: boiler, content, header, or nothing.
+
+    Names are taken whole: one that is a boilerplate word decides; then one that
+    is a content word; then names made of several words, but not those that only
+    tell a state, such as no-sidebar or modal-open.
+    """
+    parts = []
+    for name in (said.get("class", "") + " " + said.get("id", "")).split():
+        spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name)
+        parts.append(re.findall(r"[a-z]+", spaced.lower()))
+    single = {p[0] for p in parts if len(p) == 1}
+    if single & BOILER_WORDS or any(map(BOILER_STEMS.match, single)):
+        return "boiler"
+    if single & CONTENT_WORDS:
+        return "content"
+    several = [p for p in parts if len(p) > 1 and p[0] not in STATES_FIRST and p[-1] not in STATES_LAST]
+    if any(w in BOILER_WORDS or BOILER_STEMS.match(w) for p in several for w in p):
+        return "boiler"
+    if "header" in single or any("header" in p for p in several):
+        return "header"
+    return "content" if any(w in CONTENT_WORDS for p in several for w in p) else ""
+
+
 def _kind(tag: str, attributes: str) -> str:
-    """What an element says about what it encloses: content, boiler, header, or nothing."""
+    """What an element says about what it encloses: content, (boilerplate by its) element or name, form, header, or nothing."""
     said = {}
     if attributes.strip():
         for name, double, single, bare in _ATTRIBUTE.findall(attributes):
             said.setdefault(name.lower(), unescape(double or single or bare))
     if "hidden" in said or said.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", said.get("style", "")):
-        return "boiler"
+        return "element"
     if tag in ("html", "body"):
         return ""
     role = said.get("role", "").lower()
-    named = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", said.get("class", "") + " " + said.get("id", ""))
-    names = set(re.findall(r"[a-z]+", named.lower()))
     if tag in BOILER_TAGS or role in BOILER_ROLES:
-        return "boiler"
+        return "element"
+    if tag in FORM_TAGS:
+        return "form"
+    named = _named(said)
     if tag in CONTENT_TAGS or role in ("main", "article"):
-        return "boiler" if names & {"comment", "comments", "ad", "advert", "teaser", "promo", "sponsored"} else "content"
-    if names & BOILER_WORDS or any(map(BOILER_STEMS.match, names)):
-        return "boiler"
-    if "header" in names or tag == "header":
+        return "name" if named == "boiler" else "content"
+    if named == "boiler":
+        return "name"
+    if named == "header" or tag == "header":
         return "header"
-    return "content" if names & CONTENT_WORDS and tag in ("div", "section", "td") else ""
+    return "content" if named == "content" and tag in ("div", "section", "td") else ""
 
 
 def blocks(html: str) -> list[tuple]:
@@ -196,31 +222,39 @@ def blocks(html: str) -> list[tuple]:
 
 def features(found: list[tuple]) -> np.ndarray:
     """One row of FEATURE_NAMES for each block; neighbours beyond the page count as empty."""
-    own = np.array([b[1:] for b in found], float).reshape(-1, 7)
-    pad = np.vstack([np.zeros((1, 7)), own, np.zeros((1, 7))])
+    own = np.array([b[1:] for b in found], float).reshape(-1, 8)
+    pad = np.vstack([np.zeros((1, 8)), own, np.zeros((1, 8))])
     return np.hstack([own[:, :2], pad[:-2, :2], pad[2:, :2], own[:, 2:]])
 
 
 class Tree:
-    """A binary decision tree grown by Gini impurity; ties go to the first feature and the lowest cut."""
+    """A binary decision tree grown by Gini impurity until its leaves are pure.
+
+    On the first ``lead`` levels a feature's gain counts by its weight; ties go
+    to the first feature and the lowest cut.
+    """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weights: tuple[float, ...] = WEIGHTS, lead: int = LEAD, depth: int = 24):
         self.answer, self.feature = bool(2 * y.sum() >= len(y)), None
         if depth == 0 or y.all() or not y.any():
             return
-        best = (2 * y.mean() * (1 - y.mean()) - 1e-9, None, None)
+        whole, best = 2 * y.mean() * (1 - y.mean()), (1e-9, None, None)
         for f in range(x.shape[1]):
-            values = np.unique(x[:, f])
-            for cut in (values[1:] + values[:-1]) / 2:
-                left = x[:, f] <= cut
-                p, q, share = y[left].mean(), y[~left].mean(), left.mean()
-                impurity = 2 * share * p * (1 - p) + 2 * (1 - share) * q * (1 - q)
-                if impurity < best[0] - 1e-12:
-                    best = (impurity, f, cut)
+            order = np.argsort(x[:, f], kind="stable")
+            v, ones = x[order, f], np.cumsum(y[order])
+            at = np.flatnonzero(v[1:] > v[:-1])  # a cut between at and at + 1
+            if not len(at):
+                continue
+            n, p = at + 1.0, ones[at] / (at + 1.0)
+            q = (ones[-1] - ones[at]) / (len(y) - n)
+            gain = (weights[f] if lead > 0 else 1.0) * (whole - (2 * n * p * (1 - p) + 2 * (len(y) - n) * q * (1 - q)) / len(y))
+            k = int(np.argmax(gain > gain.max() - 1e-12))
+            if gain[k] > best[0] + 1e-12:
+                best = (gain[k], f, (v[at[k]] + v[at[k] + 1]) / 2)
         if best[1] is not None:
             _, self.feature, self.cut = best
             left = x[:, self.feature] <= self.cut
-            self.low, self.high = Tree(x[left], y[left], depth - 1), Tree(x[~left], y[~left], depth - 1)
+            self.low, self.high = (Tree(x[part], y[part], weights, lead - 1, depth - 1) for part in (left, ~left))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         if self.feature is None:
@@ -230,10 +264,79 @@ class Tree:
         return out
 
 
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
+def labelled_pages(pages: int = TABLE_PAGES, seed: int = TABLE_SEED) -> list[str]:
+    """Pages whose words are + in the article and - elsewhere.
+
+    Of every three pages one marks its article by an element, one by a name,
+    and one not at all.  The first two hold everything that an article may lie
+    beside or round; the third holds prose between blocks of links.
+    """
+    rng = random.Random(seed)
+    pick = rng.choice
+    size = lambda: pick((1, 2, 3, 4, 6, 9, 11, 14, 20, 30, 45, 60, 90, 120))
+    text = lambda sign, n: " ".join([sign] * n)
+    link = lambda sign, n: f"<a>{text(sign, n)}</a>"
+
+    def links(sign: str) -> str:
+        kind, items = pick(("ul", "div", "row")), [link(sign, rng.randint(1, 5)) for _ in range(rng.randint(2, 8))]
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>"
+        return "".join(f"<div>{i}</div>" for i in items) if kind == "div" else f"<div>{' '.join(items)}</div>"
+
+    def aside(marks: tuple[str, ...]) -> str:
+        inside = "".join(pick((f"<p>{text('-', size())}</p>", f"<h3>{text('-', rng.randint(1, 4))}</h3><p>{text('-', size())}</p>", links("-"), text("-", size()))) for _ in range(rng.randint(1, 3)))
+        opened = pick(marks)
+        if opened != "form" and rng.random() < 0.15:
+            inside = f"<article>{inside}</article>"
+        return f"<{opened}>{inside}</{opened.split()[0]}>"
+
+    def prose(marks: tuple[str, ...]) -> str:
+        out = [f"<h1>{text('+', rng.randint(1, 12))}</h1>"] if rng.random() < 0.85 else []
+        for _ in range(rng.randint(1, 9)):
+            kind = rng.random()
+            if kind < 0.6:
+                out.append(f"<p>{text('+', size())}</p>")
+            elif kind < 0.7:
+                out.append(f"<p>{text('+', size())} {link('+', rng.randint(1, 6))} {text('+', rng.randint(0, 8))}</p>")
+            elif kind < 0.78:
+                out.append(f"<h2>{text('+', rng.randint(1, 8))}</h2>")
+            elif kind < 0.86:
+                out.append(pick((links("+"), f"<p>{link('+', rng.randint(1, 6))}</p>")))
+            elif kind < 0.92:
+                out.append("<ul>" + "".join(f"<li>{text('+', rng.randint(1, 15))}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
+            elif marks:
+                out.append(aside(marks))
+        return "".join(out)
+
+    elements = ("aside", "footer", "nav", "form", "div role=complementary", "div role=navigation", "div hidden")
+    names = ("div class=sidebar", "div class=ad", "div id=comments", "div class='cookie notice'", "section class=newsletter", "div class=related-posts", "div id=footer", "div class=menu", "div class='post-comments'", "div class='social share'")
+    out = []
+    for k in range(pages):
+        marks = elements + names
+        if k % 15 == 2:  # nothing but prose
+            out.append("".join(f"<p>{text('+', size())}</p>" for _ in range(rng.randint(1, 3))))
+            continue
+        if k % 3 == 2:
+            long = "".join(pick((f"<p>{text('+', rng.randint(20, 130))}</p>", f"<div>{text('+', rng.randint(25, 130))}</div>", f"<p>{text('+', rng.randint(18, 60))} {link('+', rng.randint(1, 4))}</p>")) + (f"<p>{text('+', rng.randint(2, 12))}</p>" if rng.random() < 0.2 else "") for _ in range(rng.randint(2, 6)))
+            head = f"<h1>{text('+', rng.randint(2, 12))}</h1>" if rng.random() < 0.6 else ""
+            foot = "".join(f"<div>{text('-', rng.randint(1, 6))}</div>" if rng.random() < 0.4 else links("-") for _ in range(rng.randint(0, 2)))
+            out.append(links("-") + (f"<div>{text('-', rng.randint(1, 5))}</div>" + links("-") if rng.random() < 0.3 else "") + head + long + f"<p>{text('+', rng.randint(16, 80))}</p>" + (links("-") if foot else "") + foot)
+            continue
+        before = "".join(aside(marks) for _ in range(rng.randint(0, 3))) + (f"<header>{pick(('', links('-')))}<p>{text('-', size())}</p></header>" if rng.random() < 0.5 else "")
+        after = "".join(aside(marks) for _ in range(rng.randint(0, 3)))
+        if k % 3 == 0:
+            tag = pick(("article", "main", "div role=main"))
+        else:
+            tag = pick(("div class=content", "div id=main", "section class=post", "div class='entry wide'", "td class=story", "div class='page-content'"))
+        whole = f"<{tag}>{prose(marks)}</{tag.split()[0]}>"
+        out.append(before + (f"<form>{whole}</form>" if rng.random() < 0.05 else whole) + after)
+    return out
+
+
+def labelled_table(pages: int = TABLE_PAGES, seed: int = TABLE_SEED) -> tuple[np.ndarray, np.ndarray]:
     rows, labels = [], []
-    for page in LABELLED:
-        found = blocks(re.sub(r"\{([+-])(\d+)\}", lambda m: " ".join([m[1]] * int(m[2])), page))
+    for page in labelled_pages(pages, seed):
+        found = blocks(page)
         rows.append(features(found))
         labels += [b[0].startswith("+") for b in found]
     return np.vstack(rows), np.array(labels)
@@ -260,9 +363,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     null urls and repeated rows too.
     """
 
+    tree = trained()  # grown once, on the driver
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [extract(h or "") for h in batch["html"]]
+            texts = [extract(h or "", tree) for h in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"].array, "url": batch["url"], "text": texts, "n_chars": list(map(len, texts))})
 
     kind = pages.schema["page_id"].dataType.simpleString()
