@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadlens.llm.ann import Shard, learn, search
+from threadlens.llm.ann import Shard, learn, masks, search
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, score string, id string, q string, x string, shard string"
 
@@ -38,14 +38,37 @@ def test_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
-def test_probing_retrieves_the_whole_ball():
+def test_probing_retrieves_the_whole_ball_once():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((500, 24))
-    shard = Shard(learn(x, 5), np.arange(500), x)
-    for radius in (0, 1, 2, 3, 6, 9, 24):
-        for q in range(0, 500, 50):
-            distance = np.unpackbits(shard.packed ^ shard.packed[q], axis=1).sum(1)
-            assert shard.within(shard.packed[q], radius).tolist() == np.flatnonzero(distance <= radius).tolist()
+    for rows in (20, 500, 60_000):  # substrings of 4, 9 and 16 bits
+        codes = learn(x, 5, rows=rows)
+        bits, subs = codes.bits(x), codes.substrings(x)
+        shards = [Shard(codes, j, np.arange(500), np.arange(500), subs, x) for j in range(codes.parts)]
+        for radius in (0, 1, 2, 3, 6, 9, 17, 24, 40, 64):
+            for q in range(0, 500, 100):
+                got = [int(i) for s in shards for i in s.uids[s.within(subs[q], radius)]]
+                assert sorted(got) == np.flatnonzero((bits != bits[q]).sum(1) <= radius).tolist()
+
+
+def test_masks():
+    for width, within in ((0, 0), (0, 3), (5, 0), (6, 2), (4, 4), (5, 9)):
+        assert sorted(masks(width, within)) == [v for v in range(1 << width) if v.bit_count() <= within]
+
+
+def test_copies_and_long_vectors(spark):
+    """A third of the rows share one vector; shards hold few rows, so that prefixes are salted and queries routed."""
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((900, 300)) + 2 * rng.standard_normal((20, 300))[rng.integers(0, 20, 900)]).astype(np.float32)
+    x[:300] = x[0]
+    ids = np.arange(900)
+    got = search(frame(spark, [(int(i), v.tolist()) for i, v in zip(ids, x)]), F.col("vec_id") % 50 == 0, shard_rows=40).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(found[q] == [i for i in range(6) if i != q][:5] for q in range(0, 300, 50))
+    hits = sum(len(set(brute(x, ids, q, 5)[0].tolist()) & set(found[q])) for q in range(300, 900, 50))
+    assert hits / 60 >= 0.9
 
 
 def test_edges(spark):
@@ -56,8 +79,8 @@ def test_edges(spark):
     by = {}
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
         by.setdefault(r.query_id, []).append(r.vec_id)
-    # Equal vectors tie and go by id; bad vectors neither ask nor answer.
-    assert by == {0: [2, 3, 50, 10, 9], 50: [0, 2, 3, 10, 9]}
+    # Equal vectors tie and go by id, and rows that repeat one are rows; bad vectors neither ask nor answer.
+    assert by == {0: [2, 3, 3, 50, 10], 50: [0, 2, 3, 3, 10]}
     assert search(frame(spark, []), F.lit(True)).collect() == []
     assert search(frame(spark, [(0, v)]), F.lit(True)).collect() == []
     assert [(r.query_id, r.vec_id) for r in search(frame(spark, [(0, v), (1, v)]), F.col("vec_id") == 0).collect()] == [(0, 1)]

@@ -2,18 +2,23 @@
 
 Codes are the signs of the vectors after a learned rotation (principal axes,
 then iterative quantisation, on a bounded sample).  A code is split into
-substrings and every shard of the index files its rows under the value of each
-substring.  A code within R bits of a query agrees with it to within R/m bits
-in at least one of the m substrings (pigeonhole), so probing the buckets within
-R/m bits of each query substring retrieves every code within R.  Those codes
-are reranked by the cosine of the original vectors in double precision.
-
-All rows are indexed, in shards of bounded size; the queries are sent to every
-shard, streamed through it in batches, and the shards' best are merged.
+substrings of about log2(rows) bits.  Each substring has an index of its own: a
+table that files all rows under the substring's value, dealt to shards by the
+value's leading bits (and, where one value holds many rows, by salt).
+
+Two codes within R bits agree to within R/m bits in one of the m substrings;
+with R = m a + r, to within a bits in one of the first r + 1 substrings or a - 1
+in one of the others (pigeonhole).  A query goes to the shards whose leading
+bits are that near, probes the buckets there, and verifies whole codes, so that
+every code within R is retrieved, once.  Those are reranked by the cosine of
+the original vectors in double precision, and the shards' best are merged.
+Queries that find too few go round again with a wider radius.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, smallest_by_hash
+from .base import cut, is_empty, small_side, smallest_by_hash
+
+log = logging.getLogger(__name__)
 
 #: Rows used to learn the rotation and the radius, at most.
 SAMPLE_ROWS = 10_000
@@ -30,23 +37,40 @@ SAMPLE_ROWS = 10_000
 SAMPLE_QUERIES = 400
 #: Rows in a shard of the index, about.
 SHARD_ROWS = 16_384
-SUBSTRING_BITS = 8
+#: Bits of a code, at least; bits of a substring, at least and at most.
+CODE_BITS, LEAST_BITS, MOST_BITS = 64, 4, 24
 #: Recall wanted on the sample.
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.95
 ROUNDS, SEED = 30, 11
 
 
 @dataclass
 class Codes:
-    """Learned codes: bit k of x is on if (x/|x| - mean) . axes[:, k] > 0; radius as chosen on the sample."""
+    """Learned codes: bit k of x is on if (x/|x| - mean) . axes[:, k] > 0; substrings of ``width`` bits; radius as chosen on the sample."""
 
     mean: np.ndarray
     axes: np.ndarray
+    width: int
     radius: int
+    recall: float = 1.0
+
+    @property
+    def parts(self) -> int:
+        return self.axes.shape[1] // self.width
 
     def bits(self, x: np.ndarray) -> np.ndarray:
         return (unit(x) - self.mean) @ self.axes > 0
 
+    def substrings(self, x: np.ndarray) -> np.ndarray:
+        """The values of the substrings of each row, first bit highest: (rows, parts) int32."""
+        places = 1 << np.arange(self.width - 1, -1, -1, dtype=np.int32)
+        return self.bits(x).reshape(len(x), self.parts, self.width) @ places
+
+    def reach(self, radius: int) -> list[int]:
+        """Bits by which each substring may differ (-1: not probed) so that all codes within ``radius`` are met."""
+        a, rest = divmod(radius, self.parts)
+        return [a if j <= rest else a - 1 for j in range(self.parts)]
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -64,22 +88,31 @@ def cosines(rows: np.ndarray, lengths: np.ndarray, query: np.ndarray) -> np.ndar
     return (rows * query).sum(1) / (lengths * length)
 
 
-def learn(x: np.ndarray, k: int, recall: float = TARGET_RECALL) -> Codes:
-    """Learns the rotation on the rows of x, and the smallest radius that reaches ``recall`` for the k nearest in x."""
+def width_for(rows: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(2, rows)))))
+
+
+def learn(x: np.ndarray, k: int, recall: float = TARGET_RECALL, rows: int | None = None) -> Codes:
+    """Learns the rotation on the rows of x, and the smallest radius that reaches ``recall`` for the k nearest in x.
+
+    ``rows``: how many rows the index will hold (those of x if not told).
+    """
+    width = width_for(rows or len(x))
     rng = np.random.default_rng(SEED)
     u, dim = unit(x), x.shape[1]
     mean = u.mean(0)
     z = u - mean
     axes = np.linalg.eigh(z.T @ z)[1][:, ::-1]
-    bits = -(-dim // SUBSTRING_BITS) * SUBSTRING_BITS
-    if bits > dim:  # whole substrings need some further directions
-        axes = np.hstack([axes, np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, : bits - dim]]) if bits - dim <= dim else rng.standard_normal((dim, bits))
+    bits = max(2, round(CODE_BITS / width)) * width
+    axes = axes[:, :bits]
+    while axes.shape[1] < bits:  # more bits than dimensions take further directions
+        axes = np.hstack([axes, np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, : bits - axes.shape[1]]])
     z = z @ axes
     turn = np.linalg.qr(rng.standard_normal((bits, bits)))[0]
     for _ in range(ROUNDS):
         a, _, b = np.linalg.svd(np.sign(z @ turn).T @ z)
         turn = (a @ b).T
-    codes = Codes(mean, axes @ turn, bits)
+    codes = Codes(mean, axes @ turn, width, bits)
     own = codes.bits(x)
     pick = np.linspace(0, len(x) - 1, min(len(x), SAMPLE_QUERIES)).astype(int)
     near = []
@@ -91,64 +124,66 @@ def learn(x: np.ndarray, k: int, recall: float = TARGET_RECALL) -> Codes:
     spread = np.concatenate(near) if near else np.zeros(0)
     if len(spread):
         codes.radius = int(np.quantile(spread, recall, method="higher"))
+        codes.recall = float((spread <= codes.radius).mean())
     return codes
 
 
-_HAMMING = np.array([[bin(a ^ b).count("1") for b in range(256)] for a in range(256)], np.uint8)
-
-
-def _words(packed: np.ndarray) -> np.ndarray:
-    """Packed codes as 64-bit words, filled up with zeros."""
-    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+def masks(width: int, within: int) -> np.ndarray:
+    """All numbers of ``width`` bits of which at most ``within`` are set."""
+    out = np.zeros(1, np.int32)
+    for b in range(width):
+        more = out | np.int32(1 << b)
+        out = np.concatenate([out, more[np.bitwise_count(more) <= within]])
+    return out
 
 
 class Shard:
-    """Substring indexes over one shard's codes, and the search in it."""
-
-    def __init__(self, codes: Codes, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.codes, self.ids = codes, ids[order]
-        self.packed = np.packbits(codes.bits(x[order]), axis=1)
-        self.parts = self.packed.shape[1]
-        self.words = _words(self.packed)
+    """One shard of substring ``table``'s index, and the search in it."""
+
+    def __init__(self, codes: Codes, table: int, uids: np.ndarray, ids: np.ndarray, subs: np.ndarray, x: np.ndarray):
+        order = np.lexsort((uids, ids, subs[:, table]))
+        self.codes, self.table = codes, table
+        self.uids, self.ids, self.subs = uids[order], ids[order], subs[order]
         self.x, self.lengths = scaled(x[order])
-        # For each substring: rows sorted by value, and where each value begins.
-        self.rows = np.argsort(self.packed, axis=0, kind="stable").T.astype(np.int32)
-        self.begins = np.stack([np.searchsorted(self.packed[self.rows[j], j], np.arange(257)) for j in range(self.parts)])
-        self.lists: dict[tuple[int, int, int], np.ndarray] = {}
-
-    def _bucket(self, j: int, value: int, within: int) -> np.ndarray:
-        key = (j, value, within)
-        if key not in self.lists:
-            b = self.begins[j]
-            self.lists[key] = np.concatenate([self.rows[j, b[v] : b[v + 1]] for v in np.flatnonzero(_HAMMING[value] <= within)])
-        return self.lists[key]
+        self.values, self.begins = np.unique(self.subs[:, table], return_index=True)
+        self.ends = np.append(self.begins[1:], len(order))
+        self.masks: dict[int, np.ndarray] = {}
+
+    def _buckets(self, value: int, within: int) -> np.ndarray:
+        """The filed values within so many bits: looked up one by one or, if there are fewer of them than probes, compared."""
+        probes = sum(math.comb(self.codes.width, k) for k in range(within + 1))
+        if probes >= len(self.values):
+            return np.flatnonzero(np.bitwise_count(self.values ^ value) <= within)
+        if within not in self.masks:
+            self.masks[within] = masks(self.codes.width, within)
+        wanted = self.masks[within] ^ value
+        at = np.minimum(np.searchsorted(self.values, wanted), len(self.values) - 1)
+        return np.sort(at[self.values[at] == wanted])
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is within ``radius`` bits: probe each substring index, then verify."""
-        hit = np.zeros(len(self.ids), bool)
-        for j in range(self.parts):
-            hit[self._bucket(j, int(code[j]), radius // self.parts)] = True
-        rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.words[rows] ^ _words(code[None, :])).sum(1, dtype=np.int64) <= radius]
-
-    def search(self, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-        """(query id, row id, cosine), the k best of each query in this shard, its own row left out.
-
-        Where fewer than k codes lie within the radius, it is widened.
-        """
-        coded = np.packbits(self.codes.bits(x), axis=1)
-        for q, code, vector in zip(ids, coded, x):
-            radius = self.codes.radius
-            while True:
-                rows = self.within(code, radius)
-                rows = rows[self.ids[rows] != q]
-                if len(rows) >= k or radius >= 8 * self.parts:
-                    break
-                radius += self.parts
-            score = cosines(self.x[rows], self.lengths[rows], vector) if len(rows) else np.zeros(0)
-            for r in np.argsort(-score, kind="stable")[:k]:  # rows ascend by id, so ties go to the smaller
-                yield int(q), int(self.ids[rows[r]]), float(score[r])
+        """Rows whose code is within ``radius`` bits and that no earlier substring's table retrieves."""
+        reach = self.codes.reach(radius)
+        if reach[self.table] < 0:
+            return np.zeros(0, np.int64)
+        found = self._buckets(int(code[self.table]), reach[self.table])
+        if not len(found):
+            return found
+        begins, n = self.begins[found], self.ends[found] - self.begins[found]
+        rows = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        apart = np.bitwise_count(self.subs[rows] ^ code).astype(np.int64)
+        mine = apart.sum(1) <= radius
+        if self.table:
+            mine &= (apart[:, : self.table] > np.array(reach[: self.table])).all(1)
+        return rows[mine]
+
+    def search(self, uid: int, code: np.ndarray, vector: np.ndarray, radius: int, k: int) -> Iterator[tuple[int, int, int, float]]:
+        """(query row, row, id, cosine) of the query's k best in this shard, its own row left out; ties go to the smaller id."""
+        rows = self.within(code, radius)
+        rows = rows[self.uids[rows] != uid]
+        if len(rows):
+            score = cosines(self.x[rows], self.lengths[rows], vector)
+            for r in np.lexsort((self.uids[rows], self.ids[rows], -score))[:k]:
+                yield uid, int(self.uids[rows[r]]), int(self.ids[rows[r]]), float(score[r])
 
 
 def usable(vector: Column) -> Column:
@@ -161,43 +196,95 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     """query_id, rank, vec_id, score: the k nearest found of each query row among all other rows.
 
     Vectors that are null, zero or hold a null or non-finite component take no
-    part, nor do null ids and vectors whose length differs from the commonest
-    one in the sample.  Of rows with one id the first by content is taken.
-    Ties in score go to the smaller id.  Empty input gives an empty result.
+    part, nor do null ids.  Vectors of unlike lengths are not compared: each
+    length has an index of its own.  Rows that repeat an id are rows of their
+    own.  Ties in score go to the smaller id.  Where a query has no more than k
+    other rows it finds them all.  Empty input gives an empty result.
     """
-    spark = vectors.sparkSession
     good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    good = good.where(F.col("id").isNotNull() & usable(F.col("x"))).groupBy("id").agg(F.min("x").alias("x"), F.max("q").alias("q"))
-    good = cut(good)
-    sample = smallest_by_hash(good.select("id", "x"), "id", sample_rows).toPandas()
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
-    if not len(sample):
-        return spark.createDataFrame([], empty)
-    lengths = sample["x"].map(len)
-    dim = int(lengths.mode().min())
-    good = good.where(F.size("x") == dim)
-    codes = learn(np.array(sample["x"][lengths == dim].tolist(), float), k, recall)
-    shards = max(1, -(-good.count() // shard_rows))
-    own = good.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "x")
-    asked = good.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "x")
-    both = own.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "id")
+    good = cut(good.where(F.col("id").isNotNull() & usable(F.col("x"))).withColumns({"dim": F.size("x"), "uid": F.monotonically_increasing_id()}))
+    out = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for dim, rows in sorted(map(tuple, good.groupBy("dim").count().collect())):  # as a rule there is one length
+        out = out.unionByName(_search(good.where(F.col("dim") == dim), rows, k, shard_rows, sample_rows, recall))
+    return out
+
+
+def _search(good: DataFrame, rows: int, k: int, shard_rows: int, sample_rows: int, recall: float) -> DataFrame:
+    """search() among ``rows`` vectors of one length."""
+    sample = smallest_by_hash(good.select("uid", "id", "x"), "uid", sample_rows).toPandas()
+    codes = learn(np.array(sample["x"].tolist(), float), k, recall, rows)
+    log.info("%d rows: %d substrings of %d bits, radius %d, recall %.3f on the sample", rows, codes.parts, codes.width, codes.radius, codes.recall)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["subs"] = list(codes.substrings(np.array(batch["x"].tolist(), float))) if len(batch) else []
+            yield batch
+
+    coded = cut(good.select("uid", "id", "q", "x").mapInPandas(encode, "uid bigint, id bigint, q boolean, x array<double>, subs array<int>"))
+    # Shards by the leading bits of a substring's value: as many as leave one about shard_rows, more for prefixes that hold more.
+    lead = min(codes.width, max(0, math.ceil(math.log2(rows / shard_rows)))) if rows > shard_rows else 0
+    each = F.posexplode("subs").alias("part", "value")
+    prefix = F.shiftright("value", codes.width - lead).alias("prefix")
+    filed = coded.select("uid", "id", "x", "subs", each).select("uid", "id", "x", "subs", "part", prefix)
+    sizes = filed.groupBy("part", "prefix").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("salts"))
+    # One row for about shard_rows rows of a table.
+    before = Window.orderBy("part", "prefix").rowsBetween(Window.unboundedPreceding, -1)
+    shards = cut(sizes.withColumn("base", F.coalesce(F.sum("salts").over(before), F.lit(0)).cast("int")))
+    total = int(shards.agg(F.sum("salts")).first()[0])
+    own = filed.join(small_side(shards), ["part", "prefix"])
+    own = own.select((F.col("base") + F.pmod(F.xxhash64("uid"), F.col("salts"))).cast("int").alias("shard"), F.lit(0).alias("kind"), "part", "uid", "id", "x", "subs")
+    asked = coded.where("q").select("uid", "id", "x", "subs")
+    parts, found = codes.parts, []
+    radius, last = codes.radius, parts * codes.width
+    while True:
+        got = cut(_round(own, asked, shards, codes, lead, radius, total, k))
+        if radius < last:
+            # Whoever found fewer than k, though there are as many, looks further.
+            n = got.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+            short = cut(asked.join(n, "uid", "left").where(F.coalesce("n", F.lit(0)) < min(k, rows - 1)).drop("n"))
+            found.append(got.join(short.select("uid"), "uid", "left_anti"))
+            if is_empty(short):
+                break
+            asked, radius = short, min(last, radius + 2 * parts) if len(found) == 1 else last
+        else:
+            found.append(got)
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.join(coded.where("q").select("uid", F.col("id").alias("query_id")), "uid").select("query_id", "rank", "vec_id", "score")
+
+
+def _round(own: DataFrame, asked: DataFrame, shards: DataFrame, codes: Codes, lead: int, radius: int, total: int, k: int) -> DataFrame:
+    """uid, rank, vec_id, score: the k best of each query row within the radius."""
+    reach = codes.reach(radius)
+    near = F.array(*[F.array(*[F.lit(int(m)) for m in masks(lead, max(r, 0))]) if r >= 0 else F.array().cast("array<int>") for r in reach])
+    probes = asked.select("uid", "id", "x", "subs", F.posexplode("subs").alias("part", "value"))
+    at = F.transform(F.get(near, F.col("part")), lambda m: m.bitwiseXOR(F.shiftright("value", codes.width - lead)))
+    probes = probes.select("uid", "id", "x", "subs", "part", F.explode(at).alias("prefix")).join(small_side(shards), ["part", "prefix"])
+    probes = probes.withColumn("shard", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("salts") - 1)))
+    probes = probes.select("shard", F.lit(1).alias("kind"), "part", "uid", "id", "x", "subs")
+    both = own.unionByName(probes).repartitionById(total, "shard").sortWithinPartitions("shard", "kind", "uid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows of a shard come first, then the queries, a batch at a time.
         at, held, index = None, [], None
         for batch in batches:
             for (shard, kind), part in batch.groupby(["shard", "kind"], sort=True):
-                ids, x = part["id"].to_numpy(), np.array(part["x"].tolist(), float)
                 if shard != at:
                     at, held, index = shard, [], None
                 if kind == 0:
-                    held.append((ids, x))
-                elif held or index:
-                    if index is None:
-                        index, held = Shard(codes, np.concatenate([i for i, _ in held]), np.vstack([v for _, v in held])), []
-                    out = list(index.search(ids, x, k))
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = both.mapInPandas(run, "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    held.append(part)
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    mine, held = pd.concat(held), []
+                    index = Shard(codes, int(mine["part"].iloc[0]), mine["uid"].to_numpy(), mine["id"].to_numpy(), np.array(mine["subs"].tolist(), np.int32), np.array(mine["x"].tolist(), float))
+                asking = zip(part["uid"], part["subs"], part["x"])
+                out = [r for uid, code, x in asking for r in index.search(int(uid), np.asarray(code, np.int32), np.asarray(x, float), radius, k)]
+                yield pd.DataFrame(out, columns=["uid", "other", "vec_id", "score"])
+
+    found = both.mapInPandas(run, "uid bigint, other bigint, vec_id bigint, score double")
+    best = Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id", "other")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("uid", "rank", "vec_id", "score")
