@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from threadlens.llm.licenses import LICENSE_FILE, TEMPLATES, license_scan, segments
+from threadlens.llm.licenses import LICENSE_FILE, TEMPLATES, license_scan
 
 SCHEMA = "file_id bigint, path string, text string, license string, dir string, own_score string"
 
@@ -15,12 +15,27 @@ def terms(text):
     return re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
 
 
-def brute(rows, threshold=0.6):
-    vocab = {t for _, x in TEMPLATES for t in terms(x)}
-    df = Counter(t for r in rows for t in vocab & set(terms(r[2] or "")))
-    idf = {t: math.log((1 + len(rows)) / (1 + df[t])) + 1 for t in vocab}
-    other = sum(idf.values()) / len(idf)
-    vector = lambda text: {t: (1 + math.log(n)) * idf.get(t, other) for t, n in Counter(terms(text)).items()}
+def segments(text, whole):
+    """Lines, their sentences, paragraphs of several lines, the whole of a licence file, as texts."""
+    lines = [line.strip(" \t#/*;%!<>-") for line in text.split("\n")]
+    out, run = [], []
+    for line in [*lines, ""]:
+        if line:
+            run.append(line)
+            if terms(line):
+                out.append(line)
+                sentences = [x for x in re.split(r"(?<=[.;!?])\s+", line) if terms(x)]
+                out += sentences if len(sentences) > 1 else []
+        else:
+            out += [" ".join(run)] if sum(bool(terms(x)) for x in run) > 1 else []
+            run = []
+    return out + ([" ".join(lines)] if whole and sum(bool(terms(x)) for x in lines) > 1 else [])
+
+
+def brute(rows, threshold=0.6, scores_only=False):
+    df = Counter(t for r in rows for t in set(terms(r[2] or "")))
+    idf = lambda t: math.log((1 + len(rows)) / (1 + df[t])) + 1
+    vector = lambda text: {t: (1 + math.log(n)) * idf(t) for t, n in Counter(terms(text)).items()}
     length = lambda v: math.sqrt(sum(w * w for w in v.values()))
     cosine = lambda a, b: sum(w * b.get(t, 0) for t, w in a.items()) / (length(a) * length(b)) if a else 0
     own = {}
@@ -29,6 +44,8 @@ def brute(rows, threshold=0.6):
         scores = [(cosine(vector(s), vector(x)), -j) for s in segments(text or "", is_license) for j, (_, x) in enumerate(TEMPLATES)]
         best = max(scores, default=(0, 0))
         own[k] = (TEMPLATES[-best[1]][0] if best[0] >= threshold else None, best[0], is_license)
+    if scores_only:
+        return [(r[0], own[k][1]) for k, r in enumerate(rows)]
     out = []
     for k, (i, path, _) in enumerate(rows):
         license, by = own[k][0], "self" if own[k][0] else None
@@ -44,12 +61,19 @@ def brute(rows, threshold=0.6):
     return sorted(out, key=str)
 
 
+def brute_scores(rows):
+    return brute(rows, scores_only=True)
+
+
 ROWS = [
     (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "some code\nno notice"), (3, "a/b/LICENSE.txt", "# Licensed under the Apache License, Version 2.0."),
     (4, "a/b/y.py", "// This work is licensed under the GNU General Public License, version 3.\ncode"), (5, "z/w.py", None), (6, "a/w.py", ""), (7, None, "All rights reserved."),
     (8, None, "text"), (9, "COPYING", "Licensed under CC BY-NC 4.0."), (9, "COPYING", "Licensed under CC BY-NC 4.0."), (None, "q/r/s", "word " * 20_000 + "\nReleased under the MIT License."),
     (11, "m/LICENSE-1", "All rights reserved."), (12, "m/LICENSE-0", "Released under the MIT License."), (13, "m/n/o/p/q", "x"), (14, "a/NOTICE", "nothing of the kind here"),
     (15, "p/lines", "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies."),
+    (18, "h/one", "/* Copyright (c) 2024 Jane Doe, Example Corp. Released under the MIT License. See docs for usage. */ int main() { return 0; }"),
+    (19, "h/two", "# tool of the lab; Licensed under the Apache License, Version 2.0. Made by us all in one long line of words that no template knows"),
+    (20, "h/three", "rare words stand beside released under mit license"), (21, "h/four", "the the the of the license and the public work"),
     (16, "r/license/file", "the license of the public"), (17, "unlicensed", "this is free"),
 ]
 
@@ -60,6 +84,9 @@ def test_matches_brute_force(spark):
     by = {r.file_id: r for r in got}
     assert by[2].license == "Apache-2.0" and by[2].licensed_by == "a/b" and by[4].license == "GPL-3.0" and by[6].licensed_by == "a"
     assert by[5].licensed_by == "" and by[8].license is None and by[15].own_license == "ISC" and by[None].own_license == "MIT"
+    assert by[18].own_license == "MIT" and by[19].own_license == "Apache-2.0"
+    want = {r[0]: r for r in brute_scores(ROWS)}
+    assert all(abs((r.own_score or 0) - want[r.file_id][1]) < 1e-9 for r in got if r.own_score)
 
 
 def test_empty_table(spark):

@@ -1,11 +1,15 @@
 """License scans: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Every file is cut into lines and paragraphs (comment marks removed; a licence
-file is also one segment as a whole).  A segment is a sparse vector over the
-templates' terms, weighted by (1 + ln tf) * idf with document frequencies
-counted over all files; terms outside the templates only add to its length.
-The license of a file is the template with the largest cosine of any segment,
-if that reaches the threshold.
+Every file is cut into lines, the sentences of a line, and paragraphs (a
+licence file is also one segment as a whole).  A segment is a sparse vector of
+its terms, weighted by (1 + ln tf) * idf with document frequencies of all terms
+counted over all files.  The license of a file is the template with the largest
+cosine of any segment, if that reaches the threshold.
+
+Only template terms add to a dot product, so executors need the frequencies of
+those alone to find the segments that can reach the threshold even if every
+other term had the least weight there is; the other terms of these few segments
+are then joined to the table of all frequencies for the exact cosine.
 
 A license found in a licence file also holds for its directory.  Files without
 a license of their own take that of the nearest ancestor directory that has
@@ -61,36 +65,48 @@ LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-._].*)?$"
 
 _TERMS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*").findall
 _MARKS = re.compile(r"^[\s#/*;%!<>-]+|[\s*/>-]+$")
+_SENTENCES = re.compile(r"(?<=[.;!?])\s+").split
+
+#: Distinct terms that a task counts before it hands its counts on.
+COUNTED_TERMS = 200_000
 
 
 def terms(text: str) -> list[str]:
     return _TERMS(text.lower())
 
 
-def segments(text: str, whole: bool) -> list[str]:
-    """Lines, paragraphs of several lines, and for a licence file the whole text."""
-    out, run = [], []
-    for line in [*text.split("\n"), ""]:
-        line = _MARKS.sub("", line)
-        if line:
-            out.append(line)
-            run.append(line)
-        else:
-            if len(run) > 1:
-                out.append(" ".join(run))
-            run = []
-    return [*out, " ".join(out)] if whole and len(out) > 1 else out
+def segments(text: str, whole: bool) -> Iterator[list[str]]:
+    """Terms of each line, of its sentences if there are several, of paragraphs of several lines, and for a licence file of the whole text."""
+    every, run, lines = [], [], 0
+    for line in [*text.lower().split("\n"), ""]:
+        parts = [found for part in _SENTENCES(line) if (found := _TERMS(part))]
+        if parts:
+            found = [t for p in parts for t in p] if len(parts) > 1 else parts[0]
+            yield found
+            if len(parts) > 1:
+                yield from parts
+            run += found
+            lines += 1
+            if whole:
+                every.append(found)
+        elif not _MARKS.sub("", line):  # blank but for comment marks
+            if lines > 1:
+                yield run
+            run, lines = [], 0
+    if len(every) > 1:
+        yield [t for found in every for t in found]
+
+
+def idf_of(df: int, files: int) -> float:
+    return math.log((1 + files) / (1 + df)) + 1
 
 
 class Scanner:
-    """Scores segments against templates with given document frequencies."""
+    """Finds the segments near a template, with given document frequencies of the templates' terms."""
 
     def __init__(self, templates, df: dict[str, int], files: int):
-        self.names = [name for name, _ in templates]
         vocab = sorted({t for _, text in templates for t in terms(text)})
-        self.idf = {t: math.log((1 + files) / (1 + df.get(t, 0))) + 1 for t in vocab}
-        # A term that no template has weighs as the mean template term.
-        self.other = sum(self.idf.values()) / len(vocab) if vocab else 1.0
+        self.idf = {t: idf_of(df.get(t, 0), files) for t in vocab}
         self.by_term: dict[str, list[tuple[int, float]]] = {t: [] for t in vocab}
         for k, (_, text) in enumerate(templates):
             weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in Counter(terms(text)).items()}
@@ -98,9 +114,11 @@ class Scanner:
             for t, w in weights.items():
                 self.by_term[t].append((k, w / length))
 
-    def segment(self, text: str, floor: float) -> tuple[float, int] | None:
-        """(cosine, template) of the nearest template, or None where no cosine can reach ``floor``."""
-        found = terms(text)
+    def candidate(self, found: list[str], threshold: float) -> tuple[int, float, float, list[str], list[int]] | None:
+        """(template, dot product, squared length within the vocabulary, other terms, their counts), or None where the cosine can't reach the threshold.
+
+        A term in every file has idf 1, and no term has less.
+        """
         distinct = set(found)
         inside = distinct & self.idf.keys()
         if not inside:
@@ -108,65 +126,73 @@ class Scanner:
         count = found.count if len(found) <= 200 else Counter(found).__getitem__
         weights = {t: (1 + math.log(count(t))) * self.idf[t] for t in sorted(inside)}
         within = sum(w * w for w in weights.values())
-        # By Cauchy and Schwarz the cosine is at most the root of the share of the length inside the vocabulary.
-        if within < floor * floor * (within + (len(distinct) - len(inside)) * self.other**2) * (1 - 1e-12):
+        least = threshold * threshold * (1 - 1e-9) * (within + len(distinct) - len(inside))
+        if within < least:  # by Cauchy and Schwarz
             return None
-        if len(distinct) > len(inside):
-            counts = Counter(found)
-            total = within + sum(((1 + math.log(n)) * self.other) ** 2 for t, n in counts.items() if t not in inside)
-        else:
-            total = within
         dots: dict[int, float] = {}
         for t, w in weights.items():
             for k, v in self.by_term[t]:
                 dots[k] = dots.get(k, 0.0) + w * v
         k = min(dots, key=lambda k: (-dots[k], k))
-        score = dots[k] / math.sqrt(total)
-        return (score, k) if score >= floor else None
-
-    def scan(self, text: str, whole: bool, threshold: float) -> tuple[str | None, float | None]:
-        """The best template over all segments; ties go to the earlier segment, then the earlier template."""
-        best = None
-        for part in segments(text, whole):
-            got = self.segment(part, max(threshold, best[0] if best else 0.0))
-            if got and (best is None or got[0] > best[0]):
-                best = got
-        return (self.names[best[1]], best[0]) if best else (None, None)
+        if dots[k] * dots[k] < least:
+            return None
+        others = sorted(distinct - inside)
+        return k, dots[k], within, others, [count(t) for t in others]
 
 
-def _frequencies(files: DataFrame, vocab: frozenset[str]) -> tuple[dict[str, int], int]:
-    """Documents that hold each template term, over all files; the driver gets one row a term."""
+def frequencies(files: DataFrame) -> DataFrame:
+    """term, n: in how many files each term occurs, over all files; the row of a null term counts the files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, rows = Counter(), 0
         for batch in batches:
             for text in batch["text"]:
-                counts.update(vocab.intersection(terms(text or "")))
+                counts.update(set(terms(text or "")))
+                if len(counts) > COUNTED_TERMS:
+                    yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
+                    counts = Counter()
             rows += len(batch)
         yield pd.DataFrame({"term": [*counts, None], "n": [*counts.values(), rows]})
 
-    got = small_batches(files.select("text")).mapInPandas(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = {r["term"]: r["n"] for r in got}
-    return df, int(df.pop(None, 0))
+    return small_batches(files.select("text")).mapInPandas(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """file_id, path, is_license_file, own_license, own_score for each row of (file_id, path, text)."""
-    df, n = _frequencies(files, frozenset(t for _, text in templates for t in terms(text)))
-    scanner = Scanner(templates, df, n)
+    """file_id, path, is_license_file, own_license, own_score for each row of (file_id, path, text).
+
+    Ties go to the earlier segment, then to the earlier template.
+    """
+    names = [name for name, _ in templates]
+    df = cut(frequencies(files))
+    vocab = sorted({t for _, text in templates for t in terms(text)})
+    known = {r["term"]: r["n"] for r in df.where(F.col("term").isNull() | F.col("term").isin(vocab)).collect()}  # one row a template term
+    n = int(known.pop(None, 0))
+    scanner = Scanner(templates, known, n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [scanner.scan(t or "", bool(w), threshold) for t, w in zip(batch["text"], batch["is_license_file"])]
-            out = batch[["file_id", "path", "is_license_file"]].copy()
-            out["own_license"], out["own_score"] = [f[0] for f in found], [f[1] for f in found]
-            out["own_score"] = out["own_score"].astype(float)
-            yield out
+            near = []
+            for text, whole in zip(batch["text"], batch["is_license_file"]):
+                found = ((k, scanner.candidate(s, threshold)) for k, s in enumerate(segments(text or "", bool(whole))))
+                near.append([dict(zip(fields, (k, *c))) for k, c in found if c])
+            yield batch[["uid", "file_id", "path", "is_license_file"]].assign(near=near)
 
+    fields = ("segment", "template", "dot", "within", "others", "counts")
     kind = files.schema["file_id"].dataType.simpleString()
     name = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
-    rows = files.select("file_id", "path", name.alias("is_license_file"), "text")
-    return small_batches(rows).mapInPandas(run, f"file_id {kind}, path string, is_license_file boolean, own_license string, own_score double")
+    rows = files.select(F.monotonically_increasing_id().alias("uid"), "file_id", "path", name.alias("is_license_file"), "text")
+    near = "array<struct<segment int, template int, dot double, within double, others array<string>, counts array<int>>>"
+    scanned = cut(small_batches(rows).mapInPandas(run, f"uid bigint, file_id {kind}, path string, is_license_file boolean, near {near}"))
+    found = scanned.select("uid", F.inline("near"))
+    words = found.where(F.size("others") > 0).select("uid", "segment", F.inline(F.arrays_zip(F.col("others").alias("term"), F.col("counts").alias("tf"))))
+    idf = F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1
+    outside = words.join(df.where("term IS NOT NULL"), "term").groupBy("uid", "segment").agg(F.sum(F.pow((1 + F.log("tf")) * idf, F.lit(2.0))).alias("outside"))
+    scored = found.drop("others", "counts").join(outside, ["uid", "segment"], "left")
+    scored = scored.withColumn("score", F.col("dot") / F.sqrt(F.col("within") + F.coalesce("outside", F.lit(0.0)))).where(F.col("score") >= threshold)
+    best = scored.groupBy("uid").agg(F.min(F.struct((-F.col("score")).alias("s"), "segment", "template")).alias("best"))
+    listed = F.array(*[F.lit(x) for x in names]).cast("array<string>")
+    best = best.select("uid", F.get(listed, F.col("best.template")).alias("own_license"), (-F.col("best.s")).alias("own_score"))
+    return scanned.drop("near").join(best, "uid", "left").select("file_id", "path", "is_license_file", "own_license", "own_score")
 
 
 def directory(path: Column) -> Column:
