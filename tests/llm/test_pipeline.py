@@ -4,12 +4,14 @@ import re
 import pytest
 from helpers import documents
 from test_mixing import brute_targets, size
-from test_simhash import plain_fingerprint, roots
+from test_simhash import roots
+from test_similar import jaccard, shingle_set
 
 import corpus_pipeline
 from threadlens.llm import quality
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 
 
 def norm(text):
@@ -38,12 +40,12 @@ def test_stages_match_brute_force(spark, sf_dir, tmp_path):
         first.setdefault(norm(r.text), r)
     assert sorted(first.values()) == sorted(distinct)
 
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in distinct}
-    nodes = sorted(set(fps.values()))
-    comp = roots(nodes, [(a, b) for k, a in enumerate(nodes) for b in nodes[k + 1 :] if bin(a ^ b).count("1") <= 2])
+    sets = {r.doc_id: shingle_set(r.text) for r in distinct}  # 5 words, Jaccard similarity 0.8 or more
+    ids = sorted(sets)
+    comp = roots(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if jaccard(sets[a], sets[b]) >= 0.8 or sets[a] == sets[b]])
     least = {}
     for r in sorted(distinct, key=lambda r: r.doc_id):
-        least.setdefault(comp[fps[r.doc_id]], r)
+        least.setdefault(comp[r.doc_id], r)
     assert sorted(least.values()) == sorted(apart)
 
     sizes, took, own = {}, {}, {r.doc_id: r for r in apart}
@@ -55,7 +57,13 @@ def test_stages_match_brute_force(spark, sf_dir, tmp_path):
     for s, target in brute_targets(sizes).items():
         assert abs(took.get(s, 0) - target) <= 1
 
-    assert sorted((r.doc_id, r.decoded_sha256) for r in encoded) == sorted((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in mix)
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for r in mix:
+        ids = own.encode(r.text, add_special_tokens=False).ids
+        raw = b"".join(i.to_bytes(4, "little") for i in ids)
+        want.append((r.doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, encoded)) == sorted(want)
 
 
 def test_run_gives_the_rows_of_the_stages(spark, sf_dir):

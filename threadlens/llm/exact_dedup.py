@@ -118,6 +118,8 @@ def keep_first(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sha = free_name(docs, "text_sha256")
     judged = cut(dedup(docs, block).select("doc_id", F.col("text_sha256").alias(sha), "kept"))
     kept = judged.where("kept").drop("kept")
+    if is_empty(judged.groupBy("doc_id").count().where("count > 1")):  # an id tells its row, so no text is hashed again
+        return docs.alias("d").join(kept.select("doc_id").alias("k").hint("merge"), matching("d", "k", "doc_id"), "left_semi")
     marked = docs.withColumn(sha, F.sha2(normalised(), 256)).alias("d")
     out = marked.join(kept.alias("k").hint("merge"), matching("d", "k", "doc_id", sha), "left_semi")
     # One (id, text) pair is kept once; rows can only repeat it if the input repeats it.

@@ -193,6 +193,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, simi
     kept = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
     fp = free_name(docs, "fp")
     kept = cut(kept.select(F.col("first.doc_id").alias("doc_id"), F.col("first.fp").alias(fp)))
+    if is_empty(rows.groupBy("doc_id").count().where("count > 1")):  # an id tells its row, so no text is read again
+        return docs.alias("d").join(kept.select("doc_id").alias("k").hint("merge"), matching("d", "k", "doc_id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
