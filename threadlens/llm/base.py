@@ -73,17 +73,20 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
-#: Rows with whole texts that go to Python at a time, at most.
-BATCH_ROWS = 1000
+#: Rows with whole texts that go to Python at a time, and their bytes, at most (one row may have more).
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df`` for a Python function over whole texts.
 
-    Lowers the session's batch size, if it is larger, so that neither the JVM
-    nor Python holds thousands of long texts at once.
+    Lowers the session's batch limits, if they are larger, so that neither the
+    JVM nor Python holds thousands of long texts at once.  Spark reads these
+    settings when a plan runs, so they can't be set for one plan alone.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    conf, rows, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    if conf.get(size) in ("-1b", "67108864b", "64MB"):  # not where a user has chosen a size
+        conf.set(size, str(BATCH_BYTES))
     return df
