@@ -8,11 +8,14 @@ about ten of 64 bits differ, no 16-bit segment need agree, and nearly all
 pairs would be candidates.
 
 In each bucket every member is first held against the smallest and the largest
-one, which ties a family of near copies together without pairing it up.  Then
-all pairs of a bucket that lie in different components yet are compared, so
-no link between components is left out.  Before shingles are fetched, parity
-bitmaps throw pairs out: shingles that two sets share cancel out, so the bits
-that differ are never more than the shingles that differ.
+one, which ties a family of near copies together without pairing it up.  Members
+that lie in other components yet are held against HUBS members more, where many
+more pairs than members are left: of a family whose members are near enough to
+many others, that leaves hardly any.  Then all pairs
+of a bucket that still lie in different components are compared, so no link
+between components is left out.  Before shingles are fetched, parity bitmaps
+throw pairs out: shingles that two sets share cancel out, so the bits that
+differ are never more than the shingles that differ.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from .base import cut, is_empty, matching, small_batches, small_side
 
 SEED, ROWS, MISSED = 42, 4, 5e-8
 #: Words of 64 bits in a parity bitmap.
-BITMAP = 8
+BITMAP = 16
+#: Rounds, further members of each bucket in one, and pairs between components for each member that a round is worth.
+ROUNDS, HUBS, ROUND_PAIRS = 2, 16, 8
 
 
 def _words(text: str) -> list[bytes]:
@@ -127,6 +132,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     return both.where(shared * (p + q) >= (F.col("x.n") + F.col("y.n")) * p).select("p.a", "p.b")
 
 
+def _pairs_for_each(placed: DataFrame) -> float:
+    """Pairs between components of a bucket, over the members of all buckets (key, fp, root)."""
+    n = F.col("n").cast("double")
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum(n).alias("all"), F.sum(n * n).alias("own"))
+    return sizes.agg(F.sum(F.col("all") * F.col("all") - F.col("own")) / (2 * F.sum("all"))).first()[0] or 0.0
+
+
 def links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, components) -> DataFrame:
     """(a, b): edges that connect the keys of texts of at least that Jaccard similarity.  ``rows`` are the sketches."""
     share = Fraction(str(similarity))
@@ -139,14 +151,35 @@ def links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, com
     found = cut(_verified(stars, sets, share))
     roots = components(found)
     placed = members.select("key", "fp").join(roots, members["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    placed = cut(placed)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = cut(placed.join(mixed, "key").join(sets.drop("shingles"), "fp"))
-    a, b = open_.alias("a"), open_.alias("b")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", share)
-    across = a.join(b.hint("merge"), on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
-    more = cut(_verified(across, sets, share))
-    return found if is_empty(more) else found.unionByName(more)
+    maps = sets.drop("shingles")
+    found = [found]
+    for turn in range(ROUNDS + 1):
+        drawn = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("fp", F.lit(HUBS * turn + k)).alias("h"), "fp", "root")) for k in range(HUBS)])).alias("hubs")
+        spanned = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), drawn).where("low < high")
+        spanned = cut(spanned.select("key", F.transform("hubs", lambda x: F.struct(x["fp"].alias("hub"), x["root"].alias("hub_root"))).alias("hubs")))
+        placed = cut(placed.join(small_side(spanned.select("key")), "key"))
+        if is_empty(placed):
+            break
+        if turn < ROUNDS and _pairs_for_each(placed) > ROUND_PAIRS:
+            ends = placed.join(small_side(spanned), "key").select("fp", "root", F.inline("hubs")).where("root <> hub_root").distinct()
+            near = ends.join(maps.alias("x"), F.col("x.fp") == ends["fp"]).join(maps.alias("y"), F.col("y.fp") == ends["hub"]).where(_possible("x", "y", share))
+            near = cut(near.select(F.least(ends["fp"], "hub").alias("a"), F.greatest(ends["fp"], "hub").alias("b"), "root", "hub_root").distinct())
+            new = cut(_verified(near.select("a", "b").distinct(), sets, share))
+            if not is_empty(new):
+                found.append(new)
+                joined = components(near.join(new, ["a", "b"]).select(F.col("root").alias("a"), F.col("hub_root").alias("b")))
+                placed = placed.join(joined, placed["root"] == joined["node"], "left").select("key", "fp", F.coalesce(joined["root"], placed["root"]).alias("root"))
+                continue
+        open_ = cut(placed.join(maps, "fp"))
+        a, b = open_.alias("a"), open_.alias("b")
+        on = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", share)
+        across = a.join(b.hint("merge"), on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+        found.append(cut(_verified(across, sets, share)))
+        break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def sketched(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
