@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import POPULARITY_QUANTILE
 from ..functions.values import number_or_zero
+from ..lineage import cut
 
 METRICS = ("answer_count", "view_count", "score", "comment_count")
 #: Decimals to which metrics and quantiles are compared, beyond the noise of interpolation.
@@ -100,8 +101,11 @@ def popular_threads(posts: DataFrame, q: float = POPULARITY_QUANTILE) -> DataFra
     """The whole filter: repeats out, self-answered threads out, then threads of popular questions only.
 
     Quantiles are taken over the questions that are left by then.  Where
-    nothing is left the result is empty.
+    nothing is left the result is empty.  Whole posts are dealt out for the
+    repeats and for the final pick only; all else is worked out on the few
+    columns it needs.
     """
-    posts = numeric_metrics(without_repeats(posts))
-    posts = without_threads(posts, self_answered(answer_stats(posts)))
-    return threads_of(posts, popular_questions(posts.where("type = 'question'"), q))
+    posts = cut(numeric_metrics(without_repeats(posts)))
+    narrow = posts.select("question_id", "site_alias", "type", "owner_id", *METRICS)
+    narrow = without_threads(narrow, self_answered(answer_stats(narrow)))
+    return threads_of(posts, popular_questions(narrow.where("type = 'question'"), q))

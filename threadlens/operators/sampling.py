@@ -40,9 +40,14 @@ def allocation(sizes: DataFrame, population: Column | int, **options) -> DataFra
 
 
 def allocated_sample(questions: DataFrame, allocated: DataFrame, contribution: str = "topic_perc_contrib", key: str = "question_id") -> DataFrame:
-    """Of each topic the questions with the largest contribution, as many as allocated."""
+    """Of each topic the questions with the largest contribution, as many as allocated.
+
+    The largest allocation bounds the ranks before questions are dealt by topic,
+    so no task orders a whole topic.
+    """
+    most = allocated.agg(F.max("allocated")).first()[0] or 0  # one row a topic
     order = Window.partitionBy("topic").orderBy(F.col(contribution).desc_nulls_last(), key)
-    ranked = questions.withColumn("_rank", F.row_number().over(order)).join(allocated.select("topic", "allocated"), "topic")
+    ranked = questions.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).join(allocated.select("topic", "allocated"), "topic")
     return ranked.where("_rank <= allocated").select(questions.columns)
 
 

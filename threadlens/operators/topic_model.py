@@ -66,11 +66,17 @@ class TopicModel:
 
     def theta(self, docs: DataFrame) -> DataFrame:
         """docs with theta: shares of topics in each document."""
+        counted = self.vectorizer.transform(docs)
         if self.lda is None:
-            return docs.withColumn("theta", F.array(F.lit(1.0)))
-        out = self.lda.setFeaturesCol("features").setTopicDistributionCol("_theta").transform(self.vectorizer.transform(docs))
+            return counted.withColumn("theta", F.array(F.lit(1.0))).drop("features")
+        out = self.lda.setFeaturesCol("features").setTopicDistributionCol("_theta").transform(counted)
         return out.withColumn("theta", vector_to_array("_theta")).drop("features", "_theta")
 
+    def known(self, docs: DataFrame, into: str) -> DataFrame:
+        """docs with a flag: whether any of their tokens is in the dictionary, whatever its size."""
+        # A count vector prints as (size,[indices],[counts]).
+        return self.vectorizer.transform(docs).withColumn(into, ~F.col("features").cast("string").endswith(",[],[])")).drop("features")
+
     def save(self, path: str, spark, meta: dict | None = None) -> None:
         self.vectorizer.write().overwrite().save(f"{path}/dictionary")
         if self.lda is not None:
@@ -88,9 +94,10 @@ class TopicModel:
         return cls(shape.num_topics, CountVectorizerModel.load(f"{path}/dictionary"), lda, shape.unigram)
 
 
-def fit_topics(docs: DataFrame, terms: DataFrame, topics: int, tokens: str = "tokens", iterations: int = 50, options: TopicModelOptions = TopicModelOptions()) -> TopicModel:
+def fit_topics(docs: DataFrame, terms: DataFrame, topics: int, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions()) -> TopicModel:
     """Fits one model.  alpha = 50 / topics for each topic, in training and in inference; beta as given.
 
+    ``iterations`` are those of the options unless told otherwise.
     Results depend on how the input is split over partitions; for figures that
     are to be repeated, sort and coalesce(1) the documents first.
     """
@@ -99,8 +106,12 @@ def fit_topics(docs: DataFrame, terms: DataFrame, topics: int, tokens: str = "to
         counts = {r["term"]: r["n"] for r in docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms.select("term"), "term", "left_semi").collect()}
         smoothed = [counts.get(t, 0) + options.beta for t in cv.vocabulary]
         return TopicModel(1, cv, None, [x / sum(smoothed) for x in smoothed])
-    lda = LDA(k=topics, optimizer="online", maxIter=iterations, seed=options.seed, docConcentration=[options.alpha_numerator / topics] * topics, topicConcentration=options.beta, optimizeDocConcentration=False, subsamplingRate=1.0, featuresCol="features")
-    return TopicModel(topics, cv, lda.fit(cv.transform(docs).cache()))
+    lda = LDA(k=topics, optimizer="online", maxIter=iterations or options.iterations, seed=options.seed, docConcentration=[options.alpha_numerator / topics] * topics, topicConcentration=options.beta, optimizeDocConcentration=False, subsamplingRate=1.0, featuresCol="features")
+    counted = cv.transform(docs).select("features").cache()
+    try:
+        return TopicModel(topics, cv, lda.fit(counted))
+    finally:
+        counted.unpersist()
 
 
 def words_per_topic(model: TopicModel, spark, k: int = 20) -> DataFrame:
@@ -153,11 +164,11 @@ class Trial:
     model: TopicModel
 
 
-def find_best_model(docs: DataFrame, key: str, tokens: str = "tokens", iterations: int = 50, options: TopicModelOptions = TopicModelOptions()) -> tuple[Trial | None, list[tuple[int, float, float | None]]]:
+def find_best_model(docs: DataFrame, key: str, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions()) -> tuple[Trial | None, list[tuple[int, float | None, float | None]]]:
     """Fits every topic count and takes the most coherent, the smaller count of equals.
 
-    A count that fails is logged and left out.  Also returns (count, coherence,
-    perplexity) of all that worked, for the curves.
+    Also returns (count, coherence, perplexity) of all counts, for the curves; a
+    count that fails is logged and has neither.
     """
     spark = docs.sparkSession
     terms = dictionary(docs, tokens, options).cache()
@@ -168,6 +179,7 @@ def find_best_model(docs: DataFrame, key: str, tokens: str = "tokens", iteration
             trial = evaluate(docs, terms, bow, key, k, tokens, iterations, options)
         except Exception as e:  # noqa: BLE001  one count that cannot be fitted does not end the sweep
             log.warning("no model of %d topics: %s", k, e)
+            curve.append((k, None, None))
             continue
         curve.append((k, trial.coherence, trial.perplexity))
         if best is None or trial.coherence > best.coherence:
@@ -177,7 +189,7 @@ def find_best_model(docs: DataFrame, key: str, tokens: str = "tokens", iteration
     return best, curve
 
 
-def evaluate(docs: DataFrame, terms: DataFrame, bow: DataFrame, key: str, topics: int, tokens: str = "tokens", iterations: int = 50, options: TopicModelOptions = TopicModelOptions()) -> Trial:
+def evaluate(docs: DataFrame, terms: DataFrame, bow: DataFrame, key: str, topics: int, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions()) -> Trial:
     spark = docs.sparkSession
     model = fit_topics(docs, terms, topics, tokens, iterations, options)
     tops: dict[int, list[str]] = {}
@@ -190,12 +202,17 @@ def evaluate(docs: DataFrame, terms: DataFrame, bow: DataFrame, key: str, topics
     return Trial(topics, score, value, model)
 
 
-def train(docs: DataFrame, key: str, mode: str = "search", topics: int | None = None, tokens: str = "tokens", iterations: int = 50, options: TopicModelOptions = TopicModelOptions()) -> Trial | None:
+def train(docs: DataFrame, key: str, mode: str = "search", topics: int | None = None, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions()) -> Trial | None:
     """``search`` sweeps all counts; ``fixed`` fits the given count, or the mean of the range."""
     if mode == "search":
         return find_best_model(docs, key, tokens, iterations, options)[0]
+    if mode != "fixed":
+        raise ValueError(f"mode {mode!r} is neither search nor fixed")
     terms = dictionary(docs, tokens, options).cache()
-    return evaluate(docs, terms, bag_of_words(docs, terms, key, tokens), key, topics or options.default_topic_count(), tokens, iterations, options)
+    try:
+        return evaluate(docs, terms, bag_of_words(docs, terms, key, tokens), key, topics or options.default_topic_count(), tokens, iterations, options)
+    finally:
+        terms.unpersist()
 
 
 def thread_texts(posts: DataFrame, order: str, text: str = "normalized_text") -> DataFrame:
@@ -209,9 +226,8 @@ def classify(texts: DataFrame, model: TopicModel, text: str = "text") -> DataFra
     """Adds topic and topic_perc_contrib; null where no word of the text is in the dictionary."""
     docs = texts.withColumn("tokens", F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))
     index, share = best_topic(F.col("theta"))
-    known = F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in model.vectorizer.vocabulary])) if len(model.vectorizer.vocabulary) <= 2000 else F.size("tokens") > 0
-    out = model.theta(docs).withColumns({"topic": F.when(known, index), "topic_perc_contrib": F.when(known, share)})
-    return out.drop("theta", "tokens")
+    out = model.theta(model.known(docs, "_known")).withColumns({"topic": F.when(F.col("_known"), index), "topic_perc_contrib": F.when(F.col("_known"), share)})
+    return out.drop("theta", "tokens", "_known")
 
 
 def classify_threads(posts: DataFrame, model: TopicModel, order: str) -> DataFrame:

@@ -303,7 +303,7 @@ def e10(spark, sf):
     return out.withColumn("examples", F.array_join("examples", ", "))
 
 
-@query("d7_remove_threads", f"WITH {P.CONSIDERED} SELECT question_id, id, type FROM p WHERE question_id NOT IN (SELECT question_id FROM sa)")
+@query("d7_remove_threads", f"WITH {P.CONSIDERED} SELECT question_id, id, type FROM p ANTI JOIN sa USING (question_id)")
 def d7(spark, sf):
     posts = P.posts(spark, sf)
     return quality.without_threads(posts, quality.self_answered(quality.answer_stats(posts))).select("question_id", "id", "type")
@@ -323,9 +323,9 @@ def c8(spark, sf):
     return quality.popular_questions(P.questions(spark, sf).withColumnRenamed("site", "site_alias")).select("site_alias", "id")
 
 
-@query("d8_popular_threads", f"""WITH {P.CONSIDERED}, u AS (SELECT DISTINCT * FROM p WHERE question_id NOT IN (SELECT question_id FROM sa)),
+@query("d8_popular_threads", f"""WITH {P.CONSIDERED}, u AS (SELECT DISTINCT * FROM p ANTI JOIN sa USING (question_id)),
     z AS (SELECT site_alias, {_Q75} FROM u WHERE type = 'question' GROUP BY 1), ok AS (SELECT p.question_id FROM u p JOIN z USING (site_alias) WHERE type = 'question' AND {_POPULAR})
-    SELECT site_alias, question_id, id, type FROM u WHERE question_id IN (SELECT question_id FROM ok)""")
+    SELECT site_alias, question_id, id, type FROM u SEMI JOIN ok USING (question_id)""")
 def d8(spark, sf):
     return quality.popular_threads(P.posts(spark, sf)).select("site_alias", "question_id", "id", "type")
 
@@ -367,9 +367,9 @@ def b8(spark, sf):
 _STOP = sorted({"the", "of", "and", "to", "in", "is", "work", "question"})
 
 
-@query("b9_stopwords", f"WITH {P.ENGLISH} SELECT doc_id, array_to_string(list_filter(tokens, lambda w: NOT list_contains({_STOP}, w)), ' ') AS tokens FROM en")
+@query("b9_stopwords", f"WITH {P.TEXTS} SELECT doc_id, array_to_string(list_filter(tokens, lambda w: NOT list_contains({_STOP}, w)), ' ') AS tokens FROM en")
 def b9(spark, sf):
-    return P.english(spark, sf).select("doc_id", text.join_tokens(text.without_stopwords(F.col("tokens"), _STOP)).alias("tokens"))
+    return P.words(spark, sf).select("doc_id", text.join_tokens(text.without_stopwords(F.col("tokens"), _STOP)).alias("tokens"))
 
 
 @query("b10_concat", "SELECT conv_id, turn, concat(coalesce(CASE WHEN turn % 2 = 0 THEN role END, ''), ' ', coalesce(CASE WHEN turn % 3 <> 1 THEN text END, '')) AS text FROM conversations")
@@ -378,10 +378,10 @@ def b10(spark, sf):
     return c.select("conv_id", "turn", text.title_and_body(F.when(t % 2 == 0, F.col("role")), F.when(t % 3 != 1, F.col("text"))).alias("text"))
 
 
-@query("b11_split_tokens", f"WITH {P.ENGLISH} SELECT doc_id, len(tokens) AS n, tokens[1] AS first FROM en")
+@query("b11_split_tokens", f"WITH {P.TEXTS} SELECT doc_id, len(tokens) AS n, tokens[1] AS first FROM en")
 def b11(spark, sf):
     back = text.split_tokens(text.join_tokens(F.col("tokens")))
-    return P.english(spark, sf).select("doc_id", back.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.get("t", F.lit(0)).alias("first"))
+    return P.words(spark, sf).select("doc_id", back.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.get("t", F.lit(0)).alias("first"))
 
 
 _PAIRS = f"""{P.WORDS}, nx AS (SELECT doc_id, w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS b, pos FROM wd),
@@ -392,7 +392,7 @@ _PAIRS = f"""{P.WORDS}, nx AS (SELECT doc_id, w AS a, lead(w) OVER (PARTITION BY
 
 @query("g2_bigram_scores", f"WITH {_PAIRS} SELECT a, b, n, round(score, 6) AS score FROM sc")
 def g2(spark, sf):
-    return rounded(phrases.phrase_scores(P.english(spark, sf)), "score")
+    return rounded(phrases.phrase_scores(P.words(spark, sf)), "score")
 
 
 @query("g4_apply_phrases", f"""WITH {_PAIRS}, fl AS (SELECT x.*, s.a IS NOT NULL AS hit FROM nx x LEFT JOIN (SELECT a, b FROM sc WHERE score > 10) s ON x.a = s.a AND x.b = s.b),
@@ -401,13 +401,13 @@ def g2(spark, sf):
     jo AS (SELECT doc_id, string_agg(CASE WHEN starts THEN a || '_' || b ELSE a END, ' ' ORDER BY pos) AS tokens FROM en2 WHERE NOT ends GROUP BY 1)
     SELECT en.doc_id, coalesce(jo.tokens, '') AS tokens FROM en LEFT JOIN jo USING (doc_id)""")
 def g4(spark, sf):
-    docs = P.english(spark, sf)
+    docs = P.words(spark, sf)
     return phrases.apply_phrases(docs, phrases.mine_phrases(docs), "doc_id").withColumn("tokens", F.array_join("tokens", " "))
 
 
 @query("g3_trigrams")
 def g3(spark, sf):
-    return phrases.with_phrases(P.english(spark, sf), "doc_id").withColumn("tokens", F.array_join("tokens", " "))
+    return phrases.with_phrases(P.words(spark, sf), "doc_id").withColumn("tokens", F.array_join("tokens", " "))
 
 
 _DICTIONARY = f"{P.WORDS}, di AS (SELECT w AS term, count(DISTINCT doc_id) AS df FROM wd GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) <= 0.5 * (SELECT count(*) FROM en))"
@@ -415,12 +415,12 @@ _DICTIONARY = f"{P.WORDS}, di AS (SELECT w AS term, count(DISTINCT doc_id) AS df
 
 @query("g5_dictionary", f"WITH {_DICTIONARY} SELECT term, df FROM di ORDER BY df DESC, term LIMIT 100000")
 def g5(spark, sf):
-    return topic_model.dictionary(P.english(spark, sf))
+    return topic_model.dictionary(P.words(spark, sf))
 
 
 @query("g6_bow", f"WITH {_DICTIONARY} SELECT doc_id, w AS term, count(*) AS n FROM wd WHERE w IN (SELECT term FROM di ORDER BY df DESC, term LIMIT 100000) GROUP BY 1, 2")
 def g6(spark, sf):
-    docs = P.english(spark, sf)
+    docs = P.words(spark, sf)
     return topic_model.bag_of_words(docs, topic_model.dictionary(docs), "doc_id")
 
 
@@ -428,7 +428,7 @@ def g6(spark, sf):
     mx AS (SELECT doc_id, term, n, sum((1 + (doc_id + k) % 3) / 6.0::DOUBLE * ((length(term) + k) % 5) / 1000.0::DOUBLE) AS p FROM bo, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1, 2, 3)
     SELECT round(exp(-sum(n * ln(p)) / sum(n)), 6) AS perplexity FROM mx WHERE p > 0""")
 def g10(spark, sf):
-    docs = P.english(spark, sf)
+    docs = P.words(spark, sf)
     terms = topic_model.dictionary(docs)
     bow = topic_model.bag_of_words(docs, terms, "doc_id")
     k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("topic")
@@ -853,13 +853,13 @@ def g9(spark, sf):
     from ..operators.coherence import coherence
 
     tops = [["the", "of", "and"], ["der", "die", "und"], ["de", "la", "el"]]
-    return spark.createDataFrame([(coherence(P.english(spark, sf), tops),)], "c_v double").select(F.round("c_v", 6).alias("c_v"))
+    return spark.createDataFrame([(coherence(P.words(spark, sf), tops),)], "c_v double").select(F.round("c_v", 6).alias("c_v"))
 
 
-@query("g9_cooccurrence", f"""WITH {P.ENGLISH}, wn AS (SELECT doc_id, unnest(range(greatest(1, len(tokens) - 109))) AS s, tokens FROM en WHERE len(tokens) > 0),
+@query("g9_cooccurrence", f"""WITH {P.TEXTS}, wn AS (SELECT doc_id, unnest(range(greatest(1, len(tokens) - 109))) AS s, tokens FROM en WHERE len(tokens) > 0),
     hit AS (SELECT list_contains(tokens[s + 1 : s + 110], 'of') AS h0, list_contains(tokens[s + 1 : s + 110], 'the') AS h1 FROM wn)
     SELECT CAST(-1 AS INT) AS i, CAST(-1 AS INT) AS j, count(*) AS n FROM hit UNION ALL SELECT 0, 0, count(*) FILTER (WHERE h0) FROM hit UNION ALL SELECT 0, 1, count(*) FILTER (WHERE h0 AND h1) FROM hit UNION ALL SELECT 1, 1, count(*) FILTER (WHERE h1) FROM hit""")
 def g9_counts(spark, sf):
     from ..operators.coherence import cooccurrence
 
-    return cooccurrence(P.english(spark, sf), ["of", "the"])
+    return cooccurrence(P.words(spark, sf), ["of", "the"])

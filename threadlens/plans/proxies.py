@@ -158,14 +158,14 @@ def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRATA = """s AS (SELECT concat('crypto:', doc_id) AS question_id, 'crypto' AS site_alias, source AS topic, n_chars / 100000.0::DOUBLE AS topic_perc_contrib, CASE WHEN doc_id % 3 <> 0 THEN lang END AS subtopic, length(text) / 50000.0::DOUBLE AS subtopic_perc_contrib FROM documents)"""
 
 
-def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, tokens of English documents: lower case, parted by white space."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens of all documents: lower case, parted by white space."""
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda w: w != "").alias("tokens"))
 
 
-ENGLISH = r"en AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda w: w <> '') AS tokens FROM documents WHERE lang = 'en')"
-WORDS = f"{ENGLISH}, wd AS (SELECT doc_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS pos FROM en)"
+TEXTS = r"en AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda w: w <> '') AS tokens FROM documents)"
+WORDS = f"{TEXTS}, wd AS (SELECT doc_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS pos FROM en)"
 
 
 def technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
