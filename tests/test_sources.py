@@ -103,3 +103,10 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert want <= {tuple(r)[1:] for r in spark.table(f"out{k}").collect()}
+
+
+def test_csv_batches_append(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    for part in ([(1, 'a "q",\nb', None)], [(2, "c", "d")]):
+        tables.append_csv(spark.createDataFrame(part, "id int, body string, x string"), path)
+    assert sorted(map(tuple, tables.read_csv(spark, path, "id int, body string, x string").collect())) == [(1, 'a "q",\nb', None), (2, "c", "d")]

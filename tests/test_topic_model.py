@@ -114,3 +114,16 @@ def test_names(spark):
 
 def test_fixed_mode_uses_the_mean_count():
     assert TopicModelOptions().default_topic_count() == 13
+
+
+def test_large_dictionaries_classify_like_small_ones(spark):
+    """One rule: a text without a known word has no topic, however many terms there are."""
+    for size in (30, 2_500):
+        words = [f"w{k}" for k in range(size)]
+        docs = spark.createDataFrame([(k, words[k::7] * 2) for k in range(7)] + [(9, words)], "i int, tokens array<string>")
+        terms = spark.createDataFrame([(w, 2) for w in words], "term string, df bigint")
+        for topics in (1, 2):
+            model = topic_model.fit_topics(docs, terms, topics, iterations=2)
+            texts = spark.createDataFrame([(1, "nothing known here"), (2, f"here w3 {words[-1]}"), (3, None), (4, "")], "id int, text string")
+            got = {r.id: (r.topic, r.topic_perc_contrib) for r in topic_model.classify(texts, model).collect()}
+            assert got[1] == got[3] == got[4] == (None, None) and got[2][0] in range(topics) and got[2][1] > 0

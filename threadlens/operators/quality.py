@@ -43,12 +43,17 @@ def skipped_threads(posts: DataFrame) -> DataFrame:
     return threads_of(posts, posts.where((F.col("type") == "question") & ~has_owner()))
 
 
+def question_answers(posts: DataFrame) -> DataFrame:
+    """question_id, site_alias, owner_q, owner_a, and answer_id if posts have ids: considered questions with their answers."""
+    asked = considered_questions(posts).select("question_id", "site_alias", F.col("owner_id").alias("owner_q"))
+    ids = [F.col("id").alias("answer_id")] if "id" in posts.columns else []
+    return asked.join(posts.where("type = 'answer'").select("question_id", F.col("owner_id").alias("owner_a"), *ids), "question_id")
+
+
 def answer_stats(posts: DataFrame) -> DataFrame:
     """question_id, site_alias, total_answers, self_answers of considered questions that have answer rows."""
-    asked = considered_questions(posts).select("question_id", "site_alias", F.col("owner_id").alias("owner_q"))
-    given = posts.where("type = 'answer'").select("question_id", F.col("owner_id").alias("owner_a"))
     own = F.coalesce(has_owner("owner_a") & (F.col("owner_q") == F.col("owner_a")), F.lit(False))
-    return asked.join(given, "question_id").groupBy("question_id", "site_alias").agg(F.count(F.lit(1)).alias("total_answers"), F.count_if(own).alias("self_answers"))
+    return question_answers(posts).groupBy("question_id", "site_alias").agg(F.count(F.lit(1)).alias("total_answers"), F.count_if(own).alias("self_answers"))
 
 
 def self_answered(stats: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TopicModelOptions
+from ..sources.tables import write_stage
 from .coherence import coherence
 
 log = logging.getLogger(__name__)
@@ -39,6 +40,11 @@ def bag_of_words(docs: DataFrame, terms: DataFrame, key: str, tokens: str = "tok
     return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")).join(terms.select("term"), "term", "left_semi").select(key, "term", "n")
 
 
+def saved_bag_of_words(bow: DataFrame, path: str) -> DataFrame:
+    """Writes the counts beside a model's other files and returns them as read back."""
+    return write_stage(bow, path)
+
+
 def vectorizer(terms: DataFrame, tokens: str = "tokens") -> CountVectorizerModel:
     """A vectorizer over the dictionary, terms in order; the driver holds the vocabulary, which is bounded."""
     return CountVectorizerModel.from_vocabulary([r["term"] for r in terms.select("term").orderBy("term").collect()], inputCol=tokens, outputCol="features")

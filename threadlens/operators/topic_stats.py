@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..config import TOPIC_THEMES
 
 
+def with_topic(questions: DataFrame, topic: str = "topic") -> DataFrame:
+    return questions.where(F.col(topic).isNotNull())
+
+
 def topic_distribution(questions: DataFrame) -> DataFrame:
     """topic, n, pct of all questions (unclassified ones included), avg_contribution."""
     total = questions.agg(F.count(F.lit(1)).alias("total"))

@@ -18,6 +18,7 @@ from ..functions.text import html_text, join_tokens, title_and_body, tokens
 from ..lineage import scratch
 from ..operators import census, quality, tag_relatedness, threads
 from ..operators.phrases import with_phrases
+from ..schema import require
 from ..sources import dumps
 from ..sources.tables import write_stage
 
@@ -65,6 +66,7 @@ def normalise(posts: DataFrame, key: str = "id") -> DataFrame:
     Phrases are mined from non-empty documents; empty ones stay as rows.
     ``key`` must be unique; ids are so only together with the type.
     """
+    require(posts, "type", key, title="text", body="text")
     rows = posts.withColumn("_key", F.concat_ws("/", F.col("type"), F.col(key)))
     rows = rows.withColumn("tokens", tokens(html_text(title_and_body(F.col("title"), F.col("body")))))
     rows = with_phrases(rows, "_key")

@@ -26,6 +26,11 @@ def write_csv(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> Non
     flat.write.mode("overwrite").options(**_CSV).partitionBy(*partition_by).csv(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Adds rows to a CSV folder, header and all, as files of their own."""
+    df.select(*[F.array_join(c, ";").alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes]).write.mode("append").options(**_CSV).csv(path)
+
+
 def read_related_tags(spark: SparkSession, path: str) -> DataFrame:
     """site, tag of stored tag metrics, each once; a site without any simply has no rows."""
     return spark.read.parquet(path).select("site", "tag").where("tag IS NOT NULL").distinct()
