@@ -132,11 +132,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     return both.where(shared * (p + q) >= (F.col("x.n") + F.col("y.n")) * p).select("p.a", "p.b")
 
 
-def _pairs_for_each(placed: DataFrame) -> float:
-    """Pairs between components of a bucket, over the members of all buckets (key, fp, root)."""
+def _open_buckets(placed: DataFrame) -> DataFrame:
+    """key, large: buckets whose members (key, fp, root) lie in several components, and whether further hubs are worth it."""
     n = F.col("n").cast("double")
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum(n).alias("all"), F.sum(n * n).alias("own"))
-    return sizes.agg(F.sum(F.col("all") * F.col("all") - F.col("own")) / (2 * F.sum("all"))).first()[0] or 0.0
+    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    spread = sizes.groupBy("key").agg(F.sum(n).alias("all"), F.sum(n * n).alias("own"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return cut(spread.select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2 > ROUND_PAIRS * F.col("all")).alias("large")))
 
 
 def links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, components) -> DataFrame:
@@ -154,14 +155,14 @@ def links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, com
     maps = sets.drop("shingles")
     found = [found]
     for turn in range(ROUNDS + 1):
-        drawn = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("fp", F.lit(HUBS * turn + k)).alias("h"), "fp", "root")) for k in range(HUBS)])).alias("hubs")
-        spanned = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), drawn).where("low < high")
-        spanned = cut(spanned.select("key", F.transform("hubs", lambda x: F.struct(x["fp"].alias("hub"), x["root"].alias("hub_root"))).alias("hubs")))
-        placed = cut(placed.join(small_side(spanned.select("key")), "key"))
+        placed = cut(placed.join(small_side(_open_buckets(placed)), "key"))
         if is_empty(placed):
             break
-        if turn < ROUNDS and _pairs_for_each(placed) > ROUND_PAIRS:
-            ends = placed.join(small_side(spanned), "key").select("fp", "root", F.inline("hubs")).where("root <> hub_root").distinct()
+        large = placed.where("large")
+        if turn < ROUNDS and not is_empty(large):
+            drawn = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("fp", F.lit(HUBS * turn + k)).alias("h"), "fp", "root")) for k in range(HUBS)]))
+            hubs = large.groupBy("key").agg(drawn.alias("hubs")).select("key", F.inline("hubs")).select("key", F.col("fp").alias("hub"), F.col("root").alias("hub_root"))
+            ends = large.join(small_side(cut(hubs.distinct())), "key").select("fp", "root", "hub", "hub_root").where("root <> hub_root").distinct()
             near = ends.join(maps.alias("x"), F.col("x.fp") == ends["fp"]).join(maps.alias("y"), F.col("y.fp") == ends["hub"]).where(_possible("x", "y", share))
             near = cut(near.select(F.least(ends["fp"], "hub").alias("a"), F.greatest(ends["fp"], "hub").alias("b"), "root", "hub_root").distinct())
             new = cut(_verified(near.select("a", "b").distinct(), sets, share))
