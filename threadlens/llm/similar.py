@@ -36,7 +36,7 @@ SEED, ROWS, MISSED = 42, 4, 5e-8
 #: Words of 64 bits in a parity bitmap.
 BITMAP = 16
 #: Rounds, further members of each bucket in one, and pairs between components for each member that a round is worth.
-ROUNDS, HUBS, ROUND_PAIRS = 2, 16, 8
+ROUNDS, HUBS, ROUND_PAIRS = 1, 24, 64
 
 
 def _words(text: str) -> list[bytes]:
@@ -137,7 +137,7 @@ def _open_buckets(placed: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     spread = sizes.groupBy("key").agg(F.sum(n).alias("all"), F.sum(n * n).alias("own"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    return cut(spread.select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2 > ROUND_PAIRS * F.col("all")).alias("large")))
+    return spread.select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2 > ROUND_PAIRS * F.col("all")).alias("large"))
 
 
 def links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, components) -> DataFrame:
@@ -162,7 +162,7 @@ def links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, com
         if turn < ROUNDS and not is_empty(large):
             drawn = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("fp", F.lit(HUBS * turn + k)).alias("h"), "fp", "root")) for k in range(HUBS)]))
             hubs = large.groupBy("key").agg(drawn.alias("hubs")).select("key", F.inline("hubs")).select("key", F.col("fp").alias("hub"), F.col("root").alias("hub_root"))
-            ends = large.join(small_side(cut(hubs.distinct())), "key").select("fp", "root", "hub", "hub_root").where("root <> hub_root").distinct()
+            ends = large.join(small_side(hubs.distinct()), "key").select("fp", "root", "hub", "hub_root").where("root <> hub_root").distinct()
             near = ends.join(maps.alias("x"), F.col("x.fp") == ends["fp"]).join(maps.alias("y"), F.col("y.fp") == ends["hub"]).where(_possible("x", "y", share))
             near = cut(near.select(F.least(ends["fp"], "hub").alias("a"), F.greatest(ends["fp"], "hub").alias("b"), "root", "hub_root").distinct())
             new = cut(_verified(near.select("a", "b").distinct(), sets, share))
