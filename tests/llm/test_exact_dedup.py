@@ -44,6 +44,17 @@ def test_names_are_collision_free(spark):
     assert len({(r.blocks, r.name) for r in got}) == len(texts)
 
 
+def test_names_are_ranks_for_every_partitioning(spark):
+    rows = [(k, f"text {k % 23} " * (1 + k % 5)) for k in range(200)]
+    found = []
+    for parts in (1, 3, 11):
+        docs = documents(spark, rows).repartition(parts, F.hash("doc_id", F.lit(parts)))
+        found.append({r.doc_id: (r.blocks, r.name) for r in identities(docs, 16).collect()})
+        single = {r.name for r in identities(documents(spark, rows).repartition(parts), 10_000).collect()}
+        assert single == set(range(len({t for _, t in rows})))
+    assert found[0] == found[1] == found[2]
+
+
 def test_keep_first_keeps_whole_rows(spark, edge_rows):
     docs = documents(spark, edge_rows)
     got = keep_first(docs)

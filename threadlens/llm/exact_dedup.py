@@ -1,10 +1,11 @@
 """Exact deduplication by deterministic block naming (DataFrame functions only).
 
-Every text is cut into fixed-size blocks.  Equal blocks get one integer name
-(blocks are grouped and sorted by content; each distinct content takes the next
-number).  Adjacent names are then paired and the pairs named the same way,
-level after level, until each document has a single name.  Two documents with
-the same number of blocks carry the same name exactly if their texts are equal.
+Every text is cut into fixed-size blocks.  Equal blocks get one integer name:
+distinct blocks are sorted by their key (a digest, see below) and numbered by
+rank, so names are the same for every partitioning and every rerun.  Adjacent
+names are then paired and the pairs named the same way, level after level, until
+each document has a single name.  Two documents with the same number of blocks
+carry the same name exactly if their texts are equal.
 
 Block contents travel once, combined on the map side.  Every later step moves
 a 32-byte digest of the block; while naming, the operator counts how many
@@ -15,13 +16,15 @@ are the keys instead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import SPACE, cut, free_name, is_empty, matching, text_of
 
 #: Code points in a block.
 BLOCK = 8192
+#: monotonically_increasing_id() holds the partition above this many bits and the row's place in it below.
+PART_BITS = 33
 
 
 def normalised(text: str = "text") -> Column:
@@ -46,8 +49,19 @@ def _blocks(docs: DataFrame, block: int, digest) -> DataFrame:
 
 
 def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
-    """Number distinct keys in sorted order; the numbers are frozen by a checkpoint."""
-    return cut(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()))
+    """Distinct keys with name: their rank in sorted order (0, 1, 2, ...), however the input is partitioned.
+
+    Keys are dealt out in sorted ranges and counted within each; a range starts
+    from the number of keys in the ranges before it (one row a partition).
+    """
+    placed = cut(distinct.orderBy(*keys).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", PART_BITS)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = placed.withColumn("part", part).join(F.broadcast(starts), "part")
+    within = F.col("at").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    return numbered.withColumn("name", F.col("start") + within).drop("part", "start", "at")
 
 
 def _named(docs: DataFrame, block: int, digest) -> DataFrame:
