@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 
 from threadlens.config import TopicModelOptions
 from threadlens.operators import naming, topic_model
+from threadlens.operators import coherence as coherence_module
 from threadlens.operators.coherence import coherence, score_topics, window_counts
 
 
@@ -36,6 +38,18 @@ def test_windows():
     assert window_counts(["a"], {"a": 0}, 110)[0] == 1
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 4096])
+def test_windows_in_blocks_match_brute_force(monkeypatch, block):
+    monkeypatch.setattr(coherence_module, "BLOCK", block)
+    terms = {"a": 0, "b": 1, "c": 4}
+    for size, window in [(0, 3), (2, 5), (5, 5), (40, 1), (57, 6)]:
+        tokens = list(np.random.default_rng(size).choice(list("abcdef"), size))
+        n, ids, both = window_counts(tokens, terms, window)
+        seen = [{terms[w] for w in tokens[s : s + window] if w in terms} for s in range(max(1, size - window + 1))]
+        assert n == len(seen) and list(ids) == sorted(set().union(*seen))
+        assert both.tolist() == [[sum({i, j} <= s for s in seen) for j in ids] for i in ids]
+
+
 def test_coherence_orders_topics(spark):
     docs = docs_of(spark, [list("abcd")] * 30 + [list("wxyz")] * 30)
     good, bad = coherence(docs, [list("abc"), list("xyz")]), coherence(docs, [list("awb"), list("xcy")])

@@ -35,12 +35,16 @@ GRID_2 = (0.001, 0.002, 0.005, 0.010, 0.015, 0.020, 0.30)
 POPULARITY_QUANTILE = 0.75
 
 # Words of the medium and of discourse, beyond a language's stop words.
-MEDIUM_STOPWORDS = frozenset("answer question post comment comments reply replies op edit edited link links thread update updates solution issue issues discussion discussions".split())
-DISCOURSE_STOPWORDS = frozenset(
-    """work works working find found finding use uses using used make makes made get gets getting got try tries trying
-    know knows knowing need needs needed want wants wanted good better best thing things point points problem problems
-    case cases example examples people someone anyone everyone""".split()
-)
+MEDIUM_STOPWORDS = frozenset((
+    "answer", "question", "post", "comment", "comments", "reply", "replies", "op", "edit", "edited", "link", "links",
+    "thread", "update", "updates", "solution", "issue", "issues", "discussion", "discussions",
+))
+DISCOURSE_STOPWORDS = frozenset((
+    "work", "works", "working", "find", "found", "finding", "use", "uses", "using", "used", "make", "makes", "made",
+    "get", "gets", "getting", "got", "try", "tries", "trying", "know", "knows", "knowing", "need", "needs", "needed",
+    "want", "wants", "wanted", "good", "better", "best", "thing", "things", "point", "points", "problem", "problems",
+    "case", "cases", "example", "examples", "people", "someone", "anyone", "everyone",
+))
 
 # Programming languages, in the order in which they are looked for.
 LANGUAGES = ("Python", "JavaScript", "Java", "PHP", "C++", "C#", "C", "Obj-C", "Go", "Perl", "Ruby", "Delphi", "Powershell", "SQL", "TSQL", "Vbnet", "Lisp", "Lua", "Bash", "R", "Haskell", "Matlab", "Rust")

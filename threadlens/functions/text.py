@@ -23,8 +23,6 @@ from ..config import DISCOURSE_STOPWORDS, MEDIUM_STOPWORDS
 
 #: ASCII punctuation that is deleted; underscores and hyphens stay.
 PUNCTUATION = "".join(c for c in string.punctuation if c not in "_-")
-#: Elements whose contents are no prose.
-DROPPED_ELEMENTS = ("code", "pre", "script", "style", "img")
 
 
 @lru_cache(maxsize=1)

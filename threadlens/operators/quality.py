@@ -62,11 +62,15 @@ def self_answered(stats: DataFrame) -> DataFrame:
 
 
 def self_answered_by_site(answered: DataFrame, examples: int = 3) -> DataFrame:
-    """site_alias, num_questions, num_self_answers, and the first few question ids."""
+    """site_alias, num_questions, num_self_answers, and the first few question ids.
+
+    Ranks are bounded before questions are dealt by site, so no task orders a whole site.
+    """
     first = Window.partitionBy("site_alias").orderBy("question_id")
-    ranked = answered.withColumn("r", F.row_number().over(first))
-    shown = F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.col("question_id"))))
-    return ranked.groupBy("site_alias").agg(F.count(F.lit(1)).alias("num_questions"), F.sum("total_answers").alias("num_self_answers"), shown.alias("examples"))
+    counts = answered.groupBy("site_alias").agg(F.count(F.lit(1)).alias("num_questions"), F.sum("total_answers").alias("num_self_answers"))
+    ranked = answered.select("site_alias", "question_id", F.row_number().over(first).alias("r")).where(F.col("r") <= examples)
+    shown = ranked.groupBy(F.col("site_alias").alias("_site")).agg(F.array_sort(F.collect_list("question_id")).alias("examples"))
+    return counts.join(shown, F.col("site_alias").eqNullSafe(F.col("_site"))).drop("_site")
 
 
 def without_threads(posts: DataFrame, questions: DataFrame) -> DataFrame:

@@ -367,6 +367,19 @@ def b8(spark, sf):
 _STOP = sorted({"the", "of", "and", "to", "in", "is", "work", "question"})
 
 
+_TRIMMED = "list_filter(string_split_regex(lower(translate(text, '" + text.PUNCTUATION.replace("'", "''") + r"', '')), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
+_LEMMA = """CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN w[1:length(w) - 3] || 'y' WHEN regexp_matches(w, '(sses|shes|ches|xes|zes)$') THEN w[1:length(w) - 2]
+        WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') AND length(w) > 3 THEN w[1:length(w) - 1] ELSE w END"""
+
+
+@query("b8_token_rules", rf"""SELECT conv_id, turn, array_to_string(list_filter(list_transform({_TRIMMED}, lambda w: {_LEMMA}),
+    lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^\pN+$') AND NOT regexp_matches(w, '^[_\-]+$') AND NOT list_contains({_STOP}, w)), ' ') AS tokens FROM conversations""")
+def b8_rules(spark, sf):
+    """The rules of tokens() with a short list of stop words, as SQL can't read the bundled one."""
+    c = P.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", text.join_tokens(text.tokens(F.col("text"), stop=frozenset(_STOP))).alias("tokens"))
+
+
 @query("b9_stopwords", f"WITH {P.TEXTS} SELECT doc_id, array_to_string(list_filter(tokens, lambda w: NOT list_contains({_STOP}, w)), ' ') AS tokens FROM en")
 def b9(spark, sf):
     return P.words(spark, sf).select("doc_id", text.join_tokens(text.without_stopwords(F.col("tokens"), _STOP)).alias("tokens"))
@@ -405,7 +418,21 @@ def g4(spark, sf):
     return phrases.apply_phrases(docs, phrases.mine_phrases(docs), "doc_id").withColumn("tokens", F.array_join("tokens", " "))
 
 
-@query("g3_trigrams")
+def _phrase_pass(before: str, after: str, k: int) -> str:
+    """One pass of mining and joining: documents ``before`` (doc_id, tokens) become ``after``."""
+    return f"""wd{k} AS (SELECT doc_id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS pos FROM {before}),
+    nx{k} AS (SELECT doc_id, w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS b, pos FROM wd{k}),
+    uni{k} AS (SELECT w, count(*) AS n FROM wd{k} GROUP BY 1), bi{k} AS (SELECT a, b, count(*) AS n FROM nx{k} WHERE b IS NOT NULL GROUP BY 1, 2),
+    vo{k} AS (SELECT (SELECT count(*) FROM uni{k}) + (SELECT count(*) FROM bi{k}) AS v),
+    ph{k} AS (SELECT bi.a, bi.b FROM bi{k} bi JOIN uni{k} ua ON ua.w = a JOIN uni{k} ub ON ub.w = b, vo{k} WHERE bi.n > 5 AND (bi.n - 5) / (ua.n::DOUBLE * ub.n) * v > 10),
+    fl{k} AS (SELECT x.*, s.a IS NOT NULL AS hit FROM nx{k} x LEFT JOIN ph{k} s ON x.a = s.a AND x.b = s.b),
+    ru{k} AS (SELECT *, hit AND (pos - coalesce(max(pos) FILTER (WHERE NOT hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)) % 2 = 1 AS starts FROM fl{k}),
+    le{k} AS (SELECT *, coalesce(lag(starts) OVER (PARTITION BY doc_id ORDER BY pos), false) AS ends FROM ru{k}),
+    jo{k} AS (SELECT doc_id, list(CASE WHEN starts THEN a || '_' || b ELSE a END ORDER BY pos) AS joined FROM le{k} WHERE NOT ends GROUP BY 1),
+    {after} AS MATERIALIZED (SELECT doc_id, coalesce(joined, tokens) AS tokens FROM {before} LEFT JOIN jo{k} USING (doc_id))"""
+
+
+@query("g3_trigrams", f"WITH {P.TEXTS}, {_phrase_pass('en', 'once', 1)}, {_phrase_pass('once', 'twice', 2)} SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM twice")
 def g3(spark, sf):
     return phrases.with_phrases(P.words(spark, sf), "doc_id").withColumn("tokens", F.array_join("tokens", " "))
 
@@ -672,7 +699,16 @@ def e24(spark, sf):
     return rounded(kendall.kendall(rounded(_fused(spark, sf), *_POP_COLUMNS, *_DIF_COLUMNS)).drop("p"), "tau")
 
 
-@query("e24_correlation_table")
+_TAU_PAIRS = " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, topic, {x} AS u, {y} AS v FROM fu" for x, y in kendall.METRIC_PAIRS)
+
+
+@query("e24_correlation_table", f"""WITH RECURSIVE {_FUSED}, lg AS ({_TAU_PAIRS}), sz AS (SELECT x, y, count(*) AS n FROM lg GROUP BY 1, 2),
+    pr AS (SELECT x, y, sum(sign(a.u - b.u) * sign(a.v - b.v)) AS s, sum(abs(sign(a.u - b.u))) AS du, sum(abs(sign(a.v - b.v))) AS dv FROM lg a JOIN lg b USING (x, y) WHERE a.topic < b.topic GROUP BY 1, 2),
+    inv(k, c) AS (SELECT 1, [1::HUGEINT] UNION ALL SELECT k + 1, list_transform(range(0, k * (k + 1) // 2 + 1), lambda j: list_sum(c[greatest(1, j - k + 1):j + 1])::HUGEINT) FROM inv WHERE k < (SELECT max(n) FROM sz)),
+    dc AS (SELECT x, y, n, s / sqrt(du * dv) AS tau, CASE WHEN du = n * (n - 1) // 2 AND dv = du THEN least((du - s) // 2, (du + s) // 2) END AS least_d, du FROM pr JOIN sz USING (x, y)),
+    ce AS (SELECT x, y, printf('%.3f [%.3f]', tau, CASE WHEN 2 * least_d = du THEN 1.0 ELSE least(1.0, 2 * list_sum(c[1:CAST(least_d AS BIGINT) + 1])::DOUBLE / list_sum(c)::DOUBLE) END) AS cell FROM dc JOIN inv ON k = n),
+    lb AS (SELECT CASE x WHEN 'avg_views' THEN 'Views (avg)' WHEN 'avg_comments' THEN 'Comments (avg)' WHEN 'avg_score' THEN 'Score (avg)' ELSE 'Fused Popularity vs Fused Difficulty' END AS metric, y <> 'avg_hours' AS first_column, cell FROM ce)
+    SELECT metric, coalesce(max(cell) FILTER (WHERE first_column), '') AS "no accepted answer", coalesce(max(cell) FILTER (WHERE NOT first_column), '') AS hours FROM lb GROUP BY 1""")
 def e24_table(spark, sf):
     return kendall.correlation_table(kendall.kendall(_fused(spark, sf)))
 
@@ -800,10 +836,13 @@ def e31(spark, sf):
     return rounded(tech.pattern_shares(tech.pattern_table(tech.usage_patterns(_by_topic(spark, sf)), _terms(spark))), *tech.PATTERNS)
 
 
-@query("e32_heatmap", f"WITH {_PATTERNS} SELECT tech, category, global_pct, n_topics, round(max_pct, 6) AS max_pct, pattern, round(coalesce((SELECT max(pct) FROM bt WHERE bt.tech = pp.tech AND topic_id = '01'), 0), 6) AS \"01\" FROM tm JOIN pp USING (tech) WHERE global_pct >= 1")
+_BY_ID = ", ".join(f"round(coalesce(max(pct) FILTER (WHERE topic_id = '{t}'), 0), 6) AS \"{t}\"" for t in TOPIC_IDS)
+
+
+@query("e32_heatmap", f"WITH {_PATTERNS}, hm AS (SELECT tech, {_BY_ID} FROM bt GROUP BY 1) SELECT category, global_pct, n_topics, round(max_pct, 6) AS max_pct, pattern, hm.* FROM tm JOIN pp USING (tech) JOIN hm USING (tech) WHERE global_pct >= 1")
 def e32(spark, sf):
     out = tech.heatmap(_by_topic(spark, sf), _terms(spark), least_share=1.0)
-    return rounded(out.select("tech", "category", "global_pct", "n_topics", "max_pct", "pattern", "01"), "max_pct", "01")
+    return rounded(out.select("tech", "category", "global_pct", "n_topics", "max_pct", "pattern", *TOPIC_IDS), "max_pct", *TOPIC_IDS)
 
 
 @query("b21_topic_names", "SELECT p_partkey, p_size % 25 AS topic, coalesce(CASE p_size % 25 WHEN 1 THEN 'one' WHEN 2 THEN 'two' END, CAST(p_size % 25 AS VARCHAR)) AS topic_name FROM part")
@@ -848,12 +887,22 @@ def b24(spark, sf):
     return P.table(spark, sf, "part").select("p_partkey", labels.heading(name).alias("heading"), labels.wrapped(name, 10).alias("wrapped"), labels.line_count(labels.wrapped(name, 10)).alias("lines"))
 
 
-@query("g9_coherence")
+_TOPS = [["the", "of", "and"], ["der", "die", "und"], ["de", "la", "el"]]
+_TOP_WORDS = [(t, k, w) for t, ws in enumerate(_TOPS) for k, w in enumerate(ws)]
+_HOLDS = ", ".join(f"list_contains(held, '{w}') AS h{t}{k}" for t, k, w in _TOP_WORDS)
+_HELD_BOTH = " UNION ALL ".join(f"SELECT {t} AS t, {i} AS i, {j} AS j, count(*) FILTER (WHERE h{t}{i} AND h{t}{j}) / count(*)::DOUBLE AS p FROM hit" for t, i, _ in _TOP_WORDS for j in range(3))
+
+
+@query("g9_coherence", f"""WITH {P.TEXTS}, wn AS (SELECT unnest(range(greatest(1, len(tokens) - 109))) AS s, tokens FROM en WHERE len(tokens) > 0),
+    hit AS MATERIALIZED (SELECT {_HOLDS} FROM (SELECT tokens[s + 1 : s + 110] AS held FROM wn)), pb AS MATERIALIZED ({_HELD_BOTH}),
+    np AS (SELECT b.t, b.i, b.j, CASE WHEN x.p * y.p = 0 THEN 0 ELSE ln((b.p + 1e-12) / (x.p * y.p)) / -ln(b.p + 1e-12) END AS v FROM pb b JOIN pb x ON x.t = b.t AND x.i = b.i AND x.j = b.i JOIN pb y ON y.t = b.t AND y.i = b.j AND y.j = b.j),
+    wh AS (SELECT t, j, sum(v) AS v FROM np GROUP BY 1, 2),
+    co AS (SELECT t, i, sum(np.v * wh.v) AS dot, sqrt(sum(np.v * np.v)) * sqrt(sum(wh.v * wh.v)) AS lengths FROM np JOIN wh USING (t, j) GROUP BY 1, 2),
+    sc AS (SELECT t, avg(CASE WHEN lengths > 0 THEN dot / lengths ELSE 0 END) AS c FROM co GROUP BY 1) SELECT round(avg(c), 6) AS c_v FROM sc""")
 def g9(spark, sf):
     from ..operators.coherence import coherence
 
-    tops = [["the", "of", "and"], ["der", "die", "und"], ["de", "la", "el"]]
-    return spark.createDataFrame([(coherence(P.words(spark, sf), tops),)], "c_v double").select(F.round("c_v", 6).alias("c_v"))
+    return spark.createDataFrame([(coherence(P.words(spark, sf), _TOPS),)], "c_v double").select(F.round("c_v", 6).alias("c_v"))
 
 
 @query("g9_cooccurrence", f"""WITH {P.TEXTS}, wn AS (SELECT doc_id, unnest(range(greatest(1, len(tokens) - 109))) AS s, tokens FROM en WHERE len(tokens) > 0),
