@@ -155,3 +155,10 @@ def test_trend(spark):
     rows = [(datetime(2020, 1, 1), "a"), (datetime(2020, 6, 1), None), (datetime(2021, 1, 1), "a"), (None, "a")]
     got = {(r.year, r.topic): (r.n, r.total, r.pct) for r in trends.topic_trend(spark.createDataFrame(rows, "creation_date timestamp, topic string")).collect()}
     assert got == {(2020, "a"): (1, 2, 50.0), (2021, "a"): (1, 1, 100.0)}
+
+
+def test_confidence_levels():
+    assert [sampling.z_of(c) for c in (0.9, 0.95, 0.99)] == [1.64, 1.96, 2.58]
+    for c in (0, 1, 95):
+        with pytest.raises(ValueError):
+            sampling.z_of(c)

@@ -54,8 +54,6 @@ def test_coherence_orders_topics(spark):
     docs = docs_of(spark, [list("abcd")] * 30 + [list("wxyz")] * 30)
     good, bad = coherence(docs, [list("abc"), list("xyz")]), coherence(docs, [list("awb"), list("xcy")])
     assert good > 0.99 and bad < good
-    import numpy as np
-
     assert score_topics([[0, 1]], np.array([[4.0, 0.0], [0.0, 4.0]]), 8)[0] < 0.8
 
 
@@ -95,6 +93,15 @@ def test_sweep_and_classification(spark, corpus, tmp_path):
     assert {r.question_id for r in topic_model.subtopic_corpus(posts, done, crypto).collect()} == {"1"}
 
 
+def test_bound_perplexity(spark, corpus):
+    terms = topic_model.dictionary(corpus, options=OPTIONS)
+    two = topic_model.fit_topics(corpus, terms, 2, iterations=5, options=OPTIONS)
+    value = topic_model.bound_perplexity(two, corpus)
+    assert math.isfinite(value) and value > 1
+    assert topic_model.bound_perplexity(two, corpus.where("size(tokens) = 0")) is None
+    assert topic_model.bound_perplexity(topic_model.fit_topics(corpus, terms, 1, options=OPTIONS), corpus) is None
+
+
 def test_failing_count_does_not_end_the_sweep(corpus, monkeypatch):
     real = topic_model.evaluate
     monkeypatch.setattr(topic_model, "evaluate", lambda docs, terms, bow, key, k, *a: 1 / 0 if k == 2 else real(docs, terms, bow, key, k, *a))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,13 @@ from ..config import SAMPLE_E, SAMPLE_P, SAMPLE_Z
 from ..functions.tags import question_link
 
 
+def z_of(confidence: float) -> float:
+    """The two-sided normal quantile of a confidence level, to two decimals as tables give it (0.95: 1.96)."""
+    if not 0 < confidence < 1:
+        raise ValueError(f"confidence {confidence!r} does not lie between 0 and 1")
+    return round(NormalDist().inv_cdf((1 + confidence) / 2), 2)
+
+
 def sample_size(population: Column, z: float = SAMPLE_Z, p: float = SAMPLE_P, e: float = SAMPLE_E) -> Column:
     """Sample size with finite population correction, as a fraction (Cochran's formula)."""
     n0 = z**2 * p * (1 - p) / e**2

@@ -546,6 +546,16 @@ def e18(spark, sf):
 _N = "(384.16 / (1.0 + 383.16 / {n}))"
 
 
+_SIZES = ", ".join(f"round({z}**2 * 0.25::DOUBLE / 0.0025 / (1 + ({z}**2 * 0.25::DOUBLE / 0.0025 - 1) / n), 6) AS at_{c}" for c, z in ((90, 1.64), (95, 1.96), (99, 2.58)))
+
+
+@query("f1_sample_sizes", f"WITH n AS (SELECT c_nationkey, CAST(count(*) AS DOUBLE) AS n FROM customer GROUP BY 1) SELECT c_nationkey, {_SIZES} FROM n")
+def f1(spark, sf):
+    n = P.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {f"at_{c}": sampling.sample_size(F.col("n"), z=sampling.z_of(c / 100)) for c in (90, 95, 99)}
+    return rounded(n.select("c_nationkey", *[size.alias(name) for name, size in sizes.items()]), *sizes)
+
+
 @query("f2_sample_size", f"WITH {P.STRATA}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM s) SELECT round({_N.format(n='n')}, 6) AS sample, CAST(ceil({_N.format(n='n')}) AS BIGINT) AS target FROM n")
 def f2(spark, sf):
     n = sampling.sample_size(F.col("n"))
