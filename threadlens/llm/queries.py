@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, quality, simhash, toxicity
+from . import ann, negatives, quality, simhash, toxicity
 from .base import scratch, table
 from .bpe import encode_documents
 from .exact_dedup import dedup
@@ -82,6 +82,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id counts as of the next label, so that labels are noisy."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=label)
+
+
 def _compaction_sql() -> str:
     floors = [TARGET_BYTES // FANOUT ** (TIERS - t) for t in range(1, TIERS + 1)]
     tier = lambda size: "(" + " + ".join(f"CAST({size} >= {f} AS INT)" for f in floors) + ")"
@@ -117,6 +123,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_source_mix": op9_source_mix,
     "op10_bpe": op10_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLES = {
@@ -148,4 +155,15 @@ ORACLES = {
         t AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM v)
         SELECT doc_id, size, k.source_size, target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot
         FROM k LEFT JOIN t ON k.source IS NOT DISTINCT FROM t.source AND k.start // 1024 = t.rank""",
+    "op11_hard_negatives": """
+        WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
+              FROM r a JOIN r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+              FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+        SELECT * FROM n WHERE rank <= 3""",
 }
