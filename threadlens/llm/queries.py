@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, negatives, quality, simhash, toxicity
+from . import ann, negatives, pii, quality, simhash, spelling, toxicity
 from .base import scratch, table
 from .bpe import encode_documents
 from .exact_dedup import dedup
@@ -88,6 +88,20 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label_col=label)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), planted=spelling.PLANTED)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and ``base_sha256`` are of the base spans; ``spans`` has those that deobfuscation adds, too, and ``n_added`` their number."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
+    return found.withColumn("base", base).select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), added)
+
+
 def _compaction_sql() -> str:
     floors = [TARGET_BYTES // FANOUT ** (TIERS - t) for t in range(1, TIERS + 1)]
     tier = lambda size: "(" + " + ".join(f"CAST({size} >= {f} AS INT)" for f in floors) + ")"
@@ -124,6 +138,8 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_bpe": op10_bpe,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_pii": op13_pii,
 }
 
 ORACLES = {
