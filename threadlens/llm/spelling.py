@@ -218,7 +218,7 @@ def roots(forms: DataFrame) -> DataFrame:
     """word, root: the end of each word's chain of forms, by doubling the steps; counts at least double along a chain, so it is short and ends."""
     links = cut(forms.select("word", F.col("form").alias("root")))
     while True:
-        further = links.withColumnsRenamed({"word": "root", "root": "next"})
+        further = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
         step = cut(links.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         links = step.drop("moved")
         if is_empty(step.where("moved")):
