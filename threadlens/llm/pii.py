@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -43,6 +43,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# Texts without these hold no match of the two above; a search for a class of characters is fast.
+_SOME_IP, _SOME_CARD = re.compile(r"[0-9]\.[0-9]{1,20}\.[0-9]"), re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
 
 Span = tuple[int, int, int]
 
@@ -70,14 +72,14 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def addresses(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IP.finditer(text):
+    for m in _IP.finditer(text) if _SOME_IP.search(text) else ():
         parts = [p.lstrip("0") for p in m.group().split(".")]
         if all(len(p) < 4 and int(p or 0) <= 255 for p in parts):
             yield m.span()
 
 
 def cards(text: str) -> Iterator[tuple[int, int]]:
-    for m in _CARD.finditer(text):
+    for m in _CARD.finditer(text) if _SOME_CARD.search(text) else ():
         if m.end() - m.start() >= 13:
             digits = m.group().replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -141,7 +143,7 @@ DOTS = "。｡․·‧∙⋅•"
 
 
 @lru_cache(maxsize=1)
-def plain_characters() -> tuple[re.Pattern, dict[str, str]]:
+def plain_characters() -> dict[str, str]:
     """What each unusual character stands for, by the character database; Latin-1 letters and marks stay as they are."""
     table = {pair[0]: pair[1] for pair in LOOKALIKES.split()}
     for code in (0xA0, 0xAD, *range(0x300, 0x20000), *range(0xE0000, 0xE0080)):
@@ -163,25 +165,27 @@ def plain_characters() -> tuple[re.Pattern, dict[str, str]]:
                 table[c] = form
     for c in DOTS:
         table[c] = "."
-    return re.compile("[" + "".join(map(re.escape, table)) + "]"), table
+    return table
 
 
+_UNUSUAL = re.compile(r"[\xA0\xAD\u0131\u0251\u0261\u0300-\U0010FFFF]")
 _LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])(?=[OoIl]{0,3}[0-9])[0-9OoIl]{2,24}(?![A-Za-z0-9])")
+_SOME_LETTER_DIGIT = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
 _AS_DIGITS = str.maketrans("OoIl", "0011")
 
 
 def characters(text: str) -> Written:
     if text.isascii():
         return Written(text, [])
-    unusual, table = plain_characters()
-    return rewrite(text, ((m.start(), m.end(), table[m.group()]) for m in unusual.finditer(text)))
+    table = plain_characters()
+    return rewrite(text, ((m.start(), m.end(), new) for m in _UNUSUAL.finditer(text) if (new := table.get(m.group())) is not None))
 
 
 def letter_digits(text: str) -> Written:
     """O, o, I and l in tokens that have at least two digits and otherwise only these letters."""
 
     def edits() -> Iterator[tuple[int, int, str]]:
-        for m in _LETTER_DIGITS.finditer(text):
+        for m in _LETTER_DIGITS.finditer(text) if _SOME_LETTER_DIGIT.search(text) else ():
             token = m.group()
             if not token.isdigit() and sum(c.isdigit() for c in token) >= max(2, len(token) // 2):
                 for k, c in enumerate(token, m.start()):
@@ -201,24 +205,44 @@ DIGIT_WORDS = (
 OTHER_WORDS = {"oh": "0", "zwo": "2", "fuenf": "5"}
 
 
+def lowered(text: str) -> str:
+    """Lower case, letter by letter, so that places stay."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
+
+
+def any_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words, which tells them apart letter by letter."""
+    rest: dict[str, set[str]] = {}
+    for w in words:
+        rest.setdefault(w[:1], set()).add(w[1:])
+    end = "?" if rest.pop("", None) is not None else ""
+    parts = [re.escape(c) + (any_of(r) if r != {""} else "") for c, r in sorted(rest.items())]
+    return (f"(?:{'|'.join(parts)})" if len(parts) > 1 or end else "".join(parts)) + end
+
+
 @lru_cache(maxsize=1)
-def spelled() -> tuple[re.Pattern, re.Pattern, dict[str, str]]:
-    """Runs of number words, their parts, and what each stands for."""
+def spelled() -> tuple[re.Pattern, re.Pattern, re.Pattern, dict[str, str]]:
+    """Two number words in a row, whole runs of them, their parts, and what each stands for; all in lower case."""
     value = {w: str(k) for words in DIGIT_WORDS for k, w in enumerate(words.split())} | OTHER_WORDS
-    word = "(?:" + "|".join(sorted(value, key=lambda w: (-len(w), w))) + ")"
+    word, between = any_of(value), "(?:, ?|[ -])"
     item = rf"(?:(?:double|triple)[ -])?{word}"
-    run = re.compile(rf"(?<![^\W_])(?:plus[ -])?{item}(?:(?:, ?|[ -]){item})+(?![^\W_])|(?<![^\W_])plus ?(?=[0-9])", re.IGNORECASE)
-    return run, re.compile(rf"(plus)[ -]?|(?:(double|triple)[ -])?({word})(?:, ?|[ -])?", re.IGNORECASE), value
+    two = re.compile(rf"\b{word}{between}{item}\b")
+    run = re.compile(rf"\b(?:plus[ -])?{item}(?:{between}{item})+\b|\bplus ?(?=[0-9])")
+    return two, run, re.compile(rf"(plus)[ -]?|(?:(double|triple)[ -])?({word}){between}?"), value
 
 
 def digit_words(text: str) -> Written:
-    run, part, value = spelled()
+    two, run, part, value = spelled()
+    lower = lowered(text)
+    if not ("plus" in lower or two.search(lower)):
+        return Written(text, [])
 
     def edits() -> Iterator[tuple[int, int, str]]:
-        for m in run.finditer(text):
-            for p in part.finditer(text, *m.span()):
-                times = {"double": 2, "triple": 3}.get((p.group(2) or "").lower(), 1)
-                yield p.start(), p.end(), "+" if p.group(1) else value[p.group(3).lower()] * times
+        for m in run.finditer(lower):
+            for p in part.finditer(lower, *m.span()):
+                times = {"double": 2, "triple": 3}.get(p.group(2), 1)
+                yield p.start(), p.end(), "+" if p.group(1) else value[p.group(3)] * times
 
     return rewrite(text, edits())
 
@@ -236,7 +260,14 @@ _MARKS = re.compile(
 _MARK = {"at": "@", "dot": ".", "dash": "-", "line": "_", "bare_at": "@", "bare_dot": ".", "spaced": "@"}
 
 
+_SOME_MARK = re.compile(rf"[\[({{<][ \t]{{0,2}}(?:{_AT}|{_DOT}|@|a|\.|dash|minus|hyphen|underscore)[ \t]{{0,2}}[\])}}>]", re.IGNORECASE)
+
+
 def marks(text: str) -> Written:
+    lower = text.lower()
+    # A bare "at" counts only with a disguised dot behind it.
+    if not (any(w in lower for w in (*_DOT.split("|"), " @", "\t@")) or _SOME_MARK.search(text)):
+        return Written(text, [])
     return rewrite(text, ((m.start(), m.end(), _MARK[m.lastgroup]) for m in _MARKS.finditer(text)))
 
 
