@@ -2,11 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadlens.config import TopicModelOptions
 from threadlens.operators import naming, topic_model
-from threadlens.operators import coherence as coherence_module
-from threadlens.operators.coherence import coherence, score_topics, window_counts
+from threadlens.operators import lda
+from threadlens.operators.coherence import coherence, coherences, cooccurrence, score_topics, window_counts
 
 
 def docs_of(spark, docs):
@@ -38,11 +39,9 @@ def test_windows():
     assert window_counts(["a"], {"a": 0}, 110)[0] == 1
 
 
-@pytest.mark.parametrize("block", [1, 3, 7, 4096])
-def test_windows_in_blocks_match_brute_force(monkeypatch, block):
-    monkeypatch.setattr(coherence_module, "BLOCK", block)
+def test_windows_match_brute_force():
     terms = {"a": 0, "b": 1, "c": 4}
-    for size, window in [(0, 3), (2, 5), (5, 5), (40, 1), (57, 6)]:
+    for size, window in [(0, 3), (2, 5), (5, 5), (40, 1), (57, 6), (300, 20), (120, 110)]:
         tokens = list(np.random.default_rng(size).choice(list("abcdef"), size))
         n, ids, both = window_counts(tokens, terms, window)
         seen = [{terms[w] for w in tokens[s : s + window] if w in terms} for s in range(max(1, size - window + 1))]
@@ -57,11 +56,26 @@ def test_coherence_orders_topics(spark):
     assert score_topics([[0, 1]], np.array([[4.0, 0.0], [0.0, 4.0]]), 8)[0] < 0.8
 
 
+def test_coherences_of_many_models_are_those_of_each(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i % 2), list(rng.choice(list("abcdefgh"), rng.integers(0, 260)))) for i in range(40)] + [(90, 0, None), (91, None, ["a", "b"])]
+    docs = spark.createDataFrame(rows, "i int, c int, tokens array<string>")
+    models = {7: (0, [list("abc"), list("cde")]), 8: (1, [list("abh")]), 9: (0, [list("gh"), list("ab"), list("xyz")]), 10: (5, [list("ab")])}
+    got = coherences(docs, models, corpus="c")
+    for m, (c, topics) in models.items():
+        assert got[m] == pytest.approx(coherence(docs.where(f"c = {c}"), topics) if c < 5 else 0.0, abs=1e-12)
+    assert coherences(docs, {}) == {}
+    some = [r for r in rows if r[2]]
+    held = [{w for w in r[2][s : s + 110]} for r in some for s in range(max(1, len(r[2]) - 109))]
+    counted = {(r.i, r.j): r.n for r in cooccurrence(docs, ["h", "a", "z"]).collect()}
+    assert counted == {(-1, -1): len(held), (0, 0): sum("h" in s for s in held), (1, 1): sum("a" in s for s in held), (0, 1): sum({"a", "h"} <= s for s in held)}
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     left, right = ["key", "cipher", "block", "mode"], ["login", "user", "password", "hash"]
     docs = [[left[(k + j) % 4] for j in range(6)] for k in range(20)] + [[right[(k + j) % 4] for j in range(6)] for k in range(20)] + [[]]
-    return docs_of(spark, docs).orderBy("i").coalesce(1).cache()
+    return docs_of(spark, docs).cache()
 
 
 OPTIONS = TopicModelOptions(topic_counts=(1, 2), min_documents=2.0, max_document_share=0.9, alpha_numerator=0.2, top_words=4)
@@ -99,24 +113,184 @@ def test_bound_perplexity(spark, corpus):
     value = topic_model.bound_perplexity(two, corpus)
     assert math.isfinite(value) and value > 1
     assert topic_model.bound_perplexity(two, corpus.where("size(tokens) = 0")) is None
-    assert topic_model.bound_perplexity(topic_model.fit_topics(corpus, terms, 1, options=OPTIONS), corpus) is None
+    assert topic_model.bound_perplexity(two, docs_of(spark, [["unknown", "words"]])) is None
+    # With one topic the bound is the likelihood itself.
+    one = topic_model.fit_topics(corpus, terms, 1, options=OPTIONS)
+    p = dict(zip(one.vocabulary, one.shares[:, 0]))
+    words = [w for r in corpus.collect() for w in r.tokens]
+    assert topic_model.bound_perplexity(one, corpus) == pytest.approx(2 ** -(sum(math.log(p[w]) for w in words) / len(words)), rel=1e-6)
+    # The bound is below the likelihood: its perplexity, with the same base, is not smaller.
+    fitted = topic_model.fit_many(corpus, "i", {0: (0, 2)}, terms.selectExpr("0 AS corpus", "term"), iterations=5, options=OPTIONS)
+    fit, bound, n = lda.likelihoods(fitted.rows, {0: (0, fitted.models[0].shares, 0.1)}, spark)[0]
+    assert n == 240 and bound <= fit < 0
 
 
 def test_failing_count_does_not_end_the_sweep(corpus, monkeypatch):
     real = topic_model.evaluate
-    monkeypatch.setattr(topic_model, "evaluate", lambda docs, terms, bow, key, k, *a: 1 / 0 if k == 2 else real(docs, terms, bow, key, k, *a))
+    monkeypatch.setattr(topic_model, "evaluate", lambda docs, key, wanted, *a: 1 / 0 if 2 in wanted else real(docs, key, wanted, *a))
     best, curve = topic_model.find_best_model(corpus, "i", iterations=2, options=OPTIONS)
-    assert best.topics == 1 and curve[1] == (2, None, None)
+    assert best.topics == 1 and curve[0][1] is not None and curve[1] == (2, None, None)
 
 
 def test_equal_coherence_takes_the_smaller_count(corpus, monkeypatch):
-    monkeypatch.setattr(topic_model, "evaluate", lambda docs, terms, bow, key, k, *a: topic_model.Trial(k, 0.5, None, None))
+    monkeypatch.setattr(topic_model, "evaluate", lambda docs, key, wanted, *a: {k: topic_model.Trial(k, 0.5, None, None) for k in wanted})
     assert topic_model.find_best_model(corpus, "i", options=OPTIONS)[0].topics == 1
 
 
-def test_best_topic_takes_the_first(spark):
-    from pyspark.sql import functions as F
+# --- fitting ---
+
+
+def drawn(seed, docs=120, words=40, topics=3, terms=60):
+    """Documents of a known model: each topic has a third of the terms, documents mostly one topic."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(docs):
+        theta = rng.dirichlet([0.2] * topics)
+        z = rng.choice(topics, words, p=theta)
+        out.append([f"w{k * (terms // topics) + rng.integers(terms // topics):03d}" for k in z])
+    return out
+
+
+def sequential_gibbs(docs, topics, alpha, beta, rounds, seed):
+    """The textbook sampler, token by token: counts (terms, topics)."""
+    rng = np.random.default_rng(seed)
+    terms = sorted({w for d in docs for w in d})
+    ids = [[terms.index(w) for w in d] for d in docs]
+    z = [list(rng.integers(topics, size=len(d))) for d in ids]
+    kw, dk = np.zeros((len(terms), topics)), np.zeros((len(docs), topics))
+    for d, (words, zs) in enumerate(zip(ids, z)):
+        for w, k in zip(words, zs):
+            kw[w, k] += 1
+            dk[d, k] += 1
+    total = kw.sum(0)
+    for _ in range(rounds):
+        for d, words in enumerate(ids):
+            for t, w in enumerate(words):
+                k = z[d][t]
+                kw[w, k] -= 1
+                dk[d, k] -= 1
+                total[k] -= 1
+                p = np.cumsum((dk[d] + alpha) * (kw[w] + beta) / (total + len(terms) * beta))
+                k = z[d][t] = int(np.searchsorted(p, rng.random() * p[-1], side="right"))
+                kw[w, k] += 1
+                dk[d, k] += 1
+                total[k] += 1
+    return terms, kw
+
+
+def perplexity_of(docs, terms, weights, alpha, beta):
+    shares = (weights + beta) / (weights + beta).sum(0)
+    at = {t: i for i, t in enumerate(terms)}
+    fit = n = 0
+    for _, gamma, bag in lda.inferred([np.array([at[w] for w in d], np.int32) for d in docs], shares, alpha):
+        fit, n = fit + lda.fits(gamma, *bag, shares, alpha)[0].sum(), n + bag[1].sum()
+    return math.exp(-fit / n)
+
+
+FEW = TopicModelOptions(min_documents=1.0, max_document_share=1.0, alpha_numerator=0.6)
+
+
+def test_gibbs_is_as_good_as_a_sequential_sampler(spark):
+    docs = drawn(1)
+    terms, kw = sequential_gibbs(docs, 3, 0.2, 0.01, 40, 5)
+    df = docs_of(spark, docs)
+    model = topic_model.fit_topics(df, topic_model.dictionary(df, options=FEW), 3, iterations=40, options=FEW, key="i")
+    assert model.vocabulary == terms and model.weights.sum() == 120 * 40 and model.weights.min() >= 0
+    assert (model.weights.sum(1) == kw.sum(1)).all()
+    ours, theirs = perplexity_of(docs, terms, model.weights, 0.2, 0.01), perplexity_of(docs, terms, kw, 0.2, 0.01)
+    assert abs(ours / theirs - 1) < 0.02
+    # Topics are those the documents were drawn from.
+    tops = {frozenset(w for w, _ in t) for t in model.top_words(20)}
+    assert tops == {frozenset(f"w{k:03d}" for k in range(b, b + 20)) for b in (0, 20, 40)}
+
+
+@pytest.mark.parametrize("method", ["gibbs", "variational"])
+def test_fits_do_not_depend_on_partitions(spark, method):
+    docs = docs_of(spark, [*drawn(2, 60), [], None])
+    terms = topic_model.dictionary(docs, options=FEW)
+    fits = [topic_model.fit_topics(docs.repartition(n).sortWithinPartitions(F.rand(n)), terms, 4, iterations=12, options=FEW, key="i", method=method) for n in (1, 4, 16)]
+    for other in fits[1:]:
+        assert other.vocabulary == fits[0].vocabulary
+        assert np.array_equal(other.weights, fits[0].weights)
+
+
+def test_variational_topics(spark):
+    docs = drawn(3)
+    df = docs_of(spark, docs)
+    model = topic_model.fit_topics(df, topic_model.dictionary(df, options=FEW), 3, iterations=60, options=FEW, key="i", method="variational")
+    terms, kw = sequential_gibbs(docs, 3, 0.2, 0.01, 40, 5)
+    assert perplexity_of(docs, terms, model.weights, 0.2, 0.01) < 1.05 * perplexity_of(docs, terms, kw, 0.2, 0.01)
+
+
+def test_posterior_is_a_fixed_point():
+    rng = np.random.default_rng(5)
+    words = rng.dirichlet(np.ones(9), 3).T
+    bag = lda.bags([np.array([0, 1, 1, 8], np.int32), np.array([5] * 6, np.int32)])
+    gamma = lda.posterior(*bag, words, 0.3, 500)
+    assert np.allclose(gamma, lda.posterior(*bag, words, 0.3, 501), atol=1e-9) and np.allclose(gamma.sum(1), [4 + 0.9, 6 + 0.9])
+    assert np.allclose(lda.digamma(np.array([1.0, 0.5, 10.0])), [-0.5772156649, -1.9635100260, 2.2517525890], atol=1e-9)
+
+
+def test_many_models_are_those_fitted_alone(spark, monkeypatch):
+    docs = [(i, i % 2, d) for i, d in enumerate(drawn(6, 60))]
+    df = spark.createDataFrame(docs, "i int, c int, tokens array<string>")
+    terms = topic_model.dictionaries(df, "c", options=FEW)
+    wanted = {0: (0, 2), 1: (0, 3), 2: (1, 2), 3: (1, 1), 4: (7, 2)}
+    together = topic_model.fit_many(df, "i", wanted, terms, "c", iterations=10, options=FEW)
+    monkeypatch.setattr(lda, "MAX_CELLS", 150)  # fitted in turns
+    split = topic_model.fit_many(df, "i", wanted, terms, "c", iterations=10, options=FEW)
+    assert set(together.models) == {0, 1, 2, 3}
+    values = together.perplexities()
+    for m, model in together.models.items():
+        assert np.array_equal(model.weights, split.models[m].weights)
+        own = df.where(f"c = {wanted[m][0]}")
+        alone = topic_model.fit_many(own, "i", {m: (0, wanted[m][1])}, topic_model.dictionary(own, options=FEW).selectExpr("0 AS corpus", "term"), iterations=10, options=FEW)
+        assert np.array_equal(alone.models[m].weights, model.weights)
+        bow = topic_model.bag_of_words(own, topic_model.dictionary(own, options=FEW), "i")
+        plain = topic_model.perplexity(bow, topic_model.long_theta(model.theta(own), "i"), model.phi(spark), "i").first()[0]
+        assert values[m] == pytest.approx(plain, rel=1e-5)
+
+
+def test_a_sweep_scans_the_corpus_a_fixed_number_of_times(spark):
+    """Jobs of a sweep don't grow with the number of topic counts."""
+    df = docs_of(spark, drawn(7, 40))
+    jobs = []
+    for counts in ((1, 2), tuple(range(1, 26))):
+        spark.sparkContext.setJobGroup(f"sweep{len(counts)}", "")
+        best, curve = topic_model.find_best_model(df, "i", iterations=10, options=TopicModelOptions(topic_counts=counts, min_documents=1.0, max_document_share=1.0))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sweep{len(counts)}")))
+        assert len(curve) == len(counts) and best.topics in counts and all(c is not None and p > 1 for _, c, p in curve)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 2
+
+
+def test_submodels_in_one_fit(spark):
+    docs = drawn(8, 60)
+    posts = spark.createDataFrame([(str(q), "question" if t == 0 else "answer", f"{q}/{t}", docs[(q * 2 + t) % 60], " ".join(docs[(q * 2 + t) % 60])) for q in range(30) for t in range(2)], "question_id string, type string, key string, tokens array<string>, normalized_text string")
+    classified = posts.withColumn("topic", F.when(posts.type == "question", (posts.question_id % 3).cast("int"))).withColumn("topic_perc_contrib", F.lit(0.5))
+    options = TopicModelOptions(topic_counts=(2, 3), min_documents=1.0, max_document_share=1.0, alpha_numerator=0.6)
+    subs, failed = topic_model.train_submodels(posts, classified, range(4), "key", iterations=10, options=options)
+    assert set(subs) == {0, 1, 2} and list(failed) == [3] and "no term" in failed[3]
+    own = topic_model.subtopic_corpus(posts, classified, 1)
+    alone, none = topic_model.train_submodels(own, classified, [1], "key", iterations=10, options=options)
+    assert none == {} and (alone[1].topics, alone[1].coherence) == (subs[1].topics, pytest.approx(subs[1].coherence))
+    out = topic_model.classify_subtopics(classified, {k: t.model for k, t in subs.items() if k != 2}).collect()
+    assert len(out) == 30
+    for r in out:
+        assert (r.subtopic is None) == (r.topic == 2) and r.topic_perc_contrib == 0.5
+        if r.topic != 2:
+            theta = subs[r.topic].model.theta(spark.createDataFrame([(r.tokens,)], "tokens array<string>")).first().theta
+            assert r.subtopic == int(np.argmax(theta)) and r.subtopic_perc_contrib == pytest.approx(max(theta))
+
+
+def test_no_terms_no_models(spark):
+    docs = docs_of(spark, [["a"], [], None])
+    assert topic_model.find_best_model(docs, "i", iterations=2) == (None, [(k, None, None) for k in range(1, 26)])
+    assert topic_model.train(docs, "i", "fixed", 2, iterations=2) is None
+    assert topic_model.fit_topics(docs, topic_model.dictionary(docs), 2, iterations=2).vocabulary == []
 
+
+def test_best_topic_takes_the_first(spark):
     df = spark.createDataFrame([([0.4, 0.4, 0.2],), ([0.1, 0.2, 0.7],)], "t array<double>")
     index, share = topic_model.best_topic(F.col("t"))
     assert [tuple(r) for r in df.select(index, share).collect()] == [(0, 0.4), (2, 0.7)]

@@ -34,3 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, stem: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path below the shared folder, if it is there, wherever that folder is stored."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

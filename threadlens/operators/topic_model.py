@@ -1,27 +1,33 @@
-"""Topic models: dictionary, bag of words, fitting, the sweep over topic counts, and classification.
+"""Topic models: dictionary, bag of words, fitting, the sweep over topic counts, submodels, and classification.
 
-Fitting uses online variational inference; the study's models came from a
-Gibbs sampler, so topics correspond in kind, not one by one.
+Models are fitted by Gibbs sampling, as the study's were, or by variational
+inference (``method="variational"``); see lda for both.  A sweep over topic
+counts, and the submodels of all topics, are one fit, one scoring and one
+coherence job each, however many models there are.
 """
 
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
-from typing import Any
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import TopicModelOptions
+from ..lineage import remove, scratch
 from ..sources.tables import write_stage
-from .coherence import coherence
+from . import lda
+from .coherence import coherences
 
 log = logging.getLogger(__name__)
 
+METHODS = {"gibbs": lda.gibbs, "variational": lda.variational}
+
 
 def dictionary(docs: DataFrame, tokens: str = "tokens", options: TopicModelOptions = TopicModelOptions()) -> DataFrame:
     """term, df: terms in enough documents and not too many; the commonest if there are too many terms.
@@ -34,6 +40,16 @@ def dictionary(docs: DataFrame, tokens: str = "tokens", options: TopicModelOptio
     return kept.orderBy(F.col("df").desc(), "term").limit(options.vocabulary)
 
 
+def dictionaries(docs: DataFrame, corpus: str, tokens: str = "tokens", options: TopicModelOptions = TopicModelOptions()) -> DataFrame:
+    """corpus, term, df: dictionary() of each corpus; rows of a null corpus are in none."""
+    rows = docs.where(F.col(corpus).isNotNull()).select(F.col(corpus).alias("corpus"), F.col(tokens).alias("tokens"))
+    total = rows.groupBy("corpus").agg(F.count(F.lit(1)).alias("total"))
+    df = rows.select("corpus", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
+    kept = df.where(F.col("df") >= options.min_documents).join(total, "corpus").where(F.col("df") <= F.col("total") * options.max_document_share)
+    first = Window.partitionBy("corpus").orderBy(F.col("df").desc(), "term")
+    return kept.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= options.vocabulary).select("corpus", "term", "df")
+
+
 def bag_of_words(docs: DataFrame, terms: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """key, term, n: counts of the dictionary's terms; other words are dropped."""
     words = docs.select(key, F.explode(tokens).alias("term"))
@@ -45,85 +61,151 @@ def saved_bag_of_words(bow: DataFrame, path: str) -> DataFrame:
     return write_stage(bow, path)
 
 
-def vectorizer(terms: DataFrame, tokens: str = "tokens") -> CountVectorizerModel:
-    """A vectorizer over the dictionary, terms in order; the driver holds the vocabulary, which is bounded."""
-    return CountVectorizerModel.from_vocabulary([r["term"] for r in terms.select("term").orderBy("term").collect()], inputCol=tokens, outputCol="features")
-
-
 @dataclass
 class TopicModel:
-    """A fitted model; ``lda`` is None for one topic, whose word shares are then simply those of the corpus."""
+    """A fitted model: terms in order, and for each the weight (counts, or statistics) of each topic."""
 
     topics: int
-    vectorizer: CountVectorizerModel
-    lda: Any
-    unigram: list[float] | None = None
-
-    def phi(self, spark) -> DataFrame:
-        """topic, term, p: shares of words in each topic."""
-        vocabulary = self.vectorizer.vocabulary
-        if self.lda is None:
-            rows = [(0, t, float(p)) for t, p in zip(vocabulary, self.unigram)]
-        else:
-            matrix = self.lda.topicsMatrix().toArray()
-            matrix = matrix / matrix.sum(axis=0)
-            rows = [(k, t, float(matrix[i, k])) for k in range(self.topics) for i, t in enumerate(vocabulary)]
-        return spark.createDataFrame(rows, "topic int, term string, p double")
-
-    def theta(self, docs: DataFrame) -> DataFrame:
-        """docs with theta: shares of topics in each document."""
-        counted = self.vectorizer.transform(docs)
-        if self.lda is None:
-            return counted.withColumn("theta", F.array(F.lit(1.0))).drop("features")
-        out = self.lda.setFeaturesCol("features").setTopicDistributionCol("_theta").transform(counted)
-        return out.withColumn("theta", vector_to_array("_theta")).drop("features", "_theta")
-
-    def known(self, docs: DataFrame, into: str) -> DataFrame:
-        """docs with a flag: whether any of their tokens is in the dictionary, whatever its size."""
-        # A count vector prints as (size,[indices],[counts]).
-        return self.vectorizer.transform(docs).withColumn(into, ~F.col("features").cast("string").endswith(",[],[])")).drop("features")
-
-    def save(self, path: str, spark, meta: dict | None = None) -> None:
-        self.vectorizer.write().overwrite().save(f"{path}/dictionary")
-        if self.lda is not None:
-            self.lda.write().overwrite().save(f"{path}/model")
-        spark.createDataFrame([(self.topics, self.unigram)], "num_topics int, unigram array<double>").write.mode("overwrite").parquet(f"{path}/shape")
+    vocabulary: list[str]
+    weights: np.ndarray
+    alpha: float
+    beta: float = 0.01
+    _sent: dict = field(default_factory=dict, repr=False, compare=False)
+
+    @property
+    def shares(self) -> np.ndarray:
+        """(terms, topics): shares of words in each topic."""
+        smoothed = np.asarray(self.weights, float) + self.beta
+        return smoothed / smoothed.sum(0) if len(smoothed) else smoothed
+
+    def top_words(self, k: int) -> list[list[tuple[str, float]]]:
+        """The k heaviest words of each topic, ties by term."""
+        shares, terms = self.shares, np.array(self.vocabulary, object)
+        order = np.argsort(terms, kind="stable") if len(terms) else np.zeros(0, int)
+        out = []
+        for t in range(self.topics):
+            first = order[np.argsort(-shares[order, t], kind="stable")[:k]]
+            out.append([(terms[i], float(shares[i, t])) for i in first])
+        return out
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """term, weights: a row for each term."""
+        rows = pa.array(list(np.asarray(self.weights, float)), pa.list_(pa.float64()))
+        return spark.createDataFrame(pa.table({"term": pa.array(self.vocabulary, pa.string()), "weights": rows}))
+
+    def phi(self, spark: SparkSession) -> DataFrame:
+        """topic, term, p: shares of words in each topic; one row a term leaves the driver."""
+        total = np.asarray(self.weights, float).sum(0) + self.beta * len(self.vocabulary)
+        cells = self.table(spark).select("term", F.posexplode("weights").alias("topic", "w"))
+        return cells.select("topic", "term", ((F.col("w") + self.beta) / F.get(F.array(*[F.lit(float(x)) for x in total]), F.col("topic"))).alias("p"))
+
+    def _shipped(self, spark: SparkSession):
+        """Terms and shares as sent to the tasks, once for each session."""
+        sc = spark.sparkContext
+        if sc.applicationId not in self._sent:
+            self._sent[sc.applicationId] = sc.broadcast(({t: i for i, t in enumerate(self.vocabulary)}, self.shares, self.alpha))
+        return self._sent[sc.applicationId]
+
+    def theta(self, docs: DataFrame, tokens: str = "tokens", known: str | None = None) -> DataFrame:
+        """docs with theta: shares of topics in each document, equal ones where no token is known; ``known`` names a flag for that."""
+        out = docs.withColumn("_theta", _theta({0: self}, docs.sparkSession)(F.lit(0), F.col(tokens)))
+        even = F.array(*[F.lit(1.0 / self.topics)] * self.topics)
+        out = out.withColumn("theta", F.coalesce("_theta", even))
+        return (out.withColumn(known, F.col("_theta").isNotNull()) if known else out).drop("_theta")
+
+    def save(self, path: str, spark: SparkSession, meta: dict | None = None) -> None:
+        self.table(spark).write.mode("overwrite").parquet(f"{path}/weights")
+        spark.createDataFrame([(self.topics, float(self.alpha), float(self.beta))], "num_topics int, alpha double, beta double").write.mode("overwrite").parquet(f"{path}/shape")
         if meta:
             spark.createDataFrame([meta]).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
     @classmethod
-    def load(cls, path: str, spark) -> TopicModel:
-        from pyspark.ml.clustering import LocalLDAModel
-
+    def load(cls, path: str, spark: SparkSession) -> TopicModel:
         shape = spark.read.parquet(f"{path}/shape").first()
-        lda = None if shape.num_topics == 1 else LocalLDAModel.load(f"{path}/model")
-        return cls(shape.num_topics, CountVectorizerModel.load(f"{path}/dictionary"), lda, shape.unigram)
+        rows = spark.read.parquet(f"{path}/weights").orderBy("term").toPandas()  # a row a term: bounded by the dictionary
+        weights = np.array(rows["weights"].tolist(), float).reshape(len(rows), shape.num_topics)
+        return cls(shape.num_topics, rows["term"].tolist(), weights, shape.alpha, shape.beta)
+
+
+def _theta(models: dict[int, TopicModel], spark: SparkSession):
+    """A function of (number of a model, tokens): shares of its topics, or null where no token is known or no model has the number."""
+    sent = {k: m._shipped(spark) for k, m in models.items()}
+
+    @F.pandas_udf("array<double>")
+    def shares(model: pd.Series, tokens: pd.Series) -> pd.Series:
+        out: list = [None] * len(tokens)
+        for k in model.dropna().unique():
+            if k not in sent:
+                continue
+            index, words, alpha = sent[k].value
+            at, ids = [], []
+            for i in np.flatnonzero((model == k).to_numpy()):
+                found = [n for w in (() if tokens.iloc[i] is None else tokens.iloc[i]) if (n := index.get(w)) is not None]
+                if found:
+                    at.append(i)
+                    ids.append(np.array(found, np.int32))
+            if not ids:
+                continue
+            for of, gamma, _ in lda.inferred(ids, words, alpha):
+                for i, row in zip(of, gamma / gamma.sum(1, keepdims=True)):
+                    out[at[i]] = row.tolist()
+        return pd.Series(out, dtype=object)
+
+    return shares
+
+
+def fit_many(docs: DataFrame, key: str, wanted: dict[int, tuple[int, int]], terms: DataFrame, corpus: str | None = None, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions(), method: str = "gibbs") -> Fitted:
+    """Fits models in one go.  ``wanted``: model number -> (corpus, topics); ``terms``: corpus, term.
+
+    alpha = 50 / topics for each topic, in training and in inference; beta as
+    given.  Results depend neither on partitions nor on the order of rows, as
+    long as ``key`` is the same.  A corpus without terms has no models.
+    """
+    spark = docs.sparkSession
+    vocabularies: dict[int, list[str]] = {}
+    for r in terms.select("corpus", "term").orderBy("corpus", "term").toPandas().itertuples(index=False):  # bounded by the dictionaries
+        vocabularies.setdefault(int(r.corpus), []).append(r.term)
+    specs = [lda.Spec(m, c, k, len(vocabularies[c]), options.alpha_numerator / k, options.beta, options.seed) for m, (c, k) in sorted(wanted.items()) if c in vocabularies]
+    folder = scratch(spark, "corpus")
+    rows = write_stage(lda.encoded(docs, key, tokens, vocabularies, corpus), folder)
+    weights = METHODS[method](rows, specs, iterations or options.iterations) if specs else {}
+    models = {s.model: TopicModel(s.topics, vocabularies[s.corpus], weights[s.model], s.alpha, s.beta) for s in specs}
+    return Fitted(models, {s.model: s.corpus for s in specs}, rows, folder)
 
 
-def fit_topics(docs: DataFrame, terms: DataFrame, topics: int, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions()) -> TopicModel:
-    """Fits one model.  alpha = 50 / topics for each topic, in training and in inference; beta as given.
+@dataclass
+class Fitted:
+    """Models, the corpus of each, and the encoded documents they were fitted on (until drop())."""
 
-    ``iterations`` are those of the options unless told otherwise.
-    Results depend on how the input is split over partitions; for figures that
-    are to be repeated, sort and coalesce(1) the documents first.
-    """
-    cv = vectorizer(terms, tokens)
-    if topics == 1:
-        counts = {r["term"]: r["n"] for r in docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms.select("term"), "term", "left_semi").collect()}
-        smoothed = [counts.get(t, 0) + options.beta for t in cv.vocabulary]
-        return TopicModel(1, cv, None, [x / sum(smoothed) for x in smoothed])
-    lda = LDA(k=topics, optimizer="online", maxIter=iterations or options.iterations, seed=options.seed, docConcentration=[options.alpha_numerator / topics] * topics, topicConcentration=options.beta, optimizeDocConcentration=False, subsamplingRate=1.0, featuresCol="features")
-    counted = cv.transform(docs).select("features").cache()
-    try:
-        return TopicModel(topics, cv, lda.fit(counted))
-    finally:
-        counted.unpersist()
+    models: dict[int, TopicModel]
+    corpora: dict[int, int]
+    rows: DataFrame
+    folder: str
 
+    def drop(self) -> None:
+        remove(self.rows.sparkSession, self.folder)
 
-def words_per_topic(model: TopicModel, spark, k: int = 20) -> DataFrame:
+    def perplexities(self) -> dict[int, float | None]:
+        """exp(-log-likelihood / words) of each model on its corpus, in one pass; null without words."""
+        scored = lda.likelihoods(self.rows, {m: (self.corpora[m], model.shares, model.alpha) for m, model in self.models.items()}, self.rows.sparkSession)
+        return {m: float(np.exp(-fit / n)) if n else None for m, (fit, _, n) in scored.items()}
+
+
+def fit_topics(docs: DataFrame, terms: DataFrame, topics: int, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions(), key: str | None = None, method: str = "gibbs") -> TopicModel:
+    """Fits one model of the whole table.  Without a ``key`` documents are known by their tokens."""
+    if key is None:
+        docs, key = docs.select(F.col(tokens), F.array_join(tokens, " ").alias("_key")), "_key"
+    fitted = fit_many(docs, key, {0: (0, topics)}, terms.select(F.lit(0).alias("corpus"), "term"), None, tokens, iterations, options, method)
+    fitted.drop()
+    if not fitted.models:
+        return TopicModel(topics, [], np.zeros((0, topics)), options.alpha_numerator / topics, options.beta)
+    return fitted.models[0]
+
+
+def words_per_topic(model: TopicModel, spark: SparkSession, k: int = 20) -> DataFrame:
     """topic, rank, term, weight: the k heaviest words of each topic, ties by term."""
-    order = Window.partitionBy("topic").orderBy(F.col("p").desc(), "term")
-    return model.phi(spark).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("topic", "rank", "term", F.col("p").alias("weight"))
+    rows = [(t, r + 1, w, p) for t, words in enumerate(model.top_words(k)) for r, (w, p) in enumerate(words)]
+    return spark.createDataFrame(rows, "topic int, rank int, term string, weight double")
 
 
 def topic_lines(words: DataFrame, decimals: int = 3) -> DataFrame:
@@ -144,12 +226,17 @@ def perplexity(bow: DataFrame, theta: DataFrame, phi: DataFrame, key: str) -> Da
     return words.agg(F.exp(-F.try_divide(F.sum(F.col("n") * F.log("p")), F.sum("n"))).alias("perplexity"))
 
 
-def bound_perplexity(model: TopicModel, docs: DataFrame) -> float | None:
-    """2 ** (-bound / words) from the model's own bound; for when perplexity() has no word to work on."""
-    if model.lda is None:
+def bound_perplexity(model: TopicModel, docs: DataFrame, tokens: str = "tokens") -> float | None:
+    """2 ** (-bound / words), the bound of variational inference for the documents given the topics; null without a known word.
+
+    For when perplexity() has no word to work on.
+    """
+    spark = docs.sparkSession
+    if not model.vocabulary:
         return None
-    features = model.vectorizer.transform(docs).where(F.size(F.col(model.vectorizer.getInputCol())) > 0)
-    return float(2.0 ** model.lda.setFeaturesCol("features").logPerplexity(features)) if features.take(1) else None
+    rows = lda.encoded(docs.select(F.col(tokens), F.array_join(tokens, " ").alias("_key")), "_key", tokens, {0: model.vocabulary})
+    _, bound, words = lda.likelihoods(rows, {0: (0, model.shares, model.alpha)}, spark)[0]
+    return float(2.0 ** (-bound / words)) if words else None
 
 
 def long_theta(docs: DataFrame, key: str) -> DataFrame:
@@ -170,55 +257,69 @@ class Trial:
     model: TopicModel
 
 
-def find_best_model(docs: DataFrame, key: str, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions()) -> tuple[Trial | None, list[tuple[int, float | None, float | None]]]:
+def evaluate(docs: DataFrame, key: str, wanted: dict[int, tuple[int, int]], terms: DataFrame, corpus: str | None = None, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions(), method: str = "gibbs") -> dict[int, Trial]:
+    """Fits and scores models: one fit, one pass for perplexity, one job for coherence."""
+    fitted = fit_many(docs, key, wanted, terms, corpus, tokens, iterations, options, method)
+    tops = {m: (fitted.corpora[m], [[w for w, _ in words] for words in model.top_words(options.top_words)]) for m, model in fitted.models.items()}
+    scores, values = coherences(docs, tops, tokens, corpus=corpus), fitted.perplexities()
+    fitted.drop()
+    out = {}
+    for m, model in fitted.models.items():
+        value = values[m]
+        if value is None:
+            own = docs if corpus is None else docs.where(F.col(corpus) == fitted.corpora[m])
+            value = bound_perplexity(model, own, tokens)
+        out[m] = Trial(model.topics, scores[m], value, model)
+    return out
+
+
+def best_of(trials: Iterable[Trial]) -> Trial | None:
+    """The most coherent trial, the one of fewer topics among equals."""
+    return min(trials, key=lambda t: (-t.coherence, t.topics), default=None)
+
+
+def find_best_model(docs: DataFrame, key: str, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions(), method: str = "gibbs") -> tuple[Trial | None, list[tuple[int, float | None, float | None]]]:
     """Fits every topic count and takes the most coherent, the smaller count of equals.
 
-    Also returns (count, coherence, perplexity) of all counts, for the curves; a
-    count that fails is logged and has neither.
+    Also returns (count, coherence, perplexity) of all counts, for the curves.
+    All counts are fitted together; if that fails, they are fitted one by one,
+    and a count that fails is logged and has neither figure.
     """
-    spark = docs.sparkSession
-    terms = dictionary(docs, tokens, options).cache()
-    bow = bag_of_words(docs, terms, key, tokens).cache()
-    best, curve = None, []
-    for k in options.topic_counts:
-        try:
-            trial = evaluate(docs, terms, bow, key, k, tokens, iterations, options)
-        except Exception as e:  # noqa: BLE001  one count that cannot be fitted does not end the sweep
-            log.warning("no model of %d topics: %s", k, e)
-            curve.append((k, None, None))
-            continue
-        curve.append((k, trial.coherence, trial.perplexity))
-        if best is None or trial.coherence > best.coherence:
-            best = trial
-    terms.unpersist()
-    bow.unpersist()
-    return best, curve
-
-
-def evaluate(docs: DataFrame, terms: DataFrame, bow: DataFrame, key: str, topics: int, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions()) -> Trial:
-    spark = docs.sparkSession
-    model = fit_topics(docs, terms, topics, tokens, iterations, options)
-    tops: dict[int, list[str]] = {}
-    for r in words_per_topic(model, spark, options.top_words).orderBy("topic", "rank").collect():
-        tops.setdefault(r["topic"], []).append(r["term"])
-    score = coherence(docs, [tops[t] for t in sorted(tops)], tokens)
-    value = perplexity(bow, long_theta(model.theta(docs), key), model.phi(spark), key).first()[0]
-    if value is None:
-        value = bound_perplexity(model, docs)
-    return Trial(topics, score, value, model)
-
-
-def train(docs: DataFrame, key: str, mode: str = "search", topics: int | None = None, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions()) -> Trial | None:
+    terms = dictionary(docs, tokens, options).select(F.lit(0).alias("corpus"), "term")
+    found = _evaluated(docs, key, {k: (0, k) for k in options.topic_counts}, terms, None, tokens, iterations, options, method)
+    curve = [(k, found[k].coherence, found[k].perplexity) if k in found else (k, None, None) for k in options.topic_counts]
+    return best_of(found.values()), curve
+
+
+def _evaluated(docs: DataFrame, key: str, wanted: dict[int, tuple[int, int]], *args) -> dict[int, Trial]:
+    """evaluate(), and where it fails each model by itself without those that fail."""
+    try:
+        return evaluate(docs, key, wanted, *args)
+    except Exception as e:  # noqa: BLE001  one model that cannot be fitted does not end the sweep
+        if len(wanted) == 1:
+            log.warning("no model %s: %s", wanted, e)
+            return {}
+        log.warning("models are fitted one by one: %s", e)
+    out = {}
+    for m, spec in wanted.items():
+        out |= _evaluated(docs, key, {m: spec}, *args)
+    return out
+
+
+def counts_of(mode: str, topics: int | None, options: TopicModelOptions) -> list[int]:
+    """The topic counts to fit: all of the options (``search``), or the given one or their mean (``fixed``)."""
+    if mode not in ("search", "fixed"):
+        raise ValueError(f"mode {mode!r} is neither search nor fixed")
+    return list(options.topic_counts) if mode == "search" else [topics or options.default_topic_count()]
+
+
+def train(docs: DataFrame, key: str, mode: str = "search", topics: int | None = None, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions(), method: str = "gibbs") -> Trial | None:
     """``search`` sweeps all counts; ``fixed`` fits the given count, or the mean of the range."""
+    counts = counts_of(mode, topics, options)
     if mode == "search":
-        return find_best_model(docs, key, tokens, iterations, options)[0]
-    if mode != "fixed":
-        raise ValueError(f"mode {mode!r} is neither search nor fixed")
-    terms = dictionary(docs, tokens, options).cache()
-    try:
-        return evaluate(docs, terms, bag_of_words(docs, terms, key, tokens), key, topics or options.default_topic_count(), tokens, iterations, options)
-    finally:
-        terms.unpersist()
+        return find_best_model(docs, key, tokens, iterations, options, method)[0]
+    terms = dictionary(docs, tokens, options).select(F.lit(0).alias("corpus"), "term")
+    return evaluate(docs, key, {0: (0, counts[0])}, terms, None, tokens, iterations, options, method).get(0)
 
 
 def thread_texts(posts: DataFrame, order: str, text: str = "normalized_text") -> DataFrame:
@@ -232,7 +333,7 @@ def classify(texts: DataFrame, model: TopicModel, text: str = "text") -> DataFra
     """Adds topic and topic_perc_contrib; null where no word of the text is in the dictionary."""
     docs = texts.withColumn("tokens", F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))
     index, share = best_topic(F.col("theta"))
-    out = model.theta(model.known(docs, "_known")).withColumns({"topic": F.when(F.col("_known"), index), "topic_perc_contrib": F.when(F.col("_known"), share)})
+    out = model.theta(docs, known="_known").withColumns({"topic": F.when(F.col("_known"), index), "topic_perc_contrib": F.when(F.col("_known"), share)})
     return out.drop("theta", "tokens", "_known")
 
 
@@ -248,28 +349,44 @@ def subtopic_corpus(posts: DataFrame, classified: DataFrame, topic) -> DataFrame
     return posts.join(classified.where((F.col("type") == "question") & (F.col("topic") == topic)).select("question_id").distinct(), "question_id", "left_semi")
 
 
-def train_submodels(posts: DataFrame, classified: DataFrame, topics, key: str, mode: str = "search", tokens: str = "tokens", **options) -> dict[int, Trial]:
-    """One model for each main topic, on the whole threads of its questions; a topic that cannot be fitted is logged and left out."""
-    out = {}
+def corpora_of_topics(posts: DataFrame, classified: DataFrame, into: str = "corpus") -> DataFrame:
+    """Whole threads with the topic of their question, as ``into``: the training texts of all submodels.  Threads without a topic are left out."""
+    own = classified.where((F.col("type") == "question") & F.col("topic").isNotNull()).select("question_id", F.col("topic").cast("int").alias(into)).distinct()
+    return posts.join(own, "question_id")
+
+
+def train_submodels(posts: DataFrame, classified: DataFrame, topics: Iterable[int], key: str, mode: str = "search", topic_count: int | None = None, tokens: str = "tokens", iterations: int | None = None, options: TopicModelOptions = TopicModelOptions(), method: str = "gibbs") -> tuple[dict[int, Trial], dict[int, str]]:
+    """One model for each main topic, on the whole threads of its questions, and for topics without one the reason.
+
+    All submodels, and in search mode all their counts, are fitted together.
+    """
+    topics, counts = list(topics), counts_of(mode, topic_count, options)
+    folder = scratch(posts.sparkSession, "submodels")
+    rows = write_stage(corpora_of_topics(posts, classified).where(F.col("corpus").isin(topics)).select("corpus", key, tokens), folder)
+    terms = dictionaries(rows, "corpus", tokens, options)
+    wanted = {topic * len(counts) + i: (topic, k) for topic in topics for i, k in enumerate(counts)}
+    found = _evaluated(rows, key, wanted, terms, "corpus", tokens, iterations, options, method)
+    known = {r["corpus"] for r in terms.select("corpus").distinct().collect()}
+    remove(posts.sparkSession, folder)
+    out, failed = {}, {}
     for topic in topics:
-        try:
-            trial = train(subtopic_corpus(posts, classified, topic), key, mode, tokens=tokens, **options)
-        except Exception as e:  # noqa: BLE001  the other topics still get their models
-            log.warning("no submodel of topic %s: %s", topic, e)
-            continue
-        if trial is not None:
-            out[topic] = trial
-    return out
+        best = best_of([found[m] for m, (t, _) in wanted.items() if t == topic and m in found])
+        if best is not None:
+            out[topic] = best
+        else:
+            failed[topic] = "no model could be fitted" if topic in known else "no term of its threads is in a dictionary"
+    for topic, why in failed.items():
+        log.warning("no submodel of topic %s: %s", topic, why)
+    return out, failed
 
 
 def classify_subtopics(classified: DataFrame, models: dict[int, TopicModel], text: str = "normalized_text") -> DataFrame:
-    """Questions with subtopic and subtopic_perc_contrib from their topic's model, by the question's own text only."""
+    """Questions with subtopic and subtopic_perc_contrib from their topic's model, by the question's own text only, in one pass.
+
+    Null without a topic, without a model of it, or without a known word.
+    """
     questions = classified.where("type = 'question'")
-    out = None
-    for topic, model in sorted(models.items()):
-        part = questions.where(F.col("topic") == topic).withColumnsRenamed({"topic": "_topic", "topic_perc_contrib": "_contrib"})
-        part = classify(part, model, text).withColumnsRenamed({"topic": "subtopic", "topic_perc_contrib": "subtopic_perc_contrib"}).withColumnsRenamed({"_topic": "topic", "_contrib": "topic_perc_contrib"})
-        out = part if out is None else out.unionByName(part)
-    rest = questions.where(~F.coalesce(F.col("topic").isin(*models), F.lit(False))) if models else questions
-    rest = rest.withColumns({"subtopic": F.lit(None).cast("int"), "subtopic_perc_contrib": F.lit(None).cast("double")})
-    return rest if out is None else out.unionByName(rest.select(out.columns))
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    theta = _theta(models, classified.sparkSession)(F.col("topic"), words) if models else F.lit(None).cast("array<double>")
+    index, share = best_topic(F.col("_theta"))
+    return questions.withColumn("_theta", theta).withColumns({"subtopic": index, "subtopic_perc_contrib": share}).drop("_theta")

@@ -11,6 +11,7 @@ from ..config import GRID_1, GRID_2, LANGUAGES, TECHNOLOGY_ALIASES, TOPIC_IDS, T
 from ..functions import labels, tags, technology, text, values
 from ..operators import agreement, census, fused, kendall, naming, phrases, quality, sampling, tag_relatedness, threads, topic_model, topic_stats, trends
 from ..operators import technology as tech
+from ..lineage import cut
 from . import proxies as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -464,26 +465,35 @@ def g10(spark, sf):
     return rounded(topic_model.perplexity(bow, theta, phi, "doc_id"), "perplexity")
 
 
-def _model(spark, sf, k: int = 4, iterations: int = 8) -> tuple[DataFrame, topic_model.TopicModel]:
-    """A small model over the conversations; one partition in a fixed order, so that it can be repeated."""
-    docs = P.table(spark, sf, "conversations").select("conv_id", "turn", text.tokens(F.col("text"), stop=frozenset()).alias("tokens"))
-    docs = docs.orderBy("conv_id", "turn").coalesce(1)
-    return docs, topic_model.fit_topics(docs, topic_model.dictionary(docs), k, iterations=iterations)
+def _turns(spark, sf) -> DataFrame:
+    """Turns of the conversations as documents, with tokens."""
+    c = P.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.concat_ws("/", "conv_id", "turn").alias("key"), text.tokens(F.col("text"), stop=frozenset()).alias("tokens"))
+
+
+def _model(spark, sf, k: int = 4, iterations: int = 20, method: str = "gibbs") -> topic_model.TopicModel:
+    docs = _turns(spark, sf)
+    return topic_model.fit_topics(docs, topic_model.dictionary(docs), k, iterations=iterations, key="key", method=method)
 
 
 @query("g7_lda_topics")
 def g7(spark, sf):
-    return rounded(topic_model.words_per_topic(_model(spark, sf)[1], spark, 20), "weight")
+    return rounded(topic_model.words_per_topic(_model(spark, sf), spark, 20), "weight")
+
+
+@query("g7_variational_topics")
+def g7_variational(spark, sf):
+    return rounded(topic_model.words_per_topic(_model(spark, sf, method="variational"), spark, 20), "weight")
 
 
 @query("b25_topic_lines")
 def b25(spark, sf):
-    return topic_model.topic_lines(topic_model.words_per_topic(_model(spark, sf)[1], spark, 20))
+    return topic_model.topic_lines(topic_model.words_per_topic(_model(spark, sf), spark, 20))
 
 
 @query("h1_default_names")
 def h1(spark, sf):
-    return naming.default_names(topic_model.words_per_topic(_model(spark, sf)[1], spark, 20))
+    return naming.default_names(topic_model.words_per_topic(_model(spark, sf), spark, 20))
 
 
 def _conversation_posts(spark, sf) -> DataFrame:
@@ -497,34 +507,59 @@ def g16_text(spark, sf):
     return topic_model.thread_texts(_conversation_posts(spark, sf), "turn")
 
 
+def _topic_posts(spark, sf) -> DataFrame:
+    posts = _conversation_posts(spark, sf).withColumn("tokens", text.tokens(F.coalesce("normalized_text", F.lit("")), stop=frozenset()))
+    return posts.withColumn("key", F.concat_ws("/", "question_id", "turn"))
+
+
 @query("g16_classify")
 def g16(spark, sf):
-    out = topic_model.classify_threads(_conversation_posts(spark, sf), _model(spark, sf)[1], "turn")
+    out = topic_model.classify_threads(_conversation_posts(spark, sf), _model(spark, sf), "turn")
     return rounded(out.select("question_id", "turn", "type", "topic", "topic_perc_contrib"), "topic_perc_contrib", digits=3)
 
 
 @query("g18_subtopics")
 def g18(spark, sf):
-    _, model = _model(spark, sf)
-    posts = topic_model.classify_threads(_conversation_posts(spark, sf), model, "turn")
-    out = topic_model.classify_subtopics(posts, {0: model, 1: model})
+    """Topics of threads, a submodel of each topic on its threads, and the subtopics of the questions."""
+    posts = _topic_posts(spark, sf)
+    classified = cut(topic_model.classify_threads(posts, _model(spark, sf), "turn"))
+    subs, _ = topic_model.train_submodels(posts, classified, range(4), "key", "fixed", 3, iterations=20)
+    out = topic_model.classify_subtopics(classified, {k: t.model for k, t in subs.items()})
     return rounded(out.select("question_id", "topic", "subtopic", "subtopic_perc_contrib"), "subtopic_perc_contrib", digits=3)
 
 
 @query("g13_fixed_model")
 def g13(spark, sf):
-    docs, _ = _model(spark, sf, 1)
-    trial = topic_model.train(docs.withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key", "fixed", 3, iterations=5)
+    trial = topic_model.train(_turns(spark, sf), "key", "fixed", iterations=20)
     return spark.createDataFrame([(trial.topics, trial.coherence, trial.perplexity)], "num_topics int, coherence double, perplexity double")
 
 
 @query("g8_best_model")
 def g8(spark, sf):
-    docs, _ = _model(spark, sf, 1)
-    best, curve = topic_model.find_best_model(docs.withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key", iterations=3, options=TopicModelOptions(topic_counts=(1, 2)))
+    """All 25 topic counts."""
+    best, curve = topic_model.find_best_model(_turns(spark, sf), "key", iterations=10)
     return spark.createDataFrame([(k, c, p, k == best.topics) for k, c, p in curve], "num_topics int, coherence double, perplexity double, is_best boolean")
 
 
+@query("g15_submodels")
+def g15(spark, sf):
+    """Submodels of the conversations' classes (conv_id % 5) over four counts each, in one fit."""
+    posts = _topic_posts(spark, sf)
+    classified = posts.withColumn("topic", (F.col("question_id") % 5).cast("int"))
+    subs, failed = topic_model.train_submodels(posts, classified, range(6), "key", iterations=10, options=TopicModelOptions(topic_counts=(1, 2, 4, 8)))
+    rows = [(k, t.topics, t.coherence, t.perplexity, None) for k, t in subs.items()] + [(k, None, None, None, why) for k, why in failed.items()]
+    return spark.createDataFrame(rows, "topic int, num_topics int, coherence double, perplexity double, failed string")
+
+
+@query("g15_submodel_dictionaries", """WITH wd AS (SELECT conv_id % 5 AS corpus, conv_id, turn, unnest(list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) AS term FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)),
+    si AS (SELECT conv_id % 5 AS corpus, count(*) AS total FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) GROUP BY 1), df AS (SELECT corpus, term, count(*) AS df FROM wd GROUP BY 1, 2)
+    SELECT CAST(corpus AS INT) AS corpus, term, df FROM df JOIN si USING (corpus) WHERE df >= 5 AND df <= 0.5 * total""")
+def g15_dictionaries(spark, sf):
+    c = P.table(spark, sf, "conversations").select(F.col("conv_id").alias("question_id"), "turn", F.when(F.col("turn") == 0, "question").otherwise("answer").alias("type"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("tokens"))
+    classified = c.withColumn("topic", (F.col("question_id") % 5).cast("int"))
+    return topic_model.dictionaries(topic_model.corpora_of_topics(c, classified), "corpus")
+
+
 # --- topics, sampling -----------------------------------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ from ..operators import naming, quality, sampling, tag_relatedness, topic_model,
 from ..schema import require
 from ..sources import dumps, tables
 from . import proxies as P
-from .catalog import _DICTIONARY, _conversation_posts, _tagged, query, rounded
+from .catalog import _DICTIONARY, _tagged, _topic_posts, query, rounded
 
 # --- sources and sinks ----------------------------------------------------------------------------------------------
 
@@ -226,8 +226,7 @@ def g14(spark, sf):
     from ..config import TopicModelOptions
     from . import topics
 
-    posts = _conversation_posts(spark, sf).withColumn("tokens", text.tokens(F.coalesce("normalized_text", F.lit("")), stop=frozenset()))
-    posts = posts.withColumn("key", F.concat_ws("/", "question_id", "turn"))
-    options = TopicModelOptions(iterations=5, topic_counts=(2,))
+    posts = _topic_posts(spark, sf)
+    options = TopicModelOptions(iterations=20, topic_counts=(3,))
     out = topics.run(posts, "key", "turn", folder=scratch(spark, "models"), mode="fixed", options=options)
     return out.questions.select("question_id", "topic", "topic_name", "subtopic", "subtopic_name")

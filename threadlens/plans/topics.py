@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TopicModelOptions
+from ..lineage import cut
 from ..operators import naming, topic_model
 from ..schema import require
 
@@ -26,12 +27,14 @@ class Topics:
     subnames: DataFrame
     posts: DataFrame
     questions: DataFrame
+    #: Main topics without a submodel, and why.
+    failed: dict[int, str]
 
 
-def fitted(posts: DataFrame, key: str, mode: str | None = None, topics: int | None = None, options: TopicModelOptions = TopicModelOptions()) -> topic_model.Trial | None:
+def fitted(posts: DataFrame, key: str, mode: str | None = None, topics: int | None = None, options: TopicModelOptions = TopicModelOptions(), method: str = "gibbs") -> topic_model.Trial | None:
     """One model of posts (with tokens).  ``mode`` is search or fixed; by default the environment's LDA_MODE, else search."""
     require(posts, key, tokens="array")
-    return topic_model.train(posts, key, mode or os.environ.get("LDA_MODE", "search"), topics, options=options)
+    return topic_model.train(posts, key, mode or os.environ.get("LDA_MODE", "search"), topics, options=options, method=method)
 
 
 def named(model: topic_model.TopicModel, spark, ask: Callable[[str], str] | None = None, template: str = "{topics}") -> DataFrame:
@@ -45,21 +48,22 @@ def named(model: topic_model.TopicModel, spark, ask: Callable[[str], str] | None
 
 def run(
     posts: DataFrame, key: str, order: str, folder: str | None = None, mode: str | None = None, topics: int | None = None,
-    ask: Callable[[str], str] | None = None, template: str = "{topics}", options: TopicModelOptions = TopicModelOptions(),
+    ask: Callable[[str], str] | None = None, template: str = "{topics}", options: TopicModelOptions = TopicModelOptions(), method: str = "gibbs",
 ) -> Topics:
     """The whole chain.  ``posts``: site, question_id, type, tokens, normalized_text, a unique ``key`` and the thread's ``order``.
 
-    Every main topic gets a model of the whole threads of its questions; one
-    that cannot be fitted is logged, and its questions have no subtopic.  With
-    a folder the models and their meta data are saved below it.
+    Every main topic gets a model of the whole threads of its questions, all
+    fitted together; one that cannot be fitted is told with the reason, and its
+    questions have no subtopic.  With a folder the models and their meta data
+    are saved below it.
     """
     require(posts, "site", "question_id", "type", key, order, tokens="array", normalized_text="text")
     spark = posts.sparkSession
-    main = fitted(posts, key, mode, topics, options)
+    main = fitted(posts, key, mode, topics, options, method)
     if main is None:
         raise ValueError("no topic count could be fitted")
-    classified = topic_model.classify_threads(posts, main.model, order)
-    subs = topic_model.train_submodels(posts, classified, range(main.topics), key, mode or os.environ.get("LDA_MODE", "search"), options=options)
+    classified = cut(topic_model.classify_threads(posts, main.model, order))
+    subs, failed = topic_model.train_submodels(posts, classified, range(main.topics), key, mode or os.environ.get("LDA_MODE", "search"), options=options, method=method)
     names = named(main.model, spark, ask, template)
     subnames = spark.createDataFrame([], "topic int, topic_index bigint, topic_name string")
     for topic, trial in sorted(subs.items()):
@@ -71,4 +75,4 @@ def run(
     questions = topic_model.classify_subtopics(classified, {k: t.model for k, t in subs.items()})
     questions = naming.with_names(questions, names)
     named_subs = subnames.select("topic", F.col("topic_index").alias("subtopic"), F.col("topic_name").alias("subtopic_name"))
-    return Topics(main, subs, names, subnames, classified, questions.join(named_subs, ["topic", "subtopic"], "left"))
+    return Topics(main, subs, names, subnames, classified, questions.join(named_subs, ["topic", "subtopic"], "left"), failed)
