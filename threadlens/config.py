@@ -34,6 +34,20 @@ GRID_2 = (0.001, 0.002, 0.005, 0.010, 0.015, 0.020, 0.30)
 #: Share of a site's questions that each popularity metric must reach.
 POPULARITY_QUANTILE = 0.75
 
+# English function words beyond those that Spark bundles.
+FURTHER_STOPWORDS = frozenset("""
+across afterwards ain almost alone along already also although always am among amongst amount another anyhow anyone
+anything anyway anywhere aren around back became become becomes becoming beforehand behind beside besides beyond bottom
+ca call couldn d didn doesn done due eight either eleven else elsewhere empty enough even ever every everyone everything
+everywhere except fifteen fifty first five former formerly forty four front full get give go hadn hasn haven hence
+however hundred indeed isn keep last latter latterly least less ll m ma made make many may meanwhile might mightn mine
+moreover mostly move much must mustn name namely needn neither never nevertheless next nine nobody none noone nothing
+nowhere o often one onto others otherwise part per perhaps please put quite rather re really regarding say see seem
+seemed seeming seems serious several shan shouldn show side since six sixty somehow someone something sometime sometimes
+somewhere still take ten thence therefore third though three throughout thru thus together top toward towards twelve
+twenty two unless upon us used using various ve via wasn well weren whatever whence whenever whereas wherever whether
+whither whoever whole whose within without won wouldn y yet
+""".split()) | {first + last for first in ("here", "there", "where") for last in ("after", "by", "in", "upon")}
 # Words of the medium and of discourse, beyond a language's stop words.
 MEDIUM_STOPWORDS = frozenset((
     "answer", "question", "post", "comment", "comments", "reply", "replies", "op", "edit", "edited", "link", "links",

@@ -1,9 +1,8 @@
-"""Text normalisation.
+"""Text normalisation by rules.
 
-Everything but html_text() runs in the JVM.  Lemmas and parts of speech need a
-language model; ``normalise`` takes them from any callable and by default uses
-light suffix rules and no part-of-speech gate, so its tokens are not those of a
-full linguistic pipeline.
+Everything but html_text() runs in the JVM.  tokens() uses light suffix rules
+and no parts of speech; ``tagging`` has both, for texts to be normalised as the
+study's were.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..config import DISCOURSE_STOPWORDS, MEDIUM_STOPWORDS
+from ..config import DISCOURSE_STOPWORDS, FURTHER_STOPWORDS, MEDIUM_STOPWORDS
 
 #: ASCII punctuation that is deleted; underscores and hyphens stay.
 PUNCTUATION = "".join(c for c in string.punctuation if c not in "_-")
@@ -27,8 +26,8 @@ PUNCTUATION = "".join(c for c in string.punctuation if c not in "_-")
 
 @lru_cache(maxsize=1)
 def stopwords() -> frozenset[str]:
-    """English stop words, words of the medium, and discourse words."""
-    return frozenset(StopWordsRemover.loadDefaultStopWords("english")) | MEDIUM_STOPWORDS | DISCOURSE_STOPWORDS
+    """English stop words (those that Spark bundles and further ones), words of the medium, and discourse words."""
+    return frozenset(StopWordsRemover.loadDefaultStopWords("english")) | FURTHER_STOPWORDS | MEDIUM_STOPWORDS | DISCOURSE_STOPWORDS
 
 
 def title_and_body(title: Column, body: Column) -> Column:

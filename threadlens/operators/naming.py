@@ -25,6 +25,12 @@ def default_names(words: DataFrame, k: int = 3) -> DataFrame:
     return words.groupBy(F.col("topic").cast("bigint").alias("topic_index")).agg(F.array_join(listed, ", ").alias("topic_name"))
 
 
+def default_subnames(words: DataFrame, k: int = 3) -> DataFrame:
+    """topic, topic_index, topic_name of all submodels at once; ``words``: topic (the main one), subtopic, rank, term."""
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "term")))), lambda x: x["term"])
+    return words.groupBy("topic", F.col("subtopic").cast("bigint").alias("topic_index")).agg(F.array_join(listed, ", ").alias("topic_name"))
+
+
 def ask_names(words: DataFrame, template: str, ask: Callable[[str], str]) -> dict[int, str]:
     """Names by a language model: ``ask`` takes the filled prompt and returns JSON.
 

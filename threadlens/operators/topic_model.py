@@ -72,6 +72,13 @@ class TopicModel:
     beta: float = 0.01
     _sent: dict = field(default_factory=dict, repr=False, compare=False)
 
+    @classmethod
+    def of_counts(cls, counts: DataFrame, topics: int, alpha: float, beta: float = 0.01) -> TopicModel:
+        """A model from (topic, term, n), such as the counts of another sampler; rows of a cell add up, other topics are left out."""
+        cells = counts.where(F.col("topic").between(0, topics - 1) & F.col("term").isNotNull())
+        cells = cells.groupBy("term").pivot("topic", list(range(topics))).agg(F.sum("n")).na.fill(0).orderBy("term").toPandas()  # a row a term
+        return cls(topics, cells["term"].tolist(), cells[[str(k) for k in range(topics)]].to_numpy(float), alpha, beta)
+
     @property
     def shares(self) -> np.ndarray:
         """(terms, topics): shares of words in each topic."""
@@ -339,7 +346,12 @@ def classify(texts: DataFrame, model: TopicModel, text: str = "text") -> DataFra
 
 def classify_threads(posts: DataFrame, model: TopicModel, order: str) -> DataFrame:
     """Posts with topic and topic_perc_contrib on their question rows; other rows and empty threads have null."""
-    found = classify(thread_texts(posts, order), model).select("site", "question_id", F.col("topic").alias("_t"), F.col("topic_perc_contrib").alias("_c"))
+    return on_questions(posts, classify(thread_texts(posts, order), model))
+
+
+def on_questions(posts: DataFrame, threads: DataFrame) -> DataFrame:
+    """Posts with the topic and topic_perc_contrib of their thread (site, question_id) on question rows, null on others."""
+    found = threads.select("site", "question_id", F.col("topic").alias("_t"), F.col("topic_perc_contrib").alias("_c"))
     own = F.col("type") == "question"
     return posts.join(found, ["site", "question_id"], "left").withColumns({"topic": F.when(own, F.col("_t")), "topic_perc_contrib": F.when(own, F.col("_c"))}).drop("_t", "_c")
 
@@ -388,5 +400,10 @@ def classify_subtopics(classified: DataFrame, models: dict[int, TopicModel], tex
     questions = classified.where("type = 'question'")
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
     theta = _theta(models, classified.sparkSession)(F.col("topic"), words) if models else F.lit(None).cast("array<double>")
-    index, share = best_topic(F.col("_theta"))
-    return questions.withColumn("_theta", theta).withColumns({"subtopic": index, "subtopic_perc_contrib": share}).drop("_theta")
+    return with_subtopics(questions.withColumn("_theta", theta), "_theta").drop("_theta")
+
+
+def with_subtopics(questions: DataFrame, theta: str) -> DataFrame:
+    """Questions with subtopic and subtopic_perc_contrib, the largest share of a column of shares; null where that is null."""
+    index, share = best_topic(F.col(theta))
+    return questions.withColumns({"subtopic": index, "subtopic_perc_contrib": share})

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import GRID_1, GRID_2, LANGUAGES, TECHNOLOGY_ALIASES, TOPIC_IDS, TopicModelOptions
-from ..functions import labels, tags, technology, text, values
+from ..config import DISCOURSE_STOPWORDS, FURTHER_STOPWORDS, GRID_1, GRID_2, LANGUAGES, MEDIUM_STOPWORDS, TECHNOLOGY_ALIASES, TOPIC_IDS, TopicModelOptions
+from ..functions import labels, tagging, tags, technology, text, values
+from ..lineage import cut
 from ..operators import agreement, census, fused, kendall, naming, phrases, quality, sampling, tag_relatedness, threads, topic_model, topic_stats, trends
 from ..operators import technology as tech
-from ..lineage import cut
 from . import proxies as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -362,10 +362,22 @@ def b7(spark, sf):
 @query("b8_tokens")
 def b8(spark, sf):
     c = P.table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", text.join_tokens(text.tokens(F.col("text"))).alias("tokens"))
+    return c.select("conv_id", "turn", text.join_tokens(tagging.tagged_tokens(spark, F.col("text"))).alias("tokens"))
 
 
-_STOP = sorted({"the", "of", "and", "to", "in", "is", "work", "question"})
+@query("g1_normalise")
+def g1(spark, sf):
+    """Turns as posts: markup, tags, lemmas, stop words and two passes of phrases."""
+    from . import mining
+
+    c, t = P.table(spark, sf, "conversations"), F.col("turn")
+    posts = c.select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("role").alias("type"), F.when(t == 0, F.col("role")).alias("title"), F.concat(F.lit("<p>"), "text", F.lit("</p><code>x = 1</code>")).alias("body"))
+    return mining.normalise(posts).select("id", "type", "normalized_text")
+
+
+#: The whole set of stop words, for SQL.
+_STOP = sorted(P.bundled_stopwords() | FURTHER_STOPWORDS | MEDIUM_STOPWORDS | DISCOURSE_STOPWORDS)
+_QUOTED = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in _STOP) + "]"
 
 
 _TRIMMED = "list_filter(string_split_regex(lower(translate(text, '" + text.PUNCTUATION.replace("'", "''") + r"', '')), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
@@ -374,16 +386,16 @@ _LEMMA = """CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN w[1:length(w) - 3] ||
 
 
 @query("b8_token_rules", rf"""SELECT conv_id, turn, array_to_string(list_filter(list_transform({_TRIMMED}, lambda w: {_LEMMA}),
-    lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^\pN+$') AND NOT regexp_matches(w, '^[_\-]+$') AND NOT list_contains({_STOP}, w)), ' ') AS tokens FROM conversations""")
+    lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^\pN+$') AND NOT regexp_matches(w, '^[_\-]+$') AND NOT list_contains({_QUOTED}, w)), ' ') AS tokens FROM conversations""")
 def b8_rules(spark, sf):
-    """The rules of tokens() with a short list of stop words, as SQL can't read the bundled one."""
+    """The rules of tokens(), with all stop words."""
     c = P.table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", text.join_tokens(text.tokens(F.col("text"), stop=frozenset(_STOP))).alias("tokens"))
+    return c.select("conv_id", "turn", text.join_tokens(text.tokens(F.col("text"))).alias("tokens"))
 
 
-@query("b9_stopwords", f"WITH {P.TEXTS} SELECT doc_id, array_to_string(list_filter(tokens, lambda w: NOT list_contains({_STOP}, w)), ' ') AS tokens FROM en")
+@query("b9_stopwords", f"WITH {P.TEXTS} SELECT doc_id, array_to_string(list_filter(tokens, lambda w: NOT list_contains({_QUOTED}, w)), ' ') AS tokens FROM en")
 def b9(spark, sf):
-    return P.words(spark, sf).select("doc_id", text.join_tokens(text.without_stopwords(F.col("tokens"), _STOP)).alias("tokens"))
+    return P.words(spark, sf).select("doc_id", text.join_tokens(text.without_stopwords(F.col("tokens"), text.stopwords())).alias("tokens"))
 
 
 @query("b10_concat", "SELECT conv_id, turn, concat(coalesce(CASE WHEN turn % 2 = 0 THEN role END, ''), ' ', coalesce(CASE WHEN turn % 3 <> 1 THEN text END, '')) AS text FROM conversations")
@@ -560,6 +572,87 @@ def g15_dictionaries(spark, sf):
     return topic_model.dictionaries(topic_model.corpora_of_topics(c, classified), "corpus")
 
 
+# Topic shares and counts that are plain arithmetic on a table, so that SQL knows them, too.
+_THETA = "list_transform(range(4), lambda k: ((conv_id * 7 + k * k * 5 + k) % 11 + 1) / 44.0::DOUBLE)"
+_COUNTED = "ct AS (SELECT p_size % 4 AS topic, unnest(string_split(p_name, ' ')) AS term FROM part), cn AS (SELECT topic, term, count(*) AS n FROM ct GROUP BY 1, 2)"
+_PHI = f"""{_COUNTED}, vo AS (SELECT DISTINCT term FROM cn), al AS (SELECT topic, term, coalesce(n, 0) AS n FROM (SELECT unnest(range(4)) AS topic) CROSS JOIN vo LEFT JOIN cn USING (topic, term)),
+    ph AS (SELECT topic, term, (n + 0.01::DOUBLE) / sum(n + 0.01::DOUBLE) OVER (PARTITION BY topic) AS p FROM al)"""
+
+
+def _shares(question_id: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: ((question_id * 7 + k * k * 5 + k) % 11 + 1) / F.lit(44.0))
+
+
+def _counted_model(spark, sf) -> topic_model.TopicModel:
+    rows = P.table(spark, sf, "part").select((F.col("p_size") % 4).alias("topic"), F.explode(F.split("p_name", " ")).alias("term"))
+    return topic_model.TopicModel.of_counts(rows.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")), 4, 12.5)
+
+
+@query("g7_phi_of_counts", f"WITH {_PHI} SELECT CAST(topic AS INT) AS topic, term, round(p, 9) AS p FROM ph")
+def g7_phi(spark, sf):
+    return rounded(_counted_model(spark, sf).phi(spark), "p", digits=9)
+
+
+@query("g12_words_of_counts", f"""WITH {_PHI}, ra AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY p DESC, term) AS rank FROM ph)
+    SELECT CAST(topic AS INT) AS topic, CAST(rank AS INT) AS rank, term, round(p, 9) AS weight FROM ra WHERE rank <= 20""")
+def g12_of_counts(spark, sf):
+    return rounded(topic_model.words_per_topic(_counted_model(spark, sf), spark), "weight", digits=9)
+
+
+@query("g16_topic_of_theta", f"SELECT conv_id AS question_id, CAST(list_position(th, list_max(th)) - 1 AS INT) AS topic, list_max(th) AS share FROM (SELECT DISTINCT conv_id, {_THETA} AS th FROM conversations)")
+def g16_of_theta(spark, sf):
+    index, share = topic_model.best_topic(F.col("theta"))
+    c = P.table(spark, sf, "conversations").select(F.col("conv_id").alias("question_id")).distinct()
+    return c.withColumn("theta", _shares(F.col("question_id"))).select("question_id", index.alias("topic"), share.alias("share"))
+
+
+@query("g17_topic_column", f"""WITH th AS (SELECT DISTINCT conv_id, {_THETA} AS th FROM conversations WHERE turn % 5 <> 4 AND trim(text) <> '')
+    SELECT conv_id AS question_id, turn, CASE WHEN turn = 0 THEN 'question' ELSE 'answer' END AS type, CASE WHEN turn = 0 THEN CAST(list_position(th, list_max(th)) - 1 AS INT) END AS topic,
+           CASE WHEN turn = 0 THEN list_max(th) END AS topic_perc_contrib FROM conversations LEFT JOIN th USING (conv_id)""")
+def g17(spark, sf):
+    posts = _conversation_posts(spark, sf)
+    index, share = topic_model.best_topic(F.col("theta"))
+    threads = topic_model.thread_texts(posts, "turn").withColumn("theta", _shares(F.col("question_id"))).withColumns({"topic": index, "topic_perc_contrib": share})
+    return topic_model.on_questions(posts, threads).select("question_id", "turn", "type", "topic", "topic_perc_contrib")
+
+
+@query("g18_subtopic_of_theta", f"""SELECT conv_id AS question_id, CAST(list_position(th, list_max(th)) - 1 AS INT) AS subtopic, list_max(th) AS subtopic_perc_contrib
+    FROM (SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN {_THETA} END AS th FROM conversations WHERE turn = 0)""")
+def g18_of_theta(spark, sf):
+    questions = _conversation_posts(spark, sf).where("type = 'question'").withColumn("theta", F.when(F.col("question_id") % 3 != 0, _shares(F.col("question_id"))))
+    return topic_model.with_subtopics(questions, "theta").select("question_id", "subtopic", "subtopic_perc_contrib")
+
+
+@query("h2_subtopic_names", """WITH hw AS (SELECT p_partkey % 3 AS topic, p_partkey % 5 AS topic_index, p_name AS term, row_number() OVER (PARTITION BY p_partkey % 3, p_partkey % 5 ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)
+    SELECT CAST(topic AS INT) AS topic, topic_index, string_agg(term, ', ' ORDER BY rank) AS topic_name FROM hw WHERE rank <= 3 GROUP BY 1, 2""")
+def h2_names(spark, sf):
+    from pyspark.sql import Window
+
+    p = P.table(spark, sf, "part").select((F.col("p_partkey") % 3).cast("int").alias("topic"), (F.col("p_partkey") % 5).alias("subtopic"), "p_partkey", "p_retailprice", F.col("p_name").alias("term"))
+    order = Window.partitionBy("topic", "subtopic").orderBy(F.col("p_retailprice").desc(), "p_partkey")
+    return naming.default_subnames(p.withColumn("rank", F.row_number().over(order)).where("rank <= 20"))
+
+
+_ONE = f"""{_DICTIONARY}, co AS (SELECT w AS term, count(*) AS n FROM wd WHERE w IN (SELECT term FROM di ORDER BY df DESC, term LIMIT 100000) GROUP BY 1),
+    lp AS (SELECT n, ln((n + 0.01::DOUBLE) / sum(n + 0.01::DOUBLE) OVER ()) AS p FROM co)"""
+
+
+@query("g11_bound_perplexity", f"WITH {_ONE} SELECT round(pow(2, -sum(n * p) / sum(n)), 4) AS perplexity, CAST(NULL AS DOUBLE) AS unknown FROM lp")
+def g11(spark, sf):
+    """With one topic the bound is the likelihood; without a known word there is none."""
+    docs = P.words(spark, sf)
+    model = topic_model.fit_topics(docs, topic_model.dictionary(docs), 1, key="doc_id")
+    strange = docs.withColumn("tokens", F.transform("tokens", lambda w: F.concat(F.lit("\x00"), w)))
+    values = (topic_model.bound_perplexity(model, docs), topic_model.bound_perplexity(model, strange))
+    return rounded(spark.createDataFrame([values], "perplexity double, unknown double"), "perplexity", digits=4)
+
+
+@query("g13_fixed_one_topic", f"WITH {_ONE} SELECT CAST(1 AS INT) AS num_topics, round(exp(-sum(n * p) / sum(n)), 4) AS perplexity FROM lp")
+def g13_one(spark, sf):
+    trial = topic_model.train(P.words(spark, sf), "doc_id", "fixed", 1)
+    return rounded(spark.createDataFrame([(trial.topics, trial.perplexity)], "num_topics int, perplexity double"), "perplexity", digits=4)
+
+
 # --- topics, sampling -----------------------------------------------------------------------------------------------
 
 

@@ -6,15 +6,16 @@ Parquet between two of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Site
-from ..functions.text import html_text, join_tokens, title_and_body, tokens
+from ..functions.tagging import tagged_tokens
+from ..functions.text import html_text, join_tokens, title_and_body
 from ..lineage import scratch
 from ..operators import census, quality, tag_relatedness, threads
 from ..operators.phrases import with_phrases
@@ -60,14 +61,17 @@ def mine(spark: SparkSession, root: str, sites: tuple[Site, ...], work: str | No
     return Mined(counted, coarse, related, unified, quality.popular_threads(unified))
 
 
-def normalise(posts: DataFrame, key: str = "id") -> DataFrame:
+def normalise(posts: DataFrame, key: str = "id", tokens: Callable[[Column], Column] | None = None) -> DataFrame:
     """Adds tokens (phrases joined) and normalized_text, and drops title and body.
 
-    Phrases are mined from non-empty documents; empty ones stay as rows.
-    ``key`` must be unique; ids are so only together with the type.
+    Tokens are the lemmas of nouns, verbs, adjectives and adverbs (tagging), or
+    what ``tokens`` makes of the prose, such as text.tokens for rules that stay
+    in the JVM.  Phrases are mined from non-empty documents; empty ones stay as
+    rows.  ``key`` must be unique; ids are so only together with the type.
     """
     require(posts, "type", key, title="text", body="text")
     rows = posts.withColumn("_key", F.concat_ws("/", F.col("type"), F.col(key)))
-    rows = rows.withColumn("tokens", tokens(html_text(title_and_body(F.col("title"), F.col("body")))))
+    prose = html_text(title_and_body(F.col("title"), F.col("body")))
+    rows = rows.withColumn("tokens", tokens(prose) if tokens else tagged_tokens(posts.sparkSession, prose))
     rows = with_phrases(rows, "_key")
     return rows.withColumn("normalized_text", join_tokens(F.col("tokens"))).drop("_key", "title", "body")

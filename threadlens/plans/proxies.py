@@ -6,6 +6,11 @@ from the same input.
 
 from __future__ import annotations
 
+import glob
+import os
+import zipfile
+
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bundled_stopwords() -> frozenset[str]:
+    """Spark's English stop words as its library file has them; SQL is written before there is a session."""
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    if not jars:
+        raise FileNotFoundError("no spark-mllib library beside pyspark")
+    return frozenset(zipfile.ZipFile(jars[0]).read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+
+
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site, id, raw, with the two words of a part's name as tags in each of the raw forms in turn."""
     part = table(spark, sf_dir, "part")

@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TopicModelOptions
@@ -46,6 +46,15 @@ def named(model: topic_model.TopicModel, spark, ask: Callable[[str], str] | None
     return plain.join(asked, "topic_index", "left").select("topic_index", F.coalesce("asked", "topic_name").alias("topic_name"))
 
 
+def named_submodels(models: dict[int, topic_model.TopicModel], spark: SparkSession, ask: Callable[[str], str] | None = None, template: str = "{topics}") -> DataFrame:
+    """topic, topic_index, topic_name of the topics of all submodels.  With ``ask`` each submodel is asked for by itself; what it leaves out has its words."""
+    words = [(topic, k, r + 1, w) for topic, model in sorted(models.items()) for k, found in enumerate(model.top_words(20)) for r, (w, _) in enumerate(found)]
+    plain = naming.default_subnames(spark.createDataFrame(words, "topic int, subtopic int, rank int, term string"))
+    told = {t: naming.ask_names(topic_model.words_per_topic(m, spark), template, ask) for t, m in sorted(models.items())} if ask else {}
+    asked = spark.createDataFrame([(t, int(k), v) for t, names in told.items() for k, v in sorted(names.items())], "topic int, topic_index bigint, asked string")
+    return plain.join(asked, ["topic", "topic_index"], "left").select("topic", "topic_index", F.coalesce("asked", "topic_name").alias("topic_name"))
+
+
 def run(
     posts: DataFrame, key: str, order: str, folder: str | None = None, mode: str | None = None, topics: int | None = None,
     ask: Callable[[str], str] | None = None, template: str = "{topics}", options: TopicModelOptions = TopicModelOptions(), method: str = "gibbs",
@@ -65,9 +74,7 @@ def run(
     classified = cut(topic_model.classify_threads(posts, main.model, order))
     subs, failed = topic_model.train_submodels(posts, classified, range(main.topics), key, mode or os.environ.get("LDA_MODE", "search"), options=options, method=method)
     names = named(main.model, spark, ask, template)
-    subnames = spark.createDataFrame([], "topic int, topic_index bigint, topic_name string")
-    for topic, trial in sorted(subs.items()):
-        subnames = subnames.unionByName(named(trial.model, spark, ask, template).select(F.lit(topic).alias("topic"), "topic_index", "topic_name"))
+    subnames = named_submodels({k: t.model for k, t in subs.items()}, spark, ask, template)
     if folder is not None:
         for name, trial in [("main", main), *((str(k), t) for k, t in sorted(subs.items()))]:
             meta = {"num_topics": trial.topics, "alpha": options.alpha_numerator / trial.topics, "beta": options.beta, "random_seed": options.seed, "coherence": trial.coherence, "perplexity": trial.perplexity}
