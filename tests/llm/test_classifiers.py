@@ -215,3 +215,35 @@ def test_edges(spark, edge_rows, op):
         assert all(0 <= r.score <= 1 and r.predicted in (0, 1) and r.held_out is not None for r in got)
     empty = documents(spark, [])
     assert op.score(empty, op.train(empty, labelled(spark, []))).collect() == []
+
+
+@pytest.mark.parametrize("position", [0, 1, 5])
+def test_a_text_over_the_budget_is_skipped_and_nothing_else(spark, corpus, position):
+    """The sample, and what is learned from it, is as if the long text had no label."""
+    from pyspark.sql import functions as F
+
+    from threadlens.llm.labelled import sample
+
+    usable = [i for i, *_ in corpus[1] if not held(i, 3, 1) and not held(i, 4, 2)]
+    order = [r.i for r in spark.createDataFrame([(i,) for i in usable], "i bigint").orderBy(F.shiftrightunsigned(F.xxhash64("i"), 1)).collect()]
+    long = order[position]
+    budget = sum(len(t.split()) for i, t in corpus[0] if i != long) + 10
+    rows = [(i, t if i != long else "word " * (budget + 1)) for i, t in corpus[0]]
+    with_long, without = labelled(spark, corpus[1]), labelled(spark, [x for x in corpus[1] if x[0] != long])
+    for label, train in (("quality", quality.train), ("toxic", toxicity.train)):
+        docs = documents(spark, rows)
+        taken = [{r.doc_id for r in sample(docs, x, label, F.lit(True), 5000, budget).collect()} for x in (with_long, without)]
+        assert taken[0] == taken[1] == {i for i, _ in rows} - {long}
+        fits = [train(docs, x, 5000, budget) for x in (with_long, without)]
+        score = {"quality": quality.score, "toxic": toxicity.score}[label]
+        some = documents(spark, corpus[0][:60])
+        assert [r.score for r in score(some, fits[0]).orderBy("doc_id").collect()] == [r.score for r in score(some, fits[1]).orderBy("doc_id").collect()]
+
+
+def test_both_labels_stay_within_any_budget():
+    from threadlens.llm.labelled import within
+
+    rows = [{"doc_id": i, "label": int(i == 3), "n": n} for i, n in enumerate([900, 40, 30, 500, 20, 30])]
+    assert within(rows, 1000) == {1, 2, 3, 4, 5}  # 0 does not fit beside the only text of label 1
+    assert within(rows, 100) == {3, 4} and within(rows, 0) == {3, 4}  # the shortest of each label, whatever the budget
+    assert within(rows, 10_000) == set(range(6)) and within([], 5) == set()
