@@ -9,6 +9,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import TOPIC_NAMES
+
 log = logging.getLogger(__name__)
 
 
@@ -54,6 +56,16 @@ def parse_names(answer: Mapping) -> dict[int, str]:
     return out
 
 
+def parsed_answers(answers: DataFrame, column: str) -> DataFrame:
+    """topic_index, topic_name of a column of answers as JSON, in either spelling of the keys.
+
+    What is no JSON, and topics without an index or a name, are left out.
+    """
+    rows = answers.select(F.inline(F.from_json(column, TOPIC_NAMES)["topics"]))
+    rows = rows.select(F.coalesce("topic_index", "topic_id").alias("topic_index"), F.coalesce("topic_name", "inferred_name").alias("topic_name"))
+    return rows.where("topic_index IS NOT NULL AND topic_name IS NOT NULL")
+
+
 def with_names(df: DataFrame, names: DataFrame, topic: str = "topic", into: str = "topic_name") -> DataFrame:
     """Adds the topic's name, or its id where it has none.  One row a topic in ``names``."""
     named = names.select(F.col("topic_index").alias(topic), F.col("topic_name").alias("_name"))

@@ -17,7 +17,12 @@ def taxonomy(spark: SparkSession, categories: Mapping[str, list[str]]) -> DataFr
     """category, category_pos, pos, tech, global_pct from categories of ``"name (share)"`` labels."""
     rows = [(c, k, j, label) for k, (c, labels) in enumerate(categories.items()) for j, label in enumerate(labels)]
     df = spark.createDataFrame(rows, "category string, category_pos int, pos int, label string")
-    return df.select("category", "category_pos", "pos", name_part(F.col("label")).alias("tech"), share_part(F.col("label")).alias("global_pct"))
+    return parted(df).drop("label")
+
+
+def parted(labels: DataFrame, label: str = "label") -> DataFrame:
+    """Adds tech and global_pct, the parts of ``"name (share)"`` labels; a share that is no number counts as 0."""
+    return labels.withColumns({"tech": name_part(F.col(label)), "global_pct": share_part(F.col(label))})
 
 
 def language_shares(posts: DataFrame, technologies: str = "technologies") -> DataFrame:

@@ -140,10 +140,11 @@ def e14(spark, sf):
     return tag_relatedness.sweep_wide(_swept(spark, sf), _WIDE)
 
 
-@query("b23_grid_labels", "SELECT printf('TRH1_%.3f_TRH2_%.3f', u1, u2) AS label, replace(printf('TRH1_%.3f_TRH2_%.3f', u1, u2), '.', '_') || '.csv' AS file FROM (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in GRID_1) + "]) AS u1), (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in GRID_2) + "]) AS u2)")
+@query("b23_grid_labels", """SELECT p_partkey, printf('TRH1_%.3f_TRH2_%.3f', (p_size % 6 + 1) / 20.0::DOUBLE, (p_partkey % 50) / 1000.0::DOUBLE) AS label,
+    replace(printf('TRH1_%.3f_TRH2_%.3f', (p_size % 6 + 1) / 20.0::DOUBLE, (p_partkey % 50) / 1000.0::DOUBLE), '.', '_') || '.csv' AS file FROM part""")
 def b23(spark, sf):
-    g = tag_relatedness.grid(spark)
-    return g.select(F.col("combination").alias("label"), tags.threshold_file(F.col("threshold_1"), F.col("threshold_2")).alias("file"))
+    point = (F.col("p_size") % 6 + 1) / F.lit(20.0), (F.col("p_partkey") % 50) / F.lit(1000.0)
+    return P.table(spark, sf, "part").select("p_partkey", tags.threshold_label(*point).alias("label"), tags.threshold_file(*point).alias("file"))
 
 
 # --- census ---------------------------------------------------------------------------------------------------------
@@ -225,18 +226,38 @@ def d5(spark, sf):
     return P.comments(spark, sf).join(ids, "post_id", "left_semi").agg(F.count(F.lit(1)).alias("comments"))
 
 
-@query("s2_unified_posts", f"""WITH {P.TRACKED}, kc AS (SELECT k.id, k.owner_id, tr.root_id FROM k JOIN tr USING (post_id)), n AS (SELECT post_id, count(*) AS n FROM k GROUP BY 1)
-    SELECT concat('all:', sel.id) AS question_id, concat('all:', sel.id) AS id, 'question' AS type, coalesce(n.n, 0) AS comment_count, 'all.7z' AS site FROM sel LEFT JOIN n ON n.post_id = sel.id
-    UNION ALL SELECT concat('all:', parent_id), concat('all:', ans.id), 'answer', coalesce(n.n, 0), 'all.7z' FROM ans LEFT JOIN n ON n.post_id = ans.id
-    UNION ALL SELECT concat('all:', root_id), concat('all:', id), 'comment', NULL, 'all.7z' FROM kc""")
+def _whole(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, answers and comments on one site with all attributes as text, some of them absent or no number or date."""
+    o, li, e = (P.table(spark, sf, n) for n in ("orders", "lineitem", "events"))
+    k, text_ = F.col("o_custkey"), lambda c: F.col(c).cast("string")
+    q = o.select(
+        F.lit("all").alias("site"), text_("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "O", F.concat(text_("o_orderkey"), F.lit("-1"))).alias("accepted_answer_id"),
+        F.array("o_orderpriority", F.lit("a"), F.lit("a")).alias("tags"), F.col("o_orderpriority").alias("title"), F.concat("o_orderstatus", F.lit(" body")).alias("body"),
+        F.when(k % 4 == 1, "no number").when(k % 4 > 1, text_("o_custkey")).alias("score"), text_("o_totalprice").alias("view_count"), F.when(k % 5 != 0, "3").alias("answer_count"),
+        text_("o_orderdate").alias("creation_date"), F.when(k % 3 == 0, "no date").otherwise(text_("o_orderdate")).alias("last_activity_date"), F.when(k % 2 == 0, text_("o_orderdate")).alias("last_edit_date"),
+        F.when(k % 10 != 0, text_("o_custkey")).alias("owner_id"),
+    )
+    a = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("string").alias("score"), F.min("l_shipdate").cast("string").alias("creation_date"), F.min("l_suppkey").cast("string").alias("owner_id"), F.min("l_returnflag").alias("body"))
+    none = {c: F.lit(None).cast("string") for c in ("last_activity_date", "last_edit_date")}
+    a = a.select(F.lit("all").alias("site"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), text_("l_orderkey").alias("parent_id"), "score", "creation_date", "owner_id", "body").withColumns(none)
+    post = F.when(F.col("event_id") % 2 == 0, text_("event_id")).otherwise(F.concat(text_("event_id"), F.lit("-1")))
+    c = e.select(F.lit("all").alias("site"), text_("event_id").alias("id"), post.alias("post_id"), text_("user_id").alias("owner_id"), F.when(F.col("event_id") % 3 != 0, text_("user_id")).alias("score"), F.col("event_type").alias("text"), text_("ts").alias("creation_date"))
+    return q, a, c
+
+
+@query("s2_unified_posts", f"""WITH an AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS score, min(l_shipdate) AS created, min(l_suppkey) AS owner, min(l_returnflag) AS body FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2),
+    {P.COMMENTS}, tr AS (SELECT CAST(o_orderkey AS VARCHAR) AS post_id, o_orderkey AS root FROM orders UNION ALL SELECT concat(l_orderkey, '-', l_linenumber), l_orderkey FROM an),
+    kc AS (SELECT e.*, tr.root FROM k JOIN tr USING (post_id) JOIN events e ON e.event_id = k.id), n AS (SELECT post_id, count(*) AS n FROM k GROUP BY 1)
+    SELECT 'all' AS site_alias, array_to_string(list_sort(list_distinct([o_orderpriority, 'a', 'a'])), ';') AS tags, concat('all:', o_orderkey) AS question_id, CASE WHEN o_orderstatus <> 'O' THEN concat('all:', o_orderkey, '-1') END AS accepted_answer_id,
+           CAST(CASE WHEN o_custkey % 5 <> 0 THEN 3 ELSE 0 END AS BIGINT) AS answer_count, o_orderdate AS creation_date, CASE WHEN o_custkey % 3 <> 0 THEN o_orderdate END AS last_activity_date, CASE WHEN o_custkey % 2 = 0 THEN o_orderdate END AS last_edit_date,
+           CASE WHEN o_custkey % 10 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS owner_id, CASE WHEN o_custkey % 4 > 1 THEN o_custkey ELSE 0 END AS score, CAST(trunc(o_totalprice) AS BIGINT) AS view_count, coalesce(n.n, 0) AS comment_count,
+           o_orderpriority AS title, o_orderstatus || ' body' AS body, 'all.7z' AS site, concat('all:', o_orderkey) AS id, 'question' AS type FROM orders LEFT JOIN n ON n.post_id = CAST(o_orderkey AS VARCHAR)
+    UNION ALL SELECT 'all', '', concat('all:', l_orderkey), NULL, NULL, created, NULL, NULL, CAST(owner AS VARCHAR), CAST(trunc(score) AS BIGINT), NULL, coalesce(n.n, 0), NULL, body, 'all.7z', concat('all:', l_orderkey, '-', l_linenumber), 'answer' FROM an LEFT JOIN n ON n.post_id = concat(l_orderkey, '-', l_linenumber)
+    UNION ALL SELECT 'all', '', concat('all:', root), NULL, NULL, ts, NULL, NULL, CAST(user_id AS VARCHAR), CASE WHEN event_id % 3 <> 0 THEN user_id ELSE 0 END, NULL, NULL, NULL, event_type, 'all.7z', concat('all:', event_id), 'comment' FROM kc""")
 def s2(spark, sf):
-    q, a = P.tracked_inputs(spark, sf)
-    blank = {c: F.lit(None).cast("string") for c in ("accepted_answer_id", "title", "body", "score", "view_count", "answer_count", "creation_date", "last_activity_date", "last_edit_date", "owner_id")}
-    q = q.withColumns(blank | {"tags": F.array(F.lit("b"), F.lit("a"))})
-    a = a.withColumns(blank)
-    c = P.comments(spark, sf).withColumns({k: F.lit(None).cast("string") for k in ("score", "text", "creation_date")})
+    """All 17 columns of all three kinds of posts, with the defaults of absent attributes."""
     sites = spark.createDataFrame([("all", "all.7z")], "site string, archive string")
-    return threads.unified_posts(q, a, c, sites).select("question_id", "id", "type", "comment_count", "site")
+    return threads.unified_posts(*_whole(spark, sf), sites).withColumn("tags", F.array_join("tags", ";"))
 
 
 # --- quality --------------------------------------------------------------------------------------------------------
@@ -304,10 +325,10 @@ def e10(spark, sf):
     return out.withColumn("examples", F.array_join("examples", ", "))
 
 
-@query("d7_remove_threads", f"WITH {P.CONSIDERED} SELECT question_id, id, type FROM p ANTI JOIN sa USING (question_id)")
+@query("d7_remove_threads", f"WITH {P.CONSIDERED} SELECT CAST(question_id AS BIGINT) AS question_id, id, type FROM p WHERE question_id NOT IN (SELECT question_id FROM sa)")
 def d7(spark, sf):
     posts = P.posts(spark, sf)
-    return quality.without_threads(posts, quality.self_answered(quality.answer_stats(posts))).select("question_id", "id", "type")
+    return quality.without_threads(posts, quality.self_answered(quality.answer_stats(posts))).select(F.col("question_id").cast("bigint").alias("question_id"), "id", "type")
 
 
 _Q75 = ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS q_{c}" for c in quality.METRICS)
@@ -906,6 +927,9 @@ def _by_topic(spark, sf) -> DataFrame:
 _TAXONOMY = {"Protocols": ["aes (5.0)", "sha (2.5)", "sha1 (0.4)", "pkcs (1.0)"], "Shapes": ["ring (1.5)", "bolt (0.9)", "gear (bad)", "widget (3)"], "Absent": ["nothing (0.1)"]}
 
 
+_PARTS = [(c, label) for c, labels in _TAXONOMY.items() for label in labels]
+
+
 def _terms(spark) -> DataFrame:
     return tech.taxonomy(spark, _TAXONOMY)
 
@@ -925,12 +949,12 @@ def b19(spark, sf):
     return _clean(spark, sf).select("post_id", "technologies_clean")
 
 
-_PARTS = [(c, label) for c, labels in _TAXONOMY.items() for label in labels]
-
-
-@query("b20_taxonomy", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{x.split(' (')[0]}', {x.split('(')[1][:-1] if 'bad' not in x else 0}::DOUBLE)" for c, x in _PARTS) + ") AS t(category, tech, global_pct)")
+@query("b20_taxonomy", "SELECT p_brand AS category, p_partkey, lower(p_name) AS tech, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size / 4.0::DOUBLE END AS global_pct FROM part")
 def b20(spark, sf):
-    return _terms(spark).select("category", "tech", "global_pct")
+    """Labels such as ``Red Bolt (2.5)``, every seventh without a number."""
+    share = F.when(F.col("p_partkey") % 7 == 0, "n/a").otherwise((F.col("p_size") / 4).cast("string"))
+    p = P.table(spark, sf, "part").select(F.col("p_brand").alias("category"), "p_partkey", F.concat(F.initcap("p_name"), F.lit(" ("), share, F.lit(")")).alias("label"))
+    return tech.parted(p).select("category", "p_partkey", "tech", "global_pct")
 
 
 @query("e25_language_shares", f"WITH {P.TECHNOLOGIES}, l AS (SELECT {_LANGUAGE} AS language FROM tx) SELECT language, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM l), 6) AS pct FROM l WHERE language <> 'n/a' GROUP BY 1")

@@ -120,13 +120,13 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POSTS = f"""{QUESTIONS}, {ANSWERS}, {COMMENTS},
-    p AS (SELECT site AS site_alias, CAST(id AS VARCHAR) AS question_id, CAST(id AS VARCHAR) AS id, 'question' AS type, owner_id, CAST(answer_count AS DOUBLE) AS answer_count, view_count, score, comment_count FROM q
+    p AS MATERIALIZED (SELECT site AS site_alias, CAST(id AS VARCHAR) AS question_id, CAST(id AS VARCHAR) AS id, 'question' AS type, owner_id, CAST(answer_count AS DOUBLE) AS answer_count, view_count, score, comment_count FROM q
           UNION ALL SELECT site, CAST(parent_id AS VARCHAR), id, 'answer', owner_id, NULL, NULL, NULL, NULL FROM a
           UNION ALL SELECT q.site, CAST(q.id AS VARCHAR), CAST(k.id AS VARCHAR), 'comment', k.owner_id, NULL, NULL, NULL, NULL FROM k JOIN q ON CAST(q.id AS VARCHAR) = split_part(k.post_id, '-', 1))"""
-CONSIDERED = f"""{POSTS}, co AS (SELECT question_id, site_alias, owner_id FROM p WHERE type = 'question' AND owner_id IS NOT NULL AND answer_count > 0),
-    st AS (SELECT co.question_id, co.site_alias, count(*) AS total_answers, count(*) FILTER (WHERE g.owner_id = co.owner_id) AS self_answers
+CONSIDERED = f"""{POSTS}, co AS MATERIALIZED (SELECT question_id, site_alias, owner_id FROM p WHERE type = 'question' AND owner_id IS NOT NULL AND answer_count > 0),
+    st AS MATERIALIZED (SELECT co.question_id, co.site_alias, count(*) AS total_answers, count(*) FILTER (WHERE g.owner_id = co.owner_id) AS self_answers
            FROM co JOIN (SELECT question_id, owner_id FROM p WHERE type = 'answer') g USING (question_id) GROUP BY 1, 2),
-    sa AS (SELECT * FROM st WHERE self_answers > 0 AND self_answers = total_answers)"""
+    sa AS MATERIALIZED (SELECT * FROM st WHERE self_answers > 0 AND self_answers = total_answers)"""
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,6 @@ below the shared folder, and returns what the source gives back.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +46,17 @@ def a3(spark, sf):
     return posts.select("site", "id", "post_type", "owner_id", "title", F.array_join("tags", ";").alias("tags"))
 
 
-@query("a2_members", "SELECT * FROM (VALUES ('stackoverflow', 'Posts.xml', true), ('stackoverflow', 'Comments.xml', false), ('crypto', 'Posts.xml', false)) t(site, name, found)")
+@query("a2_members", "SELECT r_name AS site, name, r_regionkey % 2 = 0 AND name = 'Posts.xml' AS found FROM region, (SELECT unnest(['Posts.xml', 'Comments.xml']) AS name)")
 def a2(spark, sf):
-    root = _dumped(spark, sf)
-    asked = [(SITES[0], "Posts.xml"), (SITES[0], "Comments.xml"), (SITES[1], "Posts.xml")]
-    return spark.createDataFrame([(s.alias, n, dumps.member(spark, root, s.archive, n) is not None) for s, n in asked], "site string, name string, found boolean")
+    """Every second region has a dump of posts; some folders bear the archive's ending."""
+    root, regions = scratch(spark, "dumps"), P.table(spark, sf, "region")
+    sites = sorted((r["r_name"], r["r_regionkey"]) for r in regions.collect())  # a row a site
+    for name, key in sites:
+        if key % 2 == 0:
+            rows = regions.where(F.col("r_regionkey") == key).select(F.col("r_regionkey").cast("string").alias("_Id"))
+            rows.write.format("xml").options(rootTag="posts", rowTag="row").save(f"{root}/{name}{'.7z' if key % 4 else ''}/Posts.xml")
+    found = [(s, n, dumps.member(spark, root, f"{s}.7z", n) is not None) for s, _ in sites for n in ("Posts.xml", "Comments.xml")]
+    return spark.createDataFrame(found, "site string, name string, found boolean")
 
 
 @query("a4_missing_dump", "SELECT site, count(*) AS n FROM (" + _DUMP + ") GROUP BY 1")
@@ -169,9 +173,10 @@ def c14(spark, sf):
     return topic_stats.with_topic(P.classified(spark, sf)).select("id", "topic")
 
 
-@query("d6_question_answers", f"WITH {P.CONSIDERED} SELECT co.question_id, co.owner_id AS owner_q, g.id AS answer_id, g.owner_id AS owner_a FROM co JOIN p g ON g.question_id = co.question_id AND g.type = 'answer'")
+@query("d6_question_answers", f"WITH {P.CONSIDERED} SELECT CAST(co.question_id AS BIGINT) AS question_id, CAST(co.owner_id AS INT) AS owner_q, g.id AS answer_id, CAST(g.owner_id AS INT) AS owner_a FROM co JOIN p g ON g.question_id = co.question_id AND g.type = 'answer'")
 def d6(spark, sf):
-    return quality.question_answers(P.posts(spark, sf)).select("question_id", "owner_q", "answer_id", "owner_a")
+    out = quality.question_answers(P.posts(spark, sf))
+    return out.select(F.col("question_id").cast("bigint").alias("question_id"), F.col("owner_q").cast("int").alias("owner_q"), "answer_id", F.col("owner_a").cast("int").alias("owner_a"))
 
 
 @query("e4_cooccurrence", f"WITH {P.TAGS} SELECT site, tag, count(*) AS a FROM x WHERE anchored GROUP BY 1, 2")
@@ -181,15 +186,22 @@ def e4(spark, sf):
 
 @query("s3_concatenated_sites", f"WITH {P.QUESTIONS} SELECT site, id FROM q")
 def s3(spark, sf):
-    own = P.questions(spark, sf).select("site", "id")
-    sites = [r["site"] for r in own.select("site").distinct().orderBy("site").collect()]  # one row a site
-    return reduce(DataFrame.unionByName, [own.where(F.col("site") == s) for s in sites])
+    """Sets of each site, kept in folders of their own, read as one table by one scan."""
+    path = f"{scratch(spark, 'sites')}/questions"
+    P.questions(spark, sf).select("site", "id").write.partitionBy("site").parquet(path)
+    return spark.read.schema("id bigint, site string").parquet(path).select("site", "id")
 
 
-@query("h3_answer_schema", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'ciphers'), (1, 'hashes'), (3, 'keys')) t(topic_index, topic_name)")
+@query("h3_answer_schema", "SELECT CAST(n_nationkey AS BIGINT) AS topic_index, n_name AS topic_name FROM nation WHERE n_regionkey <> 0")
 def h3(spark, sf):
-    answer = {"topics": [{"topic_index": 0, "topic_name": "ciphers", "justification": "j"}, {"topic_id": 1, "inferred_name": "hashes", "rationale": "r"}, {"topic_name": "no index"}, {"topic_index": 2}, {"topic_index": 3, "topic_name": "keys"}]}
-    return spark.createDataFrame(sorted(naming.parse_names(answer).items()), "topic_index bigint, topic_name string")
+    """An answer for each nation, in either spelling of the keys; some lack the index, some the name, some are no JSON."""
+    n = P.table(spark, sf, "nation")
+    key, name = F.col("n_nationkey"), F.col("n_name")
+    no = F.lit(None).cast("string")
+    old = F.to_json(F.struct(F.array(F.struct(key.alias("topic_id"), name.alias("inferred_name"), F.lit("r").alias("rationale"))).alias("topics")))
+    new = F.to_json(F.struct(F.array(F.struct(key.alias("topic_index"), name.alias("topic_name")), F.struct(key.alias("topic_index"), no.alias("topic_name"))).alias("topics")))
+    bad = F.when(key % 3 == 0, F.lit('{"topics": [{"topic_name": "no index"}]}')).when(key % 3 == 1, F.lit("no json"))
+    return naming.parsed_answers(n.select(F.when(F.col("n_regionkey") == 0, bad).when(key % 2 == 0, old).otherwise(new).alias("answer")), "answer")
 
 
 _HEAVY = """hw AS (SELECT p_partkey % 7 AS topic, p_name AS term, p_retailprice / 100000.0::DOUBLE AS weight, row_number() OVER (PARTITION BY p_partkey % 7 ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part),
