@@ -1,6 +1,7 @@
 import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from threadlens.operators import agreement, fused, kendall, sampling, technology, topic_stats, trends
@@ -162,3 +163,46 @@ def test_confidence_levels():
     for c in (0, 1, 95):
         with pytest.raises(ValueError):
             sampling.z_of(c)
+
+
+def test_long_kendall_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    u = rng.normal(size=2000).round(1)
+    frame = {"a": u, "b": (u + rng.normal(size=2000)).round(2), "c": rng.integers(0, 3, 2000).astype(float), "d": np.where(rng.random(2000) < 0.4, 7.0, rng.normal(size=2000)), "e": np.ones(2000)}
+    rows = [tuple(float(frame[k][i]) for k in "abcde") for i in range(2000)] + [(None, 1.0, 1.0, 1.0, 1.0), (1.0, float("nan"), None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
+    pairs = [("a", "b"), ("a", "c"), ("d", "b"), ("d", "d"), ("a", "e")]
+    short = {(r.x, r.y): r for r in kendall.kendall(df.where("a IS NOT NULL AND c IS NOT NULL"), pairs[:1]).collect()}
+    for size in (100, 700, 50_000):
+        got = {(r.x, r.y): r for r in kendall.kendall_long(df, pairs, block_rows=size).collect()}
+        for x, y in pairs:
+            keep = [r for r in rows if all(r["abcde".index(k)] is not None and r["abcde".index(k)] == r["abcde".index(k)] for k in (x, y))]
+            p, q = (np.array([r["abcde".index(k)] for r in keep]) for k in (x, y))
+            signs = [np.sign(p[:, None] - p), np.sign(q[:, None] - q)]
+            s, du, dv = ((signs[0] * signs[1]).sum() // 2, *(np.abs(x).sum() // 2 for x in signs))
+            if not du or not dv:
+                assert got[x, y].tau is None and got[x, y].p is None
+                continue
+            assert got[x, y].n == len(keep) and got[x, y].tau == pytest.approx(s / math.sqrt(du) / math.sqrt(dv), abs=1e-12)
+            assert got[x, y].p == pytest.approx(kendall.p_value(len(keep), int(s), p, q), abs=1e-12)
+        assert got["a", "b"].tau == pytest.approx(short["a", "b"].tau) and got["d", "d"].tau == pytest.approx(1.0)
+
+
+def test_long_kendall_of_many_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000).select("id", ((F.col("id") * 7919) % 100_003).alias("x"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(50_000)) + F.col("id") / 4).alias("y"))
+    got = kendall.kendall_long(df, [("x", "y")], block_rows=5_000).first()
+    local = df.orderBy("x", "y").toPandas()
+    falling = kendall.inversions(local["y"].to_numpy(), np.ones(len(local), np.int64))
+    pairs = 100_000 * 99_999 // 2
+    equal = sum(int(k) * (int(k) - 1) // 2 for k in local["y"].value_counts())
+    assert got.n == 100_000 and got.tau == pytest.approx((pairs - equal - 2 * falling) / math.sqrt(pairs) / math.sqrt(pairs - equal), abs=1e-12)
+    assert kendall.kendall_long(df.limit(0), [("x", "y")]).first().tau is None
+
+
+def test_merge_counting():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 5, 17, 100, 333):
+        v, w = rng.integers(0, 20, n).astype(float), rng.integers(1, 5, n)
+        assert kendall.inversions(v, w) == sum(int(w[i] * w[j]) for i in range(n) for j in range(i + 1, n) if v[i] > v[j])

@@ -49,12 +49,14 @@ def greedy(tokens, table):
     return out
 
 
-def test_apply_phrases(spark):
+def test_apply_phrases(spark, monkeypatch):
     table = {("a", "b"), ("b", "a"), ("c", "c")}
     docs = [list("abab"), list("aab"), list("cccc"), list("ccc"), ["x"], [], list("bcab"), list("abxba"), None]
     df = spark.createDataFrame(list(enumerate(docs)), "i int, tokens array<string>")
-    got = phrases.apply_phrases(df, spark.createDataFrame(sorted(table), "a string, b string"), "i").collect()
-    assert {r.i: r.tokens for r in got} == {k: d if d is None else greedy(d, table) for k, d in enumerate(docs)}
+    for most in (phrases.BROADCAST_PHRASES, 0):  # sent to the tasks, or joined
+        monkeypatch.setattr(phrases, "BROADCAST_PHRASES", most)
+        got = phrases.apply_phrases(df, spark.createDataFrame(sorted(table), "a string, b string"), "i").collect()
+        assert {r.i: r.tokens for r in got} == {k: d if d is None else greedy(d, table) for k, d in enumerate(docs)}
 
 
 def test_scores(spark):

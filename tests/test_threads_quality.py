@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from threadlens.operators import census, quality, threads
@@ -102,3 +103,23 @@ def test_require(spark):
         require(df, "z")
     with pytest.raises(ValueError, match="t is string, not a number"):
         require(df, t="number")
+
+
+@pytest.mark.parametrize("bins", [4, 1 << 12])
+def test_quantiles_are_selected_exactly(spark, bins):
+    """Skewed, tied, tiny, huge and infinite values; a handful of passes, whatever the values."""
+    rng = np.random.default_rng(1)
+    sets = {
+        "even": list(range(100)), "one": [5.0], "same": [2.5] * 40, "two": [1.0] * 30 + [9.0] * 10, "skewed": list(np.exp(rng.normal(0, 30, 400))), "near": list(1.0 + np.arange(50) * 2.0**-52),
+        "signs": list(rng.normal(0, 1, 301)), "far": [-1.7e308, 1.7e308, 0.0, 1.0, 2.0], "odd": [3.0, None, float("nan"), 4.0], "none": [None],
+    }
+    df = spark.createDataFrame([(k, float(v) if v is not None else None) for k, x in sets.items() for v in x] + [(None, 1.0)], "site_alias string, score double").repartition(5)
+    for q in (0.0, 0.5, 0.75, 1.0):
+        got = {r.site_alias: r.q_score for r in quality.quantiles(df, q, metrics=("score",), bins=bins).collect()}
+        assert set(got) == set(sets) - {"none"}
+        for k, x in sets.items():
+            x = [v for v in x if v is not None and v == v]
+            if x and k != "far":
+                assert got[k] == pytest.approx(round(float(np.quantile(x, q)), 6), rel=1e-12, abs=1e-6), (k, q)
+    ends = spark.createDataFrame([("s", v) for v in (float("-inf"), 1.0, 2.0, float("inf"))], "site_alias string, score double")
+    assert quality.quantiles(ends, 2 / 3, metrics=("score",), bins=bins).first().q_score == 2.0

@@ -12,6 +12,8 @@ from ..lineage import cut
 METRICS = ("answer_count", "view_count", "score", "comment_count")
 #: Decimals to which metrics and quantiles are compared, beyond the noise of interpolation.
 DECIMALS = 6
+#: Rows of wanted ranks that are broadcast.
+SMALL_RANKS = 100_000
 
 
 def numeric_metrics(posts: DataFrame, metrics=METRICS) -> DataFrame:
@@ -78,25 +80,56 @@ def without_threads(posts: DataFrame, questions: DataFrame) -> DataFrame:
     return posts.join(questions.select("question_id"), "question_id", "left_anti")
 
 
-def quantiles(questions: DataFrame, q: float = POPULARITY_QUANTILE, metrics=METRICS, key: str = "site_alias") -> DataFrame:
+#: Parts that a range of values is split into by one pass of the selection.
+BINS = 1 << 12
+
+
+def quantiles(questions: DataFrame, q: float = POPULARITY_QUANTILE, metrics=METRICS, key: str = "site_alias", bins: int = BINS) -> DataFrame:
     """Exact interpolated quantile of each metric by site.
 
-    Equal values are counted before they are ordered, and the running count
-    streams over the distinct values of a site, so that no site's values are
-    ever held in memory at once.  Nulls are left out.
+    The two values beside the quantile's place are selected by rank: each pass
+    counts the values of a range in equal parts and goes on with the part that
+    holds the rank, until that has one value.  Nothing is ordered but the counts
+    of the parts, so no task depends on the size of a site.  Nulls and NaN are
+    left out; rows of a null site form no group.
     """
     listed = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-    values = questions.select(key, F.inline(listed)).where("value IS NOT NULL")
-    counts = values.groupBy(key, "metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(key, "metric").agg(((F.sum("n") - 1) * F.lit(q)).alias("at"))
-    upto = Window.partitionBy(key, "metric").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).join(totals, [key, "metric"])
-    ends = ranked.groupBy(key, "metric", "at").agg(F.min(F.when(F.col("upto") > F.floor("at"), F.col("value"))).alias("low"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("value"))).alias("high"))
+    values = questions.where(F.col(key).isNotNull()).select(F.col(key).alias("site"), F.inline(listed)).where("value IS NOT NULL AND NOT isnan(value)")
+    values = cut(values.groupBy("site", "metric", "value").agg(F.count(F.lit(1)).alias("n")))
+    ranges = values.groupBy("site", "metric").agg(F.min("value").alias("low"), F.max("value").alias("high"), ((F.sum("n") - 1) * F.lit(q)).alias("at"))
+    ends = F.array(*[F.struct(F.lit(w).alias("which"), f("at").cast("bigint").alias("rank")) for w, f in (("low", F.floor), ("high", F.ceil))])
+    open_ = cut(ranges.withColumn("e", F.explode(ends)).select("site", "metric", "low", "high", "at", "e.which", "e.rank"))
+    found = []
+    while True:
+        found.append(open_.where("low = high").select("site", "metric", "at", "which", F.col("low").alias("value")))
+        open_ = open_.where("low < high")
+        if not open_.take(1):
+            break
+        open_ = cut(_narrowed(values, open_, bins))
+    chosen = found[0]
+    for more in found[1:]:
+        chosen = chosen.unionByName(more)
+    sides = chosen.groupBy("site", "metric", "at").agg(*[F.max(F.when(F.col("which") == w, F.col("value"))).alias(w) for w in ("low", "high")])
     between = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
-    wide = ends.select(key, "metric", F.round(between, DECIMALS).alias("v")).groupBy(key).pivot("metric", list(metrics)).agg(F.first("v"))
+    wide = sides.select(F.col("site").alias(key), "metric", F.round(between, DECIMALS).alias("v")).groupBy(key).pivot("metric", list(metrics)).agg(F.first("v"))
     return wide.select(key, *[F.col(m).alias(f"q_{m}") for m in metrics])
 
 
+def _narrowed(values: DataFrame, wanted: DataFrame, bins: int) -> DataFrame:
+    """Each wanted rank with the least and largest value of the part that holds it; ranks count from that part's start."""
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL_RANKS else wanted  # two ranks a site and metric
+    inside = values.join(wanted, ["site", "metric"]).where(F.col("value").between(F.col("low"), F.col("high")))
+    # Quarters of bounded values, so that the width of a range can't overflow; both ends have parts of their own, so every pass narrows.
+    quarter = lambda c: F.greatest(F.least(F.col(c), F.lit(1.7e308)), F.lit(-1.7e308)) / 4
+    place = F.coalesce(F.floor(F.try_divide(quarter("value") - quarter("low"), quarter("high") - quarter("low")) * bins), F.lit(0))
+    part = F.when(F.col("value") == F.col("low"), F.lit(-1)).when(F.col("value") == F.col("high"), F.lit(bins + 1)).otherwise(place)
+    of = ["site", "metric", "at", "which", "rank"]
+    parts = inside.groupBy(*of, part.alias("part")).agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    upto = Window.partitionBy("site", "metric", "which").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("upto", F.sum("n").over(upto)).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    return parts.select("site", "metric", "low", "high", "at", "which", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+
+
 def popular_questions(questions: DataFrame, q: float = POPULARITY_QUANTILE, metrics=METRICS, key: str = "site_alias") -> DataFrame:
     """Questions that reach their site's quantile in every metric."""
     bars = quantiles(questions, q, metrics, key)

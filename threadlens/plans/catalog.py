@@ -861,6 +861,15 @@ def e24(spark, sf):
 _TAU_PAIRS = " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, topic, {x} AS u, {y} AS v FROM fu" for x, y in kendall.METRIC_PAIRS)
 
 
+@query("e24_kendall_long", """WITH r AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b, CAST(p_partkey % 97 AS DOUBLE) AS c FROM part),
+    lg AS (SELECT 'p_size' AS x, 'p_retailprice' AS y, id, a AS u, b AS v FROM r UNION ALL SELECT 'p_size', 'p_class', id, a, c FROM r),
+    pa AS (SELECT g.x, g.y, sum(sign(g.u - h.u) * sign(g.v - h.v)) AS s, count(*) FILTER (WHERE g.u <> h.u) AS du, count(*) FILTER (WHERE g.v <> h.v) AS dv FROM lg g JOIN lg h ON g.x = h.x AND g.y = h.y AND g.id < h.id GROUP BY 1, 2)
+    SELECT x, y, (SELECT count(*) FROM r) AS n, round(s / sqrt(du::DOUBLE) / sqrt(dv::DOUBLE), 9) AS tau FROM pa""")
+def e24_long(spark, sf):
+    p = P.table(spark, sf, "part").select("p_size", "p_retailprice", (F.col("p_partkey") % 97).alias("p_class"))
+    return rounded(kendall.kendall_long(p, [("p_size", "p_retailprice"), ("p_size", "p_class")], block_rows=500).drop("p"), "tau", digits=9)
+
+
 @query("e24_correlation_table", f"""WITH RECURSIVE {_FUSED}, lg AS ({_TAU_PAIRS}), sz AS (SELECT x, y, count(*) AS n FROM lg GROUP BY 1, 2),
     pr AS (SELECT x, y, sum(sign(a.u - b.u) * sign(a.v - b.v)) AS s, sum(abs(sign(a.u - b.u))) AS du, sum(abs(sign(a.v - b.v))) AS dv FROM lg a JOIN lg b USING (x, y) WHERE a.topic < b.topic GROUP BY 1, 2),
     inv(k, c) AS (SELECT 1, [1::HUGEINT] UNION ALL SELECT k + 1, list_transform(range(0, k * (k + 1) // 2 + 1), lambda j: list_sum(c[greatest(1, j - k + 1):j + 1])::HUGEINT) FROM inv WHERE k < (SELECT max(n) FROM sz)),
