@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHANCE_AGREEMENT, FIRST_PAIR_ROWS
 from ..functions.values import is_not_true
+from ..schema import require
 
 
 def invalid_table(sheet: DataFrame) -> DataFrame:
@@ -14,6 +15,7 @@ def invalid_table(sheet: DataFrame) -> DataFrame:
 
     A row is invalid unless both verdicts are true; a null verdict is not true.
     """
+    require(sheet, "topic", topic_veredict="flag", subtopic_veredict="flag")
     bad = is_not_true(F.col("topic_veredict")) | is_not_true(F.col("subtopic_veredict"))
     table = sheet.where("topic IS NOT NULL").groupBy("topic").agg(F.count_if(bad).alias("invalids"), F.count(F.lit(1)).alias("total"))
     table = table.withColumns({"difference": F.col("total") - F.col("invalids"), "last": F.lit(0)})
@@ -23,6 +25,7 @@ def invalid_table(sheet: DataFrame) -> DataFrame:
 
 def verdict_means(sheet: DataFrame, *keys: str) -> DataFrame:
     """Share of true verdicts on topic and subtopic, nulls left out, by the keys or overall."""
+    require(sheet, *keys, topic_veredict="flag", subtopic_veredict="flag")
     means = [F.avg(F.col(c).cast("int")).alias(f"mean_{c}") for c in ("topic_veredict", "subtopic_veredict")]
     return sheet.groupBy(*keys).agg(*means)
 
@@ -33,6 +36,7 @@ def kappa(sheet: DataFrame, order: str, first: int = FIRST_PAIR_ROWS, chance: fl
     Chance agreement is fixed.  Two nulls do not agree.  ``order`` holds the
     sheet's row order and is unique.
     """
+    require(sheet, order, *(f"{c}_validation_{k}" for c in ("topic", "subtopic") for k in (1, 2)))
     head = sheet.orderBy(order).limit(first).agg(F.max(order).alias("_last"))
     pair = F.when(F.col(order) <= F.col("_last"), F.lit("pair 1")).otherwise(F.lit("pair 2"))
     out = sheet.join(F.broadcast(head)).groupBy(pair.alias("pair")).agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import hours_between
+from ..schema import require
 
 _POPULARITY = (("view_count", "avg_views", "V_hat"), ("score", "avg_score", "S_hat"), ("comment_count", "avg_comments", "C_hat"))
 
@@ -22,6 +23,7 @@ def relative(column: str) -> Column:
 
 def popularity(questions: DataFrame) -> DataFrame:
     """topic, the means of views, score and comments, their relative values, fused_popularity."""
+    require(questions, "topic", view_count="number", score="number", comment_count="number")
     means = questions.where("topic IS NOT NULL").groupBy("topic").agg(*[F.avg(c).alias(m) for c, m, _ in _POPULARITY])
     # A mean of 0 makes the relative value undefined here, not 0.
     hats = means.withColumns({h: F.try_divide(F.col(m), F.avg(m).over(_all())) for _, m, h in _POPULARITY})
@@ -31,11 +33,19 @@ def popularity(questions: DataFrame) -> DataFrame:
     return hats.withColumn("fused_popularity", F.try_divide(total, n))
 
 
-def accepted_hours(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """topic, hours from a question to its accepted answer; negative and unknown spans are left out."""
-    done = answers.select(F.col("id").alias("accepted_answer_id"), F.col("creation_date").alias("answered"))
-    spans = questions.where("accepted_answer_id IS NOT NULL").join(done, "accepted_answer_id")
-    return spans.select("topic", hours_between(F.col("creation_date"), F.col("answered")).alias("hours")).where("hours >= 0")
+def accepted_hours(questions: DataFrame, answers: DataFrame, thread: str | None = None) -> DataFrame:
+    """topic, hours from a question to its accepted answer; negative and unknown spans are left out.
+
+    ``thread`` names a column of both sides that the question and its answers
+    share; where tables lie in buckets by it, nothing is exchanged.
+    """
+    require(questions, "topic", "accepted_answer_id", creation_date="time")
+    require(answers, "id", creation_date="time")
+    done = answers.select(F.col("id").alias("_answer"), *([thread] if thread else []), F.col("creation_date").alias("_answered"))
+    asked, named = questions.where("accepted_answer_id IS NOT NULL"), F.col("accepted_answer_id")
+    # Beside the thread, the answer is compared by its order: a second key of equality would have both sides dealt out anew.
+    spans = asked.join(done, thread).where(named.between(F.col("_answer"), F.col("_answer"))) if thread else asked.join(done, named == F.col("_answer"))
+    return spans.select("topic", hours_between(F.col("creation_date"), F.col("_answered")).alias("hours")).where("hours >= 0")
 
 
 def difficulty(questions: DataFrame, answers: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import POPULARITY_QUANTILE
 from ..functions.values import number_or_zero
 from ..lineage import cut
+from ..schema import require
 
 METRICS = ("answer_count", "view_count", "score", "comment_count")
 #: Decimals to which metrics and quantiles are compared, beyond the noise of interpolation.
@@ -47,6 +48,7 @@ def skipped_threads(posts: DataFrame) -> DataFrame:
 
 def question_answers(posts: DataFrame) -> DataFrame:
     """question_id, site_alias, owner_q, owner_a, and answer_id if posts have ids: considered questions with their answers."""
+    require(posts, "question_id", "site_alias", "type", "owner_id", answer_count="number")
     asked = considered_questions(posts).select("question_id", "site_alias", F.col("owner_id").alias("owner_q"))
     ids = [F.col("id").alias("answer_id")] if "id" in posts.columns else []
     return asked.join(posts.where("type = 'answer'").select("question_id", F.col("owner_id").alias("owner_a"), *ids), "question_id")
@@ -147,6 +149,7 @@ def popular_threads(posts: DataFrame, q: float = POPULARITY_QUANTILE) -> DataFra
     repeats and for the final pick only; all else is worked out on the few
     columns it needs.
     """
+    require(posts, "question_id", "site_alias", "owner_id", type="text")
     posts = cut(numeric_metrics(without_repeats(posts)))
     narrow = posts.select("question_id", "site_alias", "type", "owner_id", *METRICS)
     narrow = without_threads(narrow, self_answered(answer_stats(narrow)))

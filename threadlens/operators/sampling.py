@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SAMPLE_E, SAMPLE_P, SAMPLE_Z
 from ..functions.tags import question_link
+from ..schema import require
 
 
 def z_of(confidence: float) -> float:
@@ -26,6 +27,7 @@ def sample_size(population: Column, z: float = SAMPLE_Z, p: float = SAMPLE_P, e:
 
 def strata(questions: DataFrame, topic: str = "topic", contribution: str = "topic_perc_contrib") -> DataFrame:
     """topic, stratum_size, within_sd; questions without a topic are in no stratum."""
+    require(questions, topic, **{contribution: "number"})
     return questions.where(F.col(topic).isNotNull()).groupBy(F.col(topic).alias("topic")).agg(F.count(F.lit(1)).alias("stratum_size"), F.stddev_samp(contribution).alias("within_sd"))
 
 
@@ -37,6 +39,7 @@ def allocation(sizes: DataFrame, population: Column | int, **options) -> DataFra
     excess over the rounded-up sample size comes off, one each, the strata that
     gained least by rounding, ties by topic.  One row a stratum.
     """
+    require(sizes, "topic", stratum_size="number", within_sd="number")
     everything = Window.partitionBy()
     n = sample_size(F.lit(population) if isinstance(population, int) else population, **options)
     weight = F.col("stratum_size") * F.coalesce("within_sd", F.lit(0.0))
@@ -54,6 +57,8 @@ def allocated_sample(questions: DataFrame, allocated: DataFrame, contribution: s
     The largest allocation bounds the ranks before questions are dealt by topic,
     so no task orders a whole topic.
     """
+    require(questions, "topic", key, **{contribution: "number"})
+    require(allocated, "topic", allocated="number")
     most = allocated.agg(F.max("allocated")).first()[0] or 0  # one row a topic
     order = Window.partitionBy("topic").orderBy(F.col(contribution).desc_nulls_last(), key)
     ranked = questions.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).join(allocated.select("topic", "allocated"), "topic")
@@ -62,6 +67,7 @@ def allocated_sample(questions: DataFrame, allocated: DataFrame, contribution: s
 
 def validation_sheet(sample: DataFrame) -> DataFrame:
     """The twelve columns of the sheet that raters fill in; the first column named like a subtopic gives subtopics."""
+    require(sample, "question_id", "site_alias", "topic")
     sub = next((c for c in sample.columns if "subtopic" in c.lower()), None)
     alias = F.col("site_alias")
     shown = [F.col("question_id").cast("string").alias("id"), alias.alias("site"), F.col("topic").cast("string").alias("topic"), (F.col(sub).cast("string") if sub else F.lit(None).cast("string")).alias("subtopics"), question_link(alias, F.col("question_id").cast("string")).alias("link")]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..config import TopicModelOptions
 from ..lineage import remove, scratch
+from ..schema import require
 from ..sources.tables import write_stage
 from . import lda
 from .coherence import coherences
@@ -331,6 +332,7 @@ def train(docs: DataFrame, key: str, mode: str = "search", topics: int | None =
 
 def thread_texts(posts: DataFrame, order: str, text: str = "normalized_text") -> DataFrame:
     """site, question_id, text: the non-empty texts of each thread, in row order, joined by blanks."""
+    require(posts, "site", "question_id", order, **{text: "text"})
     kept = posts.where(F.col(text).isNotNull() & (F.btrim(F.col(text)) != "") & F.col("site").isNotNull() & F.col("question_id").isNotNull())
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return kept.groupBy("site", "question_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("text"))
@@ -352,6 +354,7 @@ def classify_threads(posts: DataFrame, model: TopicModel, order: str) -> DataFra
 def on_questions(posts: DataFrame, threads: DataFrame) -> DataFrame:
     """Posts with the topic and topic_perc_contrib of their thread (site, question_id) on question rows, null on others."""
     found = threads.select("site", "question_id", F.col("topic").alias("_t"), F.col("topic_perc_contrib").alias("_c"))
+    require(posts, "site", "question_id", type="text")
     own = F.col("type") == "question"
     return posts.join(found, ["site", "question_id"], "left").withColumns({"topic": F.when(own, F.col("_t")), "topic_perc_contrib": F.when(own, F.col("_c"))}).drop("_t", "_c")
 
@@ -397,6 +400,7 @@ def classify_subtopics(classified: DataFrame, models: dict[int, TopicModel], tex
 
     Null without a topic, without a model of it, or without a known word.
     """
+    require(classified, "type", "topic", **{text: "text"})
     questions = classified.where("type = 'question'")
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
     theta = _theta(models, classified.sparkSession)(F.col("topic"), words) if models else F.lit(None).cast("array<double>")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TOPIC_THEMES
+from ..schema import require
 
 
 def with_topic(questions: DataFrame, topic: str = "topic") -> DataFrame:
@@ -14,6 +15,7 @@ def with_topic(questions: DataFrame, topic: str = "topic") -> DataFrame:
 
 def topic_distribution(questions: DataFrame) -> DataFrame:
     """topic, n, pct of all questions (unclassified ones included), avg_contribution."""
+    require(questions, "topic", topic_perc_contrib="number")
     total = questions.agg(F.count(F.lit(1)).alias("total"))
     by_topic = questions.where("topic IS NOT NULL").groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.avg("topic_perc_contrib").alias("avg_contribution"))
     return by_topic.join(F.broadcast(total)).select("topic", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"), "avg_contribution")
@@ -21,11 +23,13 @@ def topic_distribution(questions: DataFrame) -> DataFrame:
 
 def subtopic_coverage(questions: DataFrame) -> DataFrame:
     """topic, n_questions, n_with_subtopic, avg_contribution of the subtopic."""
+    require(questions, "topic", "subtopic", subtopic_perc_contrib="number")
     return questions.where("topic IS NOT NULL").groupBy("topic").agg(F.count(F.lit(1)).alias("n_questions"), F.count("subtopic").alias("n_with_subtopic"), F.avg("subtopic_perc_contrib").alias("avg_contribution"))
 
 
 def validated(sheet: DataFrame) -> DataFrame:
     """Rows that raters found right in both topic and subtopic (null is not right)."""
+    require(sheet, topic_veredict="flag", subtopic_veredict="flag")
     return sheet.where(F.col("topic_veredict") & F.col("subtopic_veredict"))
 
 
@@ -36,6 +40,7 @@ def hierarchy(posts: DataFrame) -> DataFrame:
     without a topic counts in the total only; one without a subtopic has no
     row below its topic.
     """
+    require(posts, "topic", "subtopics")
     total = posts.agg(F.count(F.lit(1)).alias("total"))
     pairs = posts.where("topic IS NOT NULL").groupBy("topic", F.col("subtopics").alias("subtopic")).agg(F.count(F.lit(1)).alias("n_subtopic"))
     topics = pairs.groupBy("topic").agg(F.sum("n_subtopic").alias("n_topic"))

@@ -6,7 +6,7 @@ Parquet between two of them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,7 +21,7 @@ from ..operators import census, quality, tag_relatedness, threads
 from ..operators.phrases import with_phrases
 from ..schema import require
 from ..sources import dumps
-from ..sources.tables import write_stage
+from ..sources.observed import write_observed
 
 
 @dataclass
@@ -31,6 +31,8 @@ class Mined:
     related: DataFrame
     threads: DataFrame
     popular: DataFrame
+    #: Of each stage that is written: rows, posts without an owner, empty texts.
+    tallies: dict[str, dict]
 
 
 def related_tags(posts: DataFrame, sites: Iterable[Site]) -> DataFrame:
@@ -43,22 +45,29 @@ def related_tags(posts: DataFrame, sites: Iterable[Site]) -> DataFrame:
     return tag_relatedness.without_denied(found, dumps.denied_tags(posts.sparkSession, sites))
 
 
-def mine(spark: SparkSession, root: str, sites: tuple[Site, ...], work: str | None = None) -> Mined:
+def mine(spark: SparkSession, root: str, sites: tuple[Site, ...], work: str | None = None, bounds: Mapping[str, Mapping[str, tuple]] | None = None) -> Mined:
     """All mining stages over unpacked dumps below ``root``.
 
     The dumps are parsed once and kept as Parquet, as are the related tags and
-    the threads, below ``work`` (by default in the shared folder).
+    the threads, below ``work`` (by default in the shared folder).  Stages are
+    tallied while they are written; ``bounds`` (stage -> tally -> least and
+    most) fail a stage, such as posts without any row.
     """
-    work = work or scratch(spark, "mining")
-    posts = write_stage(dumps.read_posts(spark, root, sites), f"{work}/posts")
-    comments = write_stage(dumps.read_comments(spark, root, sites), f"{work}/comments")
+    work, tallies = work or scratch(spark, "mining"), {}
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        out, tallies[name] = write_observed(df, f"{work}/{name}", bounds=(bounds or {}).get(name))
+        return out
+
+    posts = stage("posts", dumps.read_posts(spark, root, sites))
+    comments = stage("comments", dumps.read_comments(spark, root, sites))
     known = dumps.site_table(spark, sites)
     counted = census.with_total(census.site_census(posts, comments, known))
     coarse = reduce(DataFrame.unionByName, [tag_relatedness.coarse_questions(dumps.questions(posts).where(F.col("site") == s.alias), s.anchors) for s in sites])
-    related = write_stage(related_tags(posts, sites), f"{work}/related")
+    related = stage("related", related_tags(posts, sites))
     chosen = tag_relatedness.related_questions(dumps.questions(posts), related)
-    unified = write_stage(threads.unified_posts(chosen, dumps.answers(posts), comments, known), f"{work}/threads")
-    return Mined(counted, coarse, related, unified, quality.popular_threads(unified))
+    unified = stage("threads", threads.unified_posts(chosen, dumps.answers(posts), comments, known))
+    return Mined(counted, coarse, related, unified, quality.popular_threads(unified), tallies)
 
 
 def normalise(posts: DataFrame, key: str = "id", tokens: Callable[[Column], Column] | None = None) -> DataFrame:

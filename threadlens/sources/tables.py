@@ -11,24 +11,28 @@ from pyspark.sql import types as T
 
 from ..schema import TOPIC_NAMES
 
-_CSV = {"header": True, "quote": '"', "escape": '"'}
+CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A CSV whose cells may hold line breaks; all text unless a schema is given.  '' is null."""
-    reader = spark.read.options(**_CSV, multiLine=True)
+    reader = spark.read.options(**CSV, multiLine=True)
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Arrays of texts joined by ``;``."""
+    return df.select(*[F.array_join(c, ";").alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes])
+
+
 def write_csv(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
     """Arrays are joined by ``;``, as CSV has none."""
-    flat = df.select(*[F.array_join(c, ";").alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes])
-    flat.write.mode("overwrite").options(**_CSV).partitionBy(*partition_by).csv(path)
+    flat(df).write.mode("overwrite").options(**CSV).partitionBy(*partition_by).csv(path)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
     """Adds rows to a CSV folder, header and all, as files of their own."""
-    df.select(*[F.array_join(c, ";").alias(c) if t.startswith("array<string") else F.col(c) for c, t in df.dtypes]).write.mode("append").options(**_CSV).csv(path)
+    flat(df).write.mode("append").options(**CSV).csv(path)
 
 
 def read_related_tags(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +46,16 @@ def write_stage(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int, *keys: str) -> DataFrame:
+    """Keeps a stage as a table whose rows lie in buckets by hash of the keys, sorted by them within each, and returns it.
+
+    Joins and groups on the keys of such tables need no exchange of rows.  Take
+    as many buckets as keep one within a task's memory (128 MB to 1 GB each).
+    """
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def read_topic_names(spark: SparkSession, path: str) -> DataFrame:
     """topic_index, topic_name from stored answers; both spellings of the keys count."""
     rows = spark.read.schema(TOPIC_NAMES).option("multiLine", True).json(path).select(F.inline("topics"))
