@@ -3,7 +3,7 @@ from helpers import documents
 from pyspark.sql import functions as F
 
 from threadlens.llm.base import scratch
-from threadlens.llm.shards import Conflict, ShardStore, layout
+from threadlens.llm.shards import Conflict, ShardStore, Tiers, TypeChange, layout
 
 
 def content(df):
@@ -101,3 +101,30 @@ def test_plan_in_parts_keeps_all_rows(spark):
     before = store.manifest().count()
     store.compact(target=1024, fanout=4, tiers=2, plan_runs=10)
     assert content(store.rows()) == sorted(rows, key=str) and store.manifest().count() < before
+
+
+def test_a_changed_type_is_refused_and_leaves_the_version(spark):
+    store = ShardStore(spark, scratch(spark, "store"))
+    first = spark.createDataFrame([(1, "a", 7)], "doc_id bigint, text string, extra int")
+    store.append(first, F.lit(0))
+    for bad in ("doc_id bigint, text string, extra string", "doc_id int, text string", "doc_id bigint, text string, Extra int"):
+        with pytest.raises(TypeChange):
+            store.append(spark.createDataFrame([], bad), F.lit(0))
+    assert store.version() == 1 and store.rows().select("doc_id", "extra").collect() == [(1, 7)]
+    store.append(spark.createDataFrame([(2, "b", ["x"])], "doc_id bigint, text string, other array<string>"), F.lit(0))
+    store.append(first, F.lit(1))
+    store.compact(target=100, fanout=2, tiers=2)
+    assert sorted(((r.doc_id, r.extra, r.other) for r in store.rows().collect()), key=str) == [(1, 7, None), (1, 7, None), (2, None, ["x"])]
+
+
+def test_runs_are_filed_by_the_tiers_in_force(spark):
+    store = ShardStore(spark, scratch(spark, "store"))
+    docs = documents(spark, [(k, "x" * 50) for k in range(100)])
+    store.append(docs, F.lit(0), shard_bytes=100, range_bytes=400)
+    assert store.tiers() == Tiers()
+    store.compact(target=1000, fanout=4, tiers=3)
+    assert store.tiers() == Tiers(1000, 4, 3)
+    assert store.append(docs, F.lit(1), shard_bytes=100, range_bytes=400) == 3 and store.tiers() == Tiers(1000, 4, 3)
+    floors = [1000 // 4 ** (3 - t) for t in (1, 2, 3)]
+    runs = store.manifest().collect()
+    assert all(r.tier == sum(r.bytes >= f for f in floors) for r in runs) and any(r.tier == 3 for r in runs)

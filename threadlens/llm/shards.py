@@ -4,7 +4,7 @@ A store is a folder below the shared folder:
 
     data/operation=<operation>/run=<name>/part-*.parquet   immutable files
     manifest/<operation>/                                  one row for each live run
-    commits/v<number>                                      names a version's manifest, and its rows' schema
+    commits/v<number>                                      names a version's manifest, its rows' schema, and the tiers its runs are filed by
 
 ``append`` writes arrivals as small shards.  ``compact`` merges FANOUT runs of
 one size tier at a time, tier after tier, until the runs have the target size;
@@ -24,6 +24,7 @@ import json
 import re
 import uuid
 from functools import reduce
+from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,12 +52,25 @@ class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
 
+class TypeChange(ValueError):
+    """Rows to append have a column that the store keeps with another type."""
+
+
+class Tiers(NamedTuple):
+    """How runs are filed: the size of final runs, runs merged at once, tiers below the final one."""
+
+    target: int = TARGET_BYTES
+    fanout: int = FANOUT
+    tiers: int = TIERS
+
+
 def tier(size: Column, target: int = TARGET_BYTES, fanout: int = FANOUT, tiers: int = TIERS) -> Column:
     """0 for the smallest runs, ``tiers`` for those of target size and more."""
     steps = [(size >= F.lit(target // fanout ** (tiers - t))).cast("int") for t in range(1, tiers + 1)]
     return reduce(lambda a, b: a + b, steps)
 
 
+
 class ShardStore:
     """A versioned store of (doc_id, text, ...) rows."""
 
@@ -83,18 +97,27 @@ class ShardStore:
 
     def _named(self, version: int) -> tuple[str, StructType]:
         """(operation, schema) of a version."""
+        operation, schema, *_ = self._commit_lines(version)
+        return operation, StructType.fromJson(json.loads(schema))
+
+    def tiers(self, version: int | None = None) -> Tiers:
+        """The tiers by which a version's runs are filed: those of the last compaction, at first the default ones."""
+        version = self.version() if version is None else version
+        lines = self._commit_lines(version) if version else []
+        return Tiers(*json.loads(lines[2])) if len(lines) > 2 else Tiers()
+
+    def _commit_lines(self, version: int) -> list[str]:
         named = self._fs.open(self._path(f"{self.root}/commits/v{version}"))
         try:
-            operation, schema = bytes(named.readAllBytes()).decode().split("\n", 1)
+            return bytes(named.readAllBytes()).decode().split("\n")
         finally:
             named.close()
-        return operation, StructType.fromJson(json.loads(schema))
 
-    def _commit(self, manifest: DataFrame, operation: str, version: int, schema: StructType) -> None:
+    def _commit(self, manifest: DataFrame, operation: str, version: int, schema: StructType, tiers: Tiers = Tiers()) -> None:
         manifest.write.parquet(f"{self.root}/manifest/{operation}")
         jvm, draft = self.spark._jvm, self._path(f"{self.root}/commits/.{operation}")
         out = self._fs.create(draft, False)
-        out.write(bytearray(f"{operation}\n{schema.json()}".encode()))
+        out.write(bytearray(f"{operation}\n{schema.json()}\n{json.dumps(tiers)}".encode()))
         out.close()
         files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         no_options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
@@ -129,9 +152,14 @@ class ShardStore:
         Every shard is made by one task and is one file.  Null texts count no
         bytes; null and repeated ids and repeated rows stay; an empty input
         commits a version without new runs.  Columns named arrival, operation
-        or run are replaced by the store's own.
+        or run are replaced by the store's own.  A column that the store has with
+        another type, or in other capitals, is refused before anything is written.
         """
         base, operation = self.version(), f"append-{uuid.uuid4().hex}"
+        have = {f.name.lower(): f for f in self._named(base)[1].fields} if base else {}
+        changed = [f"{f.name} {f.dataType.simpleString()} is kept as {was.name} {was.dataType.simpleString()}" for f in docs.schema if f.name.lower() not in ("arrival", "operation", "run") and (was := have.get(f.name.lower())) and (was.name, was.dataType.simpleString()) != (f.name, f.dataType.simpleString())]
+        if changed:
+            raise TypeChange("; ".join(changed))
         kept = [c for c in docs.columns if c.lower() not in ("arrival", "operation", "run")]  # the names of the store's own are replaced
         size, order, span, spans = (free_name(docs, n) for n in ("_size", "_order", "_range", "_ranges"))
         digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -147,13 +175,14 @@ class ShardStore:
         schema = StructType(rows.schema.fields)
         if base:
             schema = StructType([*schema.fields, *[f for f in self._named(base)[1].fields if f.name not in schema.names]])
-        new = self._measured(operation, schema).withColumn("arrival", F.regexp_extract("run", r"^v\d+-a(-?\d+)-r", 1).cast("int"))
-        self._commit(self._columns(self.manifest(base).unionByName(self._columns(new))), operation, base + 1, schema)
+        filed = self.tiers(base)
+        new = self._measured(operation, schema, filed).withColumn("arrival", F.regexp_extract("run", r"^v\d+-a(-?\d+)-r", 1).cast("int"))
+        self._commit(self._columns(self.manifest(base).unionByName(self._columns(new))), operation, base + 1, schema, filed)
         return base + 1
 
-    def _measured(self, operation: str, schema: StructType) -> DataFrame:
+    def _measured(self, operation: str, schema: StructType, filed: Tiers) -> DataFrame:
         out = self._read([operation], schema).groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_of())).cast("long").alias("bytes"))
-        return out.withColumn("operation", F.lit(operation)).withColumn("tier", tier(F.col("bytes")))
+        return out.withColumn("operation", F.lit(operation)).withColumn("tier", tier(F.col("bytes"), *filed))
 
     @staticmethod
     def _columns(manifest: DataFrame) -> DataFrame:
@@ -206,9 +235,10 @@ class ShardStore:
         rows = rows.repartitionById(min(new_runs, WRITE_TASKS), F.col(task)).drop(task)
         rows.write.options(**_FILES).partitionBy("run").parquet(f"{self.root}/data/operation={operation}")
         schema = self._named(base)[1]
-        new = self._measured(operation, schema).withColumn("arrival", F.lit(None).cast("int"))
-        kept = manifest.join(moved.select("run"), "run", "left_anti")
-        self._commit(self._columns(kept).unionByName(self._columns(new)), operation, base + 1, schema)
+        filed = Tiers(target, fanout, tiers)
+        new = self._measured(operation, schema, filed).withColumn("arrival", F.lit(None).cast("int"))
+        kept = manifest.join(moved.select("run"), "run", "left_anti").withColumn("tier", tier(F.col("bytes"), *filed))
+        self._commit(self._columns(kept).unionByName(self._columns(new)), operation, base + 1, schema, filed)
         return base + 1
 
     def vacuum(self) -> None:
