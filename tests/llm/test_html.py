@@ -134,3 +134,37 @@ def test_tree_matches_brute_force():
             if want:
                 left = a[:, want[0]] <= want[1]
                 todo += [(tree.low, a[left], b[left], lead - 1), (tree.high, a[~left], b[~left], lead - 1)]
+
+
+LONG = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize("outer", [
+    "div class=content-sidebar-wrap", "div class=main-with-sidebar", "div class=wrap-sidebar-right", "div class=layout-with-sidebar", "section class=copyright-law", "div class=legal-news", "div class=post-meta-wrapper",
+    *(f"div class={a}-{b}" for a in ("page", "outer", "site", "layout", "wrapper") for b in ("sidebar", "meta", "banner", "nav", "widget", "related", "social")),
+    "div class='two-columns sidebar-left-layout'", "div id=navbarPageWrap", "div class=promo-page", "section id=login-help", "div class=adslot-article",
+    "form", "form class=page-form", "form><div", "form action=x id=aspnetForm",
+])
+@pytest.mark.parametrize("inner", ["", "<div class='article-body'>", "<article>"])
+def test_outer_wrappers_do_not_drop_an_article(outer, inner):
+    close = f"</{inner[1:].split()[0].rstrip('>')}>" if inner else ""
+    ends = "".join(f"</{t.split()[0]}>" for t in reversed(outer.split("><")))
+    links = "<div class=menu><a>one</a> <a>two</a></div>"
+    page = f"{links}<{outer}>{inner}<p>{LONG}</p><p>{LONG}</p>{close}{ends}<footer>the end of it</footer>"
+    assert extract(page) == f"{LONG}\n{LONG}"
+
+
+def test_names_inside_an_article_drop_little_and_comments_go_whatever_their_length():
+    assert extract(f"<article class='post legal-news'><p>{LONG}</p><p>short</p></article>") == f"{LONG}\nshort"
+    many = "".join(f"<p>{LONG}</p>" for _ in range(9))
+    for mark in ("section id=comments", "div class=comment-list", "div class=user-comments", "div class='post-comments wide'", "aside"):
+        page = f"<article><h1>Title</h1><p>{LONG}</p></article><{mark}>{many}</{mark.split()[0]}>"
+        assert extract(page) == f"Title\n{LONG}", mark
+    assert extract(f"<article><p>{LONG}</p><div class='ad-box'><p>buy this and that</p></div><p>{LONG}</p></article>") == f"{LONG}\n{LONG}"
+    assert extract(f"<div class=sidebar-left><p>{LONG}</p><p>{LONG}</p></div><main><p>{LONG}</p></main>") == LONG
+
+
+def test_formulas_and_short_lines_stay():
+    assert extract(f"<article><p>{LONG}</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>") == f"{LONG}\nso x=1 holds"
+    assert extract("<h1>A title of five words</h1><p>only four words here</p><p>three more words</p>") == "A title of five words\nonly four words here\nthree more words"
+    assert extract("<div>alone</div>") == "alone"

@@ -3,6 +3,11 @@
 A page is read once into a flat list of text blocks.  Each block is described
 by its word count and link density, those of its neighbours and, as weaker
 evidence, by what encloses it: elements and the names their authors gave them.
+A name, or a form, says nothing if its element holds most of the page's unlinked
+words and no article lies beside it: then it names a layout (content-sidebar-wrap,
+legal-news), not boilerplate.  Names that are nothing but a boilerplate word, and
+those of comments and consent, need an article inside and all but a tenth of the
+words to be set aside like that.
 A decision tree, trained on a small labelled table, says which blocks are the
 article's.  The table's pages are built by the rule in ``labelled_pages``; a
 third of them have no telling element or name at all.
@@ -26,12 +31,14 @@ from .base import small_batches
 # Element names by what they do to the text.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("applet audio button canvas datalist head iframe math noembed noframes noscript object script select style svg template textarea title video".split())
+SILENT_TAGS = frozenset("applet audio button canvas datalist annotation annotation-xml head iframe noembed noframes noscript object script select style svg template textarea title video".split())
 BOILER_TAGS = frozenset("aside dialog footer menu nav search".split())
 FORM_TAGS = frozenset(["fieldset", "form"])
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BOILER_WORDS = frozenset("ad ads adsense advert advertisement adverts alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr legal login masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
 BOILER_STEMS = re.compile("comment|advert|sidebar|cookie|newsletter|breadcrumb|footer|masthead|disqus|subscri|sponsor|promo|pagina|banner|widget|ads?(box|slot|unit|space|block|wrap|container|label)")
+#: Words of names that speak of readers, never of a layout.
+READERS = re.compile("comment|disqus|cookie|consent|gdpr|newsletter|subscri")
 CONTENT_TAGS = frozenset(["article", "main"])
 CONTENT_WORDS = frozenset("article content entry main post story".split())
 #: What a name begins or ends with that tells a state of the page, not what the element holds.
@@ -57,17 +64,19 @@ RAW_TAGS = frozenset("iframe noembed noframes script style textarea title xmp".s
 class _Page:
     """Reads a page once, front to back, and collects its blocks.
 
-    A block is (text, words, link density, and what encloses it, as the last
-    six of FEATURE_NAMES).  That is worked out as elements open, so deep
-    nesting costs nothing more.
+    What encloses a block is a node: an element that says something, with the
+    node around it.  Only when all is read, and it is known how many words each
+    holds, are they told from layout and added up, once for each node.  A block
+    is (text, words, link density, and the last six of FEATURE_NAMES).
     """
 
     def __init__(self):
-        self.blocks: list[tuple] = []
+        self.found: list[tuple[str, int, float, int]] = []
         self.text: list[tuple[str, bool]] = []
         self.links = self.silent = 0
-        # tag, and for what it encloses: in content, boiler element, boiler name, form, content inside of boilerplate, header, heading
-        self.stack: list[tuple] = [("", 0, 0, 0, 0, 0, 0, 0)]
+        self.nodes: list[tuple[int, str, int]] = [(0, "", 0)]  # around, kind, in a heading
+        self.words: list[float] = [0.0]  # unlinked words in its own blocks
+        self.stack: list[tuple[str, int]] = [("", 0)]
         self.open: Counter = Counter()
 
     def read(self, page: str) -> list[tuple]:
@@ -98,7 +107,35 @@ class _Page:
                 self.data("<")
                 at = mark + 1
         self.flush()
-        return self.blocks
+        states = self.states()
+        return [(words, n, density, *states[node]) for words, n, density, node in self.found]
+
+    def states(self) -> list[tuple]:
+        """For each node: in_content, in_boiler_element, in_boiler_name, content_in_boiler, in_header, heading."""
+        held, articles = list(self.words), [int(kind == "content") for _, kind, _ in self.nodes]
+        for k in range(len(self.nodes) - 1, 0, -1):  # inner nodes come after those around them
+            around = self.nodes[k][0]
+            held[around] += held[k]
+            articles[around] += articles[k]
+        # content, boiler element, boiler name, form, content inside of boilerplate, header, heading, articles around
+        out: list[tuple] = [(0, 0, 0, 0, 0, 0, 0, 0)]
+        for k, (around, kind, heading) in enumerate(self.nodes[1:], 1):
+            content, element, name, form, outer, header, _, above = out[around]
+            beside = articles[0] - articles[k] - above
+            most = 2 * held[k] > held[0] if kind in ("name", "form") else 10 * held[k] >= 9 * held[0] and articles[k] > 0
+            layout = most and not beside and not above  # within an article names mean what they say
+            if kind == "content":  # a form may be wrapped round a whole page, so it says nothing of an article in it
+                content, element, name, form, outer, above = 1, 0, 0, 0, int(outer or element or name), above + 1
+            elif kind == "element":
+                element = 1
+            elif kind in ("name", "word") and not layout:
+                name = 1
+            elif kind == "form" and not layout:
+                form = 1
+            elif kind == "header":
+                header = 1
+            out.append((content, element, name, form, outer, header, heading, above))
+        return [(c, int(e or f), n, o, int(h and not c), g) for c, e, n, f, o, h, g, _ in out]
 
     def data(self, text: str) -> None:
         if not self.silent:
@@ -110,23 +147,19 @@ class _Page:
             if words:
                 n = words.count(" ") + 1
                 linked = sum(len(t.split()) for t, link in self.text if link)
-                _, content, element, name, form, outer, header, heading = self.stack[-1]
-                self.blocks.append((words, n, min(1.0, linked / n), content, int(element or form), name, outer, int(header and not content), heading))
+                node = self.stack[-1][1]
+                self.found.append((words, n, min(1.0, linked / n), node))
+                self.words[node] += max(0, n - linked)
             self.text = []
 
     def push(self, tag: str, kind: str) -> None:
-        _, content, element, name, form, outer, header, heading = self.stack[-1]
-        if kind == "content":  # a form may be wrapped round a whole page, so it says nothing of an article in it
-            content, element, name, form, outer = 1, 0, 0, 0, int(outer or element or name)
-        elif kind == "element":
-            element = 1
-        elif kind == "name":
-            name = 1
-        elif kind == "form":
-            form = 1
-        elif kind == "header":
-            header = 1
-        self.stack.append((tag, content, element, name, form, outer, header, int(heading or tag in HEADINGS)))
+        node = self.stack[-1][1]
+        heading = int(self.nodes[node][2] or tag in HEADINGS)
+        if kind or heading != self.nodes[node][2]:
+            self.nodes.append((node, kind, heading))
+            self.words.append(0.0)
+            node = len(self.nodes) - 1
+        self.stack.append((tag, node))
         self.open[tag] += 1
         self.silent += tag in SILENT_TAGS
 
@@ -168,11 +201,12 @@ class _Page:
 
 
 def _named(said: dict[str, str]) -> str:
-    """What the class and id of an element say: boiler, content, header, or nothing.
+    """What the class and id of an element say: word (of boilerplate), boiler, content, header, or nothing.
 
     Names are taken whole: one that is a boilerplate word decides; then one that
     is a content word; then names made of several words, but not those that only
-    tell a state, such as no-sidebar or modal-open.
+    tell a state, such as no-sidebar or modal-open.  Names of several words that
+    speak of comments or consent count as one.
     """
     parts = []
     for name in (said.get("class", "") + " " + said.get("id", "")).split():
@@ -180,19 +214,19 @@ def _named(said: dict[str, str]) -> str:
         parts.append(re.findall(r"[a-z]+", spaced.lower()))
     single = {p[0] for p in parts if len(p) == 1}
     if single & BOILER_WORDS or any(map(BOILER_STEMS.match, single)):
-        return "boiler"
+        return "word"
     if single & CONTENT_WORDS:
         return "content"
     several = [p for p in parts if len(p) > 1 and p[0] not in STATES_FIRST and p[-1] not in STATES_LAST]
     if any(w in BOILER_WORDS or BOILER_STEMS.match(w) for p in several for w in p):
-        return "boiler"
+        return "word" if any(READERS.match(w) for p in several for w in p) else "boiler"
     if "header" in single or any("header" in p for p in several):
         return "header"
     return "content" if any(w in CONTENT_WORDS for p in several for w in p) else ""
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """What an element says about what it encloses: content, (boilerplate by its) element or name, form, header, or nothing."""
+    """What an element says about what it encloses: content, (boilerplate by its) element, name or word, form, header, or nothing."""
     said = {}
     if attributes.strip():
         for name, double, single, bare in _ATTRIBUTE.findall(attributes):
@@ -208,9 +242,9 @@ def _kind(tag: str, attributes: str) -> str:
         return "form"
     named = _named(said)
     if tag in CONTENT_TAGS or role in ("main", "article"):
-        return "name" if named == "boiler" else "content"
-    if named == "boiler":
-        return "name"
+        return "word" if named == "word" else "content"
+    if named in ("word", "boiler"):
+        return "name" if named == "boiler" else "word"
     if named == "header" or tag == "header":
         return "header"
     return "content" if named == "content" and tag in ("div", "section", "td") else ""
@@ -352,7 +386,9 @@ def extract(html: str, tree: Tree | None = None) -> str:
     found = blocks(html)
     if not found:
         return ""
-    keep = (tree or trained()).predict(features(found))
+    x = features(found)
+    # Where nothing is linked, enclosed or named, nothing tells one block from another: all of it is the text.
+    keep = (tree or trained()).predict(x) if x[:, 1].any() or x[:, 6:11].any() else np.ones(len(x), bool)
     return "\n".join(b[0] for b, k in zip(found, keep) if k)
 
 
