@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from threadlens.llm.licenses import LICENSE_FILE, TEMPLATES, license_scan
+from threadlens.llm.licenses import HEAD_LINES, LICENSE_FILE, SHORT, SHORTEST, TAIL_LINES, TEMPLATES, license_scan
 
 SCHEMA = "file_id bigint, path string, text string, license string, dir string, own_score string"
 
@@ -16,20 +16,29 @@ def terms(text):
 
 
 def segments(text, whole):
-    """Lines, their sentences, paragraphs of several lines, the whole of a licence file, as texts."""
-    lines = [line.strip(" \t#/*;%!<>-") for line in text.split("\n")]
+    """(text, amid others) of lines, their sentences, paragraphs of several lines, the whole of a licence file."""
+    lines = text.split("\n")
+    full = [k for k, x in enumerate(lines) if x.strip()]
+    if not whole and len(full) > HEAD_LINES + TAIL_LINES:
+        lines = [x for k, x in enumerate(lines) if k <= full[HEAD_LINES - 1]] + [""] + [x for k, x in enumerate(lines) if k >= full[-TAIL_LINES]]
+    lines = [line.strip(" \t#/*;%!<>-") for line in lines]
     out, run = [], []
     for line in [*lines, ""]:
         if line:
             run.append(line)
             if terms(line):
-                out.append(line)
+                out.append((line, False))
                 sentences = [x for x in re.split(r"(?<=[.;!?])\s+", line) if terms(x)]
-                out += sentences if len(sentences) > 1 else []
+                out += [(x, True) for x in sentences] if len(sentences) > 1 else []
         else:
-            out += [" ".join(run)] if sum(bool(terms(x)) for x in run) > 1 else []
+            out += [(" ".join(run), False)] if sum(bool(terms(x)) for x in run) > 1 else []
             run = []
-    return out + ([" ".join(lines)] if whole and sum(bool(terms(x)) for x in lines) > 1 else [])
+    return out + ([(" ".join(lines), False)] if whole and sum(bool(terms(x)) for x in lines) > 1 else [])
+
+
+def fits(segment, amid, template):
+    need = set(terms(template))
+    return len(need) > SHORT or (need <= set(terms(segment)) and not (amid and len(need) <= SHORTEST))
 
 
 def brute(rows, threshold=0.6, scores_only=False):
@@ -41,7 +50,7 @@ def brute(rows, threshold=0.6, scores_only=False):
     own = {}
     for k, (_, path, text) in enumerate(rows):
         is_license = bool(path and re.search(LICENSE_FILE, path.split("/")[-1]))
-        scores = [(cosine(vector(s), vector(x)), -j) for s in segments(text or "", is_license) for j, (_, x) in enumerate(TEMPLATES)]
+        scores = [(cosine(vector(s), vector(x)), -j) for s, amid in segments(text or "", is_license) for j, (_, x) in enumerate(TEMPLATES) if fits(s, amid, x)]
         best = max(scores, default=(0, 0))
         own[k] = (TEMPLATES[-best[1]][0] if best[0] >= threshold else None, best[0], is_license)
     if scores_only:
@@ -53,7 +62,7 @@ def brute(rows, threshold=0.6, scores_only=False):
             parts = path.split("/")[:-1]
             for depth in range(len(parts), -1, -1):
                 at = "/".join(parts[:depth])
-                here = sorted((-own[j][1], r[1], own[j][0]) for j, r in enumerate(rows) if own[j][2] and own[j][0] and "/".join(r[1].split("/")[:-1]) == at)
+                here = sorted((-own[j][1] if own[j][0] else 0, r[1], own[j][0]) for j, r in enumerate(rows) if own[j][2] and (r[2] or "").strip() and "/".join(r[1].split("/")[:-1]) == at)
                 if here:
                     license, by = here[0][2], at
                     break
@@ -74,6 +83,10 @@ ROWS = [
     (18, "h/one", "/* Copyright (c) 2024 Jane Doe, Example Corp. Released under the MIT License. See docs for usage. */ int main() { return 0; }"),
     (19, "h/two", "# tool of the lab; Licensed under the Apache License, Version 2.0. Made by us all in one long line of words that no template knows"),
     (20, "h/three", "rare words stand beside released under mit license"), (21, "h/four", "the the the of the license and the public work"),
+    (30, "s/story", "It was so.\n" * 500 + "He said: All rights reserved.\n" + "It went on.\n" * 40), (31, "s/tale", "see the story. All rights reserved. And so it goes"), (32, "s/end", "It was so.\n" * 500 + "All rights reserved."),
+    (33, "l/COPYING", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    (34, "x/a.c", "// SPDX-License-Identifier: MIT\nint x;"), (35, "x/b.c", "// SPDX-License-Identifier: Zlib\nint x;"), (36, "x/c.c", "# SPDX-License-Identifier: GPL-2.0-only"),
+    (37, "a/u/LICENSE", "Apache License"), (38, "a/u/v/w.py", "code"), (39, "a/e/LICENSE", " \n"), (40, "a/e/w.py", "code"),
     (16, "r/license/file", "the license of the public"), (17, "unlicensed", "this is free"),
 ]
 
@@ -85,6 +98,9 @@ def test_matches_brute_force(spark):
     assert by[2].license == "Apache-2.0" and by[2].licensed_by == "a/b" and by[4].license == "GPL-3.0" and by[6].licensed_by == "a"
     assert by[5].licensed_by == "" and by[8].license is None and by[15].own_license == "ISC" and by[None].own_license == "MIT"
     assert by[18].own_license == "MIT" and by[19].own_license == "Apache-2.0"
+    assert by[30].own_license is None and by[31].own_license is None and by[32].own_license == "Proprietary"
+    assert by[33].own_license == "LGPL-2.1" and by[34].own_license == "MIT" and by[35].own_license is None and by[36].own_license == "GPL-2.0"
+    assert (by[37].license, by[38].license, by[38].licensed_by) == (None, None, "a/u") and (by[40].license, by[40].licensed_by) == ("MIT", "a")
     want = {r[0]: r for r in brute_scores(ROWS)}
     assert all(abs((r.own_score or 0) - want[r.file_id][1]) < 1e-9 for r in got if r.own_score)
 

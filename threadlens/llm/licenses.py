@@ -1,10 +1,14 @@
 """License scans: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Every file is cut into lines, the sentences of a line, and paragraphs (a
-licence file is also one segment as a whole).  A segment is a sparse vector of
+Of every file the notices are compared: its header, the first HEAD_LINES lines
+that are not blank, and its last TAIL_LINES, where notices that close a text
+stand; of a licence file all lines.  They are cut into lines, the sentences of a
+line, and paragraphs (a licence file is also one segment as a whole).  A segment is a sparse vector of
 its terms, weighted by (1 + ln tf) * idf with document frequencies of all terms
 counted over all files.  The license of a file is the template with the largest
-cosine of any segment, if that reaches the threshold.
+cosine of any segment, if that reaches the threshold.  A short template counts
+only if the segment has all of its terms, and the shortest ones only for a whole
+line, as a sentence amid others may well say such words of something else.
 
 Only template terms add to a dot product, so executors need the frequencies of
 those alone to find the segments that can reach the threshold even if every
@@ -12,8 +16,10 @@ other term had the least weight there is; the other terms of these few segments
 are then joined to the table of all frequencies for the exact cosine.
 
 A license found in a licence file also holds for its directory.  Files without
-a license of their own take that of the nearest ancestor directory that has
-one, by joining each directory's ancestor paths to the licensed directories.
+a license of their own take that of the nearest ancestor directory that has a
+licence file, by joining each directory's ancestor paths to those directories.
+If that file's text matches no template, its license is unknown, not that of a
+directory further up.
 """
 
 from __future__ import annotations
@@ -30,6 +36,10 @@ from pyspark.sql import functions as F
 from .base import cut, small_batches
 
 THRESHOLD = 0.6
+#: Lines at the beginning and the end of a file, blank ones not counted, that its notices stand in.
+HEAD_LINES, TAIL_LINES = 30, 5
+#: Distinct terms up to which all terms of a template have to occur, and up to which it has to be a whole line.
+SHORT, SHORTEST = 6, 4
 
 #: Notices and opening paragraphs that name each license.
 TEMPLATES = (
@@ -44,6 +54,12 @@ TEMPLATES = (
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3."),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
@@ -60,6 +76,9 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
 )
 
+#: Identifiers as files state them; each is a template of its own.
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}{end}") for name in dict(TEMPLATES) if name != "Proprietary" for end in ("", "-only", "-or-later")[: 3 if "GPL" in name else 1])
+
 #: Names of licence files.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([-._].*)?$"
 
@@ -75,26 +94,36 @@ def terms(text: str) -> list[str]:
     return _TERMS(text.lower())
 
 
-def segments(text: str, whole: bool) -> Iterator[list[str]]:
-    """Terms of each line, of its sentences if there are several, of paragraphs of several lines, and for a licence file of the whole text."""
+def notices(text: str) -> list[str]:
+    """The lines of a text's beginning and of its end; a blank line parts them where lines between are left out."""
+    lines = text.split("\n")
+    full = [k for k, line in enumerate(lines) if line.strip()]
+    if len(full) <= HEAD_LINES + TAIL_LINES:
+        return lines
+    return [*lines[: full[HEAD_LINES - 1] + 1], "", *lines[full[-TAIL_LINES] :]]
+
+
+def segments(text: str, whole: bool) -> Iterator[tuple[list[str], bool]]:
+    """(terms, whether it is a sentence amid others) of each line of the notices, of its sentences if there are several, of paragraphs of several lines, and for a licence file of the whole text."""
     every, run, lines = [], [], 0
-    for line in [*text.lower().split("\n"), ""]:
+    text = text.lower()
+    for line in [*(text.split("\n") if whole else notices(text)), ""]:
         parts = [found for part in _SENTENCES(line) if (found := _TERMS(part))]
         if parts:
             found = [t for p in parts for t in p] if len(parts) > 1 else parts[0]
-            yield found
+            yield found, False
             if len(parts) > 1:
-                yield from parts
+                yield from ((p, True) for p in parts)
             run += found
             lines += 1
             if whole:
                 every.append(found)
         elif not _MARKS.sub("", line):  # blank but for comment marks
             if lines > 1:
-                yield run
+                yield run, False
             run, lines = [], 0
     if len(every) > 1:
-        yield [t for found in every for t in found]
+        yield [t for found in every for t in found], False
 
 
 def idf_of(df: int, files: int) -> float:
@@ -108,13 +137,14 @@ class Scanner:
         vocab = sorted({t for _, text in templates for t in terms(text)})
         self.idf = {t: idf_of(df.get(t, 0), files) for t in vocab}
         self.by_term: dict[str, list[tuple[int, float]]] = {t: [] for t in vocab}
+        self.sets = [frozenset(terms(text)) for _, text in templates]
         for k, (_, text) in enumerate(templates):
             weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in Counter(terms(text)).items()}
             length = math.sqrt(sum(w * w for w in weights.values()))
             for t, w in weights.items():
                 self.by_term[t].append((k, w / length))
 
-    def candidate(self, found: list[str], threshold: float) -> tuple[int, float, float, list[str], list[int]] | None:
+    def candidate(self, found: list[str], threshold: float, amid: bool = False) -> tuple[int, float, float, list[str], list[int]] | None:
         """(template, dot product, squared length within the vocabulary, other terms, their counts), or None where the cosine can't reach the threshold.
 
         A term in every file has idf 1, and no term has less.
@@ -133,9 +163,11 @@ class Scanner:
         for t, w in weights.items():
             for k, v in self.by_term[t]:
                 dots[k] = dots.get(k, 0.0) + w * v
-        k = min(dots, key=lambda k: (-dots[k], k))
-        if dots[k] * dots[k] < least:
+        fit = [k for k in dots if dots[k] * dots[k] >= least]
+        fit = [k for k in fit if len(self.sets[k]) > SHORT or (self.sets[k] <= distinct and not (amid and len(self.sets[k]) <= SHORTEST))]
+        if not fit:
             return None
+        k = min(fit, key=lambda k: (-dots[k], k))
         others = sorted(distinct - inside)
         return k, dots[k], within, others, [count(t) for t in others]
 
@@ -158,7 +190,7 @@ def frequencies(files: DataFrame) -> DataFrame:
 
 
 def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """file_id, path, is_license_file, own_license, own_score for each row of (file_id, path, text).
+    """file_id, path, is_license_file, is_blank, own_license, own_score for each row of (file_id, path, text).
 
     Ties go to the earlier segment, then to the earlier template.
     """
@@ -173,16 +205,16 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
         for batch in batches:
             near = []
             for text, whole in zip(batch["text"], batch["is_license_file"]):
-                found = ((k, scanner.candidate(s, threshold)) for k, s in enumerate(segments(text or "", bool(whole))))
+                found = ((k, scanner.candidate(s, threshold, amid)) for k, (s, amid) in enumerate(segments(text or "", bool(whole))))
                 near.append([dict(zip(fields, (k, *c))) for k, c in found if c])
-            yield batch[["uid", "file_id", "path", "is_license_file"]].assign(near=near)
+            yield batch[["uid", "file_id", "path", "is_license_file", "is_blank"]].assign(near=near)
 
     fields = ("segment", "template", "dot", "within", "others", "counts")
     kind = files.schema["file_id"].dataType.simpleString()
     name = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENSE_FILE), F.lit(False))
-    rows = files.select(F.monotonically_increasing_id().alias("uid"), "file_id", "path", name.alias("is_license_file"), "text")
+    rows = files.select(F.monotonically_increasing_id().alias("uid"), "file_id", "path", name.alias("is_license_file"), (~F.coalesce("text", F.lit("")).rlike(r"\S")).alias("is_blank"), "text")
     near = "array<struct<segment int, template int, dot double, within double, others array<string>, counts array<int>>>"
-    scanned = cut(small_batches(rows).mapInPandas(run, f"uid bigint, file_id {kind}, path string, is_license_file boolean, near {near}"))
+    scanned = cut(small_batches(rows).mapInPandas(run, f"uid bigint, file_id {kind}, path string, is_license_file boolean, is_blank boolean, near {near}"))
     found = scanned.select("uid", F.inline("near"))
     words = found.where(F.size("others") > 0).select("uid", "segment", F.inline(F.arrays_zip(F.col("others").alias("term"), F.col("counts").alias("tf"))))
     idf = F.log(F.lit(1.0 + n) / (1 + F.col("n"))) + 1
@@ -192,7 +224,7 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     best = scored.groupBy("uid").agg(F.min(F.struct((-F.col("score")).alias("s"), "segment", "template")).alias("best"))
     listed = F.array(*[F.lit(x) for x in names]).cast("array<string>")
     best = best.select("uid", F.get(listed, F.col("best.template")).alias("own_license"), (-F.col("best.s")).alias("own_score"))
-    return scanned.drop("near").join(best, "uid", "left").select("file_id", "path", "is_license_file", "own_license", "own_score")
+    return scanned.drop("near").join(best, "uid", "left").select("file_id", "path", "is_license_file", "is_blank", "own_license", "own_score")
 
 
 def directory(path: Column) -> Column:
@@ -201,17 +233,18 @@ def directory(path: Column) -> Column:
 
 
 def inherit(scanned: DataFrame) -> DataFrame:
-    """Adds license and licensed_by to own_licenses(): own, else the nearest licensed ancestor's.
+    """Adds license and licensed_by to own_licenses(): own, else that of the nearest ancestor with a licence file.
 
-    licensed_by is 'self', the directory's path ('' for the root), or null
-    where no license holds.  Of several licence files in a directory the best
+    licensed_by is 'self', the directory's path ('' for the root), or null where
+    there is neither.  Where the licence files of that directory match no
+    template, license is null; blank ones don't count.  Of several licence files in a directory the best
     score decides, then the smallest path, then the smallest license.  A null
     path has no directory.  Inheritance is worked out once for each directory
     that occurs, so its size follows the directories, not the files.
     """
     scanned = cut(scanned.withColumn("dir", directory(F.col("path"))))
-    best = F.min(F.struct((-F.col("own_score")).alias("s"), "path", F.col("own_license").alias("license")))
-    licensed = scanned.where("is_license_file AND own_license IS NOT NULL").groupBy("dir").agg(best.alias("best"))
+    best = F.min(F.struct((-F.coalesce("own_score", F.lit(0.0))).alias("s"), "path", F.col("own_license").alias("license")))
+    licensed = scanned.where("is_license_file AND NOT is_blank").groupBy("dir").agg(best.alias("best"))
     licensed = cut(licensed.select(F.col("dir").alias("ancestor"), F.col("best.license").alias("dir_license")))
     dirs = scanned.where("dir IS NOT NULL").select("dir").distinct()
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
