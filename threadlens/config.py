@@ -65,11 +65,29 @@ LANGUAGES = ("Python", "JavaScript", "Java", "PHP", "C++", "C#", "C", "Obj-C", "
 
 # Spellings of technologies and the term they count as.
 TECHNOLOGY_ALIASES = {
-    "aes-128": "aes", "aes-256": "aes", "aes-ni": "aes", "rijndael": "aes",
-    "pkcs#1": "pkcs", "pkcs#12": "pkcs", "pkcs#5": "pkcs", "pkcs#7": "pkcs", "pkcs1": "pkcs", "pkcs11": "pkcs", "pkcs11.net": "pkcs", "pkcs11interop": "pkcs", "pkcs12": "pkcs", "pkcs5": "pkcs", "pkcs7": "pkcs",
-    "sha-1": "sha1", "sha1": "sha1",
-    "sha-256": "sha", "sha-512": "sha", "sha2": "sha", "sha256": "sha", "sha512": "sha",
-}
+    "aes-128": "aes",
+    "aes-256": "aes",
+    "rijndael": "aes",
+    "aes-ni": "aes",
+    "pkcs1": "pkcs",
+    "pkcs#1": "pkcs",
+    "pkcs5": "pkcs",
+    "pkcs#5": "pkcs",
+    "pkcs7": "pkcs",
+    "pkcs#7": "pkcs",
+    "pkcs11": "pkcs",
+    "pkcs11.net": "pkcs",
+    "pkcs11interop": "pkcs",
+    "pkcs12": "pkcs",
+    "pkcs#12": "pkcs",
+    "sha1": "sha1",
+    "sha-1": "sha1",
+    "sha256": "sha",
+    "sha-256": "sha",
+    "sha512": "sha",
+    "sha-512": "sha",
+    "sha2": "sha",
+}
 
 #: Topics a technology must occur in to be cross-cutting, and peak share to be topic-specific.
 CROSS_CUTTING_TOPICS = 4

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 TYPES = ("question", "answer", "comment")
 
 
+def comments_on_posts(comments: DataFrame, posts: DataFrame) -> DataFrame:
+    """Comments whose post (site, post_id) is among the posts, each once."""
+    return comments.join(posts.select("site", "post_id"), ["site", "post_id"], "left_semi")
+
+
 def site_census(posts: DataFrame, comments: DataFrame, sites: DataFrame) -> DataFrame:
     """site, questions, answers, comments for every row of ``sites`` (zeros where nothing is found).
 
@@ -16,7 +21,7 @@ def site_census(posts: DataFrame, comments: DataFrame, sites: DataFrame) -> Data
     """
     by_site = posts.groupBy("site").agg(F.count_if(F.col("post_type") == "1").alias("questions"), F.count_if(F.col("post_type") == "2").alias("answers"))
     known = posts.select("site", F.col("id").alias("post_id"))
-    by_comment = comments.join(known, ["site", "post_id"], "left_semi").groupBy("site").agg(F.count(F.lit(1)).alias("comments"))
+    by_comment = comments_on_posts(comments, known).groupBy("site").agg(F.count(F.lit(1)).alias("comments"))
     return sites.select("site").join(by_site, "site", "left").join(by_comment, "site", "left").na.fill(0, ["questions", "answers", "comments"])
 
 

@@ -110,3 +110,8 @@ def sweep_wide(swept: DataFrame, combinations: list[str]) -> DataFrame:
     names = [c.replace(".", "_") for c in combinations]
     rows = swept.select(F.replace("combination", F.lit("."), F.lit("_")).alias("combination"), F.posexplode("tags").alias("pos", "tag"))
     return rows.groupBy("pos").pivot("combination", names).agg(F.first("tag")).na.fill("", names)
+
+
+def shared_tags(tags: DataFrame, other: DataFrame) -> DataFrame:
+    """site, tag of the pairs that both frames have, each once; null equals null."""
+    return tags.select("site", "tag").intersect(other.select("site", "tag"))

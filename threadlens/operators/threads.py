@@ -9,6 +9,11 @@ from ..functions.tags import qualified_id
 from ..functions.values import number_or_zero, timestamp_or_null
 
 
+def of_type(posts: DataFrame, *types: str) -> DataFrame:
+    """Posts of the given types (question, answer, comment); a post without a type is none of them."""
+    return posts.where(F.col("type").isin(*types))
+
+
 def answers_of(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers whose parent is one of the questions (site, id)."""
     return answers.join(questions.select("site", F.col("id").alias("parent_id")), ["site", "parent_id"], "left_semi")

@@ -223,7 +223,7 @@ def d4(spark, sf):
 @query("d5_comments_on_any_post", f"WITH {P.QUESTIONS}, {P.ANSWERS}, {P.COMMENTS} SELECT count(*) AS comments FROM k WHERE post_id IN (SELECT CAST(id AS VARCHAR) FROM q UNION ALL SELECT id FROM a)")
 def d5(spark, sf):
     ids = P.questions(spark, sf).select(F.col("id").cast("string").alias("post_id")).unionByName(P.answers(spark, sf).select(F.col("id").alias("post_id")))
-    return P.comments(spark, sf).join(ids, "post_id", "left_semi").agg(F.count(F.lit(1)).alias("comments"))
+    return census.comments_on_posts(P.comments(spark, sf).withColumn("site", F.lit("all")), ids.withColumn("site", F.lit("all"))).agg(F.count(F.lit(1)).alias("comments"))
 
 
 def _whole(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -289,7 +289,7 @@ def b15(spark, sf):
 
 @query("c1_post_types", f"WITH {P.POSTS} SELECT id, question_id FROM p WHERE type = 'answer'")
 def c1(spark, sf):
-    return P.posts(spark, sf).where("type = 'answer'").select("id", "question_id")
+    return threads.of_type(P.posts(spark, sf), "answer").select("id", "question_id")
 
 
 @query("e7_null_owner", f"WITH {P.POSTS} SELECT site_alias, type, count(*) AS n FROM p WHERE owner_id IS NULL GROUP BY 1, 2")
@@ -1049,7 +1049,7 @@ def d14(spark, sf):
 @query("s4_set_ops", f"WITH {P.METRICS} SELECT tag, site FROM (SELECT tag, site FROM m INTERSECT SELECT unnest(['red', 'bolt', 'absent']), 'ECONOMY')")
 def s4(spark, sf):
     banned = spark.createDataFrame([("red", "ECONOMY"), ("bolt", "ECONOMY"), ("absent", "ECONOMY")], "tag string, site string")
-    return tag_relatedness.tag_metrics(_tagged(spark, sf), "ring").select("tag", "site").intersect(banned)
+    return tag_relatedness.shared_tags(tag_relatedness.tag_metrics(_tagged(spark, sf), "ring"), banned).select("tag", "site")
 
 
 @query("b24_labels", "SELECT p_partkey, upper(p_name) AS heading, CASE WHEN length(p_name) > 10 THEN replace(p_name, ' ', chr(10)) ELSE p_name END AS wrapped, CASE WHEN length(p_name) > 10 THEN 2 ELSE 1 END AS lines FROM part")
