@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from threadlens.llm import ann
 from threadlens.llm.ann import Shard, learn, masks, search
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, score string, id string, q string, x string, shard string"
@@ -84,3 +85,14 @@ def test_edges(spark):
     assert search(frame(spark, []), F.lit(True)).collect() == []
     assert search(frame(spark, [(0, v)]), F.lit(True)).collect() == []
     assert [(r.query_id, r.vec_id) for r in search(frame(spark, [(0, v), (1, v)]), F.col("vec_id") == 0).collect()] == [(0, 1)]
+
+
+def test_the_plan_does_not_grow_with_the_probes(spark, monkeypatch):
+    """Masks are made in the tasks: a table in many shards has a plan as short as one in few."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.standard_normal(16)]) for i in range(600)], "vec_id bigint, embedding array<double>")
+    plans, real = [], ann._round
+    monkeypatch.setattr(ann, "_round", lambda *a: plans.append(out := real(*a)) or out)
+    found = [sorted(map(tuple, ann.search(df, F.col("vec_id") % 50 == 0, shard_rows=n).select("query_id", "rank", "vec_id").collect())) for n in (600, 8)]
+    sizes = [len(p._jdf.queryExecution().optimizedPlan().toString()) for p in plans]
+    assert found[0] == found[1] and max(sizes) < 1.3 * min(sizes)

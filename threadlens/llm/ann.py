@@ -258,10 +258,15 @@ def _search(good: DataFrame, rows: int, k: int, shard_rows: int, sample_rows: in
 def _round(own: DataFrame, asked: DataFrame, shards: DataFrame, codes: Codes, lead: int, radius: int, total: int, k: int) -> DataFrame:
     """uid, rank, vec_id, score: the k best of each query row within the radius."""
     reach = codes.reach(radius)
-    near = F.array(*[F.array(*[F.lit(int(m)) for m in masks(lead, max(r, 0))]) if r >= 0 else F.array().cast("array<int>") for r in reach])
+
+    @F.pandas_udf("array<int>")
+    def near(part: pd.Series, value: pd.Series) -> pd.Series:
+        """The prefixes that a substring's value may have within its reach; made in the task, as there may be thousands."""
+        flips = {r: masks(lead, r) for r in set(reach) if r >= 0}
+        return pd.Series([flips[reach[p]] ^ np.int32(v >> (codes.width - lead)) if reach[p] >= 0 else [] for p, v in zip(part, value)], dtype=object)
+
     probes = asked.select("uid", "id", "x", "subs", F.posexplode("subs").alias("part", "value"))
-    at = F.transform(F.get(near, F.col("part")), lambda m: m.bitwiseXOR(F.shiftright("value", codes.width - lead)))
-    probes = probes.select("uid", "id", "x", "subs", "part", F.explode(at).alias("prefix")).join(small_side(shards), ["part", "prefix"])
+    probes = probes.select("uid", "id", "x", "subs", "part", F.explode(near("part", "value")).alias("prefix")).join(small_side(shards), ["part", "prefix"])
     probes = probes.withColumn("shard", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("salts") - 1)))
     probes = probes.select("shard", F.lit(1).alias("kind"), "part", "uid", "id", "x", "subs")
     both = own.unionByName(probes).repartitionById(total, "shard").sortWithinPartitions("shard", "kind", "uid")
