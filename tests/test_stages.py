@@ -119,6 +119,32 @@ def test_bucketed_threads_need_no_exchange(spark, tmp_path):
         spark.sql("DROP TABLE IF EXISTS bucketed_threads")
 
 
+def test_rooted_threads_are_unified_without_an_exchange(spark):
+    from threadlens.operators import threads
+
+    text = lambda rows, names: spark.createDataFrame([tuple(None if v is None else str(v) for v in r) for r in rows], ", ".join(f"{n} string" for n in names.split()))
+    extra = {c: F.lit(None).cast("string") for c in ("score", "view_count", "answer_count", "creation_date", "last_activity_date", "last_edit_date", "owner_id", "title", "body", "text", "accepted_answer_id")}
+    q = text([("s", k) for k in range(20)] + [("t", 3)], "site id").withColumns(extra).withColumn("tags", F.array(F.lit("b"), F.lit("a")))
+    a = text([("s", 100 + k, k % 25) for k in range(60)] + [("t", 100, 3), ("t", 101, None)], "site id parent_id").withColumns(extra)
+    c = text([("s", k, p) for k, p in enumerate([0, 0, 1, 100, 100, 101, 124, 999, None])] + [("t", 1, 3), ("u", 1, 3)], "site id post_id").withColumns(extra)
+    sites = spark.createDataFrame([("s", "s.7z"), ("t", "t.7z")], "site string, archive string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    names = ["rooted_q", "rooted_a", "rooted_c"]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kept = [tables.write_bucketed(df, n, 4, "site", "root_id") for df, n in zip(threads.rooted(q, a, c), names)]
+        out = threads.unified_from_rooted(*kept, sites)
+        assert rows(out) == rows(threads.unified_posts(q, a, c, sites))
+        out.collect()
+        assert "Exchange hash" not in str(out._jdf.queryExecution().executedPlan()) and "Exchange range" not in str(out._jdf.queryExecution().executedPlan())
+        some = threads.unified_from_rooted(kept[0].where("id < '15'"), kept[1], kept[2], sites)
+        assert rows(some) == rows(threads.unified_posts(q.where("id < '15'"), a, c, sites))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}")
+
+
 # --- required columns ---
 
 

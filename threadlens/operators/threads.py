@@ -58,6 +58,34 @@ def unified_posts(questions: DataFrame, answers: DataFrame, comments: DataFrame,
     answers = answers_of(questions, answers)
     comments = comments_on(comments, tracked_posts(questions, answers))
     counts = comment_counts(comments)
+    return _unified(with_comment_count(questions, counts), with_comment_count(answers, counts), comments, sites)
+
+
+def rooted(questions: DataFrame, answers: DataFrame, comments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, answers and comments, each with root_id, its question's id; answers and comments of other threads are left out.
+
+    Kept in buckets by (site, root_id) (tables.write_bucketed), all posts of a
+    thread lie in one bucket, and unified_from_rooted() exchanges nothing.
+    """
+    answers = answers_of(questions, answers)
+    placed = comments_on(comments, tracked_posts(questions, answers))
+    return questions.withColumn("root_id", F.col("id")), answers.withColumn("root_id", F.col("parent_id")), placed
+
+
+def unified_from_rooted(questions: DataFrame, answers: DataFrame, comments: DataFrame, sites: DataFrame) -> DataFrame:
+    """unified_posts() of what rooted() gives, for all or some of its questions, by joins and groups on (site, root_id) alone."""
+    thread = ["site", "root_id"]
+    own = questions.select(thread)
+    answers, comments = answers.join(own, thread, "left_semi"), comments.join(own, thread, "left_semi")
+    # Comments are counted for each post of a thread; the counts of a thread travel as one map.
+    each = comments.groupBy(*thread, "post_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = each.groupBy(*thread).agg(F.map_from_entries(F.collect_list(F.struct("post_id", "n"))).alias("_counts"))
+    counted = lambda posts: posts.join(counts, thread, "left").withColumn("comment_count", F.coalesce(F.try_element_at("_counts", F.col("id")), F.lit(0))).drop("_counts")
+    return _unified(counted(questions), counted(answers), comments, sites)
+
+
+def _unified(questions: DataFrame, answers: DataFrame, comments: DataFrame, sites: DataFrame) -> DataFrame:
+    """The rows of three kinds of posts in the columns of schema.THREAD_POSTS."""
     alias, number = F.col("site"), lambda c: number_or_zero(F.col(c)).cast("bigint")
     no_text, no_number, no_time = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("timestamp")
 
@@ -77,7 +105,8 @@ def unified_posts(questions: DataFrame, answers: DataFrame, comments: DataFrame,
         "last_activity_date": no_time, "last_edit_date": no_time, "tags": F.array().cast("array<string>"), "question_id": qualified_id(alias, F.col("root_id")), "accepted_answer_id": no_text,
         "answer_count": no_number, "view_count": no_number, "comment_count": no_number, "title": no_text, "body": F.col("text"),
     }
-    parts = [with_comment_count(questions, counts).select(*[v.alias(k) for k, v in q.items()]), with_comment_count(answers, counts).select(*[v.alias(k) for k, v in a.items()]), comments.select(*[v.alias(k) for k, v in c.items()])]
+    parts = [df.select(*[v.alias(k) for k, v in columns.items()]) for df, columns in ((questions, q), (answers, a), (comments, c))]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     order = ["site_alias", "tags", "question_id", "accepted_answer_id", "answer_count", "creation_date", "last_activity_date", "last_edit_date", "owner_id", "score", "view_count", "comment_count", "title", "body", "site", "id", "type"]
-    return out.join(sites.select(F.col("site").alias("site_alias"), F.col("archive").alias("site")), "site_alias", "left").select(order)
+    archives = F.broadcast(sites.select(F.col("site").alias("site_alias"), F.col("archive").alias("site")))  # a row a site
+    return out.join(archives, "site_alias", "left").select(order)
