@@ -2,6 +2,7 @@ import logging
 
 from pyspark.sql import functions as F
 
+from threadlens.config import TopicModelOptions
 from threadlens.functions import labels
 from threadlens.log import get_logger
 from threadlens.operators import topic_model
@@ -30,16 +31,20 @@ def test_related_tags(spark, tmp_path):
 
 
 def test_submodels_skip_what_fails(spark, monkeypatch):
-    posts = spark.createDataFrame([("q1", "question", 0), ("q1", "answer", None), ("q2", "question", 1)], "question_id string, type string, topic int")
-    seen = {}
-
-    def train(docs, key, mode, tokens="tokens", **options):
-        rows = docs.collect()
-        seen[len(rows)] = mode
-        if len(rows) == 1:
+    """A fit of all submodels that fails is repeated for each alone; one that fails again has its reason."""
+    words = ["w1", "w2"]
+    posts = spark.createDataFrame([("q1", "question", 0, words), ("q1", "answer", None, words), ("q2", "question", 1, words)], "question_id string, type string, topic int, tokens array<string>")
+    asked = []
+
+    def evaluate(docs, key, wanted, terms, *rest):
+        asked.append({corpus: docs.where(F.col("corpus") == corpus).count() for corpus, _ in wanted.values()})
+        if 1 in asked[-1]:
             raise ValueError("too few")
-        return topic_model.Trial(2, 0.5, 1.0, None)
-
-    monkeypatch.setattr(topic_model, "train", train)
-    assert set(topic_model.train_submodels(posts, posts, [0, 1], "question_id", "fixed")) == {0}
-    assert seen == {2: "fixed", 1: "fixed"}
+        return {m: topic_model.Trial(k, 0.5, 1.0, None) for m, (_, k) in wanted.items()}
+
+    monkeypatch.setattr(topic_model, "evaluate", evaluate)
+    options = TopicModelOptions(min_documents=1.0, max_document_share=1.0)
+    found, failed = topic_model.train_submodels(posts, posts, [0, 1], "question_id", "fixed", 2, options=options)
+    assert set(found) == {0} and found[0].topics == 2
+    assert failed[1] == "no model could be fitted" and set(failed) == {1}
+    assert asked[0] == {0: 2, 1: 1} and {0: 2} in asked and {1: 1} in asked

@@ -13,7 +13,7 @@ from ..schema import require
 METRICS = ("answer_count", "view_count", "score", "comment_count")
 #: Decimals to which metrics and quantiles are compared, beyond the noise of interpolation.
 DECIMALS = 6
-#: Rows of wanted ranks that are broadcast.
+#: Wanted ranks (two for each site and metric) up to which they are broadcast.
 SMALL_RANKS = 100_000
 
 
@@ -105,9 +105,10 @@ def quantiles(questions: DataFrame, q: float = POPULARITY_QUANTILE, metrics=METR
     while True:
         found.append(open_.where("low = high").select("site", "metric", "at", "which", F.col("low").alias("value")))
         open_ = open_.where("low < high")
-        if not open_.take(1):
+        wanted = open_.count()
+        if not wanted:
             break
-        open_ = cut(_narrowed(values, open_, bins))
+        open_ = cut(_narrowed(values, F.broadcast(open_) if wanted <= SMALL_RANKS else open_, bins))
     chosen = found[0]
     for more in found[1:]:
         chosen = chosen.unionByName(more)
@@ -119,7 +120,6 @@ def quantiles(questions: DataFrame, q: float = POPULARITY_QUANTILE, metrics=METR
 
 def _narrowed(values: DataFrame, wanted: DataFrame, bins: int) -> DataFrame:
     """Each wanted rank with the least and largest value of the part that holds it; ranks count from that part's start."""
-    wanted = F.broadcast(wanted) if wanted.count() <= SMALL_RANKS else wanted  # two ranks a site and metric
     inside = values.join(wanted, ["site", "metric"]).where(F.col("value").between(F.col("low"), F.col("high")))
     # Quarters of bounded values, so that the width of a range can't overflow; both ends have parts of their own, so every pass narrows.
     quarter = lambda c: F.greatest(F.least(F.col(c), F.lit(1.7e308)), F.lit(-1.7e308)) / 4
