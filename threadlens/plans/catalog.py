@@ -396,8 +396,9 @@ def g1(spark, sf):
     return mining.normalise(posts).select("id", "type", "normalized_text")
 
 
-#: The whole set of stop words, for SQL.
-_STOP = sorted(P.bundled_stopwords() | FURTHER_STOPWORDS | MEDIUM_STOPWORDS | DISCOURSE_STOPWORDS)
+#: The whole set of stop words, for SQL; the two queries that need it have none where it can't be read.
+_BUNDLED = P.bundled_stopwords()
+_STOP = sorted((_BUNDLED or frozenset()) | FURTHER_STOPWORDS | MEDIUM_STOPWORDS | DISCOURSE_STOPWORDS)
 _QUOTED = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in _STOP) + "]"
 
 
@@ -406,7 +407,7 @@ _LEMMA = """CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN w[1:length(w) - 3] ||
         WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') AND length(w) > 3 THEN w[1:length(w) - 1] ELSE w END"""
 
 
-@query("b8_token_rules", rf"""SELECT conv_id, turn, array_to_string(list_filter(list_transform({_TRIMMED}, lambda w: {_LEMMA}),
+@query("b8_token_rules", _BUNDLED and rf"""SELECT conv_id, turn, array_to_string(list_filter(list_transform({_TRIMMED}, lambda w: {_LEMMA}),
     lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^\pN+$') AND NOT regexp_matches(w, '^[_\-]+$') AND NOT list_contains({_QUOTED}, w)), ' ') AS tokens FROM conversations""")
 def b8_rules(spark, sf):
     """The rules of tokens(), with all stop words."""
@@ -414,7 +415,7 @@ def b8_rules(spark, sf):
     return c.select("conv_id", "turn", text.join_tokens(text.tokens(F.col("text"))).alias("tokens"))
 
 
-@query("b9_stopwords", f"WITH {P.TEXTS} SELECT doc_id, array_to_string(list_filter(tokens, lambda w: NOT list_contains({_QUOTED}, w)), ' ') AS tokens FROM en")
+@query("b9_stopwords", _BUNDLED and f"WITH {P.TEXTS} SELECT doc_id, array_to_string(list_filter(tokens, lambda w: NOT list_contains({_QUOTED}, w)), ' ') AS tokens FROM en")
 def b9(spark, sf):
     return P.words(spark, sf).select("doc_id", text.join_tokens(text.without_stopwords(F.col("tokens"), text.stopwords())).alias("tokens"))
 
