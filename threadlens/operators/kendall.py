@@ -185,7 +185,7 @@ def kendall_long(table: DataFrame, pairs: Iterable[tuple[str, str]], block_rows:
         within = marked.where("block % 2 = 0").groupBy("block").applyInPandas(count(["u", "range"], "range"), "n string")
         within = within.unionByName(marked.where("range % 2 = 0").groupBy("range").applyInPandas(count(["u", "v"], "v"), "n string"))
         falling = sum(int(r["n"]) for r in within.collect())  # a row a part
-        cells = marked.groupBy("block", "range").agg(F.sum("w").alias("w")).toPandas()  # at most the square of the parts
+        cells = marked.groupBy("block", "range").agg(F.sum("w").alias("w")).toArrow().to_pandas()  # at most the square of the parts
         falling += histogram_inversions(cells["block"].to_numpy(np.int64), cells["range"].to_numpy(np.int64), cells["w"].to_numpy(np.int64))
         both = rows.agg(F.sum(F.col("w").cast("decimal(38,0)") * (F.col("w") - 1))).first()[0]
         ties, total = (_ties(rows, "u"), _ties(rows, "v")), n * (n - 1) // 2

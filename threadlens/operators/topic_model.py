@@ -77,7 +77,7 @@ class TopicModel:
     def of_counts(cls, counts: DataFrame, topics: int, alpha: float, beta: float = 0.01) -> TopicModel:
         """A model from (topic, term, n), such as the counts of another sampler; rows of a cell add up, other topics are left out."""
         cells = counts.where(F.col("topic").between(0, topics - 1) & F.col("term").isNotNull())
-        cells = cells.groupBy("term").pivot("topic", list(range(topics))).agg(F.sum("n")).na.fill(0).orderBy("term").toPandas()  # a row a term
+        cells = cells.groupBy("term").pivot("topic", list(range(topics))).agg(F.sum("n")).na.fill(0).orderBy("term").toArrow().to_pandas()  # a row a term
         return cls(topics, cells["term"].tolist(), cells[[str(k) for k in range(topics)]].to_numpy(float), alpha, beta)
 
     @property
@@ -130,7 +130,7 @@ class TopicModel:
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> TopicModel:
         shape = spark.read.parquet(f"{path}/shape").first()
-        rows = spark.read.parquet(f"{path}/weights").orderBy("term").toPandas()  # a row a term: bounded by the dictionary
+        rows = spark.read.parquet(f"{path}/weights").orderBy("term").toArrow().to_pandas()  # a row a term: bounded by the dictionary
         weights = np.array(rows["weights"].tolist(), float).reshape(len(rows), shape.num_topics)
         return cls(shape.num_topics, rows["term"].tolist(), weights, shape.alpha, shape.beta)
 
@@ -171,7 +171,7 @@ def fit_many(docs: DataFrame, key: str, wanted: dict[int, tuple[int, int]], term
     """
     spark = docs.sparkSession
     vocabularies: dict[int, list[str]] = {}
-    for r in terms.select("corpus", "term").orderBy("corpus", "term").toPandas().itertuples(index=False):  # bounded by the dictionaries
+    for r in terms.select("corpus", "term").orderBy("corpus", "term").toArrow().to_pandas().itertuples(index=False):  # bounded by the dictionaries
         vocabularies.setdefault(int(r.corpus), []).append(r.term)
     specs = [lda.Spec(m, c, k, len(vocabularies[c]), options.alpha_numerator / k, options.beta, options.seed) for m, (c, k) in sorted(wanted.items()) if c in vocabularies]
     folder = scratch(spark, "corpus")
