@@ -23,6 +23,15 @@ def test_dictionary_bounds(spark):
     assert [tuple(r) for r in bow] == [(0, "five", 2)]
 
 
+def test_dictionary_without_a_bound_has_all_terms(spark):
+    docs = docs_of(spark, [["a", "b", "c"]] * 5 + [[]] * 6)
+    some, every = (TopicModelOptions(vocabulary=n) for n in (2, None))
+    assert [r.term for r in topic_model.dictionary(docs, options=some).collect()] == ["a", "b"]
+    assert sorted(r.term for r in topic_model.dictionary(docs, options=every).collect()) == ["a", "b", "c"]
+    both = docs.withColumn("corpus", F.col("i") % 1)
+    assert [topic_model.dictionaries(both, "corpus", options=o).count() for o in (some, every)] == [2, 3]
+
+
 def test_perplexity(spark):
     bow = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "z", 5)], "i int, term string, n bigint")
     theta = spark.createDataFrame([(1, 0, 0.25), (1, 1, 0.75), (2, 0, 1.0)], "i int, topic int, p double")
