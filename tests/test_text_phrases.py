@@ -1,6 +1,11 @@
+import os
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from threadlens import lineage
 from threadlens.functions import technology, text
 from threadlens.operators import phrases
 
@@ -32,6 +37,15 @@ def test_tokens(spark):
     assert kept == ["a", "a"]
 
 
+def test_stop_words_are_looked_up_in_a_set(spark):
+    df = spark.createDataFrame([(["the", "key", "the", "of", None, "key"],), ([],), (None,)], "w array<string>")
+    out = df.select(text.without_stopwords(F.col("w"), text.stopwords()))
+    assert [r[0] for r in out.collect()] == [["key", "key"], [], None]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan and "array_contains" not in plan
+    assert df.select(text.without_stopwords(F.col("w"), set())).first()[0] == ["the", "key", "the", "of", None, "key"]
+
+
 def test_split_tokens(spark):
     df = spark.createDataFrame([("a  b",), ("['x', 'y z']",), ('["q"]',), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(text.split_tokens(F.col("t"))).collect()] == [["a", "b"], ["x", "y z"], ["q"], [], []]
@@ -59,6 +73,42 @@ def test_apply_phrases(spark, monkeypatch):
         assert {r.i: r.tokens for r in got} == {k: d if d is None else greedy(d, table) for k, d in enumerate(docs)}
 
 
+def test_many_phrases_are_joined_without_a_shuffle(spark):
+    rows = spark.range(300_000).select(F.concat(F.lit("w"), F.col("id") % 1000).alias("a"), F.concat(F.lit("x"), F.col("id") / 1000).cast("string").alias("b"))
+    rows = rows.unionByName(spark.createDataFrame([("a", "b"), ("b", "a")], "a string, b string"))
+    df = spark.createDataFrame([(1, list("abab")), (2, list("cab")), (3, None), (4, ["a"]), (5, ["b", "w5"])], "i int, tokens array<string>")
+    got = phrases.apply_phrases(df, rows, "i")
+    assert {r.i: r.tokens for r in got.collect()} == {1: ["a_b", "a_b"], 2: ["c", "a_b"], 3: None, 4: ["a"], 5: ["b", "w5"]}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_match_brute_force():
+    rng = random.Random(7)
+    table = {(rng.choice("abcde"), rng.choice("abcde")) for _ in range(9)}
+    own = phrases.Phrases.of(pa.table({"a": [a for a, _ in table], "b": [b for _, b in table]}))
+    texts = [None if rng.random() < 0.1 else [rng.choice("abcdefg") for _ in range(rng.randrange(12))] for _ in range(1300)]
+    given = pa.array(texts, pa.list_(pa.string()))
+    assert own.join(given).to_pylist() == [t if t is None else greedy(t, table) for t in texts]
+    assert own.join(given.slice(7, 20)).to_pylist() == [t if t is None else greedy(t, table) for t in texts[7:27]]
+    assert own.join(given.slice(0, 0)).to_pylist() == []
+
+
+def test_uses_of_a_table_of_counts_share_its_exchange(spark):
+    df = spark.createDataFrame([(k, ["new", "york", "car"]) for k in range(9)], "i int, tokens array<string>")
+    got = phrases.phrase_scores(df)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.partition("== Initial Plan ==")[0].count("Reused") >= 2
+
+
+def test_passes_keep_one_stage(spark):
+    df = spark.createDataFrame([(k, ["new", "york", "car"]) for k in range(30)] + [(99, None)], "i int, tokens array<string>")
+    before = set(os.listdir(lineage.shared_dir(spark).removeprefix("file:")))
+    got = phrases.with_phrases(df, "i", min_count=1, threshold=0.01)
+    assert {tuple(r.tokens or ()) for r in got.collect()} == {("new_york_car",), ()}
+    assert len([f for f in set(os.listdir(lineage.shared_dir(spark).removeprefix("file:"))) - before if f.startswith("phrases")]) == 1
+
+
 def test_scores(spark):
     docs = [["new", "york"]] * 8 + [["new", "car"]] * 5 + [["old", "york"]] + [[w] for w in "pqrst"]
     df = spark.createDataFrame(list(enumerate(docs)), "i int, tokens array<string>")
