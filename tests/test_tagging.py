@@ -106,3 +106,18 @@ def test_normalise(spark):
     assert "leak" in out["1"].normalized_text and "the" not in out["1"].normalized_text.split()
     rules = {r.id: r.normalized_text for r in mining.normalise(posts, tokens=text.tokens).collect()}
     assert rules["9"] == "" and rules["1"]
+
+
+def test_portions_bound_what_is_held(monkeypatch):
+    texts = ["the keys were stored in new files", None, "", "users sign certificates " * 40, "old servers failed"] * 6
+    tagger, lemmas = tagging.default_tagger(), tagging.default_lemmas()
+    want = tagging.content_tokens(texts, tagger, lemmas, frozenset())
+    held = []
+    tag = tagging.Tagger.tag
+    monkeypatch.setattr(tagging.Tagger, "tag", lambda self, words: held.append(sum(map(len, words))) or tag(self, words))
+    monkeypatch.setattr(tagging, "WORDS_AT_ONCE", 50)
+    monkeypatch.setattr(tagging, "REMEMBERED", 5)
+    for x in (tagger, lemmas):
+        x._known.clear()
+    assert tagging.content_tokens(texts, tagger, lemmas, frozenset()) == want
+    assert max(held) <= 120 and len(held) > 6 and len(tagger._known) <= 5 and len(lemmas._known) <= 5
