@@ -331,3 +331,27 @@ def test_large_dictionaries_classify_like_small_ones(spark):
             texts = spark.createDataFrame([(1, "nothing known here"), (2, f"here w3 {words[-1]}"), (3, None), (4, "")], "id int, text string")
             got = {r.id: (r.topic, r.topic_perc_contrib) for r in topic_model.classify(texts, model).collect()}
             assert got[1] == got[3] == got[4] == (None, None) and got[2][0] in range(topics) and got[2][1] > 0
+
+
+def test_a_document_is_one_row_for_all_models(spark):
+    rows = spark.createDataFrame([(0, k, [k % 5, 1, 1, 4]) for k in range(50)] + [(1, 99, [0, 1])], "corpus int, uid bigint, ids array<int>").coalesce(1)
+    specs = [lda.Spec(m, c, k, 5, 0.1, 0.01, 7) for m, (c, k) in enumerate([(0, 1), (0, 3), (0, 7), (1, 2)])]
+    got = lda._step(rows, specs, None, 0, 0).collect()
+    docs, changes = [r for r in got if r.kind == 0], [r for r in got if r.kind == 1]
+    assert len(docs) == 51 and {(r.corpus, len(r.z)) for r in docs} == {(0, 8), (1, 2)}  # no topics are kept of a model of one
+    assert len(changes) == len({(r.model, r.cell) for r in changes})  # summed over the task
+    totals = {m: sum(r.n for r in changes if r.model == m) for m in range(4)}
+    assert totals == {0: 200, 1: 200, 2: 200, 3: 2}
+
+
+def test_known_words_are_numbered_in_order():
+    pa = lda.pa
+    texts = pa.array([["b", "x", "a", "b"], None, [], ["x"], ["a", None]], pa.list_(pa.string()))
+    want = [[1, 0, 1], [], [], [], [0]]
+    assert lda.known_ids(texts, pa.array(["a", "b"])).to_pylist() == want
+    assert lda.known_ids(texts.slice(2, 3), pa.array(["a", "b"])).to_pylist() == want[2:]
+
+
+def test_encoded_documents_are_dealt_out(spark):
+    rows = spark.createDataFrame([(0, k, [1]) for k in range(500)], "corpus int, uid bigint, ids array<int>").coalesce(1)
+    assert lda.spread(rows).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
