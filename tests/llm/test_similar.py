@@ -1,10 +1,11 @@
 import random
 
 from helpers import documents
+from pyspark.sql import functions as F
 from test_simhash import roots
 
 import corpus_pipeline
-from threadlens.llm import similar
+from threadlens.llm import simhash, similar
 
 
 def shingle_set(text):
@@ -48,3 +49,15 @@ def test_bitmaps_never_overstate(spark):
         b = set(rng.sample(sorted(a), len(a) * 3 // 4)) | {rng.getrandbits(64) for _ in range(rng.randrange(50))}
         bits = [similar.bitmap(similar.np.array(sorted(s), "u8")) for s in (a, b)]
         assert sum(bin(int(x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(*bits)) <= len(a ^ b)
+
+
+def test_stage_takes_candidates_from_the_pivots(spark, monkeypatch):
+    """Near copies within two bits are found by the pivots alone, where no band is shared."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words), "s"), (2, " ".join([*words, "w0"]), "s"), (3, " ".join(f"v{k}" for k in range(50)), "s"), (4, " ".join(words).upper(), "s")]
+    a, b = (similar.majority(similar.hashes_of(r[1], 5)) for r in rows[:2])
+    assert [similar.majority(similar.hashes_of(r[1], 5)) for r in rows] == [simhash.fingerprint(r[1], 5) for r in rows]
+    assert bin(a ^ b).count("1") <= simhash.RADIUS and similar.majority(similar.hashes_of("", 5)) == 0
+    monkeypatch.setattr(similar, "_sketches", lambda *x, made=similar._sketches: made(*x).withColumn("keys", F.array().cast("array<bigint>")))
+    got = simhash.keep_one(documents(spark, rows), 5, similarity=0.8).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]

@@ -152,11 +152,12 @@ def components(edges: DataFrame) -> DataFrame:
 def _assigned(docs: DataFrame, shingle: int, bucket: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """((doc_id, fp) of every row, (fp, root) of every fingerprint).
 
-    With a similarity, fp is ``similar.text_key`` and links are near copies by it.
+    With a similarity, fp is ``similar.text_key`` and links are near copies by it:
+    those that links() finds among the SimHashes, verified, and the rest by bands.
     """
     rows = cut(fingerprints(docs, shingle)) if similarity is None else similar.sketched(docs, shingle, similarity)
     vertices = cut(rows.select("fp").distinct())
-    edges = links(vertices, bucket) if similarity is None else similar.links(docs, rows, shingle, similarity, components)
+    edges = links(vertices, bucket) if similarity is None else similar.links(docs, rows, shingle, similarity, components, lambda sims: links(sims, bucket))
     roots, rows = components(edges), rows.select("doc_id", "fp")
     return rows, cut(vertices.join(roots, vertices["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
@@ -182,7 +183,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, simi
     """The rows of ``docs``, with all their columns, that stay: of each component the one with the smallest doc_id.
 
     Links are fingerprints within RADIUS bits or, with a similarity, texts whose
-    sets of shingles have at least that Jaccard similarity (module ``similar``).
+    sets of shingles have at least that Jaccard similarity: pivots come first,
+    and what they can't see by bands (module ``similar``).
 
     A null id comes after all others; rows that tie in id (or have none) go by
     fingerprint, and of rows equal in both any one stays.

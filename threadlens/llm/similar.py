@@ -1,11 +1,11 @@
 """Near copies by the Jaccard similarity of word shingles, verified exactly.
 
-Texts are compared as sets of hashed shingles.  Candidates share a band: ROWS
-equal minima of random orders (MinHash).  There are as many bands as leave a
-pair just at the wanted similarity unseen with a chance of MISSED (32 at 0.8).
-Pivot distances between SimHashes do not serve here: at a similarity of 0.8
-about ten of 64 bits differ, no 16-bit segment need agree, and nearly all
-pairs would be candidates.
+Texts are compared as sets of hashed shingles.  Candidates come from the pivot
+distance tables of their SimHashes (module simhash) and are verified here.  At a
+similarity of 0.8, though, about ten of 64 bits differ and no 16-bit segment
+need agree, so the rest of the candidates share a band: ROWS equal minima of
+random orders (MinHash).  There are as many bands as leave a pair just at the
+wanted similarity unseen with a chance of MISSED (32 at 0.8).
 
 In each bucket every member is first held against the smallest and the largest
 one, which ties a family of near copies together without pairing it up.  Members
@@ -48,14 +48,27 @@ def text_key(text: str) -> int:
     return xxhash.xxh64_intdigest(b" ".join(_words(text)), SEED)
 
 
-def shingles(text: str, shingle: int) -> np.ndarray:
-    """Distinct hashes of the shingles of a whole text, ascending.  A shorter text is one shingle; no words, none."""
+def hashes_of(text: str, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of a whole text in order, repeats too.  A shorter text is one shingle; no words, none."""
     words = _words(text)
     if not words:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     count = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[k : k + shingle]), SEED) for k in range(count)), np.uint64, count))
+    return np.fromiter((digest(b" ".join(words[k : k + shingle]), SEED) for k in range(count)), np.uint64, count)
+
+
+def shingles(text: str, shingle: int) -> np.ndarray:
+    """Distinct hashes of the shingles of a whole text, ascending."""
+    return np.unique(hashes_of(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of a text by its hashes: the bits that are set in over half of them; zero without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
+        ones += np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def bands_for(similarity: float) -> int:
@@ -85,17 +98,22 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """(doc_id, fp, keys): fp is the text's key as a signed long, keys are those of its bands."""
+    """(doc_id, fp, sim, keys): fp is the text's key as a signed long, sim its SimHash, keys are those of its bands."""
     orders = _orders(bands)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             fps = np.array([text_key(t) for t in texts], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": fps, "keys": [band_keys(shingles(t, shingle), orders) for t in texts]})
+            sims, keys = [], []
+            for t in texts:
+                hashes = hashes_of(t, shingle)
+                sims.append(majority(hashes))
+                keys.append(band_keys(np.unique(hashes), orders))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "fp": fps, "sim": np.array(sims, np.uint64).view(np.int64), "keys": keys})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, fp bigint, keys array<bigint>")
+    return small_batches(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, fp bigint, sim bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -140,16 +158,36 @@ def _open_buckets(placed: DataFrame) -> DataFrame:
     return spread.select("key", ((F.col("all") * F.col("all") - F.col("own")) / 2 > ROUND_PAIRS * F.col("all")).alias("large"))
 
 
-def links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, components) -> DataFrame:
-    """(a, b): edges that connect the keys of texts of at least that Jaccard similarity.  ``rows`` are the sketches."""
+def by_pivots(rows: DataFrame, pivots) -> DataFrame:
+    """(a, b): pairs of texts (fp) that the SimHash pivots link, one or two for each text of a group, to be verified.
+
+    ``pivots``: a function of distinct SimHashes (fp) that gives the links (a, b)
+    between them.  Every text meets the smallest one of its SimHash, and that one
+    the smallest of the least SimHash it is linked with.
+    """
+    texts = cut(rows.select("sim", "fp").distinct())
+    tops = cut(texts.groupBy("sim").agg(F.min("fp").alias("top")))
+    near = pivots(tops.select(F.col("sim").alias("fp"))).groupBy(F.col("b").alias("sim")).agg(F.min("a").alias("other"))
+    twins = texts.join(tops, "sim").where("fp <> top").select("fp", F.col("top").alias("end"))
+    across = near.join(tops, "sim").join(tops.select(F.col("sim").alias("other"), F.col("top").alias("end")), "other").select(F.col("top").alias("fp"), "end")
+    return twins.unionByName(across).select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
+
+
+def links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, components, pivots) -> DataFrame:
+    """(a, b): edges that connect the keys of texts of at least that Jaccard similarity.  ``rows`` are the sketches.
+
+    Candidates come from the SimHash pivots, and from bands what those can't see.
+    """
     share = Fraction(str(similarity))
+    close = cut(by_pivots(rows, pivots))
     spread = rows.select("fp", F.explode("keys").alias("key"))
     buckets = cut(spread.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high"))
     members = cut(spread.join(small_side(buckets), "key").distinct())
-    sets = _sets(docs, rows, cut(members.select("fp").distinct()), shingle)
+    wanted = members.select("fp").unionByName(close.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    sets = _sets(docs, rows, cut(wanted), shingle)
     ends = members.select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp <> end")
     stars = ends.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
-    found = cut(_verified(stars, sets, share))
+    found = cut(_verified(close.unionByName(stars).distinct(), sets, share))
     roots = components(found)
     placed = members.select("key", "fp").join(roots, members["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     maps = sets.drop("shingles")
