@@ -123,3 +123,11 @@ def test_quantiles_are_selected_exactly(spark, bins):
                 assert got[k] == pytest.approx(round(float(np.quantile(x, q)), 6), rel=1e-12, abs=1e-6), (k, q)
     ends = spark.createDataFrame([("s", v) for v in (float("-inf"), 1.0, 2.0, float("inf"))], "site_alias string, score double")
     assert quality.quantiles(ends, 2 / 3, metrics=("score",), bins=bins).first().q_score == 2.0
+
+
+def test_repeats_are_dealt_out_before_they_are_compared(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (2, "a"), (2, "b"), (None, None)] * 3, "`x.y` int, v string")
+    got = quality.without_repeats(df)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, None), (2, "a"), (2, "b"), (None, None)], key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert plan.count("ShuffleQueryStage") == 1 and plan.rindex("Aggregate") < plan.index("ShuffleQueryStage")
