@@ -6,6 +6,7 @@ from test_simhash import roots
 
 import corpus_pipeline
 from threadlens.llm import simhash, similar
+from threadlens.llm.base import PART_ROWS, PARTS, packed
 
 
 def shingle_set(text):
@@ -61,3 +62,21 @@ def test_stage_takes_candidates_from_the_pivots(spark, monkeypatch):
     monkeypatch.setattr(similar, "_sketches", lambda *x, made=similar._sketches: made(*x).withColumn("keys", F.array().cast("array<bigint>")))
     got = simhash.keep_one(documents(spark, rows), 5, similarity=0.8).collect()
     assert sorted(r.doc_id for r in got) == [1, 3]
+
+
+def test_small_steps_read_few_parts(spark):
+    """However many partitions the session shuffles into, what small steps leave is read in few parts."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 30)]
+        got = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+        assert got.rdd.getNumPartitions() <= PARTS
+        want, found = roots({n for e in edges for n in e}, edges), {r.node: r.root for r in got.collect()}
+        assert {n: found.get(n, n) for n in want} == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    many = spark.range(100, numPartitions=50)
+    assert packed(many, 20 * PART_ROWS + 1).rdd.getNumPartitions() == 21 and packed(many, 10**9).rdd.getNumPartitions() == 50

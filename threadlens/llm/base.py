@@ -73,6 +73,25 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
+#: Rows of short tables that a part is worth, and parts that are kept however few rows there are.
+PART_ROWS, PARTS = 4096, 8
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of short rows, ``rows`` of them at most, in no more parts than they are worth.
+
+    Each task of a step leaves files of its shuffle and a record in the event
+    log, whatever it read, so steps on small tables cost by the parts they read.
+    """
+    return df.coalesce(max(PARTS, -(-rows // PART_ROWS)))
+
+
+def cut_packed(df: DataFrame) -> DataFrame:
+    """``df`` of short rows, cut, counted, and read in no more parts than its rows are worth."""
+    df = cut(df)
+    return packed(df, df.count())
+
+
 #: Rows with whole texts that go to Python at a time, and their bytes, at most (one row may have more).
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import similar
-from .base import cut, free_name, is_empty, matching, small_batches
+from .base import cut, cut_packed, free_name, is_empty, matching, packed, small_batches
 
 #: Words in a shingle, seed of its hash, and differing bits that still link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -103,9 +103,9 @@ def links(vertices: DataFrame, bucket: int = BUCKET) -> DataFrame:
     table = pivot_table(vertices)
     keys = F.array(*[F.struct(F.lit(n).alias("pair"), F.col(f"s{i}").alias("x"), F.col(f"s{j}").alias("y"), F.lit(_MASKS[i] | _MASKS[j]).cast("long").alias("mask")) for n, (i, j) in enumerate(pairs)])
     rows = table.select("fp", *[f"d{k}" for k in range(PIVOTS)], F.inline(keys))
-    counts = cut(rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counts = cut_packed(rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     small, large = counts.where(F.col("n") <= bucket), counts.where(F.col("n") > bucket)
-    shared = cut(rows.join(small.drop("n"), ["pair", "x", "y"]))
+    shared = cut_packed(rows.join(small.drop("n"), ["pair", "x", "y"]))
     a, b = shared.alias("a"), shared.alias("b")
     apart = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     near = [F.abs(F.col(f"a.d{k}") - F.col(f"b.d{k}")) <= RADIUS for k in range(PIVOTS)]
@@ -134,17 +134,19 @@ def components(edges: DataFrame) -> DataFrame:
     never gathered: its minimum is a combined aggregate, joined back.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    most = edges.count()  # neither step makes more edges than it is given
+    edges = packed(edges, most)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = cut(packed(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), most))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        small = cut(small.distinct())
+        small = cut(packed(small.distinct(), most))
         # Done when every node points to one root and no root points on.
-        tops = small.select(F.col("v").alias("u")).distinct()
-        if is_empty(small.groupBy("u").count().where("count > 1")) and is_empty(small.join(tops, "u", "left_semi")):
+        ends = small.select("u", F.lit(1).alias("out"), F.lit(0).alias("top")).unionByName(small.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("top")))
+        if is_empty(packed(ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("top").alias("top")).where("out > 1 OR out > 0 AND top > 0"), 2 * most)):
             return small.select(F.col("u").alias("node"), F.col("v").alias("root"))
         edges = small
 

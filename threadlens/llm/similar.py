@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, is_empty, matching, small_batches, small_side
+from .base import cut, cut_packed, is_empty, matching, small_batches, small_side
 
 SEED, ROWS, MISSED = 42, 4, 5e-8
 #: Words of 64 bits in a parity bitmap.
@@ -165,9 +165,10 @@ def by_pivots(rows: DataFrame, pivots) -> DataFrame:
     between them.  Every text meets the smallest one of its SimHash, and that one
     the smallest of the least SimHash it is linked with.
     """
-    texts = cut(rows.select("sim", "fp").distinct())
-    tops = cut(texts.groupBy("sim").agg(F.min("fp").alias("top")))
-    near = pivots(tops.select(F.col("sim").alias("fp"))).groupBy(F.col("b").alias("sim")).agg(F.min("a").alias("other"))
+    texts = rows.select("sim", "fp")
+    tops = cut_packed(texts.groupBy("sim").agg(F.min("fp").alias("top")))
+    near = cut_packed(pivots(tops.select(F.col("sim").alias("fp"))).groupBy(F.col("b").alias("sim")).agg(F.min("a").alias("other")))
+    tops = small_side(tops)
     twins = texts.join(tops, "sim").where("fp <> top").select("fp", F.col("top").alias("end"))
     across = near.join(tops, "sim").join(tops.select(F.col("sim").alias("other"), F.col("top").alias("end")), "other").select(F.col("top").alias("fp"), "end")
     return twins.unionByName(across).select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
@@ -179,21 +180,21 @@ def links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, com
     Candidates come from the SimHash pivots, and from bands what those can't see.
     """
     share = Fraction(str(similarity))
-    close = cut(by_pivots(rows, pivots))
+    close = cut_packed(by_pivots(rows, pivots))
     spread = rows.select("fp", F.explode("keys").alias("key"))
-    buckets = cut(spread.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high"))
-    members = cut(spread.join(small_side(buckets), "key").distinct())
+    buckets = cut_packed(spread.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high"))
+    members = cut_packed(spread.join(small_side(buckets), "key").distinct())
     wanted = members.select("fp").unionByName(close.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
-    sets = _sets(docs, rows, cut(wanted), shingle)
+    sets = _sets(docs, rows, cut_packed(wanted), shingle)
     ends = members.select("fp", F.explode(F.array("low", "high")).alias("end")).where("fp <> end")
     stars = ends.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
-    found = cut(_verified(close.unionByName(stars).distinct(), sets, share))
+    found = cut_packed(_verified(close.unionByName(stars).distinct(), sets, share))
     roots = components(found)
     placed = members.select("key", "fp").join(roots, members["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     maps = sets.drop("shingles")
     found = [found]
     for turn in range(ROUNDS + 1):
-        placed = cut(placed.join(small_side(_open_buckets(placed)), "key"))
+        placed = cut_packed(placed.join(small_side(cut_packed(_open_buckets(placed))), "key"))
         if is_empty(placed):
             break
         large = placed.where("large")
@@ -202,14 +203,14 @@ def links(docs: DataFrame, rows: DataFrame, shingle: int, similarity: float, com
             hubs = large.groupBy("key").agg(drawn.alias("hubs")).select("key", F.inline("hubs")).select("key", F.col("fp").alias("hub"), F.col("root").alias("hub_root"))
             ends = large.join(small_side(hubs.distinct()), "key").select("fp", "root", "hub", "hub_root").where("root <> hub_root").distinct()
             near = ends.join(maps.alias("x"), F.col("x.fp") == ends["fp"]).join(maps.alias("y"), F.col("y.fp") == ends["hub"]).where(_possible("x", "y", share))
-            near = cut(near.select(F.least(ends["fp"], "hub").alias("a"), F.greatest(ends["fp"], "hub").alias("b"), "root", "hub_root").distinct())
-            new = cut(_verified(near.select("a", "b").distinct(), sets, share))
+            near = cut_packed(near.select(F.least(ends["fp"], "hub").alias("a"), F.greatest(ends["fp"], "hub").alias("b"), "root", "hub_root").distinct())
+            new = cut_packed(_verified(near.select("a", "b").distinct(), sets, share))
             if not is_empty(new):
                 found.append(new)
                 joined = components(near.join(new, ["a", "b"]).select(F.col("root").alias("a"), F.col("hub_root").alias("b")))
                 placed = placed.join(joined, placed["root"] == joined["node"], "left").select("key", "fp", F.coalesce(joined["root"], placed["root"]).alias("root"))
                 continue
-        open_ = cut(placed.join(maps, "fp"))
+        open_ = cut_packed(placed.join(maps, "fp"))
         a, b = open_.alias("a"), open_.alias("b")
         on = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", share)
         across = a.join(b.hint("merge"), on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
