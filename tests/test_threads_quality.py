@@ -131,3 +131,17 @@ def test_repeats_are_dealt_out_before_they_are_compared(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, None), (2, "a"), (2, "b"), (None, None)], key=str)
     plan = got._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
     assert plan.count("ShuffleQueryStage") == 1 and plan.rindex("Aggregate") < plan.index("ShuffleQueryStage")
+
+
+def test_threads_are_picked_without_ordering_posts(spark, posts):
+    """Only ids of questions are held in memory where they are too many to broadcast; no post is ordered."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = quality.skipped_threads(posts)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort" not in plan
+        skipped = {r.question_id for r in posts.collect() if r.type == "question" and not r.owner_id}
+        assert sorted(map(str, got.collect())) == sorted(str(r) for r in posts.select(got.columns).collect() if r.question_id in skipped)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
