@@ -2,6 +2,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadlens.operators import census, quality, threads
 from threadlens.schema import THREAD_POSTS, require
@@ -145,3 +146,40 @@ def test_threads_are_picked_without_ordering_posts(spark, posts):
         assert sorted(map(str, got.collect())) == sorted(str(r) for r in posts.select(got.columns).collect() if r.question_id in skipped)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_unified_posts_deal_answers_out_once_by_thread_and_once_by_id(spark, sf_dir):
+    """Where nothing is small enough to broadcast: one exchange serves the answers' groups and their questions, another their comments; no post is ordered for a join."""
+    from threadlens.plans import catalog
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["s2_unified_posts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+        # Answers: whole and as ids, each by thread and by id; questions: whole, and as ids for either; comments: whole, and counted for each kind.
+        assert plan.count("Exchange hashpartitioning") <= 4 + 3 + 1 + 3 * 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_comments_find_one_root_among_repeated_posts(spark):
+    """A post that is given twice, or as question and answer, has its comments once, and all its rows have their count."""
+    text = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+    q = text([("s", "1"), ("s", "1"), ("s", "2"), ("t", "1"), (None, "1"), ("s", None)], "site id")
+    a = text([("s", "2", "1"), ("s", "5", "2"), ("s", "5", "1"), ("t", "5", "1"), ("s", "6", "7"), ("s", "8", None), ("s", None, "1")], "site id parent_id")
+    c = text([("s", "a", "2"), ("s", "b", "5"), ("s", "b", "5"), ("t", "c", "5"), ("t", "d", "2"), ("s", "e", "6"), ("s", "f", "8"), ("s", "g", None), (None, "h", "1")], "site id post_id")
+    got = threads.thread_comments(q, threads.answers_of(q, a), c)
+    assert sorted((r.site, r.id, r.root_id) for r in got.collect()) == [("s", "a", "2"), ("s", "b", "1"), ("s", "b", "1"), ("t", "c", "1")]
+    counted = threads.with_comment_count(threads.answers_of(q, a), threads.comment_counts(c))
+    assert sorted((str(r.site), str(r.id), str(r.parent_id), r.comment_count) for r in counted.collect()) == [("s", "2", "1", 1), ("s", "5", "1", 2), ("s", "5", "2", 2), ("s", "None", "1", 0), ("t", "5", "1", 1)]
+
+
+def test_numbers_of_posts_outside_the_threads_are_not_read(spark):
+    text = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+    extra = {c: F.lit(None).cast("string") for c in ("view_count", "answer_count", "creation_date", "last_activity_date", "last_edit_date", "owner_id", "title", "body", "text", "accepted_answer_id")}
+    q = text([("s", "1", "2")], "site id score").withColumns(extra).withColumn("tags", F.array(F.lit("a")))
+    a = text([("s", "2", "1", "3"), ("s", "3", "9", "1e30")], "site id parent_id score").withColumns(extra)
+    c = text([("s", "1", "2", "4"), ("s", "2", "3", "1e30")], "site id post_id score").withColumns(extra)
+    got = threads.unified_posts(q, a, c, spark.createDataFrame([("s", "s.7z")], "site string, archive string"))
+    assert sorted((r.type, r.score) for r in got.collect()) == [("answer", 3), ("comment", 4), ("question", 2)]

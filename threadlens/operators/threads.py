@@ -15,8 +15,24 @@ def of_type(posts: DataFrame, *types: str) -> DataFrame:
 
 
 def answers_of(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Answers whose parent is one of the questions (site, id)."""
-    return answers.join(questions.select("site", F.col("id").alias("parent_id")), ["site", "parent_id"], "left_semi")
+    """Answers whose parent is one of the questions (site, id).
+
+    The ids of the questions are hashed and answers pass by, so that none are ordered.
+    """
+    return answers.join(questions.select("site", F.col("id").alias("parent_id")).hint("shuffle_hash"), ["site", "parent_id"], "left_semi")
+
+
+def _links(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """site, post_id, root_id: each question with itself, and its answers with it."""
+    own = questions.select("site", F.col("id").alias("post_id"), F.col("id").alias("root_id"))
+    return own.unionByName(answers.select("site", F.col("id").alias("post_id"), F.col("parent_id").alias("root_id")))
+
+
+def _one_root(links: DataFrame) -> DataFrame:
+    """Each post of the links once; one that is both (it cannot be, by id) counts as the question."""
+    rank = F.when(F.col("root_id") == F.col("post_id"), 0).otherwise(1).alias("rank")
+    first = F.min(F.struct(rank, "root_id")).alias("first")
+    return links.groupBy("site", "post_id").agg(first).select("site", "post_id", F.col("first.root_id").alias("root_id"))
 
 
 def tracked_posts(questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -24,10 +40,7 @@ def tracked_posts(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
     A post that is both (it cannot be, by id) would count as the question.
     """
-    own = questions.select("site", F.col("id").alias("post_id"), F.col("id").alias("root_id"), F.lit(0).alias("rank"))
-    theirs = answers.select("site", F.col("id").alias("post_id"), F.col("parent_id").alias("root_id"), F.lit(1).alias("rank"))
-    first = F.min(F.struct("rank", "root_id")).alias("first")
-    return own.unionByName(theirs).groupBy("site", "post_id").agg(first).select("site", "post_id", F.col("first.root_id").alias("root_id"))
+    return _one_root(_links(questions, answers))
 
 
 def comments_on(comments: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -35,6 +48,17 @@ def comments_on(comments: DataFrame, tracked: DataFrame) -> DataFrame:
     return comments.join(tracked, ["site", "post_id"])
 
 
+def thread_comments(questions: DataFrame, answers: DataFrame, comments: DataFrame) -> DataFrame:
+    """Comments on the questions and on these answers of theirs, with the question of their thread.
+
+    Posts without comments are left out by their ids before the others are
+    grouped and hashed; comments pass by.
+    """
+    commented = comment_counts(comments).select("site", "post_id").hint("shuffle_hash")
+    links = _links(questions, answers).join(commented, ["site", "post_id"])
+    return comments_on(comments, _one_root(links).hint("shuffle_hash"))
+
+
 def comment_counts(comments: DataFrame) -> DataFrame:
     """site, post_id, comment_count, summed before any join."""
     return comments.groupBy("site", "post_id").agg(F.count(F.lit(1)).alias("comment_count"))
@@ -42,7 +66,7 @@ def comment_counts(comments: DataFrame) -> DataFrame:
 
 def with_comment_count(posts: DataFrame, counts: DataFrame) -> DataFrame:
     """Posts (site, id) with their comment_count, 0 for none."""
-    named = counts.withColumnRenamed("post_id", "id")
+    named = counts.withColumnRenamed("post_id", "id").hint("shuffle_hash")  # posts pass by, none are ordered
     return posts.join(named, ["site", "id"], "left").na.fill(0, ["comment_count"])
 
 
@@ -56,9 +80,9 @@ def unified_posts(questions: DataFrame, answers: DataFrame, comments: DataFrame,
     sites: site, archive.
     """
     answers = answers_of(questions, answers)
-    comments = comments_on(comments, tracked_posts(questions, answers))
-    counts = comment_counts(comments)
-    return _unified(with_comment_count(questions, counts), with_comment_count(answers, counts), comments, sites)
+    counts = comment_counts(comments)  # those of other posts meet none below
+    q, a = (with_comment_count(_typed(_dated(posts)), counts) for posts in (questions, answers))
+    return _unified(q, a, _typed(thread_comments(questions, answers, _dated(comments))), sites)
 
 
 def rooted(questions: DataFrame, answers: DataFrame, comments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -68,7 +92,7 @@ def rooted(questions: DataFrame, answers: DataFrame, comments: DataFrame) -> tup
     thread lie in one bucket, and unified_from_rooted() exchanges nothing.
     """
     answers = answers_of(questions, answers)
-    placed = comments_on(comments, tracked_posts(questions, answers))
+    placed = thread_comments(questions, answers, comments)
     return questions.withColumn("root_id", F.col("id")), answers.withColumn("root_id", F.col("parent_id")), placed
 
 
@@ -81,21 +105,33 @@ def unified_from_rooted(questions: DataFrame, answers: DataFrame, comments: Data
     each = comments.groupBy(*thread, "post_id").agg(F.count(F.lit(1)).alias("n"))
     counts = each.groupBy(*thread).agg(F.map_from_entries(F.collect_list(F.struct("post_id", "n"))).alias("_counts"))
     counted = lambda posts: posts.join(counts, thread, "left").withColumn("comment_count", F.coalesce(F.try_element_at("_counts", F.col("id")), F.lit(0))).drop("_counts")
-    return _unified(counted(questions), counted(answers), comments, sites)
+    return _unified(*[_typed(_dated(posts)) for posts in (counted(questions), counted(answers), comments)], sites)
+
+
+def _dated(posts: DataFrame) -> DataFrame:
+    """Posts with dates for texts and with sorted tags, as far as they have these columns; an exchange then carries fewer bytes."""
+    made = {c: timestamp_or_null(F.col(c).cast("string")) for c in ("creation_date", "last_activity_date", "last_edit_date")}
+    made |= {"tags": F.array_sort(F.array_distinct("tags")), "owner_id": F.col("owner_id").cast("string")}
+    return posts.withColumns({c: v for c, v in made.items() if c in posts.columns})
+
+
+def _typed(dated: DataFrame) -> DataFrame:
+    """Posts with numbers for texts, too; a number beyond a bigint fails, so only posts of threads come here."""
+    return dated.withColumns({c: number_or_zero(F.col(c)).cast("bigint") for c in ("score", "view_count", "answer_count") if c in dated.columns})
 
 
 def _unified(questions: DataFrame, answers: DataFrame, comments: DataFrame, sites: DataFrame) -> DataFrame:
-    """The rows of three kinds of posts in the columns of schema.THREAD_POSTS."""
-    alias, number = F.col("site"), lambda c: number_or_zero(F.col(c)).cast("bigint")
+    """The rows of three kinds of posts, _typed(), in the columns of schema.THREAD_POSTS."""
+    alias = F.col("site")
     no_text, no_number, no_time = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("timestamp")
 
     def common(type_: str) -> dict:
-        return {"site_alias": alias, "creation_date": timestamp_or_null(F.col("creation_date").cast("string")), "owner_id": F.col("owner_id").cast("string"), "score": number("score"), "id": qualified_id(alias, F.col("id")), "type": F.lit(type_)}
+        return {"site_alias": alias, "creation_date": F.col("creation_date"), "owner_id": F.col("owner_id"), "score": F.col("score"), "id": qualified_id(alias, F.col("id")), "type": F.lit(type_)}
 
-    dates = {c: timestamp_or_null(F.col(c).cast("string")) for c in ("last_activity_date", "last_edit_date")}
+    dates = {c: F.col(c) for c in ("last_activity_date", "last_edit_date")}
     q = common("question") | dates | {
-        "tags": F.array_sort(F.array_distinct("tags")), "question_id": qualified_id(alias, F.col("id")), "accepted_answer_id": qualified_id(alias, F.col("accepted_answer_id")),
-        "answer_count": number("answer_count"), "view_count": number("view_count"), "comment_count": F.col("comment_count"), "title": F.col("title"), "body": F.col("body"),
+        "tags": F.col("tags"), "question_id": qualified_id(alias, F.col("id")), "accepted_answer_id": qualified_id(alias, F.col("accepted_answer_id")),
+        "answer_count": F.col("answer_count"), "view_count": F.col("view_count"), "comment_count": F.col("comment_count"), "title": F.col("title"), "body": F.col("body"),
     }
     a = common("answer") | dates | {
         "tags": F.array().cast("array<string>"), "question_id": qualified_id(alias, F.col("parent_id")), "accepted_answer_id": no_text,
