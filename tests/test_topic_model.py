@@ -41,6 +41,19 @@ def test_perplexity(spark):
     assert topic_model.perplexity(bow.where("i = 9"), theta, phi, "i").first()[0] is None
 
 
+def test_perplexity_of_texts_shuffles_no_word(spark, monkeypatch):
+    docs = [(1, ["a", "b", "a", "x"], [0.25, 0.75]), (1, ["b"], [0.25, 0.75]), (2, ["z", "z"], [1.0, None]), (3, ["a"], None), (4, None, [0.5, 0.5]), (5, [None, "b"], [1.0])]
+    df = spark.createDataFrame(docs, "i int, tokens array<string>, theta array<double>")
+    phi = spark.createDataFrame([("a", [0.4, 0.2]), ("b", [0.1, 0.3]), ("z", [0.0, 0.5])], "term string, shares array<double>")
+    want = math.exp(-(4 * math.log(0.25) + math.log(0.1)) / 5)
+    for most in (topic_model.BROADCAST_TERMS, 0):  # terms are sent to the tasks, or joined
+        monkeypatch.setattr(topic_model, "BROADCAST_TERMS", most)
+        got = topic_model.perplexity_of_texts(df, phi, 2)
+        assert abs(got.first()[0] - want) < 1e-12
+        assert ("hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()) or not most
+        assert topic_model.perplexity_of_texts(df.where("i = 4"), phi, 2).first()[0] is None
+
+
 def test_windows():
     n, ids, both = window_counts(list("abcab"), {"a": 0, "c": 1, "x": 2}, 2)
     # Windows: ab bc ca ab.
