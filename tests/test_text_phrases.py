@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,23 @@ def test_phrases_match_brute_force():
     assert own.join(given.slice(0, 0)).to_pylist() == []
 
 
+def test_joining_builds_no_table_of_the_phrases(monkeypatch):
+    """Each portion of texts searches the phrases; to build a table of all their words for it takes longer the more there are."""
+    own = phrases.Phrases.of(pa.table({"a": ["a", "é", "long" * 9, "b"], "b": ["b", "a", "b", "long" * 9]}))
+    monkeypatch.setattr(phrases.pc, "index_in", lambda *a, **k: 1 / 0)
+    assert own.join(pa.array([["a", "b", "x"], ["é", "a", "b"], ["long" * 9, "b", None, "a"], None, ["long" * 10, "b"]])).to_pylist() == [["a_b", "x"], ["é_a", "b"], ["long" * 9 + "_b", None, "a"], None, ["long" * 10, "b"]]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    real = phrases.word_hashes
+    monkeypatch.setattr(phrases, "word_hashes", lambda words, seed, longest=None: real(words, seed, longest) >> np.uint64(64 - 8 * seed) if seed else real(words, 0, 0))
+    texts = [["w1", "w2", "w3"], ["v77", "w2", "w1"]]
+    own = phrases.Phrases.of(pa.table({"a": [f"w{k}" for k in range(40)], "b": [f"w{k + 1}" for k in range(40)]}))
+    assert own.seed > 0 and own.join(pa.array(texts)).to_pylist() == [["w1_w2", "w3"], ["v77", "w2", "w1"]]
+    strange = pa.array([f"v{k}" for k in range(3000)])  # some share a hash with a word of the table
+    assert (own.places(strange) == -1).all() and sorted(own.places(own.words)) == list(range(41))
+
+
 def test_uses_of_a_table_of_counts_share_its_exchange(spark):
     df = spark.createDataFrame([(k, ["new", "york", "car"]) for k in range(9)], "i int, tokens array<string>")
     got = phrases.phrase_scores(df)
