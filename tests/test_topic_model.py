@@ -154,6 +154,23 @@ def test_failing_count_does_not_end_the_sweep(corpus, monkeypatch):
     assert best.topics == 1 and curve[0][1] is not None and curve[1] == (2, None, None)
 
 
+def test_failures_are_no_results(spark, corpus, monkeypatch):
+    real, posts = topic_model.evaluate, corpus.selectExpr("i AS question_id", "i", "'question' AS type", "tokens")
+    classified = posts.withColumn("topic", F.col("i") % 2)
+    submodels = lambda: topic_model.train_submodels(posts, classified, range(3), "i", "fixed", 2, iterations=2, options=OPTIONS)
+    subs, failed = submodels()
+    assert set(subs) == {0, 1} and list(failed) == [2] and "no term" in failed[2]
+    monkeypatch.setattr(topic_model, "evaluate", lambda docs, key, wanted, *a: 1 / 0 if len(wanted) > 1 or 1 in wanted else real(docs, key, wanted, *a))
+    with pytest.raises(RuntimeError, match=r"\[\(1, 2\)\] failed"):
+        submodels()
+    for search in (lambda: topic_model.find_best_model(corpus, "i", iterations=2, options=OPTIONS, strict=True), lambda: topic_model.train(corpus, "i", iterations=2, options=OPTIONS)):
+        with pytest.raises(RuntimeError, match=r"\[1\] topics failed"):
+            search()
+    monkeypatch.setattr(topic_model, "evaluate", lambda *a: 1 / 0)
+    with pytest.raises(RuntimeError, match=r"\[1, 2\] topics failed"):
+        topic_model.find_best_model(corpus, "i", options=OPTIONS)
+
+
 def test_equal_coherence_takes_the_smaller_count(corpus, monkeypatch):
     monkeypatch.setattr(topic_model, "evaluate", lambda docs, key, wanted, *a: {k: topic_model.Trial(k, 0.5, None, None) for k in wanted})
     assert topic_model.find_best_model(corpus, "i", options=OPTIONS)[0].topics == 1
