@@ -374,6 +374,22 @@ def test_a_document_is_one_row_for_all_models(spark):
     assert totals == {0: 200, 1: 200, 2: 200, 3: 2}
 
 
+def test_changes_are_added_up_by_block(spark, monkeypatch):
+    """What tasks say of the counts is a row a block, not a row a cell."""
+    monkeypatch.setattr(lda, "BLOCK", 4)
+    rng = np.random.default_rng(4)
+    found = [(m, rng.integers(-1, 2, 11)) for m in (0, 1, 0, 1, 0)]
+    rows = [r for m, x in found for batch in lda._changes(m, x) for r in batch.to_pylist()]
+    assert len(rows) <= 5 * 3 and sum(r["n"] for r in rows) == sum(int(x.sum()) for _, x in found)
+    sums = {m: np.zeros(11, np.int64) for m in (0, 1)}
+    for batch in lda._changes(7, np.arange(6), 40):
+        assert batch.to_pylist()[0]["cell"] in (40, 44)
+    got = lda._summed(spark.createDataFrame([{k: r[k] for k in ("model", "cell", "places", "changes")} for r in rows], "model int, cell bigint, places array<int>, changes array<bigint>").repartition(3)).toArrow()
+    for (m, cell), places, changes in lda._blocks(got):
+        sums[m][cell : cell + 4][places] += changes
+    assert all(np.array_equal(sums[m], sum(x for k, x in found if k == m)) for m in (0, 1))
+
+
 def test_known_words_are_numbered_in_order():
     pa = lda.pa
     texts = pa.array([["b", "x", "a", "b"], None, [], ["x"], ["a", None]], pa.list_(pa.string()))
