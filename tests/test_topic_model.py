@@ -390,6 +390,16 @@ def test_changes_are_added_up_by_block(spark, monkeypatch):
     assert all(np.array_equal(sums[m], sum(x for k, x in found if k == m)) for m in (0, 1))
 
 
+def test_queries_of_models_run_the_rounds_of_the_study(spark, sf_dir, monkeypatch):
+    from threadlens.plans import catalog
+
+    asked = []
+    fit = lambda docs, key, wanted, terms, corpus, tokens, iterations, options, method: asked.append((sorted(wanted.values()), iterations or options.iterations)) or {m: topic_model.Trial(k, 0.5, 1.0, None) for m, (_, k) in wanted.items()}
+    monkeypatch.setattr(topic_model, "evaluate", fit)
+    catalog.QUERIES["g13_fixed_model"](spark, sf_dir)
+    assert asked == [([(0, 13)], 2000)]
+
+
 def test_known_words_are_numbered_in_order():
     pa = lda.pa
     texts = pa.array([["b", "x", "a", "b"], None, [], ["x"], ["a", None]], pa.list_(pa.string()))
