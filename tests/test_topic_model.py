@@ -396,8 +396,9 @@ def test_queries_of_models_run_the_rounds_of_the_study(spark, sf_dir, monkeypatc
     asked = []
     fit = lambda docs, key, wanted, terms, corpus, tokens, iterations, options, method: asked.append((sorted(wanted.values()), iterations or options.iterations)) or {m: topic_model.Trial(k, 0.5, 1.0, None) for m, (_, k) in wanted.items()}
     monkeypatch.setattr(topic_model, "evaluate", fit)
-    catalog.QUERIES["g13_fixed_model"](spark, sf_dir)
-    assert asked == [([(0, 13)], 2000)]
+    for name in ("g13_fixed_model", "g8_best_model"):
+        catalog.QUERIES[name](spark, sf_dir)
+    assert asked == [([(0, 13)], 2000), ([(0, k) for k in range(1, 26)], 2000)]
 
 
 def test_known_words_are_numbered_in_order():
